@@ -18,8 +18,8 @@ from .components import components
 SHINGLE, SIMILARITY = 4, 85
 #: Counters of the frequency sketch, and the slices in which tasks send theirs.
 COUNTERS, SLICES = 1 << 20, 64
-#: Sets in one trie, parts into which a hub's partners are dealt, rounds of hub links.
-TRIE_SETS, SALTS, ROUNDS = 256, 16, 4
+#: Sets of a block; sets beyond which those of a token aren't paired; cells of a membership table.
+TRIE_SETS, CROWD, CELLS = 256, 24, 1 << 25
 
 
 def shingle_sets(chunk: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -119,173 +119,150 @@ def prefixes(keyed: DataFrame, sketch: np.ndarray) -> DataFrame:
     return keyed.select("key", "text").mapInArrow(emit, "token long, key long, n long")
 
 
-def enough(both: int, n: int, m: int) -> bool:
-    return 100 * both >= SIMILARITY * (n + m - both)
-
-
-def least_overlap(n: int, m: int) -> int:
+def least_overlap(n: np.ndarray, m: int) -> np.ndarray:
     return -(-SIMILARITY * (n + m) // (100 + SIMILARITY))
 
 
 class Trie:
-    """Sets in a common order of their shingles; a path that sets share is stored, and matched, once."""
+    """Sets in one order of their shingles; a path that sets share is stored, and matched, once.
 
-    def __init__(self, sets: list[tuple[int, np.ndarray]]):
-        self.sets = sorted(sets, key=lambda s: s[1].astype(">u8").tobytes())
-        self.root = self.node(0, len(self.sets), 0) if sets else None
+    The order is by falling frequency in this trie, so that like sets stay together long.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.universe, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(count), np.int64)
+        rank[np.lexsort((np.arange(len(count)), -count))] = np.arange(len(count))
+        self.rank = rank
+        bounds = starts_of(np.array([len(x) for x in sets]))
+        self.sets = sorted(((np.sort(rank[place[bounds[i] : bounds[i + 1]]]), i) for i in range(len(sets))), key=lambda x: x[0].astype(">u4").tobytes())
+        self.root = self.node(0, len(sets), 0)
 
     def node(self, low: int, high: int, depth: int) -> tuple:
-        """(path, depth below it, least and greatest set size, keys that end here, children)."""
-        a, b = self.sets[low][1], self.sets[high - 1][1]
+        """(path, depth at its end, greatest set size below, sets that end here, children)."""
+        a, b = self.sets[low][0], self.sets[high - 1][0]
         short = min(len(a), len(b))
         differ = np.flatnonzero(a[depth:short] != b[depth:short])
         end = depth + int(differ[0]) if len(differ) else short
-        sizes = [len(s[1]) for s in self.sets[low:high]]
         at, ends, children = low, [], []
-        while at < high and len(self.sets[at][1]) == end:
-            ends.append(self.sets[at][0])
+        while at < high and len(self.sets[at][0]) == end:
+            ends.append(self.sets[at][1])
             at += 1
         while at < high:
             until = at + 1
-            while until < high and self.sets[until][1][end] == self.sets[at][1][end]:
+            while until < high and self.sets[until][0][end] == self.sets[at][0][end]:
                 until += 1
             children.append(self.node(at, until, end))
             at = until
-        return a[depth:end], end, min(sizes), max(sizes), ends, children
-
-    def similar(self, probe: np.ndarray) -> Iterator[int]:
-        """Keys of the sets similar to `probe`. A subtree is left when what it and the probe
-        still have cannot make up the overlap that its sizes need."""
-        n, stack = len(probe), [(self.root, 0)] if self.root else []
+        return a[depth:end], end, max(len(x[0]) for x in self.sets[low:high]), ends, children
+
+    def similar(self, probes: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """(probe, set) of all similar pairs. All probes go down the trie together; at a subtree those
+        are left behind whose matches so far and what remains there can't make up the needed overlap."""
+        sizes = np.array([len(p) for p in probes])
+        has = np.zeros((len(probes), len(self.universe)), bool)
+        for i, p in enumerate(probes):
+            at = np.minimum(np.searchsorted(self.universe, p), len(self.universe) - 1)
+            has[i, self.rank[at[self.universe[at] == p]]] = True
+        stack = [(self.root, np.arange(len(probes)), np.zeros(len(probes), np.int64))]
         while stack:
-            (path, depth, least, most, ends, children), both = stack.pop()
-            at = np.minimum(np.searchsorted(probe, path), n - 1)
-            both += int(np.count_nonzero(probe[at] == path))
-            after = n - int(np.searchsorted(probe, path[-1], "right")) if len(path) else n
-            if both + most - depth < least_overlap(n, most) or both + after < least_overlap(n, least):
+            (path, depth, most, ends, children), live, both = stack.pop()
+            both = both + has[live[:, None], path].sum(axis=1)
+            stay = both + most - depth >= least_overlap(sizes[live], most)
+            live, both = live[stay], both[stay]
+            if not len(live):
                 continue
-            if ends and enough(both, n, depth):
-                yield from ends
-            stack += [(child, both) for child in children]
+            if ends:
+                for i in live[100 * both >= SIMILARITY * (sizes[live] + depth - both)].tolist():
+                    for j in ends:
+                        yield i, j
+            stack += [(child, live, both) for child in children]
+
+
+def spanning_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Links that connect whatever similar pairs of `left` with `right` (or within `left`, if none) connect."""
+    other = right or left
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    links = []
+    trie = Trie([x for _, x in other])
+    step = max(1, CELLS // len(trie.universe))
+    for at in range(0, len(left), step):
+        some = left[at : at + step]
+        for i, j in trie.similar([x for _, x in some]):
+            a, b = some[i][0], other[j][0]
+            if top(a) != top(b):
+                parent[top(a)] = top(b)
+                links.append((a, b))
+    return links
+
+
+def same_token_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) of rows (token, key, n) of one token whose sizes allow similarity, once for
+    each token they share."""
+    one, two = rows.select("token", F.col("key").alias("a"), F.col("n").alias("na")), rows.select("token", F.col("key").alias("b"), F.col("n").alias("nb"))
+    return one.join(two, "token").filter(f"a < b and 100 * least(na, nb) >= {SIMILARITY} * greatest(na, nb)").select("a", "b", "na", "nb")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. The partners b of each a are dealt into SALTS parts;
-    a part's sets meet a's own in tries of TRIE_SETS."""
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
-    partners = dealt.join(sets.withColumnRenamed("key", "b"), "b").select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("key"), "hashes")
-    hubs = dealt.select("a", "salt").distinct().join(sets.withColumnRenamed("key", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("key"), "hashes")
-    together = hubs.union(partners).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role", "key")
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, probe, block = None, None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if block:
-                found = list(Trie(block).similar(probe))
-                block.clear()
-                yield pa.RecordBatch.from_pydict({"a": pa.array([hub] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
-
-        for batch in batches:
-            for a, role, key, hashes in zip(*(batch.column(c).to_pylist() for c in ("a", "role", "key", "hashes")), strict=True):
-                values = np.frombuffer(hashes, np.uint64)
-                if role == 0:
-                    yield from flush()
-                    hub, probe = a, values
-                else:
-                    block.append((key, values))
-                    if len(block) == TRIE_SETS:
-                        yield from flush()
-        yield from flush()
+def class_links(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) that connect similar sets, from their shared prefix tokens `rows` (token, key, n).
 
-    return together.select("a", "role", "key", "hashes").mapInArrow(match, "a long, b long")
+    Of a token that few sets share, pairs are listed, and kept where the number of tokens that
+    they share in all allows the similarity. Sets of a token that many share aren't paired.
+    Each set that is left belongs to a block, of about TRIE_SETS sets that have their most
+    shared token in common; two blocks meet once, in tries, if a kept pair or a crowded token
+    lies across them. A meeting returns no more links than connect its sets.
+    """
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = stored(rows.join(rows.groupBy("token").agg(F.count("*").alias("f")), "token"), "counted")
+    # A set's first tokens hold all the tokens it shares with another but those past the end of one of the two.
+    needed = f"ceil({SIMILARITY} * (na + nb) / {100 + SIMILARITY}) - greatest(ceil({SIMILARITY} * na / 100), ceil({SIMILARITY} * nb / 100)) + 1"
+    pairs = stored(same_token_pairs(counted.filter(F.col("f") <= CROWD)).groupBy("a", "b", "na", "nb").count().filter(F.expr(f"count >= {needed}")).select("a", "b"), "pairs")
+    crowded = counted.filter(F.col("f") > CROWD)
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(crowded.select("key")).distinct()
+    anchors = counted.groupBy("key").agg(F.max(F.struct("f", "token")).alias("most"))
+    part = F.pmod(F.xxhash64("key"), F.ceil(F.col("most.f") / TRIE_SETS))
+    members = stored(keys.join(anchors, "key").select("key", F.xxhash64("most.token", part).alias("block")), "members")
+    a, b = members.select(F.col("key").alias("a"), F.col("block").alias("x")), members.select(F.col("key").alias("b"), F.col("block").alias("y"))
+    by_pair = pairs.join(a, "a").join(b, "b").select("x", "y")
+    touched = crowded.join(members, "key").select("token", "block").distinct()
+    by_token = touched.withColumnRenamed("block", "x").join(touched.withColumnRenamed("block", "y"), "token").filter("x <= y").select("x", "y")
+    meetings = stored(by_pair.union(by_token).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "meetings")
 
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches):
+            which, found = shingle_sets(chunk)
+            bounds = starts_of(np.bincount(which, minlength=chunk.num_rows))
+            yield pa.RecordBatch.from_pydict({"key": chunk.column("key"), "block": chunk.column("block"), "hashes": pa.array([found[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) of rows (token, component, key, n) of one token and two components whose
-    sizes allow similarity, once for each token they share; na <= nb."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = stored(keyed.select("key", "text").join(members, "key").mapInArrow(hashes, "key long, block long, hashes binary"), "members")
+    left = meetings.join(sets.withColumnRenamed("block", "x"), "x").select("x", "y", F.lit(0).alias("side"), "key", "hashes")
+    right = meetings.filter("x <> y").join(sets.withColumnRenamed("block", "y"), "y").select("x", "y", F.lit(1).alias("side"), "key", "hashes")
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sides = None, ([], [])
 
-        def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            token, component, key, n = cols
-            bounds = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                for at in range(low, high, 512):
-                    i = np.arange(at, min(at + 512, high))[:, None]
-                    reach = int(np.searchsorted(n[low:high], n[i[-1, 0]] * 100 // SIMILARITY, "right")) + low
-                    j = np.arange(at, reach)[None, :]
-                    x, y = np.nonzero((j > i) & (component[i] != component[j]) & (100 * n[i] >= SIMILARITY * n[j]))
-                    if len(x):
-                        a, b = x + at, y + at
-                        yield pa.RecordBatch.from_pydict({"a": key[a], "b": key[b], "na": n[a], "nb": n[b]})
+        def flush() -> Iterator[pa.RecordBatch]:
+            if sides[0] and (sides[1] or at[0] == at[1]):
+                found = spanning_links(*sides)
+                yield pa.RecordBatch.from_pydict({"a": pa.array([i for i, _ in found], pa.int64()), "b": pa.array([j for _, j in found], pa.int64())})
+            sides[0].clear()
+            sides[1].clear()
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("token", "component", "key", "n")]
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
-            if not len(cols[0]):
-                continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-            yield from emit([c[:cut] for c in cols])
-            held = [c[cut:] for c in cols]
-        if held:
-            yield from emit(held)
-
-    return rows.repartition(parts, "token").sortWithinPartitions("token", "n", "key").select("token", "component", "key", "n").mapInArrow(pairs, "a long, b long, na long, nb long")
-
-
-def allowed(na: str, nb: str) -> str:
-    return f"100 * least({na}, {nb}) >= {SIMILARITY} * greatest({na}, {nb})"
-
-
-def class_links(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """Components (key, component) of the similar sets, from their shared prefix tokens `rows` (token, key, n).
-
-    First each set is tried against one hub: of the sets that share a token the one with the
-    least hash in this round is the token's hub, and a set takes the hub it meets most often.
-    That joins nearly all sets that belong together, without listing their pairs. Rounds are
-    repeated with other hubs while the pairs that remain between components outnumber the
-    rows. At last those pairs are all listed, counted, and verified, so no link between
-    components is lost.
-    """
-    involved = rows.select("key").distinct()
+            for x, y, side, key, held in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "side", "key", "hashes")), strict=True):
+                if (x, y) != at:
+                    yield from flush()
+                    at = (x, y)
+                sides[side].append((key, np.frombuffer(held, np.uint64)))
+        yield from flush()
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches):
-            which, found = shingle_sets(chunk)
-            bounds = starts_of(np.bincount(which, minlength=chunk.num_rows))
-            yield pa.RecordBatch.from_pydict({"key": chunk.column("key"), "hashes": pa.array([found[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
-
-    sets = stored(keyed.select("key", "text").join(involved, "key", "left_semi").mapInArrow(hashes, "key long, hashes binary"), "involved")
-    spark = keyed.sparkSession
-    links, tried = spark.createDataFrame([], "a long, b long"), None
-    labelled, total = rows.withColumn("component", F.col("key")), rows.count()
-    for turn in range(ROUNDS):
-        priority = F.struct(F.xxhash64("key", F.lit(turn)).alias("order"), "key", "n", "component")
-        hubs = labelled.groupBy("token").agg(F.min(priority).alias("hub")).select("token", F.col("hub.key").alias("a"), F.col("hub.n").alias("na"), F.col("hub.component").alias("ca"))
-        met = labelled.join(hubs, "token").filter((F.col("ca") != F.col("component")) & F.expr(allowed("n", "na"))).groupBy("a", F.col("key").alias("b")).count()
-        if tried is not None:
-            met = met.join(tried, ["a", "b"], "left_anti")
-        chosen = stored(met.groupBy("b").agg(F.max(F.struct("count", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b"), "pairs")
-        links = stored(links.union(verified(chosen, sets)), "verified")
-        tried = stored(chosen if tried is None else tried.union(chosen), "tried")
-        labels = components(links)
-        labelled = stored(rows.join(labels, "key", "left").select("token", "key", "n", F.coalesce("component", "key").alias("component")), "labelled")
-        sizes = labelled.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("f"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        left = sizes.agg(F.sum((F.col("f") * F.col("f") - F.col("own")) / 2)).first()[0] or 0
-        if left <= total:
-            break
-    # The first tokens of both sets hold all shared ones but those after the end of one of them.
-    overlap = f"ceil({SIMILARITY} * (na + nb) / {100 + SIMILARITY})"
-    pairs = cross_pairs(labelled).groupBy("a", "b", "na", "nb").count().filter(F.expr(f"count >= {overlap} - (greatest(ceil({SIMILARITY} * na / 100), ceil({SIMILARITY} * nb / 100)) - 1)"))
-    oriented = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = stored(pairs.select("a", "b").join(oriented, ["a", "b"], "left_anti"), "pairs")
-    if more.isEmpty():
-        return labels
-    return components(stored(links.union(verified(more, sets)), "verified"))
+    return left.union(right).repartition(parts, "x", "y").sortWithinPartitions("x", "y", "side").mapInArrow(meet, "a long, b long")
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -308,7 +285,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     token = Window.partitionBy("token").orderBy("key")
     shared = prefixes(keyed, frequency_sketch(described)).withColumns({"before": F.lag("key").over(token), "after": F.lead("key").over(token)}).filter("before is not null or after is not null")
     rows = stored(shared.select("token", "key", "n").join(classes.select(F.col("class").alias("key")), "key", "left_semi"), "shared")
-    labels = class_links(keyed, rows).withColumnRenamed("key", "class")
+    labels = components(stored(class_links(keyed, rows), "similar")).withColumnRenamed("key", "class")
     placed = sets.join(classes, ["n", "d1", "d2"], "left").join(labels, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class", "key").alias("component"))
     firsts = sets.select(F.col("key").alias("component"), F.col("doc_id").alias("component_id"))
     return placed.join(firsts, "component").select("doc_id", "n_shingles", "component_id")
