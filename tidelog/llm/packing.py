@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_chunks, with_unique_ids
-from .token_output import END_ID, TextEncoder, ids_crc32
+from .token_output import BYTES, END_ID, TextEncoder, ids_crc32
 
 #: Documents that a group holds on average.
 GROUP_DOCS = 4096
@@ -62,7 +62,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKEN
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder(tokenizer_path, end_id)
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches, limit=BYTES):
             ids, offsets = encoder.encode(chunk.column("text"))
             totals = np.diff(offsets)
             pieces = -(-totals // max_tokens)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import mmap
+import os
 import zlib
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -17,46 +18,78 @@ from pyspark.sql import functions as F
 from .common import ragged_take, scratch, split_words, starts_of, stored, text_chunks, with_unique_ids
 
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Text bytes encoded at a time.
+BYTES = 4 << 20
 #: The id after each document.
 END_ID = 1
 
 
 class TextEncoder:
-    """Ids of texts by the tokenizers library, one call per distinct word of a chunk.
+    """Ids of texts by the tokenizers library, which sees each distinct word of a chunk once.
 
     The tokenizer drops white space and neither its normaliser nor its splitting looks
     across it, so the ids of a text are those of its words in a row; the tests hold this
-    against whole-text encoding. Each text is followed by the end id.
+    against whole-text encoding. Words go to the library in strings, set apart by one of its
+    special tokens. Each text is followed by the end id.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
-        self.known: dict[str, bytes] = {}
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.marks = [text for _, text in special]
+        self.mark_id, self.mark = special[0] if special else (None, None)
+        self.known: dict[str, np.ndarray] = {}
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        lone = [i for i, w in enumerate(words) if self.mark is None or any(m in w for m in self.marks)]
+        apart = {i: self.tokenizer.encode(words[i], add_special_tokens=False).ids for i in lone}
+        joined = ["" if i in apart else w for i, w in enumerate(words)] if lone else words
+        texts = [self.mark.join(joined[at : at + 256]) for at in range(0, len(words), 256)] if self.mark else []
+        parts = []
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            parts += [np.array(e.ids, np.uint32), np.array([self.mark_id], np.uint32)]
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(ids == self.mark_id) if parts else np.arange(len(words))
+        sizes = np.diff(ends, prepend=-1) - 1
+        ids = ids[ids != self.mark_id]
+        for i in reversed(lone):
+            at = int(sizes[:i].sum())
+            ids = np.concatenate([ids[:at], np.array(apart[i], np.uint32), ids[at:]])
+            sizes[i] = len(apart[i])
+        return ids, sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets at which each text's ids begin (the total last)."""
         codes, words, per = split_words(texts)
-        listed = words.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        missing = [w for w in listed if w not in self.known]
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
-        pieces = [self.known[w] for w in listed]
-        lengths = np.array([len(p) // 4 for p in pieces] + [1], np.int64)
-        flat = np.frombuffer(b"".join(pieces) + np.uint32(self.end_id).tobytes(), np.uint32)
+        listed, known = words.to_pylist(), self.known
+        got = [known.get(w) for w in listed]
+        missing = [i for i, g in enumerate(got) if g is None]
+        ids, sizes = self.encode_words([listed[i] for i in missing])
+        begin = starts_of(sizes)
+        lengths, starts = np.zeros(len(listed) + 1, np.int64), np.zeros(len(listed) + 1, np.int64)
+        lengths[missing], starts[missing] = sizes, begin[:-1]
+        old = [i for i, g in enumerate(got) if g is not None]
+        lengths[old] = [len(got[i]) for i in old]
+        starts[old] = len(ids) + starts_of(lengths[old])[:-1]
+        flat = np.concatenate([ids, *(got[i] for i in old), np.array([self.end_id], np.uint32)])
+        lengths[-1], starts[-1] = 1, len(flat) - 1
+        # Words that come again within a chunk are worth remembering.
+        if len(known) > REMEMBERED:
+            known.clear()
+        again = np.bincount(codes, minlength=len(listed))[missing] > 1 if missing else []
+        for place, i in enumerate(missing):
+            if again[place]:
+                known[listed[i]] = ids[begin[place] : begin[place + 1]].copy()
         ends = np.cumsum(per)
-        with_end = np.insert(codes.astype(np.int64), ends, len(listed))
-        ids = ragged_take(flat, starts_of(lengths)[:-1], lengths, with_end)
-        sizes = np.zeros(len(with_end) + 1, np.int64)
-        np.cumsum(lengths[with_end], out=sizes[1:])
-        return ids, np.concatenate([[0], sizes[ends + np.arange(1, len(per) + 1)]]).astype(np.int64)
+        with_end = np.insert(codes.astype(np.int32), ends, len(listed))
+        sizes = starts_of(lengths[with_end])
+        return ragged_take(flat, starts, lengths, with_end), np.concatenate([[0], sizes[ends + np.arange(1, len(per) + 1)]]).astype(np.int64)
 
 
 def ids_crc32(ids: np.ndarray) -> int:
@@ -95,7 +128,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
         names = ("tokens", "offsets", "ids")
         out = {}
         n_docs, n_tokens = 0, 0
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches, limit=BYTES):
             if not out:
                 fs.create_dir(root)
                 out = {x: fs.open_output_stream(f"{root}/{attempt}.{x}") for x in names}
