@@ -240,7 +240,8 @@ def class_links(keyed: DataFrame, rows: DataFrame) -> DataFrame:
             bounds = starts_of(np.bincount(which, minlength=chunk.num_rows))
             yield pa.RecordBatch.from_pydict({"key": chunk.column("key"), "block": chunk.column("block"), "hashes": pa.array([found[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
 
-    sets = stored(keyed.select("key", "text").join(members, "key").mapInArrow(hashes, "key long, block long, hashes binary"), "members")
+    # Members grow with the corpus: never broadcast.
+    sets = stored(keyed.select("key", "text").join(members.hint("merge"), "key").mapInArrow(hashes, "key long, block long, hashes binary"), "members")
     left = meetings.join(sets.withColumnRenamed("block", "x"), "x").select("x", "y", F.lit(0).alias("side"), "key", "hashes")
     right = meetings.filter("x <> y").join(sets.withColumnRenamed("block", "y"), "y").select("x", "y", F.lit(1).alias("side"), "key", "hashes")
 
