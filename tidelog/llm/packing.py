@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_chunks, with_unique_ids
-from .token_output import BYTES, END_ID, TextEncoder, ids_crc32
+from .token_output import BYTES, END_ID, ids_crc32, text_encoder
 
 #: Documents that a group holds on average.
 GROUP_DOCS = 4096
@@ -61,7 +61,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKEN
     """Encode every text and cut its ids after each `max_tokens`; one row per piece, without the ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(tokenizer_path, end_id)
+        encoder = text_encoder(tokenizer_path, end_id)
         for chunk in text_chunks(batches, limit=BYTES):
             ids, offsets = encoder.encode(chunk.column("text"))
             totals = np.diff(offsets)

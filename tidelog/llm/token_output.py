@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import mmap
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 from urllib.parse import urlparse
 
 import numpy as np
@@ -18,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import ragged_take, scratch, split_words, starts_of, stored, text_chunks, with_unique_ids
 
 #: Words whose ids a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
+#: Words that go to the library in one string.
+JOINED = 256
 #: Text bytes encoded at a time.
 BYTES = 4 << 20
 #: The id after each document.
@@ -39,57 +44,97 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end_id = end_id
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
-        self.marks = [text for _, text in special]
-        self.mark_id, self.mark = special[0] if special else (None, None)
-        self.known: dict[str, np.ndarray] = {}
+        self.mark_id, self.mark = special[0] if special else (-1, None)
+        self.end_id = end_id
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.word_end = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        if suffix:
+            self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        """Place 0 of the tables is the end of a text."""
+        self.known: dict[str, int] = {}
+        self.ids, self.starts, self.lengths = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.met = np.full(1, 2, np.int64)
+
+    def forget_rare(self) -> None:
+        """Keep the words that at least two chunks had."""
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > REMEMBERED // 2:
+            return self.clear()
+        moved = np.full(len(self.met), -1)
+        moved[keep] = np.arange(len(keep))
+        self.known = {w: int(moved[i]) for w, i in self.known.items() if moved[i] >= 0}
+        ids, lengths = ragged_take(self.ids, self.starts, self.lengths, keep), self.lengths[keep]
+        self.ids, self.starts, self.lengths, self.met = ids, starts_of(lengths)[:-1], lengths, self.met[keep]
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and how many each has."""
-        lone = [i for i, w in enumerate(words) if self.mark is None or any(m in w for m in self.marks)]
-        apart = {i: self.tokenizer.encode(words[i], add_special_tokens=False).ids for i in lone}
-        joined = ["" if i in apart else w for i, w in enumerate(words)] if lone else words
-        texts = [self.mark.join(joined[at : at + 256]) for at in range(0, len(words), 256)] if self.mark else []
-        parts = []
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            parts += [np.array(e.ids, np.uint32), np.array([self.mark_id], np.uint32)]
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        ends = np.flatnonzero(ids == self.mark_id) if parts else np.arange(len(words))
-        sizes = np.diff(ends, prepend=-1) - 1
-        ids = ids[ids != self.mark_id]
-        for i in reversed(lone):
-            at = int(sizes[:i].sum())
-            ids = np.concatenate([ids[:at], np.array(apart[i], np.uint32), ids[at:]])
-            sizes[i] = len(apart[i])
-        return ids, sizes
+        """Ids of all words in a row, and how many each has.
+
+        Words of letters go in strings, set apart by spaces; each must give one unit, which
+        the vocabulary's word-end tokens tell. Other words, and the words of a string whose
+        units don't agree, are set apart by a special token instead, or go alone.
+        """
+        plain = [i for i, w in enumerate(words) if w.isalpha()] if self.word_end.any() else []
+        ids, sizes, order = [], [], []
+        left = [i for i, w in enumerate(words) if not w.isalpha()] if len(plain) else list(range(len(words)))
+        for at, got in self.encode_joined([words[i] for i in plain], " "):
+            some = plain[at : at + JOINED]
+            ends = np.flatnonzero(self.word_end[got])
+            if len(ends) == len(some) and ends[-1] == len(got) - 1:
+                ids.append(got)
+                sizes.append(np.diff(ends, prepend=-1))
+                order += some
+            else:
+                left += some
+        for at, got in self.encode_joined([words[i] for i in left], self.mark) if self.mark else ():
+            some = left[at : at + JOINED]
+            ends = np.append(np.flatnonzero(got == self.mark_id), len(got))
+            if len(ends) == len(some):
+                ids.append(got[got != self.mark_id])
+                sizes.append(np.diff(ends, prepend=-1) - 1)
+                order += some
+        for i in sorted(set(left).difference(order)) if len(order) < len(words) else ():
+            ids.append(np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, np.uint32))
+            sizes.append(np.array([len(ids[-1])]))
+            order.append(i)
+        lengths = np.concatenate(sizes)
+        back = np.argsort(np.array(order))
+        return ragged_take(np.concatenate(ids), starts_of(lengths)[:-1], lengths, back), lengths[back]
+
+    def encode_joined(self, words: list[str], by: str) -> Iterator[tuple[int, np.ndarray]]:
+        texts = [by.join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)]
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            yield k * JOINED, np.array(e.ids, np.uint32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets at which each text's ids begin (the total last)."""
+        if len(self.known) > REMEMBERED:
+            self.forget_rare()
         codes, words, per = split_words(texts)
-        listed, known = words.to_pylist(), self.known
-        got = [known.get(w) for w in listed]
-        missing = [i for i, g in enumerate(got) if g is None]
-        ids, sizes = self.encode_words([listed[i] for i in missing])
-        begin = starts_of(sizes)
-        lengths, starts = np.zeros(len(listed) + 1, np.int64), np.zeros(len(listed) + 1, np.int64)
-        lengths[missing], starts[missing] = sizes, begin[:-1]
-        old = [i for i, g in enumerate(got) if g is not None]
-        lengths[old] = [len(got[i]) for i in old]
-        starts[old] = len(ids) + starts_of(lengths[old])[:-1]
-        flat = np.concatenate([ids, *(got[i] for i in old), np.array([self.end_id], np.uint32)])
-        lengths[-1], starts[-1] = 1, len(flat) - 1
-        # Words that come again within a chunk are worth remembering.
-        if len(known) > REMEMBERED:
-            known.clear()
-        again = np.bincount(codes, minlength=len(listed))[missing] > 1 if missing else []
-        for place, i in enumerate(missing):
-            if again[place]:
-                known[listed[i]] = ids[begin[place] : begin[place + 1]].copy()
+        listed = words.to_pylist()
+        place = np.fromiter(map(self.known.get, listed, repeat(-1)), np.int64, len(listed))
+        if len(new := np.flatnonzero(place < 0)):
+            unknown = [listed[i] for i in new.tolist()]
+            ids, sizes = self.encode_words(unknown)
+            place[new] = len(self.lengths) + np.arange(len(new))
+            self.known.update(zip(unknown, place[new].tolist(), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.ids) + starts_of(sizes)[:-1]])
+            self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, sizes])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.met[place] += 1
         ends = np.cumsum(per)
-        with_end = np.insert(codes.astype(np.int32), ends, len(listed))
-        sizes = starts_of(lengths[with_end])
-        return ragged_take(flat, starts, lengths, with_end), np.concatenate([[0], sizes[ends + np.arange(1, len(per) + 1)]]).astype(np.int64)
+        with_end = np.insert(place[codes], ends, 0) if len(codes) else np.zeros(len(per), np.int64)
+        offsets = starts_of(self.lengths[with_end])
+        return ragged_take(self.ids, self.starts, self.lengths, with_end), np.concatenate([[0], offsets[ends + np.arange(1, len(per) + 1)]]).astype(np.int64)
+
+
+@functools.cache
+def text_encoder(path: str, end_id: int = END_ID) -> TextEncoder:
+    """One encoder, with the words it remembers, for all tasks of a worker."""
+    return TextEncoder(path, end_id)
 
 
 def ids_crc32(ids: np.ndarray) -> int:
@@ -121,7 +166,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder = TextEncoder(tokenizer_path, end_id)
+        encoder = text_encoder(tokenizer_path, end_id)
         width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
         fs, root = store_of(folder)
         attempt = f".{shard}-{TaskContext.get().taskAttemptId()}"
