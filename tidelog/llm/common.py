@@ -44,10 +44,11 @@ def id_bucket(modulus: int) -> Column:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared spark.checkpoint.dir; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidelog-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/tidelog/{name}-{uuid.uuid4().hex}"
 
 

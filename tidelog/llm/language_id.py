@@ -155,7 +155,7 @@ def language_id(docs: DataFrame, holdout: int = 4, remainder: int = 2) -> DataFr
     return predict_languages(docs, names, prototypes).select("doc_id", (bucket == remainder).alias("held_out"), "lang_pred", "score")
 
 
-def language_filter(docs: DataFrame, min_score: float = 0.2) -> DataFrame:
+def language_filter(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
     """The documents in a language: not `und`, and with a cosine of at least `min_score`; all columns stay.
 
     Decided where each row is, without a join or shuffle.
