@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a task turns into arrays at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+#: Documents that Spark hands to a Python worker at a time.
+BATCH_DOCS = 1000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -27,8 +29,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Documents are long rows: fewer of them make an Arrow batch than Spark's default."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_DOCS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCS))
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that other columns can neither clash nor be read; a null text is empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
@@ -80,6 +89,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
     for batch in batches:
         if not batch.num_rows:
             continue
+        pa.default_memory_pool().release_unused()
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, text_chunks
+from .common import id_bucket, small_batches, text_chunks
 
 #: Size of a hypervector, and of the letter alphabet (0 is anything but a letter).
 DIMENSIONS, LETTERS = 512, 64
@@ -150,6 +150,7 @@ def language_id(docs: DataFrame, holdout: int = 4, remainder: int = 2) -> DataFr
     Only text and lang are learned from. Repeated rows are predicted alike, and a null doc_id
     counts as 0 when rows are held out.
     """
+    small_batches(docs.sparkSession)
     bucket = id_bucket(holdout)
     names, prototypes = learn_languages(docs.filter(bucket != remainder))
     return predict_languages(docs, names, prototypes).select("doc_id", (bucket == remainder).alias("held_out"), "lang_pred", "score")
@@ -160,6 +161,7 @@ def language_filter(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
 
     Decided where each row is, without a join or shuffle.
     """
+    small_batches(docs.sparkSession)
     names, prototypes = learn_languages(docs.filter(id_bucket(4) != 2))
     predict = predictor(names, prototypes)
 

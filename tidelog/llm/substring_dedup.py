@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, scratch, split_words, starts_of, text_chunks, with_unique_ids, word_hashes
+from .common import gram_hashes, scratch, small_batches, split_words, starts_of, text_chunks, with_unique_ids, word_hashes
 
 #: Words of a window, and of the grams whose least hash places a window in the index.
 WINDOW, ANCHOR = 20, 6
@@ -235,6 +235,7 @@ def substring_filter(docs: DataFrame) -> DataFrame:
     recounted. Texts without a repeat stay as they are; documents of which nothing is left go.
     doc_id must be unique and not null.
     """
+    small_batches(docs.sparkSession)
     schema, names = docs.schema, docs.columns
     keyed = docs.withColumn("key", F.col("doc_id").cast("long")).withColumn("text", F.coalesce("text", F.lit("")))
     marks = WindowIndex(docs.sparkSession).add(keyed, store=False)
