@@ -1,0 +1,269 @@
+"""The ten operators against brute force, round trips and held-out accuracy."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from compare import difference
+from pyspark.sql import functions as F
+
+from tidelog.llm import exact_dedup, fingerprints, language_id, ngram_join, packing, piece_codec, quality, queries, substring_dedup, suffix_lm, token_output
+
+SF = "/root/testdata/sf0.001"
+LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, h string, n long"
+
+
+def words(t, lower=False):
+    b = (t or "").encode()
+    return re.findall(rb"[^\x20\x09-\x0D]+", b.translate(LOW) if lower else b)
+
+
+def corpus(seed=5, n=60):
+    """Small texts with copies, near copies, shared passages, nulls, blanks and long ones."""
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(300)] + ["Ä", "Été", "ß", "naïve", "X"]
+    new = lambda k: " ".join(r.choices(vocabulary, k=k))
+    passage = new(60)
+    texts = [None, "", " \t\n ", "one", "One", "a b c", "x " * 70, new(3000)]
+    for _ in range(n):
+        kind = r.random()
+        if kind < 0.25 and texts[-1]:
+            texts.append(r.choice([t for t in texts if t]))
+        elif kind < 0.5:
+            t = (r.choice([t for t in texts if t])).split(" ")
+            t[r.randrange(len(t))] = "edit"
+            texts.append(" ".join(t))
+        elif kind < 0.7:
+            texts.append(f"{new(30)} {passage}\n{new(10)}")
+        else:
+            texts.append(new(r.randrange(1, 120)))
+    ids = r.sample(range(10_000), len(texts))
+    return list(zip(ids, texts, strict=True))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    """With extra columns whose names clash with those used inside."""
+    return spark.createDataFrame([(i, t, "en", "s", 1, 5, "h", 7) for i, t in rows], SCHEMA).repartition(3)
+
+
+@pytest.fixture
+def small_chunks(monkeypatch):
+    monkeypatch.setattr("tidelog.llm.common.CHUNK_BYTES", 200)
+
+
+def test_exact_dedup_sql(spark):
+    assert difference(queries.queries()["op2_exact_dedup"](spark, SF), exact_dedup.ORACLE_SQL, SF) == ""
+
+
+def test_exact_dedup(docs, rows):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[(t or "").encode().translate(LOW)].append(i)
+    want = {i: (max(g), len(g), i == max(g), hashlib.sha256(t).hexdigest()) for t, g in groups.items() for i in g}
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(docs).collect()} == want
+
+
+def brute_windows(rows, size=20):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        w = words(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - size + 1):
+            window = tuple(w[k : k + size])
+            if window in seen:
+                gone[k : k + size] = [True] * size
+            seen.add(window)
+        out[i] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest())
+    return out
+
+
+def test_substring_dedup(docs, rows):
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(docs).collect()} == brute_windows(rows)
+
+
+def test_window_index_in_batches(spark, rows):
+    """Six batches, with a compaction, mark what one batch marks."""
+    ordered = [(i, t or "") for i, t in sorted(rows)]
+    frame = lambda part: spark.createDataFrame(part, "key long, text string")
+    index, marks = substring_dedup.WindowIndex(spark), set()
+    step = -(-len(ordered) // 6)
+    bits = lambda df: {(r.key, r.start + b) for r in df.collect() for b in range(64) if r.mask >> b & 1}
+    for at in range(0, len(ordered), step):
+        marks |= bits(index.add(frame(ordered[at : at + step])))
+    assert marks == bits(substring_dedup.WindowIndex(spark).add(frame(ordered), store=False))
+    assert any(level == 1 for level, _ in index.runs) and len(index.runs) < 6
+
+
+def brute_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = words(t, True)
+        sets[i] = frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) if len(w) > 3 else frozenset([tuple(w)] if w else [])
+    top = {i: i for i in sets}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("crowd", [24, 1])
+def test_ngram_join(docs, rows, crowd, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs).collect()} == brute_components(rows)
+
+
+def test_trie_join_is_exact():
+    r = np.random.default_rng(1)
+    base = r.choice(2**60, 80, replace=False).astype(np.uint64)
+    sets = [np.unique(np.concatenate([r.choice(base, r.integers(60, 80), replace=False), r.integers(0, 2**60, r.integers(0, 6)).astype(np.uint64)])) for _ in range(60)]
+    got = sorted(ngram_join.Trie(sets).similar(sets))
+    want = sorted((i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)))
+    assert got == want
+
+
+def test_tokens_and_packing(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.WORD_BPE)
+    ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in rows}
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    at, want = 0, {}
+    for i in sorted(ids):
+        want[i] = (at, len(ids[i]), crc(ids[i]))
+        at += len(ids[i])
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_output.token_output(docs, queries.WORD_BPE).collect()} == want
+    pieces, bins = defaultdict(int), defaultdict(list)
+    for r in packing.pack(docs, queries.WORD_BPE, group_docs=20).collect():
+        assert crc(ids[r.doc_id][r.start : r.start + r.length]) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        pieces[r.doc_id] += r.length
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert pieces == {i: len(x) for i, x in ids.items()}
+    for b in bins.values():
+        ends = 0
+        for offset, length in sorted(b):
+            assert offset == ends
+            ends += length
+        assert ends <= 2048
+
+
+def test_words_encode_as_whole_texts():
+    from tokenizers import Tokenizer
+
+    texts = ["a <|startoftext|>b <|endoftext|>", "", "é́ ﬁ x　y", "İ ǅ ß don't İİ 12ab", "   lead", "日本 語😀 x"]
+    ids, at = token_output.TextEncoder(queries.WORD_BPE).encode(pa.array(texts))
+    t = Tokenizer.from_file(queries.WORD_BPE)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+
+
+def test_first_fit_decreasing():
+    sizes = np.random.default_rng(2).integers(1, 100, 300)
+    bins, _ = packing.first_fit_decreasing(sizes, 128)
+    room, want = [], np.zeros(300, int)
+    for i in np.argsort(-sizes, kind="stable"):
+        k = next((k for k, free in enumerate(room) if free >= sizes[i]), len(room))
+        if k == len(room):
+            room.append(128)
+        room[k] -= sizes[i]
+        want[i] = k
+    assert bins.tolist() == want.tolist()
+
+
+def test_fingerprints(docs, rows):
+    got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    ordered = [(i, t or "") for i, t in sorted(rows)]
+    assert len(got) == len(ordered)
+    by_text = {}
+    for (i, t), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        n = len(t) // 4
+        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest() and got[i].n_chars == len(t)
+        assert by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint
+    a, b = ["x x x y z " * 3 + " ".join(f"a{i}" for i in range(40)), "x y z z " * 3 + " ".join(f"a{i}" for i in range(10, 50))]
+    ca, cb = Counter(a.split()), Counter(b.split())
+    true = sum((ca & cb).values()) / sum((ca | cb).values())
+    s = fingerprints.signatures([a, b], 4096)
+    assert abs(np.mean(s[0] == s[1]) - true) < 0.04
+
+
+def test_suffix_lm(docs, rows):
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    tokens = {i: [*words(t, True), None] for i, t in rows}
+    c = Counter(x for i, w in tokens.items() if not held(i) for x in w)
+    n, v = sum(c.values()), len(c)
+    for r in suffix_lm.suffix_lm(docs).collect():
+        w = tokens[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(w), sum(c[x] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(np.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
+
+
+def test_suffix_lm_predicts_better_than_words(spark):
+    r = queries.queries()["op6_suffix_lm"](spark, SF).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert r[0] > r[1]
+
+
+def test_piece_codec(docs, rows):
+    codec = piece_codec.PieceCodec(queries.PIECES)
+    scores = {codec.pieces[i]: s for _, (_, s, i) in codec.automaton.items()}
+    for t in ["hello world", "  two  spaces ", "naïve ▁ x", "日本\n\t😀"]:
+        ids, score = codec.encode(t)
+        assert codec.decode(ids) == t
+        text = " " + t
+        best = [0.0] + [-np.inf] * len(text)
+        for end in range(1, len(text) + 1):
+            c = text[end - 1]
+            best[end] = best[end - 1] + codec.byte_score * len(c.encode())
+            for start in range(max(0, end - 20), end):
+                part = text[start:end].replace("▁", "\0").replace(" ", "▁")
+                if part in scores:
+                    best[end] = max(best[end], best[start] + scores[part])
+        assert score == pytest.approx(best[-1])
+    got = {r.doc_id: r for r in piece_codec.piece_codec(docs, queries.PIECES).collect()}
+    assert all(got[i].round_trip and got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for i, t in rows)
+
+
+def test_language_id(spark):
+    r = language_id.language_id(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id")
+    assert r.filter("held_out").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.97
+    odd = spark.createDataFrame([(1, None, "en"), (2, "12 !?", None), (3, "the and of", "en")], "doc_id long, text string, lang string")
+    assert {x.doc_id: x.lang_pred for x in language_id.language_id(odd).collect()} == {1: "und", 2: "und", 3: "en"}
+
+
+def test_quality(spark):
+    sf = "/root/testdata/sf0.01"
+    r = queries.queries()["op7_quality"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    assert r.filter("held_out").agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.9
+
+
+ALL = {
+    "op1": lambda d: token_output.token_output(d, queries.WORD_BPE), "op2": exact_dedup.exact_dedup, "op3": substring_dedup.substring_dedup, "op4": fingerprints.fingerprints,
+    "op5": ngram_join.ngram_join, "op6": suffix_lm.suffix_lm, "op7": lambda d: quality.quality_scores(d, d.select("doc_id", F.lit(1).alias("quality"))),
+    "op8": lambda d: piece_codec.piece_codec(d, queries.PIECES), "op9": lambda d: packing.pack(d, queries.WORD_BPE), "op10": language_id.language_id,
+}
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_empty_null_and_repeated_rows(spark, name):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert ALL[name](empty).collect() == []
+    odd = spark.createDataFrame([(None, None, None, None, None, None, None, None), (None, "a b", "en", "", 1, 1, "", 1), (7, "a b", "en", "", 1, 1, "", 1), (7, "a b", "en", "", 1, 1, "", 1), (7, "c", None, "", 1, 1, "", 1)], SCHEMA)
+    assert len(ALL[name](odd).collect()) == 5
