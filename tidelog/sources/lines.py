@@ -12,8 +12,10 @@ TRUNCATED, INVALID_UTF8 = 1, 2
 
 def framed(text: DataFrame) -> DataFrame:
     """(source, seq, text, valid_utf8, flags): a trailing carriage return goes; long lines are cut into
-    pieces of MAX_LINE_BYTES characters at most, which are flagged."""
-    clean = text.select(F.col("_metadata.file_name").alias("source"), F.monotonically_increasing_id().alias("seq"), F.regexp_replace("value", "\r$", "").alias("text"))
+    pieces of MAX_LINE_BYTES bytes at most, which are flagged. A stream has no seq (null): rows are
+    numbered within a batch, in foreachBatch."""
+    seq = F.lit(None).cast("long") if text.isStreaming else F.monotonically_increasing_id()
+    clean = text.select(F.col("_metadata.file_name").alias("source"), seq.alias("seq"), F.regexp_replace("value", "\r$", "").alias("text"))
     long = F.octet_length("text") > MAX_LINE_BYTES
     size = MAX_LINE_BYTES // 4  # characters that fit whatever their bytes
     starts = F.when(long, F.sequence(F.lit(1), F.char_length("text"), F.lit(size))).otherwise(F.array(F.lit(1)))
