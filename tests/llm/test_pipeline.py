@@ -1,7 +1,7 @@
 """The pipeline's stages one by one against plain versions of each."""
 
 import corpus_pipeline
-from test_operators import brute_components, brute_windows, corpus, words
+from test_training import brute_components, brute_windows, corpus, words
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
