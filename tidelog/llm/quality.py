@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,8 @@ NONZERO, REACH = 4, 2
 #: Labelled rows that the network is fitted on at most: those with the least hash of doc_id.
 MAX_TRAINING_ROWS = 20_000
 THRESHOLD = 0.3
+#: Words whose buckets a task remembers.
+REMEMBERED = 400_000
 #: Words whose context is added up at a time.
 BLOCK = 1 << 18
 
@@ -37,27 +39,34 @@ def index_vectors(rows: int, seed: int) -> np.ndarray:
 
 def shape_of(word: str) -> str:
     """Letters as X, x or o (beyond ASCII), digits as 9, runs shortened to one."""
+    if word.isascii() and word.isalpha():  # most words, without expressions
+        if word.islower():
+            return "x"
+        if word[0].isupper() and word[1:].islower():
+            return "Xx"
     s = LETTER_RUNS[2].sub("x", LETTER_RUNS[1].sub("X", LETTER_RUNS[3].sub("9", word)))
     s = re.sub("[^\\W\\d_xX]+", "o", s)
     return re.sub(r"(.)\1+", r"\1", s)[:8]
 
 
-class WordBuckets:
-    """Core and shape bucket of distinct words: the lower-cased letters, and the word's shape."""
+def core_of(word: str) -> str:
+    """A word's letters, lower-cased."""
+    return word.lower() if word.isalpha() else "".join(LETTER_RUNS[0].findall(word)).lower()
 
-    def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
 
-    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        listed = words.to_pylist()
-        if len(self.known) > 300_000:
+class Buckets:
+    """Bucket of a part of each distinct word, remembered within bounds."""
+
+    def __init__(self, part: Callable[[str], str], size: int):
+        self.part, self.size, self.known = part, size, {}
+
+    def __call__(self, listed: list[str]) -> np.ndarray:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         if missing := [w for w in listed if w not in self.known]:
-            cores = mix(word_hashes(pa.array(["".join(LETTER_RUNS[0].findall(w)).lower() for w in missing], pa.string()))) % np.uint64(CORES)
-            shapes = mix(word_hashes(pa.array([shape_of(w) for w in missing], pa.string()))) % np.uint64(SHAPES)
-            self.known.update(zip(missing, zip(cores.tolist(), shapes.tolist(), strict=True), strict=True))
-        both = np.array([self.known[w] for w in listed], np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
+            found = mix(word_hashes(pa.array([self.part(w) for w in missing], pa.string()))) % np.uint64(self.size)
+            self.known.update(zip(missing, found.tolist(), strict=True))
+        return np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))
 
 
 def learn_word_vectors(docs: DataFrame) -> np.ndarray:
@@ -65,11 +74,11 @@ def learn_word_vectors(docs: DataFrame) -> np.ndarray:
     the neighbours of every word, and Spark adds up the tasks' sums (at most CORES rows each)."""
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, bucket_of = index_vectors(CORES, 1), WordBuckets()
+        index, core_bucket = index_vectors(CORES, 1), Buckets(core_of, CORES)
         total, seen = np.zeros((CORES, DIMENSIONS)), np.zeros(CORES, np.int64)
         for chunk in text_chunks(batches):
             codes, words, per = split_words(chunk.column("text"))
-            cores = bucket_of(words)[0][codes] if len(words) else np.zeros(0, np.int64)
+            cores = core_bucket(words.to_pylist())[codes] if len(words) else np.zeros(0, np.int64)
             doc = np.repeat(np.arange(len(per)), per)
             for at in range(0, len(cores), BLOCK):
                 low, high = max(0, at - REACH), min(len(cores), at + BLOCK + REACH)
@@ -104,12 +113,13 @@ def pooled(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
     vectors, log of its number of words. All zeros without words."""
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket_of = WordBuckets()
+        core_bucket, shape_bucket = Buckets(core_of, CORES), Buckets(shape_of, SHAPES)
         words_by, shapes_by = index_vectors(CORES, 1) + contexts, index_vectors(SHAPES, 2)
         for chunk in text_chunks(batches):
             codes, words, per = split_words(chunk.column("text"))
             bounds, out = starts_of(per), np.zeros((chunk.num_rows, 3 * DIMENSIONS + 1), np.float32)
-            cores, shapes = bucket_of(words)
+            listed = words.to_pylist()
+            cores, shapes = core_bucket(listed), shape_bucket(listed)
             for i in range(chunk.num_rows):
                 some, counts = np.unique(codes[bounds[i] : bounds[i + 1]], return_counts=True)
                 if len(some):
