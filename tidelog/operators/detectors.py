@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.stats import robust_z, severity, two_proportion_z
 from .baselines import hourly_volume, prior_statistics
+from .ordered import walk
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,17 @@ class DetectorConfig:
     gram_gap_s: float = 2.0
     gram_baseline: int = 2
     gram_min: int = 4
+    error_tick_s: int = 5
+    shift_cooldown_s: float = 60.0
+    shift_rebound_s: float = 7200.0
+    silence_check_s: float = 30.0
+    silence_peers: int = 4
+    silence_peer_share: float = 0.3
+    gram_component_min: int = 5
+    gram_window_s: float = 600.0
+    gram_cooldown_s: float = 900.0
+    gram_hourly: int = 3
+    gram_share: float = 0.6
 
 
 def volume(events: DataFrame, config: DetectorConfig = DetectorConfig()) -> DataFrame:
@@ -140,3 +152,142 @@ def rare_sequences(events: DataFrame, warm_at: float, config: DetectorConfig = D
     unbroken = (F.col("at") - F.col("t1") <= config.gram_gap_s) & (F.col("t1") - F.col("t0") <= config.gram_gap_s)
     later = rows.filter((F.col("at") > warm_at) & unbroken & (F.col("a") != F.col("b")) & (F.col("b") != F.col("c")) & (F.col("a") != F.col("c"))).groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
     return later.join(known, ["a", "b", "c"], "left").withColumn("baseline", F.coalesce("baseline", F.lit(0))).filter((F.col("baseline") <= config.gram_baseline) & (F.col("n") >= config.gram_min))
+
+
+# ---- from scores to alerts: partial windows, cooldowns, guards ----------------------------------
+
+
+def error_alerts(events: DataFrame, config: DetectorConfig = DetectorConfig()) -> DataFrame:
+    """The first moment of each window at which its counts so far give an alert: checked every
+    `error_tick_s` seconds of the window, and at its end. Ticks are counted before they are ordered."""
+    width, tick = config.error_window_s, config.error_tick_s
+    second = F.unix_micros("ts") / 1e6
+    start = (F.floor(second / width) * width).alias("start")
+    ticks = events.withColumn("_at", second).groupBy(start, F.least((F.floor((F.col("_at") % width) / tick) + 1) * tick, F.lit(width)).alias("after")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("level").isin("error", "critical")).alias("k"))
+    so_far = Window.partitionBy("start").orderBy("after")
+    partial = ticks.withColumns({"total": F.sum("n").over(so_far), "errors": F.sum("k").over(so_far)})
+    before = Window.orderBy("start").rangeBetween(-config.error_baseline_s, -1)
+    base = ticks.groupBy("start").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).select("start", F.sum("n").over(before).alias("base_total"), F.sum("k").over(before).alias("base_errors"))
+    z = two_proportion_z(F.col("errors"), F.col("total"), F.col("base_errors"), F.col("base_total"))
+    usable = (F.col("total") >= config.error_min_total) & (F.col("base_total") >= config.error_min_total) & (F.col("base_errors") >= config.error_min_errors)
+    scored = partial.join(base, "start").filter(usable).withColumn("z", F.round(z, 6)).filter(F.col("z") >= config.error_bands[0])
+    first = scored.groupBy("start").agg(F.min_by(F.struct("after", "total", "errors", "base_total", "base_errors", "z"), "after").alias("f"))
+    return first.select("start", "f.*").withColumn("severity", severity(F.col("z"), *config.error_bands))
+
+
+class _Shift:
+    at, up = float("-inf"), None
+
+
+def shift_alerts(samples: DataFrame, config: DetectorConfig = DetectorConfig()) -> DataFrame:
+    """Alerts from numeric shifts (key, seq, at, value): none within the cooldown of a key's last one, nor in
+    the other direction within the rebound span. Only blocks that score high are walked."""
+    place = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("seq")) - 1) / config.shift_block)
+    ends = samples.select("key", "at", place.alias("block"), "seq").groupBy("key", "block").agg(F.max_by("at", "seq").alias("at"))
+    high = numeric_shift(samples, config).filter(F.abs("z") >= config.shift_bands[0]).join(ends, ["key", "block"])
+
+    def step(last: _Shift, row) -> list[tuple]:
+        since, up = row.at - last.at, row.z > 0
+        if since < config.shift_cooldown_s or (last.up is not None and up != last.up and since < config.shift_rebound_s):
+            return []
+        last.at, last.up = row.at, up
+        return [(row.key, row.block, row.at, row.z, row.severity, "increase" if up else "decrease")]
+
+    return walk(high.select("key", "block", "at", "z", "severity"), "key", ["at", "block"], "key string, block long, at double, z double, severity string, direction string", _Shift, step)
+
+
+def stopped_alerts(events: DataFrame, config: DetectorConfig = DetectorConfig()) -> DataFrame:
+    """Silences as they are noticed: on a grid of `silence_check_s` from the first event, at the first check at
+    which the gap is long enough for the mean rate so far and enough events were due.
+
+    None when over `silence_peer_share` of more than `silence_peers` established templates are silent for
+    half as long at that check, which is then something of the whole stream; a silence is judged
+    once. Long gaps alone are swept in order, not events.
+    """
+    order = Window.partitionBy("template_text").orderBy("seq")
+    ends = events.agg(F.min(F.unix_micros("ts") / 1e6).alias("_start"), F.max(F.unix_micros("ts") / 1e6).alias("_end"))
+    rows = events.select("template_text", "seq", (F.unix_micros("ts") / 1e6).alias("at")).withColumns({"seen": F.row_number().over(order), "first_at": F.min("at").over(order), "next_at": F.lead("at").over(order)})
+    known = rows.filter((F.col("seen") >= config.silence_min_count) & (F.col("at") > F.col("first_at")))
+    gaps = known.join(F.broadcast(ends)).withColumn("interval", (F.col("at") - F.col("first_at")) / F.col("seen")).withColumn("until", F.coalesce("next_at", "_end"))
+    half = gaps.withColumn("half", F.col("at") + F.col("interval") * config.silence_factor * 0.5).filter(F.col("until") > F.col("half"))
+    due = F.col("at") + F.col("interval") * max(config.silence_factor, config.silence_min_missed)
+    check = F.col("_start") + (F.floor((due - F.col("_start")) / config.silence_check_s) + 1) * config.silence_check_s
+    noticed = half.withColumn("check", check).filter(F.col("check") <= F.col("until"))
+    # At a time: what was established and fell silent before it, less what ended before it.
+    established = known.filter(F.col("seen") == config.silence_min_count)
+    change = lambda t, order, peers, silent: (t.alias("t"), F.lit(order).alias("o"), F.lit(peers).alias("peers"), F.lit(silent).alias("silent"))
+    none = (F.lit(None).cast("string").alias("template_text"), F.lit(None).cast("long").alias("seq"))
+    sweep = (
+        noticed.select(*change(F.col("check"), 0, 0, 0), "template_text", "seq")
+        .unionByName(established.select(*change(F.col("at"), 1, 1, 0), *none))
+        .unionByName(half.select(*change(F.col("half"), 1, 0, 1), *none))
+        .unionByName(half.select(*change(F.col("until"), 1, 0, -1), *none))
+    )
+    so_far = Window.orderBy("t", "o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    peers = sweep.withColumns({"peers": F.sum("peers").over(so_far), "silent": F.sum("silent").over(so_far)}).filter("template_text is not null").select("template_text", "seq", "peers", "silent")
+    judged = noticed.join(peers, ["template_text", "seq"]).filter(~((F.col("peers") > config.silence_peers) & (F.col("silent") / F.col("peers") > config.silence_peer_share)))
+    gap = F.col("check") - F.col("at")
+    ratio = F.round(gap / F.col("interval"), 6)
+    return judged.select("template_text", "seq", "seen", F.round("check", 3).alias("check"), ratio.alias("ratio"), "peers", "silent", severity(ratio, 10.0, 25.0, 50.0).alias("severity"))
+
+
+class _Gram:
+    def __init__(self) -> None:
+        self.times: list[float] = []
+        self.fired = float("-inf")
+
+
+class _Hour:
+    def __init__(self) -> None:
+        self.times: list[float] = []
+
+
+def rare_sequence_alerts(events: DataFrame, warm_at: float, config: DetectorConfig = DetectorConfig()) -> DataFrame:
+    """Rows of three distinct templates within a source that the warm-up hardly knows, neither whole nor by
+    its neighbours, of templates seen often enough by then, while no template makes up most of the
+    last `gram_window_s` (in whole tenths of it). `gram_min` of them in that span raise an alert;
+    then the triple rests for the cooldown, and a source raises `gram_hourly` an hour at most.
+
+    Counts are joined, not broadcast; only rows that qualify are walked, by triple, then by source.
+    """
+    order = Window.partitionBy("source").orderBy("seq")
+    rows = events.select("source", "seq", (F.unix_micros("ts") / 1e6).alias("at"), F.col("template_text").alias("c"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("source", "c").orderBy("seq")))
+    rows = rows.withColumns({"a": F.lag("c", 2).over(order), "b": F.lag("c", 1).over(order), "ka": F.lag("k", 2).over(order), "kb": F.lag("k", 1).over(order), "t0": F.lag("at", 2).over(order), "t1": F.lag("at", 1).over(order)})
+    learnt = rows.filter((F.col("at") <= warm_at) & F.col("a").isNotNull()).groupBy("source", "a", "b", "c").agg(F.count("*").alias("n"))
+    grams = learnt.filter(F.col("n") > config.gram_baseline).select("source", "a", "b", "c")
+    pair = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("c").alias("y"))))
+    pairs = learnt.select("source", pair.alias("p"), "n").groupBy("source", "p.x", "p.y").agg(F.sum("n").alias("n")).filter(F.col("n") > config.gram_baseline)
+    distinct = (F.col("a") != F.col("b")) & (F.col("b") != F.col("c")) & (F.col("a") != F.col("c"))
+    unbroken = (F.col("at") - F.col("t1") <= config.gram_gap_s) & (F.col("t1") - F.col("t0") <= config.gram_gap_s) & (F.col("t0") > warm_at)
+    common = F.least("ka", "kb", "k") >= config.gram_component_min
+    found = rows.filter(distinct & unbroken & common)
+    found = found.join(grams, ["source", "a", "b", "c"], "left_anti")
+    found = found.join(pairs.select("source", F.col("x").alias("a"), F.col("y").alias("b")), ["source", "a", "b"], "left_anti")
+    found = found.join(pairs.select("source", F.col("x").alias("b"), F.col("y").alias("c")), ["source", "b", "c"], "left_anti")
+    bin_s = config.gram_window_s / 10
+    slot = F.floor(F.col("at") / bin_s)
+    binned = rows.filter(F.col("at") > warm_at).groupBy("source", "c", slot.alias("bin")).agg(F.count("*").alias("n"))
+    recent = binned.select("source", "c", F.explode(F.sequence("bin", F.col("bin") + 9)).alias("bin"), "n").groupBy("source", "bin", "c").agg(F.sum("n").alias("n"))
+    flooded = recent.groupBy("source", "bin").agg((F.max("n") / F.sum("n")).alias("share")).filter(F.col("share") > config.gram_share)
+    calm = found.withColumn("bin", slot).join(flooded, ["source", "bin"], "left_anti")
+
+    def gather(g: _Gram, row) -> list[tuple]:
+        g.times = [t for t in (*g.times, row.at) if t >= row.at - config.gram_window_s]
+        if len(g.times) < config.gram_min or row.at - g.fired < config.gram_cooldown_s:
+            return []
+        n, g.fired, g.times = len(g.times), row.at, []
+        return [(row.source, row.seq, row.at, row.gram, n)]
+
+    def cap(h: _Hour, row) -> list[tuple]:
+        h.times = [t for t in h.times if t >= row.at - 3600.0]
+        if len(h.times) >= config.gram_hourly:
+            return []
+        h.times.append(row.at)
+        return [(row.source, row.seq, row.at, row.gram, row.n)]
+
+    schema = "source string, seq long, at double, gram string, n long"
+    text = F.concat_ws(" > ", "a", "b", "c")
+    raised = walk(calm.select("source", "seq", "at", text.alias("gram"), F.to_json(F.array("source", "a", "b", "c")).alias("key")), "key", ["seq"], schema, _Gram, gather)
+    return walk(raised, "source", ["seq"], schema, _Hour, cap)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MAX_BUCKETS = 100_000
 
@@ -157,8 +158,34 @@ def capped(events: DataFrame, text: int = 512, fields: int = 16) -> DataFrame:
 
 def template_minutes(events: DataFrame, keep: int = 60) -> DataFrame:
     """Counts of each template's newest `keep` observed minutes."""
-    from pyspark.sql.window import Window
-
     minute = F.floor(F.unix_micros("ts") / 60_000_000).alias("minute")
     counts = events.groupBy("template_text", minute).agg(F.count("*").alias("n"))
     return counts.withColumn("back", F.row_number().over(Window.partitionBy("template_text").orderBy(F.desc("minute")))).filter(F.col("back") <= keep).drop("back")
+
+
+def minute_volume(events: DataFrame, keep: int = 180) -> DataFrame:
+    """(minute, n) of the newest observed minutes."""
+    minute = F.floor(F.unix_micros("ts") / 60_000_000).alias("minute")
+    return events.groupBy(minute).agg(F.count("*").alias("n")).orderBy(F.desc("minute")).limit(keep)
+
+
+def ingest_rate(events: DataFrame, seconds: int = 120) -> DataFrame:
+    """One row: mean events a second over the newest observed seconds but the last, which may not be over."""
+    per_second = events.groupBy(F.floor(F.unix_micros("ts") / 1_000_000).alias("second")).agg(F.count("*").alias("n"))
+    newest = per_second.orderBy(F.desc("second")).limit(seconds + 1)
+    last = newest.agg(F.max("second").alias("last"))
+    return newest.join(F.broadcast(last)).filter("second < last").agg(F.avg("n").alias("rate"))
+
+
+def snapshot(events: DataFrame, top: int = 12) -> DataFrame:
+    """The most frequent templates: count, share of all lines, events in their newest minute, last time, and
+    beside them the error and unparsed shares of the whole."""
+    minute = F.floor(F.unix_micros("ts") / 60_000_000)
+    minutes = events.groupBy("template_text", minute.alias("minute")).agg(
+        F.count("*").alias("n"), F.max_by("ts", "seq").alias("at"), F.max("seq").alias("seq"),
+        F.count_if(F.col("level").isin("error", "critical")).alias("errors"), F.count_if(F.col("parse_status") != "ok").alias("unparsed"))
+    per = minutes.groupBy("template_text").agg(F.sum("n").alias("count"), F.max_by("n", "minute").alias("rate_per_min"), F.max_by("at", "seq").alias("last_seen"), F.sum("errors").alias("errors"), F.sum("unparsed").alias("unparsed"))
+    whole = per.agg(F.sum("count").alias("_lines"), F.sum("errors").alias("_errors"), F.sum("unparsed").alias("_unparsed"))
+    few = per.orderBy(F.desc("count"), "template_text").limit(top).drop("errors", "unparsed").join(F.broadcast(whole))
+    percent = lambda n, of: F.round(F.col(n) * 100.0 / F.greatest(of, F.lit(1)), 6)
+    return few.select("template_text", "count", percent("count", F.col("_lines")).alias("share"), "rate_per_min", "last_seen", percent("_errors", F.col("_lines") - F.col("_unparsed")).alias("error_percent"), percent("_unparsed", F.col("_lines")).alias("unparsed_percent"))

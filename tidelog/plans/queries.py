@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import parsers, stats, text
-from ..operators import alerts, baselines, detectors, query, templates
+from ..operators import alerts, baselines, detectors, query, state, templates
 from ..operators.assemble import assemble, indented
 from ..operators.detectors import DetectorConfig
 from ..operators.events import event_view
@@ -173,6 +173,23 @@ def i_storage_caps(e: DataFrame) -> DataFrame:
     return query.capped(e, text=12).select("seq", "message", F.col("fields")["k"].alias("k"))
 
 
+@registered("SELECT us // 60000000 AS minute, count(*) AS n FROM e GROUP BY 1 ORDER BY 1 DESC LIMIT 180")
+def i_minute_volume(e: DataFrame) -> DataFrame:
+    return query.minute_volume(e)
+
+
+@registered("SELECT avg(n) AS rate FROM (SELECT us // 1000000 AS s, count(*) AS n FROM e GROUP BY 1 ORDER BY 1 DESC LIMIT 121) WHERE s < (SELECT max(us) // 1000000 FROM e)")
+def i_ingest_rate(e: DataFrame) -> DataFrame:
+    return query.ingest_rate(e)
+
+
+@registered(""", m AS (SELECT template_text, us // 60000000 AS minute, count(*) AS n FROM e GROUP BY ALL), l AS (SELECT template_text, arg_max(n, minute) AS rate_per_min FROM m GROUP BY 1)
+  SELECT template_text, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM e), 6) AS share, any_value(rate_per_min) AS rate_per_min, arg_max(us, seq) AS last_us,
+  round((SELECT count(*) * 100.0 FROM e WHERE level = 'error') / (SELECT count(*) FROM e), 6) AS error_percent, 0.0::DOUBLE AS unparsed_percent FROM e JOIN l USING (template_text) GROUP BY template_text ORDER BY count DESC, template_text LIMIT 12""")
+def i_snapshot(e: DataFrame) -> DataFrame:
+    return query.snapshot(e).withColumn("last_us", micros(F.col("last_seen"))).drop("last_seen")
+
+
 # ---- statistics -------------------------------------------------------------------------
 
 
@@ -274,7 +291,8 @@ def d_volume_global(e: DataFrame) -> DataFrame:
     return detectors.volume_global(e)
 
 
-_SPARSE = DetectorConfig(error_window_s=21600, error_baseline_s=108000, error_min_total=5, error_min_errors=1, error_bands=(1.0, 2.0, 3.0), silence_min_count=20, silence_factor=4.0, silence_min_missed=4.0, novel_window_s=864000.0, gram_gap_s=7200.0, gram_baseline=2, gram_min=3)
+_SPARSE = DetectorConfig(error_window_s=21600, error_baseline_s=108000, error_min_total=5, error_min_errors=1, error_bands=(1.0, 2.0, 3.0), silence_min_count=20, silence_factor=4.0, silence_min_missed=4.0, novel_window_s=864000.0, gram_gap_s=7200.0, gram_baseline=2, gram_min=3, error_tick_s=3600, shift_bands=(1.0, 2.0, 3.0), shift_cooldown_s=86400.0, shift_rebound_s=259200.0,
+                         silence_check_s=1800.0, silence_peers=3, silence_peer_share=0.5, gram_window_s=864000.0, gram_cooldown_s=172800.0)
 _WARM = 1704672000.0  # 2024-01-08
 
 
@@ -320,6 +338,41 @@ def d_rare_sequences(e: DataFrame) -> DataFrame:
     return detectors.rare_sequences(e, _WARM, _SPARSE)
 
 
+@registered(f""", t AS (SELECT us // 21600000000 * 21600 AS start, least(((us % 21600000000) // 3600000000 + 1) * 3600, 21600) AS after, count(*) AS n, count(*) FILTER (WHERE level = 'error') AS k FROM e GROUP BY ALL),
+  c AS (SELECT start, after, sum(n) OVER w AS total, sum(k) OVER w AS errors FROM t WINDOW w AS (PARTITION BY start ORDER BY after)),
+  b AS (SELECT start, sum(n) OVER p AS bt, sum(k) OVER p AS be FROM (SELECT start, sum(n) AS n, sum(k) AS k FROM t GROUP BY 1) WINDOW p AS (ORDER BY start RANGE BETWEEN 108000 PRECEDING AND 1 PRECEDING)),
+  v AS (SELECT *, (errors + be) / (total + bt)::DOUBLE AS p FROM c JOIN b USING (start) WHERE total >= 5 AND bt >= 5 AND be >= 1),
+  z AS (SELECT *, round(CASE WHEN p * (1 - p) <= 0 THEN 0 ELSE (errors / total::DOUBLE - be / bt::DOUBLE) / sqrt(p * (1 - p) * (1.0 / total + 1.0 / bt)) END, 6) AS z FROM v),
+  f AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY after) AS r FROM z WHERE z >= 1)
+  SELECT start, after, total::BIGINT AS total, errors::BIGINT AS errors, bt::BIGINT AS base_total, be::BIGINT AS base_errors, z, {_bands('z', 1, 2, 3)} AS severity FROM f WHERE r = 1""")
+def d_error_alerts(e: DataFrame) -> DataFrame:
+    return detectors.error_alerts(e, _SPARSE)
+
+
+@registered(f""", r AS (SELECT template_text, seq, us / 1e6 AS tm, row_number() OVER w AS seen, min(us / 1e6) OVER (PARTITION BY template_text ORDER BY seq) AS f, lead(us / 1e6) OVER w AS nx FROM e WINDOW w AS (PARTITION BY template_text ORDER BY seq)),
+  x AS (SELECT min(us) / 1e6 AS s, max(us) / 1e6 AS t FROM e),
+  g AS (SELECT template_text, seq, seen, tm, (tm - f) / seen AS iv, coalesce(nx, t) AS til, s FROM r, x WHERE seen >= 20 AND tm > f),
+  h AS (SELECT *, tm + iv * 4.0 * 0.5 AS half FROM g WHERE coalesce(til, 0) > tm + iv * 4.0 * 0.5),
+  n AS (SELECT *, s + (floor((tm + iv * 4.0 - s) / 1800.0) + 1) * 1800.0 AS chk FROM h),
+  q AS (SELECT n.template_text, n.seq, n.seen, n.tm, n.iv, n.chk, (SELECT count(*) FROM g WHERE g.seen = 20 AND g.tm < n.chk) AS peers,
+    (SELECT count(*) FROM h WHERE h.half < n.chk AND h.til >= n.chk) AS silent FROM n WHERE n.chk <= n.til)
+  SELECT template_text, seq, seen, round(chk, 3) AS "check", round((chk - tm) / iv, 6) AS ratio, peers, silent, {_bands('round((chk - tm) / iv, 6)', 10, 25, 50)} AS severity FROM q WHERE NOT (peers > 3 AND silent / peers > 0.5)""")
+def d_stopped_alerts(e: DataFrame) -> DataFrame:
+    return detectors.stopped_alerts(e, _SPARSE)
+
+
+@registered()
+def d_shift_alerts(e: DataFrame) -> DataFrame:
+    """Cooldown and rebound depend on the alert before; tests hold them against a plain loop."""
+    return detectors.shift_alerts(e.select(F.col("event_type").alias("key"), "seq", (F.unix_micros("ts") / 1e6).alias("at"), "value"), _SPARSE)
+
+
+@registered()
+def d_rare_sequence_alerts(e: DataFrame) -> DataFrame:
+    """Cooldown and hourly cap depend on the alert before; tests hold them against a plain loop."""
+    return detectors.rare_sequence_alerts(e, _WARM, _SPARSE)
+
+
 # ---- lines, assembly, parsing -------------------------------------------------------------------
 
 
@@ -476,6 +529,37 @@ def e_precision_recall(e: DataFrame) -> DataFrame:
     return alerts.precision_recall(raised, labels)
 
 
+@registered("""SELECT round(n / h, 6) AS rate, round(least(4.0, greatest(0.5, sqrt(n / h / 2.0))), 6) AS scale, round(6.0 * least(4.0, greatest(0.5, sqrt(n / h / 2.0))), 1) AS volume_anomalous_z
+  FROM (SELECT count(*) AS n, 720.0::DOUBLE AS h FROM e WHERE value >= 50)""")
+def l_suggest(e: DataFrame) -> DataFrame:
+    found = alerts.suggested_thresholds(_alerts(e), 720 * 3600.0, 2.0)
+    return found.select(F.round("rate", 6).alias("rate"), F.round("scale", 6).alias("scale"), "volume_anomalous_z")
+
+
+@registered("""SELECT seq, CASE event_type WHEN 'error' THEN 'critical' ELSE 'elevated' END || ' [' || event_type || '] template ''' || template_text || '''' || chr(10) || 'baseline: ' || chr(10) || 'observed: ' || value || chr(10) || 'deviation: ' || chr(10) || 'threshold: ' || chr(10) ||
+  'window: ' || strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%S.000Z') || ' .. ' || strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%S.000Z') AS explain, CASE event_type WHEN 'error' THEN '!!' ELSE '+' END AS marker, value::VARCHAR AS observed FROM e""")
+def l_explain(e: DataFrame) -> DataFrame:
+    hour = F.unix_seconds(F.date_trunc("hour", "ts")).cast("double")
+    rows = e.select("seq", "template_text", F.col("event_type").alias("detector"), F.when(F.col("event_type") == "error", "critical").otherwise("elevated").alias("severity"), F.col("value").cast("string").alias("observed_desc"), hour.alias("window_start"), hour.alias("window_end"))
+    got = alerts.described(rows)
+    return got.select("seq", "explain", F.get_json_object("payload", "$.marker").alias("marker"), F.get_json_object("payload", "$.observed.desc").alias("observed"))
+
+
+@registered()
+def l_sticky_incident(e: DataFrame) -> DataFrame:
+    """An incident's id depends on the alerts before; tests hold it against a plain loop."""
+    rows = e.select(F.col("user_id").alias("template_id"), (F.unix_micros("ts") / 1e6).alias("at"), "seq", F.col("event_type").alias("detector"))
+    return alerts.sticky_incidents(rows, 7200.0)
+
+
+@registered(f"""{_VOLUME}, r AS (SELECT template_text, (bucket + 72) % 168 AS slot, bucket, n, row_number() OVER (PARTITION BY template_text, (bucket + 72) % 168 ORDER BY bucket DESC) AS b FROM v){_INTERVALS}
+  SELECT template_text AS key, slot::INT AS slot, bucket * 3600.0::DOUBLE AS at, n::DOUBLE AS value FROM r WHERE b <= 64 AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM m ORDER BY "start" DESC LIMIT 100) f WHERE bucket >= f."start" AND bucket < f."end")""")
+def b_state_trim(e: DataFrame) -> DataFrame:
+    spans = baselines.merged_intervals(_intervals(e)).select((F.col("start") * 3600).alias("start"), (F.col("end") * 3600).alias("end"))
+    kept = state.trimmed(state.volume_state(baselines.hourly_volume(e)).unionByName(state.exclusion_state(spans)))
+    return kept.filter("kind = 'volume'").select("key", "slot", "at", "value")
+
+
 @registered("SELECT seq, lag(seq) OVER (PARTITION BY source ORDER BY seq) AS before FROM e")
 def w_lag(e: DataFrame) -> DataFrame:
     return e.select("seq", F.lag("seq").over(Window.partitionBy("source").orderBy("seq")).alias("before"))
