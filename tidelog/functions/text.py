@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ LEVELS = {
 }
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def level_of(spelling: Column) -> Column:
     """The canonical level of any spelling, else null."""
     word = F.lower(F.trim(spelling))
@@ -62,3 +69,9 @@ def iso_millis(ts: Column) -> Column:
 def group(text: Column, pattern: str, index: int) -> Column:
     """A regular expression's group; null where the whole doesn't match or the group is empty."""
     return F.nullif(F.regexp_extract(text, pattern, index), F.lit(""))
+
+
+def groups(text: Column, pattern: str, count: int) -> Column:
+    """All groups of an expression that matches the whole text, as an array, from one match."""
+    apart = "\u0001\u0002\u0001"
+    return F.transform(F.split(F.regexp_replace(text, pattern, apart.join(f"${i}" for i in range(1, count + 1))), apart), lambda x: F.nullif(x, F.lit("")))

@@ -4,61 +4,72 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import parsers
+from ..session import stored
 from . import alerts, assemble, baselines, detectors, templates
 
 
 def events_of(lines: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Events of lines (source, seq, text). A record without a time of its own has none and is counted, but
-    no detector sees it."""
-    records = assemble.assemble(lines)
+    no detector sees it. Records and parsed rows are stored, as several steps read each."""
+    records = stored(assemble.assemble(lines), "records")
     known = parsers.registry(settings.year, settings.custom_pattern or None)
     parsed = parsers.parse_lines(records, known, parsers.detect(records, known))
-    return templates.template_events(parsed.withColumn("raw_line", F.col("text")))
+    return templates.template_events(stored(parsed.withColumn("raw_line", F.left("text", F.lit(2048))).drop("text"), "parsed"))
 
 
 def detect_all(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(detector, severity, template_text, group_key, at, z, observed_desc, window_start, window_end) of all six
+    """(detector, severity, template_text, group_key, at, z, window_start, window_end, baseline_desc,
+    baseline_value, observed_desc, observed_value, deviation_desc, threshold_desc, threshold_value) of all six
     detectors after the warm-up. One stream has one order: that of `seq` within a source."""
-    config = settings.detectors
+    c = settings.detectors
     timed = events.filter("ts is not null")
     warm = baselines.warmed_up_at(timed, settings.warmup_seconds).first()[0]
     if warm is None:
         warm = float("inf")
 
-    def raised(rows: DataFrame, detector: str, template: str, at: str, start: str, z: str, what: str) -> DataFrame:
+    def raised(rows: DataFrame, detector: str, template: str, start: str, at: str, *, z: str = "null", unit: str = "z", baseline: tuple[str, str], observed: tuple[str, str], threshold: float, group: str | None = None) -> DataFrame:
+        number = lambda e: F.expr(e).cast("double")
+        words = lambda e: F.expr(e).cast("string")
+        key: Column = words(group or template)
         return rows.select(
-            F.lit(detector).alias("detector"), "severity", F.expr(template).cast("string").alias("template_text"), F.concat_ws(":", F.lit(detector), F.expr(template)).alias("group_key"),
-            F.expr(at).cast("double").alias("at"), F.expr(z).cast("double").alias("z"), F.expr(what).cast("string").alias("observed_desc"),
-            F.expr(start).cast("double").alias("window_start"), F.expr(at).cast("double").alias("window_end"),
+            F.lit(detector).alias("detector"), "severity", words(template).alias("template_text"), F.concat_ws(":", F.lit(detector), key).alias("group_key"),
+            number(at).alias("at"), number(z).alias("z"), number(start).alias("window_start"), number(at).alias("window_end"),
+            words(baseline[0]).alias("baseline_desc"), number(baseline[1]).alias("baseline_value"), words(observed[0]).alias("observed_desc"), number(observed[1]).alias("observed_value"),
+            F.concat(F.lit(f"{unit} = "), F.format_number(number(z), 2)).alias("deviation_desc"), F.lit(f"{threshold:g} or more").alias("threshold_desc"), F.lit(float(threshold)).alias("threshold_value"),
         )
 
     hot = "severity <> 'normal'"
     values = timed.select("template_text", "seq", "ts", F.explode("numeric").alias("name", "value"))
-    numeric = values.select(F.concat_ws(":", "template_text", "name").alias("key"), "seq", (F.unix_micros("ts") / 1e6).alias("at"), "value")
+    numeric = values.select(F.to_json(F.array("template_text", "name")).alias("key"), "seq", (F.unix_micros("ts") / 1e6).alias("at"), "value")
+    shifts = detectors.shift_alerts(numeric, c).withColumn("of", F.from_json("key", "array<string>"))
+    hour = {"start": "bucket * 3600", "at": "(bucket + 1) * 3600", "z": "z", "observed": ("concat(n, ' in an hour')", "n"), "threshold": c.volume_bands[0]}
+    share = "concat(round(100 * {0} / {1}, 1), ' % errors of ', {1})"
     found = [
-        raised(detectors.volume(timed, config).filter(hot), "volume", "template_text", "(bucket + 1) * 3600", "bucket * 3600", "z", "concat(n, ' in an hour')"),
-        raised(detectors.volume_global(timed, config).filter(hot), "volume", "'__all__'", "(bucket + 1) * 3600", "bucket * 3600", "z", "concat(n, ' in an hour')"),
-        raised(detectors.error_alerts(timed, config).filter(hot), "error_rate", "cast(null as string)", "start + after", "start", "z", "concat(errors, ' errors of ', total)"),
-        raised(detectors.shift_alerts(numeric, config), "numeric_shift", "key", "at", "at", "z", "direction"),
-        raised(detectors.new_templates(timed, warm, config), "new_template", "template_text", "first_at", "first_at", "null", "concat(n, ' times')"),
-        raised(detectors.stopped_alerts(timed, config).filter(hot), "stopped_template", "template_text", "check", "check", "ratio", "concat('silent for ', ratio, ' intervals')"),
-        raised(detectors.rare_sequence_alerts(timed, warm, config).withColumn("severity", F.lit("anomalous")), "rare_sequence", "gram", "at", "at", "null", "concat(n, ' times')"),
-    ]
+        raised(detectors.volume(timed, c).filter(hot), "volume", "template_text", baseline=("concat(expected, ' at this hour of day')", "expected"), **hour),
+        raised(detectors.volume_global(timed, c).filter(hot), "volume", "'__all__'", baseline=("concat(median, ' at this hour of the week')", "median"), **hour),
+        raised(detectors.error_alerts(timed, c).filter(hot), "error_rate", "null", "start", "start + after", z="z", baseline=(share.format("base_errors", "base_total"), "base_errors / base_total"), observed=(share.format("errors", "total"), "errors / total"), threshold=c.error_bands[0]),
+        raised(shifts, "numeric_shift", "of[0]", "at", "at", z="z", group="concat_ws(':', of)", baseline=("concat('earlier values of ', of[1])", "null"), observed=("concat(of[1], ' shows ', direction)", "null"), threshold=c.shift_bands[0]),
+        raised(detectors.new_templates(timed, warm, c), "new_template", "template_text", "first_at", "first_at", unit="times", baseline=("'never seen'", "0"), observed=("concat(n, ' times')", "n"), threshold=c.novel_min),
+        raised(detectors.stopped_alerts(timed, c).filter(hot), "stopped_template", "template_text", "check", "check", z="ratio", unit="intervals", baseline=("concat('seen ', seen, ' times')", "seen"), observed=("concat('silent for ', round(ratio, 1), ' intervals')", "ratio"), threshold=c.silence_factor),
+        raised(detectors.rare_sequence_alerts(timed, warm, c).withColumn("severity", F.lit("anomalous")), "rare_sequence", "gram", "at", "at", unit="times", baseline=("'hardly known'", f"{c.gram_baseline}"), observed=("concat(n, ' times')", "n"), threshold=c.gram_min),
+    ]
     return functools.reduce(DataFrame.unionByName, found).filter(F.col("at") > warm)
 
 
 def replay(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The alerts that go out, numbered, with payload and explanation."""
-    raised = detect_all(events, settings)
-    ordered = raised.withColumn("seq", F.xxhash64("detector", "group_key", "at"))
+    """The alerts that go out, numbered, with examples, payload and explanation. Raised alerts are stored, as
+    throttling, incidents and evidence all read them."""
+    raised = stored(detect_all(events, settings).withColumn("seq", F.xxhash64("detector", "group_key", "at")), "raised")
     ids = events.select("template_text", "template_id").distinct()
-    out = alerts.throttle(ordered, settings.throttle_window_s).filter("emitted").drop("at", "severity")
-    whole = ordered.join(out, ["group_key", "seq"]).join(ids, "template_text", "left")
+    out = alerts.throttle(raised, settings.throttle_window_s).filter("emitted").drop("at", "severity")
+    whole = raised.join(out, ["group_key", "seq"]).join(ids, "template_text", "left")
     clustered = alerts.sticky_incidents(whole).select("template_id", "seq", "incident")
-    named = alerts.numbered(whole.join(clustered, ["template_id", "seq"], "left"))
-    return alerts.described(named)
+    micros = lambda at: (at * 1_000_000).cast("long").alias("seq")
+    shown = alerts.example_lines(whole.select("template_text", micros(F.col("at")), F.col("seq").alias("alert_id")), events.select("template_text", F.unix_micros("ts").alias("seq"), "message"))
+    named = whole.join(clustered, ["template_id", "seq"], "left").join(shown.withColumnRenamed("alert_id", "seq"), "seq", "left")
+    return alerts.described(alerts.numbered(named))
