@@ -6,8 +6,6 @@ shuffles and stores everything else.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch, stored  # noqa: F401
+
 #: Text bytes that a task turns into arrays at a time.
 CHUNK_BYTES = 4 << 20
 #: Documents that Spark hands to a Python worker at a time.
@@ -51,24 +51,6 @@ def id_bucket(modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared spark.checkpoint.dir; a temporary one only where none is set."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidelog-"))
-        base = context.getCheckpointDir()
-    return f"{base.rstrip('/')}/tidelog/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: short lineage that outlives executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_unique_ids(docs: DataFrame) -> DataFrame:
     """(key, doc_id, text): key is a unique long in doc_id order.
 
