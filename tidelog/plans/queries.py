@@ -383,46 +383,47 @@ def _rendered(e: DataFrame, line: Column) -> DataFrame:
 _STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
-def _parsed(e: DataFrame, line: Column, parser: Callable[[Column], Column], **columns: Column) -> DataFrame:
-    rows = _rendered(e, line).select("seq", parser(F.col("text")).alias("r"))
-    return rows.filter("r.ok").select("seq", micros(F.col("r.ts")).alias("us"), F.col("r.level").alias("level"), F.col("r.message").alias("message"), *[c.alias(n) for n, c in columns.items()])
+def _parsed(e: DataFrame, line: Column, name: str, custom: str | None = None, **columns: Column) -> DataFrame:
+    parser = next(p for p in parsers.registry(2024, custom) if p.name == name)
+    rows = _rendered(e, line).filter(parser.test(F.col("text"))).select("seq", parser.parse(F.col("text")).alias("r"))
+    return rows.select("seq", micros(F.col("r.ts")).alias("us"), F.col("r.level").alias("level"), F.col("r.message").alias("message"), *[c.alias(n) for n, c in columns.items()])
 
 
 @registered("SELECT seq, us, level, message, user_id::VARCHAR AS user, value FROM e")
 def p_json(e: DataFrame) -> DataFrame:
     line = F.to_json(F.struct(F.date_format("ts", _STAMP).alias("timestamp"), F.upper("level").alias("Level"), F.col("message").alias("msg"), F.struct("user_id", "value").alias("req")))
-    return _parsed(e, line, parsers.parse_json, user=F.col("r.fields")["req.user_id"], value=F.col("r.numeric")["req.value"])
+    return _parsed(e, line, "json", user=F.col("r.fields")["req.user_id"], value=F.col("r.numeric")["req.value"])
 
 
 @registered("SELECT seq, us, level, message, user_id::VARCHAR AS user, value FROM e")
 def p_logfmt(e: DataFrame) -> DataFrame:
     line = F.concat(F.lit("ts="), F.date_format("ts", _STAMP), F.lit(" level="), F.upper("level"), F.lit(' msg="'), "message", F.lit('" user='), "user_id", F.lit(" value="), "value")
-    return _parsed(e, line, parsers.parse_logfmt, user=F.col("r.fields")["user"], value=F.col("r.numeric")["value"])
+    return _parsed(e, line, "logfmt", user=F.col("r.fields")["user"], value=F.col("r.numeric")["value"])
 
 
 @registered("SELECT seq, us // 1000000 * 1000000 AS us, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warning' END AS level, 'GET /' || event_type || ' HTTP/1.1' AS message, '/' || event_type AS path, user_id::DOUBLE AS bytes FROM e")
 def p_access(e: DataFrame) -> DataFrame:
     status = F.when(F.col("event_type") == "error", "503").when(F.col("event_type") == "purchase", "404").otherwise("200")
     line = F.concat(F.lit("10.0.0.1 - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss '+0000'"), F.lit('] "GET /'), "event_type", F.lit(' HTTP/1.1" '), status, F.lit(" "), "user_id", F.lit(' "-" "agent" 0.25'))
-    return _parsed(e, line, parsers.parse_access, path=F.col("r.fields")["path"], bytes=F.col("r.numeric")["bytes"])
+    return _parsed(e, line, "access", path=F.col("r.fields")["path"], bytes=F.col("r.numeric")["bytes"])
 
 
 @registered("SELECT seq, us, CASE user_id % 8 WHEN 3 THEN 'error' WHEN 4 THEN 'warning' WHEN 5 THEN 'notice' WHEN 6 THEN 'info' WHEN 7 THEN 'debug' ELSE 'critical' END AS level, message, event_type AS program, user_id::DOUBLE AS pid FROM e")
 def p_syslog5424(e: DataFrame) -> DataFrame:
     line = F.concat(F.lit("<"), F.col("user_id") % 8 + 16, F.lit(">1 "), F.date_format("ts", _STAMP), F.lit(" host "), "event_type", F.lit(" "), "user_id", F.lit(" - - "), "message")
-    return _parsed(e, line, parsers.parse_syslog5424, program=F.col("r.fields")["program"], pid=F.col("r.numeric")["pid"])
+    return _parsed(e, line, "syslog5424", program=F.col("r.fields")["program"], pid=F.col("r.numeric")["pid"])
 
 
 @registered("SELECT seq, us // 1000000 * 1000000 AS us, NULL::VARCHAR AS level, message, event_type AS program, user_id::VARCHAR AS pid FROM e")
 def p_syslog3164(e: DataFrame) -> DataFrame:
     line = F.concat(F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" host "), "event_type", F.lit("["), "user_id", F.lit("]: "), "message")
-    return _parsed(e, line, parsers.parse_syslog3164(2024), program=F.col("r.fields")["program"], pid=F.col("r.fields")["pid"])
+    return _parsed(e, line, "syslog3164", program=F.col("r.fields")["program"], pid=F.col("r.fields")["pid"])
 
 
 @registered("SELECT seq, us, level, message, source AS component FROM e")
 def p_custom(e: DataFrame) -> DataFrame:
     line = F.concat(F.lit("["), F.date_format("ts", _STAMP), F.lit("] "), F.upper("level"), F.lit(" "), "source", F.lit(": "), "message")
-    return _parsed(e, line, parsers.parse_custom(r"\[(?P<ts>[^\]]+)\] (?P<level>[A-Z]+) (?P<component>[\w-]+): (?P<message>.*)"), component=F.col("r.fields")["component"])
+    return _parsed(e, line, "custom", r"\[(?P<ts>[^\]]+)\] (?P<level>[A-Z]+) (?P<component>[\w-]+): (?P<message>.*)", component=F.col("r.fields")["component"])
 
 
 @registered("SELECT CASE seq % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'logfmt' ELSE 'unparsed' END AS parser, count(*) AS n FROM e GROUP BY 1")
