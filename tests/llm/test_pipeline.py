@@ -32,3 +32,16 @@ def test_stages(spark):
         before, docs = kept, spark.createDataFrame(out.collect(), COLUMNS)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert {r.doc_id for r in packed} == set(before)
+
+
+def odd(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], COLUMNS).repartition(3)
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    """Of a repeated row one stays; texts that share an id don't share marks or decisions."""
+    stages = dict(corpus_pipeline.STAGES)
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(7, a, "x"), (7, a, "x"), (7, b, "y"), (9, a, "z"), (9, c, "z")]
+    for name, want in (("exact_dedup", [(7, b), (9, a), (9, c)]), ("substring_dedup", [(7, a), (7, b), (9, c)])):
+        assert sorted((r.doc_id, r.text) for r in stages[name](spark, odd(spark, rows), "").collect()) == want, name

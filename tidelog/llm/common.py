@@ -59,13 +59,27 @@ def with_unique_ids(docs: DataFrame) -> DataFrame:
     repeated ids and null ids each remain documents of their own.
     """
     d = id_text(docs)
-    n, known, distinct = d.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if n == known == distinct:
+    if ids_are_keys(d):
         return d.withColumn("key", F.col("doc_id"))
     ordered = d.orderBy(F.col("doc_id").asc_nulls_first(), "text").withColumn("key", F.monotonically_increasing_id())
     return stored(ordered, "ids")
 
 
+def ids_are_keys(docs: DataFrame) -> bool:
+    n, known, distinct = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    return n == known == distinct
+
+
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """`docs` with all columns and `_row`, a key as that of with_unique_ids, for stages that give back whole rows."""
+    small_batches(docs.sparkSession)
+    doc_id = F.col("doc_id").cast("long")
+    if ids_are_keys(docs.select(doc_id.alias("doc_id"))):
+        return docs.withColumn("_row", doc_id)
+    ordered = docs.orderBy(doc_id.asc_nulls_first(), F.coalesce("text", F.lit(""))).withColumn("_row", F.monotonically_increasing_id())
+    return stored(ordered, "rows")
+
+
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `limit` bytes of text each (one row at least)."""
     for batch in batches:

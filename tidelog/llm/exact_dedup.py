@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, lower_ascii
+from .common import id_text, lower_ascii, with_row_keys
 
 #: Parts into which the rows of one text are split before their winners meet.
 SALTS = 64
@@ -47,9 +47,10 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 
 def exact_dedup_filter(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; doc_id must be unique."""
-    keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    """One row of each text, with all its columns: of the largest doc_id, and one where rows repeat an id or have none."""
+    rows = with_row_keys(docs)
+    keep = exact_dedup(rows.select(F.col("_row").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(keep, "_row", "left_semi").select(docs.columns)
 
 
 ORACLE_SQL = f"""

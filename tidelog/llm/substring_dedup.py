@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, scratch, small_batches, split_words, starts_of, text_chunks, with_unique_ids, word_hashes
+from .common import gram_hashes, scratch, split_words, starts_of, text_chunks, with_row_keys, with_unique_ids, word_hashes
 
 #: Words of a window, and of the grams whose least hash places a window in the index.
 WINDOW, ANCHOR = 20, 6
@@ -184,10 +184,10 @@ def covered(n_words: int, starts: np.ndarray, masks: np.ndarray) -> np.ndarray:
     return np.cumsum(step)[:n_words] > 0
 
 
-def with_marks(keyed: DataFrame, marks: DataFrame) -> DataFrame:
+def with_marks(keyed: DataFrame, marks: DataFrame, key: str = "key") -> DataFrame:
     """Documents with the lists of their own marked windows (as many as they have words at most)."""
-    lists = marks.groupBy("key").agg(F.collect_list("start").alias("_starts"), F.collect_list("mask").alias("_masks"))
-    return keyed.join(lists, "key", "left")
+    lists = marks.groupBy(F.col("key").alias(key)).agg(F.collect_list("start").alias("_starts"), F.collect_list("mask").alias("_masks"))
+    return keyed.join(lists, key, "left")
 
 
 def kept_words(rows: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
@@ -233,12 +233,11 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 def substring_filter(docs: DataFrame) -> DataFrame:
     """`docs` with repeated passages cut out of their texts: kept words joined by one space, n_chars
     recounted. Texts without a repeat stay as they are; documents of which nothing is left go.
-    doc_id must be unique and not null.
+    Rows with null and repeated doc_ids are documents of their own, in the order of with_unique_ids.
     """
-    small_batches(docs.sparkSession)
     schema, names = docs.schema, docs.columns
-    keyed = docs.withColumn("key", F.col("doc_id").cast("long")).withColumn("text", F.coalesce("text", F.lit("")))
-    marks = WindowIndex(docs.sparkSession).add(keyed, store=False)
+    rows = with_row_keys(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    marks = WindowIndex(docs.sparkSession).add(rows.select(F.col("_row").alias("key"), "text"), store=False)
     types: Callable = lambda n, batch: batch.schema.field(n).type
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,4 +251,4 @@ def substring_filter(docs: DataFrame) -> DataFrame:
                 out["n_chars"] = pa.array([len(t) for t in texts], types("n_chars", chunk))
             yield pa.RecordBatch.from_pydict(out).filter(pa.array(stays, pa.bool_()))
 
-    return with_marks(keyed, marks).mapInArrow(apply, schema)
+    return with_marks(rows, marks, "_row").mapInArrow(apply, schema)
