@@ -43,5 +43,17 @@ def test_repeated_ids_are_rows_of_their_own(spark):
     stages = dict(corpus_pipeline.STAGES)
     a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
     rows = [(7, a, "x"), (7, a, "x"), (7, b, "y"), (9, a, "z"), (9, c, "z")]
-    for name, want in (("exact_dedup", [(7, b), (9, a), (9, c)]), ("substring_dedup", [(7, a), (7, b), (9, c)])):
+    for name, want in (("exact_dedup", [(7, b), (9, a), (9, c)]), ("ngram_join", [(7, a), (7, b), (9, c)]), ("substring_dedup", [(7, a), (7, b), (9, c)])):
         assert sorted((r.doc_id, r.text) for r in stages[name](spark, odd(spark, rows), "").collect()) == want, name
+
+
+def test_null_ids_stay_in_stages(spark):
+    """Null ids alone, and in a component, whose clean documents don't go with them."""
+    stages = dict(corpus_pipeline.STAGES)
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near = a.replace("a59", "edit")
+    rows = [(None, b, "x"), (None, c, "y"), (None, a, "x"), (3, near, "z"), (4, near, "z")]
+    got = {n: [(r.doc_id, r.text) for r in stages[n](spark, odd(spark, rows), "").collect()] for n in ("exact_dedup", "ngram_join", "substring_dedup")}
+    assert sorted(got["exact_dedup"], key=lambda r: r[1]) == [(None, a), (4, near), (None, b), (None, c)]
+    assert sorted(got["ngram_join"], key=lambda r: r[1]) == [(None, a), (None, b), (None, c)]
+    assert sorted(got["substring_dedup"], key=lambda r: r[1]) == [(None, a), (None, b), (None, c), (3, "edit")]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import gram_hashes, mix, split_words, starts_of, stored, text_chunks, with_unique_ids, word_hashes
+from .common import gram_hashes, id_text, mix, split_words, starts_of, stored, text_chunks, with_row_keys, with_unique_ids, word_hashes
 from .components import components
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -279,7 +279,13 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     Null texts are empty. Null and repeated doc_ids are documents of their own; component_id
     is null where the first reachable document has no id. An empty table gives no rows.
     """
-    keyed = with_unique_ids(docs)
+    placed, sets = placed_sets(with_unique_ids(docs))
+    firsts = sets.select(F.col("key").alias("component"), F.col("doc_id").alias("component_id"))
+    return placed.join(firsts, "component").select("doc_id", "n_shingles", "component_id")
+
+
+def placed_sets(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, doc_id, n_shingles and component, its least key, of every document; and the sets."""
     described = describe_sets(keyed)
     sets = described.filter("slice is null").select("key", "doc_id", "n", "d1", "d2")
     classes = stored(sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("key").alias("class")), "classes")
@@ -287,12 +293,17 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     shared = prefixes(keyed, frequency_sketch(described)).withColumns({"before": F.lag("key").over(token), "after": F.lead("key").over(token)}).filter("before is not null or after is not null")
     rows = stored(shared.select("token", "key", "n").join(classes.select(F.col("class").alias("key")), "key", "left_semi"), "shared")
     labels = components(stored(class_links(keyed, rows), "similar")).withColumnRenamed("key", "class")
-    placed = sets.join(classes, ["n", "d1", "d2"], "left").join(labels, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class", "key").alias("component"))
-    firsts = sets.select(F.col("key").alias("component"), F.col("doc_id").alias("component_id"))
-    return placed.join(firsts, "component").select("doc_id", "n_shingles", "component_id")
+    placed = sets.join(classes, ["n", "d1", "d2"], "left").join(labels, "class", "left").select("key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class", "key").alias("component"))
+    return placed, sets
 
 
 def ngram_filter(docs: DataFrame) -> DataFrame:
-    """The first document (least doc_id) of each component, with all columns; doc_id must be unique and not null."""
-    first = stored(ngram_join(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")), "firsts")
-    return docs.join(first, docs["doc_id"] == first["_keep"], "left_semi")
+    """The first document (least doc_id, nulls first) of each component, with all columns.
+
+    Rows with null and repeated doc_ids are documents of their own, told apart by their keys.
+    """
+    rows = with_row_keys(docs)
+    keyed = id_text(rows.withColumn("doc_id", F.col("_row"))).withColumn("key", F.col("doc_id"))
+    placed, _ = placed_sets(keyed)
+    first = stored(placed.filter("key = component").select(F.col("key").alias("_row")), "firsts")
+    return rows.join(first, "_row", "left_semi").select(docs.columns)
