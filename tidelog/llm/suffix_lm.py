@@ -3,53 +3,58 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import id_bucket, split_words, starts_of, stored, text_chunks, with_unique_ids, word_hashes
+from .common import id_bucket, split_words, stored, text_chunks, with_unique_ids, word_hashes
 
-#: Shares of all training tokens. Each bounds what is broadcast, since no more than 1 / share
-#: words (or word sequences) can have it: words with a number of their own; next words after a
-#: one-word context; contexts, and next words after two-word contexts; words of two-word
-#: contexts; stored next-word counts of either depth.
-NUMBERED, NEXT, CONTEXT, PAIRED, STORED = 2.0**-22, 2.0**-16, 2.0**-13, 2.0**-10, 2.0**-20
+#: Words of the longest context, and the least count of a word sequence that is stored.
+DEPTH, MIN_COUNT = 3, 2
 #: Nats a token by which a context's distribution must differ from its suffix's to be kept.
 MIN_DIVERGENCE = 0.02
+#: Share of all training tokens from which a sequence is scored on the spot, without the join. It bounds
+#: what is broadcast, (DEPTH + 1) / SPOT sequences at most, and changes no score.
+SPOT = 2.0**-21
 #: Hash that stands for the end of a text.
 END = 0
-#: Local counts are folded together beyond this many entries.
+#: Local counts are folded together beyond this many entries, and sent on where twice as many are left.
 FOLD = 2_000_000
+#: Bits of a filter, and the slices in which tasks send it.
+BITS, SLICES = 1 << 27, 64
 
 
 class Tally:
-    """Counts of 64-bit keys within a task."""
+    """Counts of 64-bit keys within a task, and the numbers that belong to each key."""
 
-    def __init__(self) -> None:
-        self.keys, self.counts, self.size = [], [], 0
+    def __init__(self, *names: str) -> None:
+        self.names, self.parts, self.size = names, [], 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.keys.append(keys)
-        self.counts.append(counts)
+    def add(self, keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((keys, counts, *more))
         self.size += len(keys)
-        if self.size > FOLD and len(self.keys) > 1:
+        if self.size > FOLD and len(self.parts) > 1:
             self.fold()
+            if len(self.parts[0][0]) > 2 * FOLD:
+                yield from self.rows()
 
     def fold(self) -> None:
-        if self.keys:
-            keys, place = np.unique(np.concatenate(self.keys), return_inverse=True)
-            self.keys, self.counts = [keys], [np.bincount(place, np.concatenate(self.counts), len(keys)).astype(np.int64)]
+        if self.parts:
+            keys, counts, *more = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
+            self.parts = [(keys, np.bincount(place, counts, len(keys)).astype(np.int64), *(x[first] for x in more))]
             self.size = len(keys) // 2  # only what comes on top counts in full
 
-    def rows(self, key: str) -> Iterator[pa.RecordBatch]:
+    def rows(self) -> Iterator[pa.RecordBatch]:
         self.fold()
-        for keys, counts in zip(self.keys, self.counts, strict=True):
+        for keys, counts, *more in self.parts:
             for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_pydict({key: pa.array(keys[at : at + 100_000], pa.int64()), "n": pa.array(counts[at : at + 100_000], pa.int64())})
+                yield pa.RecordBatch.from_pydict({name: pa.array(x[at : at + 100_000], pa.int64()) for name, x in zip(self.names, (*more, counts) if more else (keys, counts), strict=True)})
+        self.parts, self.size = [], 0
 
 
 def hashed_words(chunk: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,171 +69,146 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(h, n): how often each word, and the end, occurs in `docs`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        tally = Tally("h", "n")
         for chunk in text_chunks(batches):
             codes, h, _ = hashed_words(chunk)
             n = np.bincount(codes, minlength=len(h))
-            tally.add(h[n > 0], n[n > 0])
-        yield from tally.rows("h")
+            yield from tally.add(h[n > 0], n[n > 0])
+        yield from tally.rows()
 
     return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Vocabulary:
-    """Totals, and the numbered words by falling count: sorted hashes with their numbers, counts by number."""
-
-    total: int
-    distinct: int
-    hashes: np.ndarray
-    numbers: np.ndarray
-    counts: np.ndarray
-
-    def first(self, share: float) -> int:
-        """How many numbers have at least this share."""
-        return int(np.count_nonzero(self.counts >= max(1.0, share * self.total)))
-
-    def number(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.numbers[at], -1)
-
-    def base(self) -> np.ndarray:
-        """log10 probability by number without context."""
-        return np.log10((self.counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
-
-
-def learn_vocabulary(counts: DataFrame) -> Vocabulary:
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    got = counts.filter(F.col("n") >= max(1.0, NUMBERED * total)).toArrow()
-    h, n = got["h"].to_numpy(), got["n"].to_numpy()
-    rank = np.lexsort((h, -n))
-    numbers = np.empty(len(h), np.int64)
-    numbers[rank] = np.arange(len(h))
-    order = np.argsort(h)
-    return Vocabulary(total, distinct, h[order], numbers[order], n[rank])
-
-
-#: Keys of word sequences: next word in the low 17 bits, then the last word, then the one before it plus 1.
-WORD_BITS = 17
-OTHER = (1 << WORD_BITS) - 1
-
-
-def sequence_keys(numbers: np.ndarray, doc: np.ndarray, limits: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the one-word and two-word contexts with each token, and which tokens have them.
-
-    `limits` are how many numbers may be a next word after one word, a one-word context, and a
-    word of a two-word context.
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(a, b) of longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
+    h = np.uint64(42)
+    for x in (a.view(np.uint64), b.view(np.uint64)):
+        h = h + p5 + np.uint64(8) ^ turn(x * p2, 31) * p1
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        h = h ^ h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def sequence_keys(codes: np.ndarray, h: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Keys of all runs of 1 to depth + 1 tokens. The run of d + 1 that starts at i has the pair hash of
+    the keys of its context, which starts at i too, and of its suffix, at i + 1."""
+    keys = [h[codes]]
+    for _ in range(min(depth, len(codes) - 1)):
+        keys.append(pair_hash(keys[-1][:-1], keys[-1][1:]))
+    return keys
+
+
+class KeyFilter:
+    """A Bloom filter of fixed size: saves rows that no join would match, never one that it would."""
+
+    def __init__(self, keys: DataFrame):
+        one = BITS // SLICES
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits: dict[int, np.ndarray] = {}
+            for batch in batches:
+                which, *places = KeyFilter.places(batch.column(0).to_numpy())
+                for i in np.unique(which).tolist():
+                    mine = bits.setdefault(i, np.zeros(one, bool))
+                    for p in places:
+                        mine[p[which == i]] = True
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(list(bits), pa.int32()), "bits": pa.array([np.packbits(x, bitorder="little").tobytes() for x in bits.values()], pa.binary())})
+
+        column = keys.columns[0]
+        got = keys.repartition(SLICES, F.shiftrightunsigned(column, 58)).mapInArrow(add, "slice int, bits binary").toArrow()
+        self.bits = np.zeros((SLICES, one // 8), np.uint8)
+        for i, x in zip(got["slice"].to_pylist(), got["bits"].to_pylist(), strict=True):
+            self.bits[i] = np.frombuffer(x, np.uint8)
+
+    @staticmethod
+    def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k, one = keys.view(np.uint64), np.uint64(BITS // SLICES - 1)
+        return (k >> np.uint64(58)).astype(np.int64), (k & one).astype(np.int64), (k >> np.uint64(30) & one).astype(np.int64)
+
+    def may_have(self, keys: np.ndarray) -> np.ndarray:
+        which, *places = KeyFilter.places(keys)
+        a, b = (self.bits[which, p >> 3] >> (p & 7).astype(np.uint8) for p in places)
+        return (a & b & 1).astype(bool)
+
+
+def count_sequences(docs: DataFrame, depth: int, shorter: DataFrame | None) -> DataFrame:
+    """(ctx, suf, seq, n): all sequences of depth + 1 tokens that occur MIN_COUNT times or more.
+
+    `shorter` has those of one token less, in which a sequence's context and suffix must be.
     """
-    n_next, n_context, n_paired = limits
-    one = np.zeros(len(numbers), bool)
-    two = np.zeros(len(numbers), bool)
-    before, earlier = np.roll(numbers, 1), np.roll(numbers, 2)
-    one[1:] = (doc[1:] == doc[:-1]) & (before[1:] >= 0) & (before[1:] < n_context)
-    two[2:] = one[2:] & (doc[2:] == doc[:-2]) & (earlier[2:] >= 0) & (earlier[2:] < n_paired) & (before[2:] < n_paired)
-    single = before << WORD_BITS | np.where((numbers < 0) | (numbers > OTHER), OTHER, numbers)
-    double = (earlier + 1) << 2 * WORD_BITS | single
-    return single, double, one, two
-
-
-def limits_of(words: Vocabulary) -> tuple[int, int, int]:
-    return words.first(NEXT), words.first(CONTEXT), words.first(PAIRED)
-
-
-def count_sequences(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """(seq, n): counts of next words after the frequent one- and two-word contexts, of a share of STORED or more."""
-    shared, limits = docs.sparkSession.sparkContext.broadcast(words), limits_of(words)
+    shared = docs.sparkSession.sparkContext.broadcast(None if shorter is None else KeyFilter(shorter.select("seq")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tally = shared.value, Tally()
+        known, tally = shared.value, Tally("ctx", "suf", "n")
         for chunk in text_chunks(batches):
             codes, h, per = hashed_words(chunk)
-            numbers = words.number(h)[codes]
-            single, double, one, two = sequence_keys(numbers, np.repeat(np.arange(len(per)), per), limits)
-            known = numbers >= 0
-            tally.add(*np.unique(single[one & known & (numbers < limits[0])], return_counts=True))
-            tally.add(*np.unique(double[two & known & (numbers < limits[1])], return_counts=True))
-        yield from tally.rows("seq")
-
-    counted = docs.select("text").mapInArrow(count, "seq long, n long").groupBy("seq").agg(F.sum("n").alias("n"))
-    return counted.filter(F.col("n") >= max(2.0, STORED * words.total))
-
-
-@dataclass
-class SuffixTree:
-    """Kept contexts. Scores are log10 ratios to the probability without context: `rest` of a context
-    for next words without a stored count, `ratio` for (context, next word) keys, which are sorted."""
-
-    contexts: np.ndarray
-    rest: np.ndarray
-    keys: np.ndarray
-    ratio: np.ndarray
-
-    def lookup(self, sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(sorted_keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
-        return at, sorted_keys[at] == wanted
-
-    def extend(self, keys: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """Ratio of each (context, next word) key; where its context isn't kept, the shorter one's, `parent`."""
-        at, kept = self.lookup(self.contexts, keys >> WORD_BITS)
-        out = parent.copy()
-        out[kept] += self.rest[at[kept]]
-        place, stored_here = self.lookup(self.keys, keys)
-        hit = kept & stored_here
-        out[hit] = self.ratio[place[hit]]
-        return out
-
-
-def grow(keys: np.ndarray, n: np.ndarray, context_counts: np.ndarray, base: np.ndarray, parent: np.ndarray) -> SuffixTree:
-    """Contexts of one depth that pass the divergence test.
-
-    With total C, T stored next words and their counts n summing to K, a context gives
-    n / (C + T) plus what is left, 1 - K / (C + T), of its suffix's distribution. `parent` is
-    the log10 ratio that the suffix gives to each key's next word.
+            keys, doc = sequence_keys(codes, h, depth), np.repeat(np.arange(len(per)), per)
+            if len(keys) <= depth:
+                continue
+            use = doc[depth:] == doc[:-depth]
+            if known is not None:
+                have = known.may_have(keys[depth - 1])
+                use &= have[:-1] & have[1:]
+            at = np.flatnonzero(use)
+            seq, first, n = np.unique(keys[depth][at], return_index=True, return_counts=True)
+            yield from tally.add(seq, n, keys[depth - 1][at[first]], keys[depth - 1][at[first] + 1])
+        yield from tally.rows()
+
+    counted = docs.select("text").mapInArrow(count, "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+    return stored(counted.filter(F.col("n") >= MIN_COUNT).select("ctx", "suf", F.xxhash64("ctx", "suf").alias("seq"), "n"), "sequences")
+
+
+def grow(counted: DataFrame, shorter: DataFrame) -> DataFrame:
+    """(seq, ctx, n, base, ratio, value, kept, rest, total) of the sequences of one depth.
+
+    With C occurrences of a context, T stored next words and their counts n summing to K, a context
+    gives n / (C + T) plus what is left, 1 - K / (C + T), of its suffix's distribution. It is kept if
+    that differs enough. `ratio` is the log10 of the next word's probability in the longest kept
+    context to that without any, `base`; `shorter` has it for the suffix, for which it stays where
+    the context isn't kept. Each token after a kept context gets its `rest`, and `value` on top if
+    the sequence is stored: so ratios are sums over a token's contexts.
     """
-    if not len(keys):
-        return SuffixTree(keys, np.zeros(0), keys, np.zeros(0))
-    contexts, first, size = np.unique(keys >> WORD_BITS, return_index=True, return_counts=True)
-    held = np.add.reduceat(n, first)
-    total = context_counts + size
-    left = 1 - held / total
-    of = np.repeat(np.arange(len(contexts)), size)
-    word = keys & ((1 << WORD_BITS) - 1)
-    ratio = np.log10(n / total[of] / 10 ** base[word] + left[of] * 10**parent)
-    gain = np.add.reduceat(n * (ratio - parent), first) * np.log(10) + (context_counts - held) * np.log(left)
-    keep = gain >= MIN_DIVERGENCE * context_counts
-    return SuffixTree(contexts[keep], np.log10(left[keep]), keys[keep[of]], ratio[keep[of]])
-
-
-def learn_tree(docs: DataFrame, words: Vocabulary) -> tuple[SuffixTree, SuffixTree]:
-    got = count_sequences(docs, words).toArrow()  # at most 2 / STORED rows
-    keys, n = got["seq"].to_numpy(), got["n"].to_numpy()
-    order = np.argsort(keys)
-    keys, n, base = keys[order], n[order], words.base()
-    short = keys < 1 << 2 * WORD_BITS
-    one = grow(keys[short], n[short], words.counts[np.unique(keys[short] >> WORD_BITS)], base, np.zeros(short.sum()))
-    longer, n_longer = keys[~short], n[~short]
-    # A two-word context's total is the count of its two words in a row.
-    pair = np.unique(longer >> WORD_BITS)
-    at = np.searchsorted(keys[short], ((pair >> WORD_BITS) - 1) << WORD_BITS | pair & ((1 << WORD_BITS) - 1))
-    at = np.minimum(at, max(0, short.sum() - 1))
-    held = np.add.reduceat(n_longer, np.unique(longer >> WORD_BITS, return_index=True)[1]) if len(longer) else np.zeros(0)
-    found = n[short][at] if len(pair) else held
-    parent = one.extend(longer & ((1 << 2 * WORD_BITS) - 1), np.zeros(len(longer)))
-    return one, grow(longer, n_longer, np.maximum(found, held), base, parent)
+    suffix = shorter.select(F.col("seq").alias("suf"), "base", F.col("ratio").alias("parent"))
+    context = shorter.select(F.col("seq").alias("ctx"), F.col("n").alias("total"))
+    each = Window.partitionBy("ctx")
+    rows = counted.join(suffix, "suf").join(context, "ctx").withColumns({"held": F.sum("n").over(each), "all": F.col("total") + F.count("*").over(each)})
+    rows = rows.withColumn("left", 1 - F.col("held") / F.col("all"))
+    rows = rows.withColumn("own", F.log10(F.col("n") / F.col("all") / F.pow(F.lit(10.0), "base") + F.col("left") * F.pow(F.lit(10.0), "parent")))
+    gain = F.sum(F.col("n") * (F.col("own") - F.col("parent"))).over(each) * float(np.log(10)) + (F.col("total") - F.col("held")) * F.log("left")
+    rows = rows.withColumn("kept", gain >= MIN_DIVERGENCE * F.col("total")).withColumn("rest", F.log10("left"))
+    value = F.when(F.col("kept"), F.col("own") - F.col("parent") - F.col("rest")).otherwise(0.0)
+    return stored(rows.select("seq", "ctx", "n", "base", F.when(F.col("kept"), F.col("own")).otherwise(F.col("parent")).alias("ratio"), value.alias("value"), "kept", "rest", "total"), "tree")
+
+
+def learn_values(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """(h, n, base, gain) of every known word and every sequence that adds to scores; `base` is null but for words.
+
+    `words` has h, n and base of all words.
+    """
+    shorter = words.select(F.col("h").alias("seq"), "n", "base", F.lit(0.0).alias("ratio"))
+    parts = words.select("h", "n", "base", F.lit(0.0).alias("gain"))
+    none, counted = F.lit(None).cast("double").alias("base"), None
+    for depth in range(1, DEPTH + 1):
+        counted = count_sequences(docs, depth, counted)
+        shorter = grow(counted, shorter)
+        kept = shorter.filter("kept")
+        parts = parts.union(kept.select("seq", "n", none, "value")).union(kept.groupBy("ctx").agg(F.max("total"), F.max(none).alias("base"), F.max("rest")))
+    return stored(parts.groupBy("h").agg(F.max("n").alias("n"), F.max("base").alias("base"), F.sum("gain").alias("gain")), "values")
 
 
 def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
-    The tree learns from the documents that aren't held out. Its words are 64-bit hashes.
-    Counts of all words stay in a table; the words with a share of NUMBERED or more, and the
-    tree, whose sizes their shares bound, are broadcast. In a document the frequent words are
-    scored on the spot and only the rest, each once with its count, meet the table in a join.
-    Each token is scored in its longest kept context of up to two words.
+    The tree learns from the documents that aren't held out: all sequences of up to DEPTH + 1 words
+    that occur MIN_COUNT times, at any size of the corpus. Words are 64-bit hashes. Counts, tree and
+    the values by which words and sequences add to scores stay in tables. The tokens of a document
+    are scored on the spot where values of a share of SPOT or more have them, and else meet the
+    table in a join, but for those that a filter of fixed size knows not to be in it.
+    Each token is scored in its longest kept context of up to DEPTH words.
 
     Null texts are empty and consist of their end. Null and repeated doc_ids are documents of
     their own (a null id counts as 0 when rows are held out). With nothing to learn from, all
@@ -238,35 +218,48 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
     keyed = with_unique_ids(docs)
     training = keyed.filter(id_bucket(holdout) != remainder)
     counts = stored(count_words(training), "words")
-    words = learn_vocabulary(counts)
-    trees = learn_tree(training, words)
-    shared, limits = spark.sparkContext.broadcast((words, words.base(), trees)), limits_of(words)
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    below = total + 0.5 * (distinct + 1)
+    unseen = float(np.log10(0.5 / below))
+    values = learn_values(training, counts.withColumn("base", F.log10((F.col("n") + 0.5) / F.lit(below))))
+    often = values.filter(F.col("n") >= max(1.0, SPOT * total)).sort("h").toArrow()
+    often = [often["h"].to_numpy(), np.nan_to_num(often["base"].to_numpy()), often["gain"].to_numpy()]
+    shared = spark.sparkContext.broadcast((often, KeyFilter(values.select("h"))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, base, (one, two) = shared.value
+        (held, base_of, gain_of), known = shared.value
         for chunk in text_chunks(batches):
             codes, h, per = hashed_words(chunk)
-            number_of = words.number(h)
-            numbers, doc = number_of[codes], np.repeat(np.arange(len(per)), per)
-            single, double, short, longer = sequence_keys(numbers, doc, limits)
-            gain = np.zeros(len(codes))
-            gain[short] = one.extend(single[short], gain[short])
-            gain[longer] = two.extend(double[longer], gain[longer])
-            known, n = numbers >= 0, len(per)
-            on_spot = np.bincount(doc[known], base[numbers[known]], n) if known.any() else np.zeros(n)
-            rare, tf = np.unique(doc[~known] * len(h) + codes[~known], return_counts=True)
+            doc, n = np.repeat(np.arange(len(per)), per), len(per)
+            base, gain, n_known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+            rare = []
+            for depth, keys in enumerate(sequence_keys(codes, h, DEPTH)):
+                of = doc[depth:]
+                if depth:
+                    use = of == doc[:-depth]
+                    keys, of = keys[use], of[use]
+                at = np.minimum(np.searchsorted(held, keys), max(0, len(held) - 1))
+                hit = held[at] == keys if len(held) else np.zeros(len(keys), bool)
+                gain += np.bincount(of[hit], gain_of[at[hit]], n)
+                may = ~hit & known.may_have(keys)
+                if not depth:
+                    base += np.bincount(of[hit], base_of[at[hit]], n) + unseen * np.bincount(of[~hit & ~may], minlength=n)
+                    n_known += np.bincount(of[hit], minlength=n)
+                rare.append((of[may], keys[may], depth == 0))
             key, ids = chunk.column("key"), chunk.column("doc_id")
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_pydict({"key": key, "doc_id": ids, "h": key, "tf": none, "n_tokens": pa.array(per), "n_known": pa.array(np.bincount(doc[known], minlength=n)), "base": on_spot, "gain": np.bincount(doc, gain, n)})
-            m = len(rare)
-            none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_pydict({"key": key.take(pa.array(rare // len(h))), "doc_id": none, "h": pa.array(h[rare % len(h)]), "tf": pa.array(tf), "n_tokens": none, "n_known": none, "base": pa.nulls(m, pa.float64()), "gain": pa.nulls(m, pa.float64())})
-
-    parts = keyed.mapInArrow(score, "key long, doc_id long, h long, tf long, n_tokens long, n_known long, base double, gain double")
-    n = F.coalesce("n", F.lit(0))
-    rare_score = F.col("tf") * F.log10((n + 0.5) / F.lit(words.total + 0.5 * (words.distinct + 1)))
-    total = (
-        parts.join(counts, "h", "left").groupBy("key")
-        .agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), (F.sum("n_known") + F.coalesce(F.sum(F.when(n > 0, F.col("tf"))), F.lit(0))).alias("n_known"), (F.sum("base") + F.coalesce(F.sum(rare_score), F.lit(0.0))).alias("base_score"), F.sum("gain").alias("gain"))
+            yield pa.RecordBatch.from_pydict({"key": key, "doc_id": ids, "h": key, "word": pa.nulls(n, pa.bool_()), "n_tokens": pa.array(per), "n_known": pa.array(n_known), "base": base, "gain": gain})
+            for of, keys, word in rare:
+                m = len(keys)
+                none = pa.nulls(m, pa.int64())
+                yield pa.RecordBatch.from_pydict({"key": key.take(pa.array(of)), "doc_id": none, "h": pa.array(keys), "word": pa.array(np.full(m, word)), "n_tokens": none, "n_known": none, "base": pa.nulls(m, pa.float64()), "gain": pa.nulls(m, pa.float64())})
+
+    parts = keyed.mapInArrow(score, "key long, doc_id long, h long, word boolean, n_tokens long, n_known long, base double, gain double")
+    found = values.select("h", F.col("base").alias("its_base"), F.col("gain").alias("its_gain"))
+    joined = parts.join(found, "h", "left").select(
+        "key", "doc_id", "n_tokens",
+        F.when(F.col("word").isNull(), F.col("n_known")).otherwise((F.col("word") & F.col("its_base").isNotNull()).cast("long")).alias("n_known"),
+        F.when(F.col("word").isNull(), F.col("base")).when(F.col("word"), F.coalesce("its_base", F.lit(unseen))).otherwise(0.0).alias("base"),
+        F.when(F.col("word").isNull(), F.col("gain")).otherwise(F.coalesce("its_gain", F.lit(0.0))).alias("gain"),
     )
-    return total.select("doc_id", (id_bucket(holdout) == remainder).alias("held_out"), "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
+    sums = joined.groupBy("key").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "gain")))
+    return sums.select("doc_id", (id_bucket(holdout) == remainder).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"))
