@@ -14,8 +14,8 @@ from .common import gram_hashes, scratch, split_words, starts_of, text_chunks, w
 
 #: Words of a window, and of the grams whose least hash places a window in the index.
 WINDOW, ANCHOR = 20, 6
-#: Windows in one index entry at most (one bit each in a long), and bytes kept of a window's own hash.
-ENTRY, HASH_BYTES = 64, 5
+#: Windows in one index entry at most (one bit each in a long), and bytes of a window's own hash.
+ENTRY, HASH_BYTES = 64, 8
 #: Runs of the index that are merged into one.
 FAN_IN = 4
 
@@ -82,8 +82,8 @@ def entries_of(chunk: pa.RecordBatch, batch: int) -> pa.RecordBatch | None:
 def merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walk entries in the order of (anchor, batch, key, start) and mark every window that came before.
 
-    A hit needs the anchor (64 bits) and, as its verification, the window's own hash. Of the
-    anchor at hand only its distinct window hashes are held, never its entries.
+    A hit needs the anchor (64 bits) and the window's own hash (64 bits more); words aren't compared.
+    Of the anchor at hand only its distinct window hashes are held, never its entries.
     """
     last, seen = None, np.zeros(0, np.int64)
     for batch in batches:
@@ -104,13 +104,11 @@ def merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(rows):
             data = np.frombuffer(column.buffers()[2], np.uint8)
             index = np.repeat(offsets[rows] - starts_of(sizes[rows])[:-1] * HASH_BYTES, sizes[rows]) + np.arange(sizes[rows].sum()) * HASH_BYTES
-            own = np.zeros(len(index), np.int64)
-            for k in range(HASH_BYTES):
-                own |= data[index + k].astype(np.int64) << (8 * k)
+            own = data[index[:, None] + np.arange(HASH_BYTES)].view(np.int64).ravel()
             owner = np.repeat(rows, sizes[rows])
             place = np.arange(len(own)) - np.repeat(starts_of(sizes[rows])[:-1], sizes[rows])
             held = len(seen)
-            known = repeated([np.concatenate([seen, group[owner] << (8 * HASH_BYTES) | own])])[held:]
+            known = repeated([np.concatenate([seen, own]), np.concatenate([np.zeros(held, np.int64), group[owner]])])[held:]
             np.bitwise_or.at(mask, owner[known], np.uint64(1) << place[known].astype(np.uint64))
             here = own[group[owner] == group[-1]]
             seen = np.unique(np.concatenate([seen, here])) if group[-1] == 0 else np.unique(here)
