@@ -54,9 +54,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tidelog/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a write go as soon as the table is there (a runtime setting of Spark).
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: short lineage that outlives executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that only tables stored later were made from. Nothing is deleted outside scratch()."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles() if "/tidelog/" in f}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
