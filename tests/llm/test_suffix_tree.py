@@ -23,23 +23,21 @@ def brute_scores(rows, depth):
     for s, n in counts.items():
         if len(s) > 1 and n > 1:
             following[s[:-1]][s[-1]] = n
-    kept = set()
+    kept = defaultdict(dict)
 
     def chance(context, x):
         if not context:
             return base(x)
         if context not in kept:
             return chance(context[1:], x)
-        seen = following[context]
+        seen = kept[context]
         total = counts[context] + len(seen)
         return seen.get(x, 0) / total + (1 - sum(seen.values()) / total) * chance(context[1:], x)
 
     for context in sorted(following, key=len):
-        seen, shorter = following[context], {x: chance(context[1:], x) for x in following[context]}
-        total, held = counts[context] + len(seen), sum(seen.values())
-        gain = sum(n * math.log((n / total + (1 - held / total) * shorter[x]) / shorter[x]) for x, n in seen.items()) + (counts[context] - held) * math.log(1 - held / total)
-        if gain >= suffix_lm.MIN_DIVERGENCE * counts[context]:
-            kept.add(context)
+        diverge = {x: n for x, n in following[context].items() if n * math.log(n / (counts[context] + 1) / chance(context[1:], x)) >= suffix_lm.MIN_GAIN}
+        if diverge:
+            kept[context] = diverge
     return {i: sum(math.log10(chance(tuple(w[max(0, k - depth) : k]), x)) for k, x in enumerate(w)) for i, w in tokens.items()}
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch, stored  # noqa: F401
+from ..session import discard, scratch, stored  # noqa: F401
 
 #: Text bytes that a task turns into arrays at a time.
 CHUNK_BYTES = 4 << 20
@@ -152,3 +152,37 @@ def gram_hashes(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
         if n:
             span, width = join(span[: len(span) - width], span[width:], width), 2 * width
     return done[: len(h) - have + 1]
+
+
+#: Numbers of a column in one packet.
+PACKET = 2048
+
+
+def packets(bucket: np.ndarray, columns: dict[str, np.ndarray], kind: int = 0) -> pa.RecordBatch:
+    """Rows (bucket, kind, a binary for each column of 8-byte numbers): the entries of each bucket, in order,
+    in packets of a bounded size. They cross a shuffle at a few bytes an entry and without a row for each."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(begin, len(bucket)))
+    cuts = -(-sizes // PACKET)
+    begin = np.repeat(begin, cuts) + (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * PACKET
+    offsets = (np.append(begin, len(bucket)) * 8).astype(np.int64)
+    binary = lambda x: pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x[order]))]).cast(pa.binary())
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[begin].astype(np.int32)), "kind": pa.array(np.full(len(begin), kind, np.int32)), **{n: binary(x) for n, x in columns.items()}})
+
+
+def unpacked(column: pa.Array, dtype: type) -> np.ndarray:
+    """The numbers of all packets of a column."""
+    data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column), b"")[0].as_py() if len(column) else b""
+    return np.frombuffer(data or b"", dtype)
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each 64-bit key, by its upper half."""
+    return ((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def buckets_for(spark: SparkSession) -> int:
+    """As many buckets as a shuffle has partitions: a task must hold the distinct keys of one."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

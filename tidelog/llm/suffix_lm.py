@@ -11,28 +11,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_bucket, split_words, stored, text_chunks, with_unique_ids, word_hashes
+from .common import bucket_of, buckets_for, discard, id_bucket, packets, split_words, stored, text_chunks, unpacked, with_unique_ids, word_hashes
 
-#: Words of the longest context, and the least count of a word sequence that is stored.
+#: Words of the longest context (the tree's memory), and the least count of a sequence that is stored.
 DEPTH, MIN_COUNT = 3, 2
-#: Nats a token by which a context's distribution must differ from its suffix's to be kept.
-MIN_DIVERGENCE = 0.02
+#: Nats that a next word must gain, over all its occurrences in a context, for the context to be kept for it.
+MIN_GAIN = 3.0
 #: Share of all training tokens from which a sequence is scored on the spot, without the join. It bounds
 #: what is broadcast, (DEPTH + 1) / SPOT sequences at most, and changes no score.
 SPOT = 2.0**-21
 #: Hash that stands for the end of a text.
 END = 0
-#: Local counts are folded together beyond this many entries, and sent on where twice as many are left.
+#: Entries that a task gathers before it folds equal ones, or sends them on.
 FOLD = 2_000_000
 #: Bits of a filter, and the slices in which tasks send it.
-BITS, SLICES = 1 << 27, 64
+BITS, SLICES = 1 << 28, 64
+
+#: Packets of the scoring join: values of words and of sequences, lookups of words and of sequences, and documents.
+WORD_VALUE, VALUE, WORD_LOOKUP, LOOKUP, DOCUMENT = range(5)
+PACKETS = "bucket int, kind int, keys binary, numbers binary"
 
 
 class Tally:
-    """Counts of 64-bit keys within a task, and the numbers that belong to each key."""
+    """Counts within a task of entries that are told apart by a 64-bit key."""
 
-    def __init__(self, *names: str) -> None:
-        self.names, self.parts, self.size = names, [], 0
+    def __init__(self, buckets: int, *names: str) -> None:
+        self.buckets, self.names, self.parts, self.size = buckets, names, [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append((keys, counts, *more))
@@ -43,20 +47,27 @@ class Tally:
                 yield from self.rows()
 
     def fold(self) -> None:
-        if self.parts:
-            keys, counts, *more = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-            keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
-            self.parts = [(keys, np.bincount(place, counts, len(keys)).astype(np.int64), *(x[first] for x in more))]
-            self.size = len(keys) // 2  # only what comes on top counts in full
+        keys, counts, *more = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        keys, counts, first = summed(keys, counts)
+        self.parts = [(keys, counts, *(x[first] for x in more))]
+        self.size = len(keys) // 2  # only what comes on top counts in full
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        self.fold()
-        for keys, counts, *more in self.parts:
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_pydict({name: pa.array(x[at : at + 100_000], pa.int64()) for name, x in zip(self.names, (*more, counts) if more else (keys, counts), strict=True)})
+        if self.parts:
+            self.fold()
+            keys, counts, *more = self.parts[0]
+            yield packets(bucket_of(keys, self.buckets), dict(zip(self.names, (*(more or [keys]), counts), strict=True)))
         self.parts, self.size = [], 0
 
 
+def summed(keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the sum of each one's numbers, and where each stands first."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[begin], np.add.reduceat(numbers[order], begin) if len(begin) else numbers[:0], order[begin]
+
+
 def hashed_words(chunk: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes with an end after each text, hash of each code, tokens per text); words are lower-cased A-Z."""
     codes, words, per = split_words(pc.ascii_lower(chunk.column("text")))
@@ -65,18 +76,45 @@ def hashed_words(chunk: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.insert(codes.astype(np.int64), np.cumsum(per), len(words)), h, per + 1
 
 
+def of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All packets of one bucket at a time, from batches that are sorted by bucket."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        bucket = batch.column("bucket").to_numpy()
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and b > a and held[0].column("bucket")[0].as_py() != bucket[a]:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Packets of a bucket together, those of values first."""
+    return rows.repartitionById(buckets_for(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "kind")
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(h, n): how often each word, and the end, occurs in `docs`."""
+    buckets = buckets_for(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally("h", "n")
+        tally = Tally(buckets, "h", "n")
         for chunk in text_chunks(batches):
             codes, h, _ = hashed_words(chunk)
             n = np.bincount(codes, minlength=len(h))
             yield from tally.add(h[n > 0], n[n > 0])
         yield from tally.rows()
 
-    return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in of_buckets(batches):
+            h, n, _ = summed(unpacked(rows.column("h"), np.int64), unpacked(rows.column("n"), np.int64))
+            yield pa.RecordBatch.from_pydict({"h": h, "n": n})
+
+    return dealt(docs.select("text").mapInArrow(count, "bucket int, kind int, h binary, n binary")).mapInArrow(merge, "h long, n long")
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -103,24 +141,28 @@ def sequence_keys(codes: np.ndarray, h: np.ndarray, depth: int) -> list[np.ndarr
 
 
 class KeyFilter:
-    """A Bloom filter of fixed size: saves rows that no join would match, never one that it would."""
+    """A Bloom filter of fixed size: saves lookups that no value would meet, never one that it would."""
 
-    def __init__(self, keys: DataFrame):
-        one = BITS // SLICES
+    def __init__(self, *tables: DataFrame):
+        """Of the one column of each table."""
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits: dict[int, np.ndarray] = {}
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 which, *places = KeyFilter.places(batch.column(0).to_numpy())
-                for i in np.unique(which).tolist():
-                    mine = bits.setdefault(i, np.zeros(one, bool))
-                    for p in places:
-                        mine[p[which == i]] = True
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(list(bits), pa.int32()), "bits": pa.array([np.packbits(x, bitorder="little").tobytes() for x in bits.values()], pa.binary())})
-
-        column = keys.columns[0]
-        got = keys.repartition(SLICES, F.shiftrightunsigned(column, 58)).mapInArrow(add, "slice int, bits binary").toArrow()
-        self.bits = np.zeros((SLICES, one // 8), np.uint8)
+                yield packets(np.concatenate([which] * len(places)), {"places": np.concatenate(places)})
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in of_buckets(batches):
+                mine = np.zeros(BITS // SLICES, bool)
+                mine[unpacked(rows.column("places"), np.int64)] = True
+                yield pa.RecordBatch.from_pydict({"slice": rows.column("bucket")[:1], "bits": pa.array([np.packbits(mine, bitorder="little").tobytes()], pa.binary())})
+
+        self.bits = np.zeros((SLICES, BITS // SLICES // 8), np.uint8)
+        placed = [t.mapInArrow(place, "bucket int, kind int, places binary") for t in tables]
+        rows = placed[0]
+        for more in placed[1:]:
+            rows = rows.union(more)
+        got = rows.repartitionById(SLICES, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "slice int, bits binary").toArrow()
         for i, x in zip(got["slice"].to_pylist(), got["bits"].to_pylist(), strict=True):
             self.bits[i] = np.frombuffer(x, np.uint8)
 
@@ -136,14 +178,15 @@ class KeyFilter:
 
 
 def count_sequences(docs: DataFrame, depth: int, shorter: DataFrame | None) -> DataFrame:
-    """(ctx, suf, seq, n): all sequences of depth + 1 tokens that occur MIN_COUNT times or more.
+    """(ctx, suf, n): all sequences of depth + 1 tokens that occur MIN_COUNT times or more.
 
     `shorter` has those of one token less, in which a sequence's context and suffix must be.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(None if shorter is None else KeyFilter(shorter.select("seq")))
+    spark = docs.sparkSession
+    buckets, shared = buckets_for(spark), spark.sparkContext.broadcast(None if shorter is None else KeyFilter(shorter.select("seq")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tally = shared.value, Tally("ctx", "suf", "n")
+        known, tally = shared.value, Tally(buckets, "ctx", "suf", "n")
         for chunk in text_chunks(batches):
             codes, h, per = hashed_words(chunk)
             keys, doc = sequence_keys(codes, h, depth), np.repeat(np.arange(len(per)), per)
@@ -154,65 +197,85 @@ def count_sequences(docs: DataFrame, depth: int, shorter: DataFrame | None) -> D
                 have = known.may_have(keys[depth - 1])
                 use &= have[:-1] & have[1:]
             at = np.flatnonzero(use)
-            seq, first, n = np.unique(keys[depth][at], return_index=True, return_counts=True)
+            seq, n, first = summed(keys[depth][at], np.ones(len(at), np.int64))
             yield from tally.add(seq, n, keys[depth - 1][at[first]], keys[depth - 1][at[first] + 1])
         yield from tally.rows()
 
-    counted = docs.select("text").mapInArrow(count, "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
-    return stored(counted.filter(F.col("n") >= MIN_COUNT).select("ctx", "suf", F.xxhash64("ctx", "suf").alias("seq"), "n"), "sequences")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in of_buckets(batches):
+            ctx, suf = (unpacked(rows.column(c), np.int64) for c in ("ctx", "suf"))
+            _, n, first = summed(pair_hash(ctx, suf), unpacked(rows.column("n"), np.int64))
+            first = first[n >= MIN_COUNT]
+            yield pa.RecordBatch.from_pydict({"ctx": ctx[first], "suf": suf[first], "n": n[n >= MIN_COUNT]})
+
+    counted = docs.select("text").mapInArrow(count, "bucket int, kind int, ctx binary, suf binary, n binary")
+    return stored(dealt(counted).mapInArrow(merge, "ctx long, suf long, n long"), "sequences")
 
 
 def grow(counted: DataFrame, shorter: DataFrame) -> DataFrame:
-    """(seq, ctx, n, base, ratio, value, kept, rest, total) of the sequences of one depth.
-
-    With C occurrences of a context, T stored next words and their counts n summing to K, a context
-    gives n / (C + T) plus what is left, 1 - K / (C + T), of its suffix's distribution. It is kept if
-    that differs enough. `ratio` is the log10 of the next word's probability in the longest kept
-    context to that without any, `base`; `shorter` has it for the suffix, for which it stays where
-    the context isn't kept. Each token after a kept context gets its `rest`, and `value` on top if
-    the sequence is stored: so ratios are sums over a token's contexts.
+    """(seq, n, logp, value, ctx, total, rest) of the sequences of one depth.
+
+    A context that occurs C times is kept for the next words that diverge in it: those whose n
+    occurrences gain MIN_GAIN nats by n / (C + 1) over the probability in the longest kept suffix.
+    With T such words, whose counts sum to K, it gives each n / (C + T), and all words what is left,
+    1 - K / (C + T), of the suffix's distribution. `logp` is the log10 probability of the next word
+    in the longest kept context; `shorter` has it for the suffix, for which it stays where the
+    context isn't kept. Scores are sums of what contexts add: each token after a kept context gets
+    its `rest`, and `value` on top if the sequence is kept. A kept context is named once, by `ctx`.
+
+    Equal contexts meet in a window: as many rows as a context has distinct next words.
     """
-    suffix = shorter.select(F.col("seq").alias("suf"), "base", F.col("ratio").alias("parent"))
+    suffix = shorter.select(F.col("seq").alias("suf"), F.col("logp").alias("parent"))
     context = shorter.select(F.col("seq").alias("ctx"), F.col("n").alias("total"))
     each = Window.partitionBy("ctx")
-    rows = counted.join(suffix, "suf").join(context, "ctx").withColumns({"held": F.sum("n").over(each), "all": F.col("total") + F.count("*").over(each)})
-    rows = rows.withColumn("left", 1 - F.col("held") / F.col("all"))
-    rows = rows.withColumn("own", F.log10(F.col("n") / F.col("all") / F.pow(F.lit(10.0), "base") + F.col("left") * F.pow(F.lit(10.0), "parent")))
-    gain = F.sum(F.col("n") * (F.col("own") - F.col("parent"))).over(each) * float(np.log(10)) + (F.col("total") - F.col("held")) * F.log("left")
-    rows = rows.withColumn("kept", gain >= MIN_DIVERGENCE * F.col("total")).withColumn("rest", F.log10("left"))
-    value = F.when(F.col("kept"), F.col("own") - F.col("parent") - F.col("rest")).otherwise(0.0)
-    return stored(rows.select("seq", "ctx", "n", "base", F.when(F.col("kept"), F.col("own")).otherwise(F.col("parent")).alias("ratio"), value.alias("value"), "kept", "rest", "total"), "tree")
+    rows = counted.join(suffix, "suf").join(context, "ctx")
+    rows = rows.withColumn("passes", F.col("n") * (F.log(F.col("n") / (F.col("total") + 1)) - F.col("parent") * float(np.log(10))) >= MIN_GAIN)
+    rows = rows.withColumns({"held": F.sum(F.when(F.col("passes"), F.col("n"))).over(each), "types": F.count_if("passes").over(each), "place": F.row_number().over(each.orderBy(F.desc("passes"), "suf"))})
+    rows = rows.withColumn("all", F.col("total") + F.col("types")).withColumn("left", 1 - F.coalesce("held", F.lit(0)) / F.col("all"))
+    rows = rows.withColumns({"rest": F.log10("left"), "own": F.log10(F.when(F.col("passes"), F.col("n") / F.col("all")).otherwise(0.0) + F.col("left") * F.pow(F.lit(10.0), "parent"))})
+    head = (F.col("place") == 1) & F.col("passes")
+    return stored(rows.select(
+        F.xxhash64("ctx", "suf").alias("seq"), "n", F.col("own").alias("logp"), F.when(F.col("passes"), F.col("own") - F.col("parent") - F.col("rest")).alias("value"),
+        *(F.when(head, F.col(c)).alias(c) for c in ("ctx", "total", "rest")),
+    ), "tree")
 
 
 def learn_values(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """(h, n, base, gain) of every known word and every sequence that adds to scores; `base` is null but for words.
-
-    `words` has h, n and base of all words.
-    """
-    shorter = words.select(F.col("h").alias("seq"), "n", "base", F.lit(0.0).alias("ratio"))
-    parts = words.select("h", "n", "base", F.lit(0.0).alias("gain"))
-    none, counted = F.lit(None).cast("double").alias("base"), None
+    """(h, n, gain): what sequences, as such and as contexts, add to the scores of tokens they end at;
+    contributions to one h come in several rows. `words` has h, n and logp of all words."""
+    spark, level, values = docs.sparkSession, words.select(F.col("h").alias("seq"), "n", "logp"), []
     for depth in range(1, DEPTH + 1):
-        counted = count_sequences(docs, depth, counted)
-        shorter = grow(counted, shorter)
-        kept = shorter.filter("kept")
-        parts = parts.union(kept.select("seq", "n", none, "value")).union(kept.groupBy("ctx").agg(F.max("total"), F.max(none).alias("base"), F.max("rest")))
-    return stored(parts.groupBy("h").agg(F.max("n").alias("n"), F.max("base").alias("base"), F.sum("gain").alias("gain")), "values")
+        counted = count_sequences(docs, depth, None if depth == 1 else level)
+        longer = grow(counted, level)
+        values.append(stored(longer.filter("value is not null").select(F.col("seq").alias("h"), "n", F.col("value").alias("gain")).union(longer.filter("ctx is not null").select("ctx", "total", "rest")), "values"))
+        discard(counted, *([level] if depth > 1 else []))
+        level = longer
+    discard(level)
+    out = values[0]
+    for more in values[1:]:
+        out = out.union(more)
+    return out if values else spark.createDataFrame([], "h long, n long, gain double")
+
+
+SCORES = "key long, doc_id long, n_tokens long, n_known long, base double, gain double"
 
 
 def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     The tree learns from the documents that aren't held out: all sequences of up to DEPTH + 1 words
-    that occur MIN_COUNT times, at any size of the corpus. Words are 64-bit hashes. Counts, tree and
-    the values by which words and sequences add to scores stay in tables. The tokens of a document
-    are scored on the spot where values of a share of SPOT or more have them, and else meet the
-    table in a join, but for those that a filter of fixed size knows not to be in it.
-    Each token is scored in its longest kept context of up to DEPTH words.
+    that occur MIN_COUNT times, at any size of the corpus; each context is kept or not by its own
+    divergence. Words are 64-bit hashes. Counts, tree and the values by which words and sequences
+    add to scores stay in tables. The tokens of a document are scored on the spot where values of
+    a share of SPOT or more have them, and else meet the tables in a shuffle by sequence, but for
+    those that a filter of fixed size knows not to be in them (once that is full, all tokens
+    cross). A task of that shuffle holds the values of one bucket, of which there are as many as
+    shuffle partitions. Each token is scored in its longest kept context of up to DEPTH words.
 
     Null texts are empty and consist of their end. Null and repeated doc_ids are documents of
-    their own (a null id counts as 0 when rows are held out). With nothing to learn from, all
-    probabilities are those of the formulas with zero counts.
+    their own (a null id counts as 0 when rows are held out). A long text is one row of a chunk of
+    its own. With nothing to learn from, all probabilities are those of the formulas with zero
+    counts; an empty table gives no rows.
     """
     spark = docs.sparkSession
     keyed = with_unique_ids(docs)
@@ -221,45 +284,97 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     below = total + 0.5 * (distinct + 1)
     unseen = float(np.log10(0.5 / below))
-    values = learn_values(training, counts.withColumn("base", F.log10((F.col("n") + 0.5) / F.lit(below))))
-    often = values.filter(F.col("n") >= max(1.0, SPOT * total)).sort("h").toArrow()
-    often = [often["h"].to_numpy(), np.nan_to_num(often["base"].to_numpy()), often["gain"].to_numpy()]
-    shared = spark.sparkContext.broadcast((often, KeyFilter(values.select("h"))))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = counts.withColumn("logp", F.log10((F.col("n") + 0.5) / F.lit(below)))
+    values = learn_values(training, words)
+    spot = max(1.0, SPOT * total)
+    often = words.select("h", "n", F.col("logp").alias("base"), F.lit(0.0).alias("gain")).union(values.select("h", "n", F.lit(0.0), "gain")).filter(F.col("n") >= spot)
+    often = often.groupBy("h").agg(F.sum("base").alias("base"), F.sum("gain").alias("gain")).toArrow().sort_by("h")
+    often = [often[c].to_numpy() for c in ("h", "base", "gain")]
+    shared, buckets = spark.sparkContext.broadcast((often, KeyFilter(words.select("h"), values.select("h")))), buckets_for(spark)
+
+    def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (held, base_of, gain_of), known = shared.value
+        waiting: dict[int, list] = {WORD_LOOKUP: [], LOOKUP: []}
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for kind, parts in waiting.items():
+                if parts:
+                    keys, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    yield packets(bucket_of(keys, buckets), {"keys": keys, "numbers": of}, kind)
+                    parts.clear()
+
         for chunk in text_chunks(batches):
             codes, h, per = hashed_words(chunk)
             doc, n = np.repeat(np.arange(len(per)), per), len(per)
-            base, gain, n_known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-            rare = []
+            base, gain, n_known, key = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), chunk.column("key").to_numpy()
             for depth, keys in enumerate(sequence_keys(codes, h, DEPTH)):
                 of = doc[depth:]
                 if depth:
-                    use = of == doc[:-depth]
+                    use = of == doc[: len(of)]
                     keys, of = keys[use], of[use]
                 at = np.minimum(np.searchsorted(held, keys), max(0, len(held) - 1))
                 hit = held[at] == keys if len(held) else np.zeros(len(keys), bool)
                 gain += np.bincount(of[hit], gain_of[at[hit]], n)
-                may = ~hit & known.may_have(keys)
+                may = np.flatnonzero(~hit)
+                have = known.may_have(keys[may])
                 if not depth:
-                    base += np.bincount(of[hit], base_of[at[hit]], n) + unseen * np.bincount(of[~hit & ~may], minlength=n)
+                    base += np.bincount(of[hit], base_of[at[hit]], n) + unseen * np.bincount(of[may[~have]], minlength=n)
                     n_known += np.bincount(of[hit], minlength=n)
-                rare.append((of[may], keys[may], depth == 0))
-            key, ids = chunk.column("key"), chunk.column("doc_id")
-            yield pa.RecordBatch.from_pydict({"key": key, "doc_id": ids, "h": key, "word": pa.nulls(n, pa.bool_()), "n_tokens": pa.array(per), "n_known": pa.array(n_known), "base": base, "gain": gain})
-            for of, keys, word in rare:
-                m = len(keys)
-                none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_pydict({"key": key.take(pa.array(of)), "doc_id": none, "h": pa.array(keys), "word": pa.array(np.full(m, word)), "n_tokens": none, "n_known": none, "base": pa.nulls(m, pa.float64()), "gain": pa.nulls(m, pa.float64())})
-
-    parts = keyed.mapInArrow(score, "key long, doc_id long, h long, word boolean, n_tokens long, n_known long, base double, gain double")
-    found = values.select("h", F.col("base").alias("its_base"), F.col("gain").alias("its_gain"))
-    joined = parts.join(found, "h", "left").select(
-        "key", "doc_id", "n_tokens",
-        F.when(F.col("word").isNull(), F.col("n_known")).otherwise((F.col("word") & F.col("its_base").isNotNull()).cast("long")).alias("n_known"),
-        F.when(F.col("word").isNull(), F.col("base")).when(F.col("word"), F.coalesce("its_base", F.lit(unseen))).otherwise(0.0).alias("base"),
-        F.when(F.col("word").isNull(), F.col("gain")).otherwise(F.coalesce("its_gain", F.lit(0.0))).alias("gain"),
-    )
-    sums = joined.groupBy("key").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "gain")))
+                may = may[have]
+                waiting[LOOKUP if depth else WORD_LOOKUP].append((keys[may], key[of[may]]))
+            yield pa.RecordBatch.from_pydict({
+                "bucket": pa.array((np.arange(n) * buckets // n).astype(np.int32)), "kind": pa.array(np.full(n, DOCUMENT, np.int32)), "keys": pa.array([x.tobytes() for x in np.stack([key, per, n_known], axis=1)], pa.binary()),
+                "numbers": pa.array([x.tobytes() for x in np.stack([base, gain], axis=1)], pa.binary()), "doc_id": chunk.column("doc_id"),
+            })
+            if sum(len(k) for parts in waiting.values() for k, _ in parts) > FOLD:
+                yield from map(with_no_id, send())
+        yield from map(with_no_id, send())
+
+    def with_no_id(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.append_column("doc_id", pa.nulls(batch.num_rows, pa.int64()))
+
+    def pack(kind: int) -> object:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column(0).to_numpy()
+                yield with_no_id(packets(bucket_of(keys, buckets), {"keys": keys, "numbers": batch.column(1).to_numpy()}, kind))
+
+        return run
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in of_buckets(batches):
+            kind = rows.column("kind").to_numpy()
+            of_kind = lambda k, a="keys", b="numbers", t=np.float64: (unpacked((part := rows.filter(pa.array(kind == k))).column(a), np.int64), unpacked(part.column(b), t))  # noqa: B023, E731
+            held_words, base_of, _ = summed(*of_kind(WORD_VALUE))
+            held, gain_of, _ = summed(*of_kind(VALUE))
+            parts = []
+            for k in (WORD_LOOKUP, LOOKUP):
+                keys, of = of_kind(k, t=np.int64)
+                gain, base, n_known = found(held, gain_of, keys, 0.0)[0], np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+                if k == WORD_LOOKUP:
+                    base, n_known = found(held_words, base_of, keys, unseen)
+                parts.append((of, n_known.astype(np.int64), base, gain))
+            of, n_known, base, gain = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if len(of):
+                key, base, _ = summed(of, base)
+                none = pa.nulls(len(key), pa.int64())
+                yield pa.RecordBatch.from_pydict({"key": key, "doc_id": none, "n_tokens": none, "n_known": summed(of, n_known)[1], "base": base, "gain": summed(of, gain)[1]})
+            part = rows.filter(pa.array(kind == DOCUMENT))
+            if part.num_rows:
+                key, per, n_known = unpacked(part.column("keys"), np.int64).reshape(-1, 3).T
+                base, gain = unpacked(part.column("numbers"), np.float64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_pydict({"key": np.ascontiguousarray(key), "doc_id": part.column("doc_id"), "n_tokens": np.ascontiguousarray(per), "n_known": np.ascontiguousarray(n_known), "base": np.ascontiguousarray(base), "gain": np.ascontiguousarray(gain)})
+
+    schema = f"{PACKETS}, doc_id long"
+    asked = keyed.mapInArrow(lookups, schema).union(words.select("h", "logp").mapInArrow(pack(WORD_VALUE), schema)).union(values.select("h", "gain").mapInArrow(pack(VALUE), schema))
+    sums = dealt(asked).mapInArrow(meet, SCORES).groupBy("key").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "gain")))
     return sums.select("doc_id", (id_bucket(holdout) == remainder).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"))
+
+
+def found(held: np.ndarray, numbers: np.ndarray, keys: np.ndarray, otherwise: float) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each key, and whether it has one."""
+    if not len(held):
+        return np.full(len(keys), otherwise), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+    hit = held[at] == keys
+    return np.where(hit, numbers[at], otherwise), hit
