@@ -221,24 +221,36 @@ def test_suffix_lm_predicts_better_than_words(spark):
     assert r[0] > r[1]
 
 
-def test_piece_codec(docs, rows):
+def brute_pieces(codec, t):
+    """Best ids and score of a whole text, trying every piece at every place."""
+    scores = {p: (s, i) for p, (_, s, i) in codec.automaton.items()}
+    given = " " + t if t else ""
+    text, longest = given.replace("▁", "\0").replace(" ", "▁"), max(map(len, scores))
+    best = [(0.0, [])]
+    for end in range(1, len(text) + 1):
+        raw = given[end - 1]
+        options = [(best[end - 1][0] + codec.byte_score * len(raw.encode()), best[end - 1][1] + [codec.byte_ids[b] for b in raw.encode()])]
+        for start in range(max(0, end - longest), end):
+            if text[start:end] in scores:
+                s, i = scores[text[start:end]]
+                options.append((best[start][0] + s, [*best[start][1], i]))
+        best.append(max(options, key=lambda x: x[0]))
+    return best[-1][1], best[-1][0]
+
+
+def test_piece_codec(spark, docs, rows):
     codec = piece_codec.PieceCodec(queries.PIECES)
-    scores = {codec.pieces[i]: s for _, (_, s, i) in codec.automaton.items()}
-    for t in ["hello world", "  two  spaces ", "naïve ▁ x", "日本\n\t😀"]:
-        ids, score = codec.encode(t)
-        assert codec.decode(ids) == t
-        text = " " + t
-        best = [0.0] + [-np.inf] * len(text)
-        for end in range(1, len(text) + 1):
-            c = text[end - 1]
-            best[end] = best[end - 1] + codec.byte_score * len(c.encode())
-            for start in range(max(0, end - 20), end):
-                part = text[start:end].replace("▁", "\0").replace(" ", "▁")
-                if part in scores:
-                    best[end] = max(best[end], best[start] + scores[part])
-        assert score == pytest.approx(best[-1])
+    more = ["hello world", "  two  spaces ", "naïve ▁ x", "日本\n\t😀", " ", "▁", "a\0b", "a\0▁b", "Don't   stop ", "x" * 90 + " é" * 3]
+    rows = rows + [(50_000 + i, t) for i, t in enumerate(more)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(rows[-len(more) :], "doc_id long, text string")).repartition(2)
     got = {r.doc_id: r for r in piece_codec.piece_codec(docs, queries.PIECES).collect()}
-    assert all(got[i].round_trip and got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for i, t in rows)
+    assert len(got) == len(rows)
+    for i, t in rows:
+        r, t = got[i], t or ""
+        assert r.round_trip and r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+        ids, score = brute_pieces(codec, t) if len(t) < 400 else codec.encode(t)
+        assert (r.n_pieces, r.ids_crc32, r.score) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), pytest.approx(score))
+        assert codec.decode(codec.encode(t)[0]) == t
 
 
 def test_language_id(spark):
