@@ -57,6 +57,7 @@ class PieceCodec:
         for i in plain:
             self.automaton.add_word(self.pieces[i], (len(self.pieces[i]), scores[i], i))
         self.automaton.make_automaton()
+        self.single = {p for i in plain if len(p := self.pieces[i]) == 1} - {"\0"}
         self.piece_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.piece_lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self.piece_starts = starts_of(self.piece_lengths)[:-1]
@@ -73,22 +74,28 @@ class PieceCodec:
         literal = {i for i, c in enumerate(unit) if c == SPACE} if SPACE in unit else ()
         text = unit.replace(SPACE, "\0").replace(" ", SPACE)
         score, back = [0.0] + [-math.inf] * len(text), [(0, -1)] * (len(text) + 1)
+        # Bytes cost more than any piece: only characters that are no piece need them.
+        odd = [] if self.single.issuperset(text) else [(i, c) for i, c in enumerate(text) if c not in self.single]
         reached = 0
 
         def by_bytes(until: int) -> None:
-            for at in range(reached, until):
-                spare = score[at] + self.byte_score * (3 if at in literal else len(text[at].replace(SPACE, " ").encode()))
+            nonlocal reached
+            while reached < len(odd) and odd[reached][0] < until:
+                at, c = odd[reached]
+                spare = score[at] + self.byte_score * (3 if at in literal else len(c.replace(SPACE, " ").encode()))
                 if spare > score[at + 1]:
                     score[at + 1], back[at + 1] = spare, (at, -1)
+                reached += 1
 
         for end, (length, s, piece) in self.automaton.iter(text):
-            if end > reached:
+            if odd:
                 by_bytes(end)
-                reached = end
-            total = score[end + 1 - length] + s
+            at = end + 1 - length
+            total = score[at] + s
             if total > score[end + 1]:
-                score[end + 1], back[end + 1] = total, (end + 1 - length, piece)
-        by_bytes(len(text))
+                score[end + 1], back[end + 1] = total, (at, piece)
+        if odd:
+            by_bytes(len(text))
         out, at = [], len(text)
         while at:
             before, piece = back[at]
