@@ -159,16 +159,17 @@ PACKET = 2048
 
 
 def packets(bucket: np.ndarray, columns: dict[str, np.ndarray], kind: int = 0) -> pa.RecordBatch:
-    """Rows (bucket, kind, a binary for each column of 8-byte numbers): the entries of each bucket, in order,
+    """Rows (bucket, kind, a binary for each column of numbers): the entries of each bucket, in order,
     in packets of a bounded size. They cross a shuffle at a few bytes an entry and without a row for each."""
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
+    if (bucket[1:] < bucket[:-1]).any():
+        order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket, kind="stable")
+        bucket, columns = bucket[order], {n: x[order] for n, x in columns.items()}
     begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(begin, len(bucket)))
     cuts = -(-sizes // PACKET)
     begin = np.repeat(begin, cuts) + (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * PACKET
-    offsets = (np.append(begin, len(bucket)) * 8).astype(np.int64)
-    binary = lambda x: pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x[order]))]).cast(pa.binary())
+    ends = np.append(begin, len(bucket)).astype(np.int64)
+    binary = lambda x: pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
     return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[begin].astype(np.int32)), "kind": pa.array(np.full(len(begin), kind, np.int32)), **{n: binary(x) for n, x in columns.items()}})
 
 

@@ -18,8 +18,8 @@ DEPTH, MIN_COUNT = 3, 2
 #: Nats that a next word must gain, over all its occurrences in a context, for the context to be kept for it.
 MIN_GAIN = 3.0
 #: Share of all training tokens from which a sequence is scored on the spot, without the join. It bounds
-#: what is broadcast, (DEPTH + 1) / SPOT sequences at most, and changes no score.
-SPOT = 2.0**-21
+#: what is broadcast, (DEPTH + 1) / SPOT sequences of 20 bytes at most, and changes no score.
+SPOT = 2.0**-22
 #: Hash that stands for the end of a text.
 END = 0
 #: Entries that a task gathers before it folds equal ones, or sends them on.
@@ -61,8 +61,8 @@ class Tally:
 
 
 def summed(keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, the sum of each one's numbers, and where each stands first."""
-    order = np.argsort(keys, kind="stable")
+    """Distinct keys in unsigned order, which is that of buckets too, the sum of each one's numbers, and where each stands."""
+    order = np.argsort(keys.view(np.uint64))
     keys = keys[order]
     begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     return keys[begin], np.add.reduceat(numbers[order], begin) if len(begin) else numbers[:0], order[begin]
@@ -149,20 +149,24 @@ class KeyFilter:
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 which, *places = KeyFilter.places(batch.column(0).to_numpy())
-                yield packets(np.concatenate([which] * len(places)), {"places": np.concatenate(places)})
+                yield packets(np.concatenate([which] * len(places)), {"places": np.concatenate(places).astype(np.uint32)})
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in of_buckets(batches):
-                mine = np.zeros(BITS // SLICES, bool)
-                mine[unpacked(rows.column("places"), np.int64)] = True
-                yield pa.RecordBatch.from_pydict({"slice": rows.column("bucket")[:1], "bits": pa.array([np.packbits(mine, bitorder="little").tobytes()], pa.binary())})
+            mine, which = np.zeros(BITS // SLICES, bool), None
+            for rows in batches:
+                mine[unpacked(rows.column("places"), np.uint32)] = True
+                which = rows.column("bucket")[:1] if rows.num_rows else which
+            if which is not None:
+                yield pa.RecordBatch.from_pydict({"slice": which, "bits": pa.array([np.packbits(mine, bitorder="little").tobytes()], pa.binary())})
 
         self.bits = np.zeros((SLICES, BITS // SLICES // 8), np.uint8)
         placed = [t.mapInArrow(place, "bucket int, kind int, places binary") for t in tables]
         rows = placed[0]
         for more in placed[1:]:
             rows = rows.union(more)
-        got = rows.repartitionById(SLICES, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "slice int, bits binary").toArrow()
+        slices = stored(rows.repartitionById(SLICES, "bucket").mapInArrow(add, "slice int, bits binary"), "filter")
+        got = slices.toArrow()
+        discard(slices)
         for i, x in zip(got["slice"].to_pylist(), got["bits"].to_pylist(), strict=True):
             self.bits[i] = np.frombuffer(x, np.uint8)
 
@@ -197,8 +201,7 @@ def count_sequences(docs: DataFrame, depth: int, shorter: DataFrame | None) -> D
                 have = known.may_have(keys[depth - 1])
                 use &= have[:-1] & have[1:]
             at = np.flatnonzero(use)
-            seq, n, first = summed(keys[depth][at], np.ones(len(at), np.int64))
-            yield from tally.add(seq, n, keys[depth - 1][at[first]], keys[depth - 1][at[first] + 1])
+            yield from tally.add(keys[depth][at], np.ones(len(at), np.int64), keys[depth - 1][at], keys[depth - 1][at + 1])
         yield from tally.rows()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,13 +233,13 @@ def grow(counted: DataFrame, shorter: DataFrame) -> DataFrame:
     each = Window.partitionBy("ctx")
     rows = counted.join(suffix, "suf").join(context, "ctx")
     rows = rows.withColumn("passes", F.col("n") * (F.log(F.col("n") / (F.col("total") + 1)) - F.col("parent") * float(np.log(10))) >= MIN_GAIN)
-    rows = rows.withColumns({"held": F.sum(F.when(F.col("passes"), F.col("n"))).over(each), "types": F.count_if("passes").over(each), "place": F.row_number().over(each.orderBy(F.desc("passes"), "suf"))})
+    rows = rows.withColumns({"held": F.sum(F.when(F.col("passes"), F.col("n"))).over(each), "types": F.count_if("passes").over(each), "first": F.min(F.when(F.col("passes"), F.col("suf"))).over(each)})
     rows = rows.withColumn("all", F.col("total") + F.col("types")).withColumn("left", 1 - F.coalesce("held", F.lit(0)) / F.col("all"))
     rows = rows.withColumns({"rest": F.log10("left"), "own": F.log10(F.when(F.col("passes"), F.col("n") / F.col("all")).otherwise(0.0) + F.col("left") * F.pow(F.lit(10.0), "parent"))})
-    head = (F.col("place") == 1) & F.col("passes")
+    head = F.col("passes") & (F.col("suf") == F.col("first"))
     return stored(rows.select(
-        F.xxhash64("ctx", "suf").alias("seq"), "n", F.col("own").alias("logp"), F.when(F.col("passes"), F.col("own") - F.col("parent") - F.col("rest")).alias("value"),
-        *(F.when(head, F.col(c)).alias(c) for c in ("ctx", "total", "rest")),
+        F.xxhash64("ctx", "suf").alias("seq"), "n", F.col("own").alias("logp"), F.when(F.col("passes"), F.col("own") - F.col("parent") - F.col("rest")).cast("float").alias("value"),
+        *(F.when(head, c).alias(n) for n, c in (("ctx", F.col("ctx")), ("total", F.col("total")), ("rest", F.col("rest").cast("float")))),
     ), "tree")
 
 
@@ -254,7 +257,7 @@ def learn_values(docs: DataFrame, words: DataFrame) -> DataFrame:
     out = values[0]
     for more in values[1:]:
         out = out.union(more)
-    return out if values else spark.createDataFrame([], "h long, n long, gain double")
+    return out if values else spark.createDataFrame([], "h long, n long, gain float")
 
 
 SCORES = "key long, doc_id long, n_tokens long, n_known long, base double, gain double"
@@ -287,8 +290,8 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
     words = counts.withColumn("logp", F.log10((F.col("n") + 0.5) / F.lit(below)))
     values = learn_values(training, words)
     spot = max(1.0, SPOT * total)
-    often = words.select("h", "n", F.col("logp").alias("base"), F.lit(0.0).alias("gain")).union(values.select("h", "n", F.lit(0.0), "gain")).filter(F.col("n") >= spot)
-    often = often.groupBy("h").agg(F.sum("base").alias("base"), F.sum("gain").alias("gain")).toArrow().sort_by("h")
+    often = words.select("h", "n", F.col("logp").alias("base"), F.lit(0.0).alias("gain")).union(values.select("h", "n", F.lit(0.0), F.col("gain").cast("double"))).filter(F.col("n") >= spot)
+    often = stored(often.groupBy("h").agg(F.sum("base").alias("base"), F.sum("gain").alias("gain")), "often").toArrow().sort_by("h")
     often = [often[c].to_numpy() for c in ("h", "base", "gain")]
     shared, buckets = spark.sparkContext.broadcast((often, KeyFilter(words.select("h"), values.select("h")))), buckets_for(spark)
 
@@ -310,17 +313,16 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
             for depth, keys in enumerate(sequence_keys(codes, h, DEPTH)):
                 of = doc[depth:]
                 if depth:
-                    use = of == doc[: len(of)]
-                    keys, of = keys[use], of[use]
-                at = np.minimum(np.searchsorted(held, keys), max(0, len(held) - 1))
-                hit = held[at] == keys if len(held) else np.zeros(len(keys), bool)
-                gain += np.bincount(of[hit], gain_of[at[hit]], n)
-                may = np.flatnonzero(~hit)
-                have = known.may_have(keys[may])
-                if not depth:
-                    base += np.bincount(of[hit], base_of[at[hit]], n) + unseen * np.bincount(of[may[~have]], minlength=n)
-                    n_known += np.bincount(of[hit], minlength=n)
-                may = may[have]
+                    may = np.flatnonzero((of == doc[: len(of)]) & known.may_have(keys))
+                    at, hit = placed(held, keys[may])
+                else:  # distinct words are few
+                    may = np.flatnonzero(known.may_have(h)[codes])
+                    base += unseen * (per - np.bincount(of[may], minlength=n))
+                    at, hit = (x[codes[may]] for x in placed(held, h))
+                    base += np.bincount(of[may[hit]], base_of[at[hit]], n)
+                    n_known += np.bincount(of[may[hit]], minlength=n)
+                gain += np.bincount(of[may[hit]], gain_of[at[hit]], n)
+                may = may[~hit]
                 waiting[LOOKUP if depth else WORD_LOOKUP].append((keys[may], key[of[may]]))
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array((np.arange(n) * buckets // n).astype(np.int32)), "kind": pa.array(np.full(n, DOCUMENT, np.int32)), "keys": pa.array([x.tobytes() for x in np.stack([key, per, n_known], axis=1)], pa.binary()),
@@ -337,7 +339,7 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys = batch.column(0).to_numpy()
-                yield with_no_id(packets(bucket_of(keys, buckets), {"keys": keys, "numbers": batch.column(1).to_numpy()}, kind))
+                yield with_no_id(packets(bucket_of(keys, buckets), {"keys": keys, "numbers": batch.column(1).to_numpy().astype(np.float64)}, kind))
 
         return run
 
@@ -347,13 +349,18 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
             of_kind = lambda k, a="keys", b="numbers", t=np.float64: (unpacked((part := rows.filter(pa.array(kind == k))).column(a), np.int64), unpacked(part.column(b), t))  # noqa: B023, E731
             held_words, base_of, _ = summed(*of_kind(WORD_VALUE))
             held, gain_of, _ = summed(*of_kind(VALUE))
+            held_words, held = held_words.view(np.uint64), held.view(np.uint64)
             parts = []
             for k in (WORD_LOOKUP, LOOKUP):
                 keys, of = of_kind(k, t=np.int64)
-                gain, base, n_known = found(held, gain_of, keys, 0.0)[0], np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+                at, hit = placed(held, keys.view(np.uint64))
+                gain, base = np.zeros(len(keys)), np.full(len(keys), unseen if k == WORD_LOOKUP else 0.0)
+                gain[hit] = gain_of[at[hit]]
+                n_known = np.zeros(len(keys), np.int64)
                 if k == WORD_LOOKUP:
-                    base, n_known = found(held_words, base_of, keys, unseen)
-                parts.append((of, n_known.astype(np.int64), base, gain))
+                    at, hit = placed(held_words, keys.view(np.uint64))
+                    base[hit], n_known[hit] = base_of[at[hit]], 1
+                parts.append((of, n_known, base, gain))
             of, n_known, base, gain = (np.concatenate(x) for x in zip(*parts, strict=True))
             if len(of):
                 key, base, _ = summed(of, base)
@@ -371,10 +378,9 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
     return sums.select("doc_id", (id_bucket(holdout) == remainder).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"))
 
 
-def found(held: np.ndarray, numbers: np.ndarray, keys: np.ndarray, otherwise: float) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each key, and whether it has one."""
+def placed(held: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands among the sorted ones, and whether it does."""
     if not len(held):
-        return np.full(len(keys), otherwise), np.zeros(len(keys), bool)
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
-    hit = held[at] == keys
-    return np.where(hit, numbers[at], otherwise), hit
+    return at, held[at] == keys
