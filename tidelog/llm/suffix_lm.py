@@ -298,18 +298,24 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
     def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (held, base_of, gain_of), known = shared.value
         waiting: dict[int, list] = {WORD_LOOKUP: [], LOOKUP: []}
+        ids: list[np.ndarray] = []
 
         def send() -> Iterator[pa.RecordBatch]:
             for kind, parts in waiting.items():
                 if parts:
                     keys, of = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    yield packets(bucket_of(keys, buckets), {"keys": keys, "numbers": of}, kind)
+                    bucket, names = bucket_of(keys, buckets), np.concatenate(ids)
+                    order = np.argsort(bucket.astype(np.int64) << 32 | of)  # lookups of a document side by side, its key is then small when compressed
+                    yield packets(bucket[order], {"keys": keys[order], "numbers": names[of[order]]}, kind)
                     parts.clear()
+            ids.clear()
 
         for chunk in text_chunks(batches):
             codes, h, per = hashed_words(chunk)
             doc, n = np.repeat(np.arange(len(per)), per), len(per)
             base, gain, n_known, key = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), chunk.column("key").to_numpy()
+            place = sum(map(len, ids))
+            ids.append(key)
             for depth, keys in enumerate(sequence_keys(codes, h, DEPTH)):
                 of = doc[depth:]
                 if depth:
@@ -323,7 +329,7 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
                     n_known += np.bincount(of[may[hit]], minlength=n)
                 gain += np.bincount(of[may[hit]], gain_of[at[hit]], n)
                 may = may[~hit]
-                waiting[LOOKUP if depth else WORD_LOOKUP].append((keys[may], key[of[may]]))
+                waiting[LOOKUP if depth else WORD_LOOKUP].append((keys[may], place + of[may]))
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array((np.arange(n) * buckets // n).astype(np.int32)), "kind": pa.array(np.full(n, DOCUMENT, np.int32)), "keys": pa.array([x.tobytes() for x in np.stack([key, per, n_known], axis=1)], pa.binary()),
                 "numbers": pa.array([x.tobytes() for x in np.stack([base, gain], axis=1)], pa.binary()), "doc_id": chunk.column("doc_id"),
@@ -339,7 +345,7 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys = batch.column(0).to_numpy()
-                yield with_no_id(packets(bucket_of(keys, buckets), {"keys": keys, "numbers": batch.column(1).to_numpy().astype(np.float64)}, kind))
+                yield with_no_id(packets(bucket_of(keys, buckets), {"keys": keys, "numbers": batch.column(1).to_numpy()}, kind))
 
         return run
 
@@ -348,7 +354,8 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
             kind = rows.column("kind").to_numpy()
             of_kind = lambda k, a="keys", b="numbers", t=np.float64: (unpacked((part := rows.filter(pa.array(kind == k))).column(a), np.int64), unpacked(part.column(b), t))  # noqa: B023, E731
             held_words, base_of, _ = summed(*of_kind(WORD_VALUE))
-            held, gain_of, _ = summed(*of_kind(VALUE))
+            keys, gains = of_kind(VALUE, t=np.float32)
+            held, gain_of, _ = summed(keys, gains.astype(np.float64))
             held_words, held = held_words.view(np.uint64), held.view(np.uint64)
             parts = []
             for k in (WORD_LOOKUP, LOOKUP):
