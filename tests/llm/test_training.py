@@ -94,16 +94,19 @@ def test_substring_dedup(docs, rows):
 
 
 def test_window_index_in_batches(spark, rows):
-    """Six batches, with a compaction, mark what one batch marks."""
+    """Six batches, with compactions and a new session's index in between, find what one batch finds."""
     ordered = [(i, t or "") for i, t in sorted(rows)]
     frame = lambda part: spark.createDataFrame(part, "key long, text string")
-    index, marks = substring_dedup.WindowIndex(spark), set()
+    windows = lambda df: {(r.key, r.start + k) for r in df.collect() for k in range(r.n)}
+    index, found = substring_dedup.WindowIndex(spark), set()
     step = -(-len(ordered) // 6)
-    bits = lambda df: {(r.key, r.start + b) for r in df.collect() for b in range(64) if r.mask >> b & 1}
     for at in range(0, len(ordered), step):
-        marks |= bits(index.add(frame(ordered[at : at + step])))
-    assert marks == bits(substring_dedup.WindowIndex(spark).add(frame(ordered), store=False))
-    assert any(level == 1 for level, _ in index.runs) and len(index.runs) < 6
+        found |= windows(index.add(frame(ordered[at : at + step])))
+        index = substring_dedup.WindowIndex(spark, index.folder)
+    assert found == windows(substring_dedup.WindowIndex(spark).add(frame(ordered)))
+    assert sorted(level for level, _ in index.state["runs"]) == [1, 2]
+    with pytest.raises(ValueError, match="must come after"):
+        index.add(frame(ordered[:3]))
 
 
 def brute_components(rows):

@@ -1,22 +1,40 @@
-"""Windows of one anchor are told apart by all 64 bits of their own hashes."""
+"""Windows whose hashes agree are compared word by word."""
 
 import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from test_training import brute_windows
 
-from tidelog.llm import substring_dedup
+from tidelog.llm import common, substring_dedup
 
 
-def test_hashes_that_agree_in_40_bits_are_no_repeats(monkeypatch):
-    real = substring_dedup.gram_hashes
-    alike = lambda h, n, seed=0: real(h, n, seed) << np.uint64(40) | np.uint64(7) if seed else real(h, n)
-    monkeypatch.setattr(substring_dedup, "gram_hashes", alike)
+@pytest.mark.parametrize("bits", [0, 3])
+def test_forged_collisions_keep_their_words(spark, monkeypatch, bits):
+    """Own hashes that all agree (or have eight values): nothing goes that isn't repeated."""
     r = random.Random(1)
     line = " ".join(f"line{k}" for k in range(12))
-    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(12)) + f" {line} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(12)) for _ in range(40)]
-    chunk = lambda keys: substring_dedup.entries_of(pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "text": [texts[k % 40] for k in keys]}), 0)
+    rows = [(k, " ".join(f"w{r.randrange(10**6)}" for _ in range(12)) + f" {line} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(12))) for k in range(40)]
+    rows += [(100 + k, rows[k][1]) for k in range(3)]
+    real = substring_dedup.unpacked_windows
+    keyed = spark.createDataFrame(rows, "key long, text string").coalesce(2)
+
+    def forged(batch):
+        anchor, own, key, start = real(batch)
+        return anchor, own & np.uint64((1 << bits) - 1), key, start
+
+    want = {i: n for i, (_, n, _) in brute_windows(rows).items()}
+    monkeypatch.setattr(substring_dedup, "unpacked_windows", forged)
+    levels = np.zeros(substring_dedup.COUNTERS, np.uint8)
+    chunks = [b for part in (rows[:20], rows[20:]) for b in substring_dedup.entries_of(pa.RecordBatch.from_pydict({"key": [k for k, _ in part], "text": [t for _, t in part]}), levels, 1)]
     order = [("anchor", "ascending"), ("key", "ascending"), ("start", "ascending")]
-    marked = lambda *chunks: [r for b in substring_dedup.merge_sorted(iter(pa.Table.from_batches(chunks).sort_by(order).combine_chunks().to_batches())) for r in b.to_pylist() if r["mask"]]
-    assert marked(chunk(range(20)), chunk(range(20, 40))) == []
-    assert {r["key"] for r in marked(chunk(range(20)), chunk(range(20, 41)))} == {40}
+    folder = common.scratch(spark, "forged")
+    monkeypatch.setattr(substring_dedup.TaskContext, "get", lambda: type("Task", (), {"taskAttemptId": lambda _: 0})())
+    found = list(substring_dedup.merge(iter(pa.Table.from_batches(chunks).sort_by(order).combine_chunks().to_batches()), [], folder))
+    spans = pa.Table.from_batches(found)
+    marks = substring_dedup.with_earlier_words(spark.createDataFrame(spans.to_pylist(), substring_dedup.SPANS), keyed).collect()
+    text, gone = dict(rows), dict.fromkeys(want, 0)
+    for key in {m.key for m in marks}:
+        gone[key] = int(substring_dedup.covered(text[key].encode().split(), [m.asDict() for m in marks if m.key == key]).sum())
+    assert all(gone[k] <= n for k, n in want.items()) and sum(n for k, n in gone.items() if k < 100) == 0

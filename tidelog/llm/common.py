@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,3 +188,14 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 def buckets_for(spark: SparkSession) -> int:
     """As many buckets as a shuffle has partitions: a task must hold the distinct keys of one."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def store_of(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(folder)
+
+
+def publish(fs: pafs.FileSystem, attempt: str, name: str) -> None:
+    """Give a finished file its name; an earlier attempt's equal file goes first, as not every store renames onto one."""
+    if fs.get_file_info(name).is_file:
+        fs.delete_file(name)
+    fs.move(attempt, name)
