@@ -212,7 +212,9 @@ def count_sequences(docs: DataFrame, depth: int, shorter: DataFrame | None) -> D
             yield pa.RecordBatch.from_pydict({"ctx": ctx[first], "suf": suf[first], "n": n[n >= MIN_COUNT]})
 
     counted = docs.select("text").mapInArrow(count, "bucket int, kind int, ctx binary, suf binary, n binary")
-    return stored(dealt(counted).mapInArrow(merge, "ctx long, suf long, n long"), "sequences")
+    found = stored(dealt(counted).mapInArrow(merge, "ctx long, suf long, n long"), "sequences")
+    shared.destroy()  # its copies on the executors' disks go
+    return found
 
 
 def grow(counted: DataFrame, shorter: DataFrame) -> DataFrame:
