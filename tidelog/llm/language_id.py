@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_bucket, small_batches, text_chunks
 
 #: Size of a hypervector, and of the letter alphabet (0 is anything but a letter).
-DIMENSIONS, LETTERS = 512, 64
+DIMENSIONS, LETTERS = 1024, 128
+#: Letters with a symbol of their own: a-z and the small letters of Western Europe; others share the rest by code point.
+OWN = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))
 NO_LANGUAGE = "und"
+#: Trigram vectors that a worker remembers.
+REMEMBERED = 16_384
+#: The filter's rule: a text of at least so many letters goes if its cosine is below this. Of held-out documents
+#: none of that length is below 0.3; hexadecimal, base64, code, random words and an unknown script are below 0.2.
+ENOUGH_LETTERS, MIN_SCORE = 60, 0.2
 
 
+@functools.cache
 def letter_table() -> np.ndarray:
-    """Symbol of each code point: a-z have one each, other letters share the rest by code point."""
+    """Symbol of each code point."""
     table = np.zeros(sys.maxunicode + 1, np.uint8)
     for point in range(sys.maxunicode + 1):
         c = chr(point)
         if c.isalpha():
-            low = ord(c.lower()[0])
-            table[point] = low - 96 if 97 <= low <= 122 else 27 + low % (LETTERS - 27)
+            low = c.lower()[0]
+            place = OWN.find(low)
+            table[point] = 1 + (place if place >= 0 else len(OWN) + ord(low) % (LETTERS - 1 - len(OWN)))
     return table
 
 
@@ -35,9 +46,11 @@ class NgramVectors:
         letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (LETTERS, dimensions))
         self.places = [np.roll(letters, shift, axis=1) for shift in (2, 1, 0)]
         self.table = letter_table()
+        self.forget()
+
+    def forget(self) -> None:
         self.row_of = np.full(LETTERS**3, -1, np.int32)
-        self.rows = np.zeros((1024, dimensions), np.float32)
-        self.used = 0
+        self.rows, self.used = np.zeros((REMEMBERED, self.places[0].shape[1]), np.float32), 0
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct trigrams of a whole text and their counts; runs of other characters count as one gap."""
@@ -53,11 +66,13 @@ class NgramVectors:
         return np.unique(grams, return_counts=True)
 
     def vectors(self, grams: np.ndarray) -> np.ndarray:
+        """Vectors of REMEMBERED distinct trigrams at most."""
         rows = self.row_of[grams]
         if (rows < 0).any():
             new = grams[rows < 0]
-            while self.used + len(new) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            if self.used + len(new) > REMEMBERED:
+                self.forget()
+                new = grams
             a, b, c = new // LETTERS**2, new // LETTERS % LETTERS, new % LETTERS
             self.rows[self.used : self.used + len(new)] = self.places[0][a] * self.places[1][b] * self.places[2][c]
             self.row_of[new] = np.arange(self.used, self.used + len(new))
@@ -66,46 +81,52 @@ class NgramVectors:
         return self.rows[rows]
 
     def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return counts.astype(np.float32) @ self.vectors(grams)
+        out = np.zeros(self.rows.shape[1], np.float64)
+        for at in range(0, len(grams), REMEMBERED):
+            out += counts[at : at + REMEMBERED].astype(np.float32) @ self.vectors(grams[at : at + REMEMBERED])
+        return out
+
+
+@functools.cache
+def ngram_vectors(dimensions: int) -> NgramVectors:
+    """One set of letter vectors, with the trigrams it remembers, for all tasks of a worker."""
+    return NgramVectors(dimensions)
 
 
 def learn_languages(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """Language prototypes from all rows with a lang: names in order, and unit vectors.
 
-    Bundling is a sum, so each language's vector is the sum over its trigram counts. Tasks
-    count trigrams per language and Spark adds the counts up: at most LETTERS**3 rows for a
-    language, whatever the size of the corpus. A document counts its trigrams by square
-    root, which keeps long documents from drowning the others.
+    Bundling is a sum, so each language's vector is the sum over its documents. Tasks bundle what
+    they read, and Spark adds up one vector of each task and language. A document counts its
+    trigrams by square root, which keeps long documents from drowning the others.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams_of = NgramVectors(1)
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = ngram_vectors(dimensions)
         sums: dict[str, np.ndarray] = {}
         for chunk in text_chunks(batches):
+            found: dict[str, list] = {}
             for text, lang in zip(chunk.column("text").to_pylist(), chunk.column("lang").to_pylist(), strict=True):
-                grams, counts = grams_of.counts(text)
+                grams, counts = vectors.counts(text)
                 if len(grams):
-                    sums.setdefault(lang, np.zeros(LETTERS**3))[grams] += np.sqrt(counts)
+                    found.setdefault(lang, []).append((grams, np.sqrt(counts)))
+            for lang, parts in found.items():
+                grams, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+                grams, place = np.unique(grams, return_inverse=True)
+                sums[lang] = sums.get(lang, 0.0) + vectors.bundle(grams, np.bincount(place, counts))
         for lang, total in sums.items():
-            grams = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(grams), "gram": pa.array(grams, pa.int32()), "n": total[grams]})
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * dimensions, "place": pa.array(range(dimensions), pa.int32()), "x": total})
 
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
-    counted = rows.mapInArrow(count, "lang string, gram int, n double").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    got = counted.toArrow().to_pydict()
-    names = sorted(set(got["lang"]))
-    place = {x: i for i, x in enumerate(names)}
-    which, grams, n = np.array([place[x] for x in got["lang"]], np.int64), np.array(got["gram"], np.int64), np.array(got["n"])
-    vectors = NgramVectors(dimensions)
+    got = rows.mapInArrow(bundle, "lang string, place int, x double").groupBy("lang", "place").agg(F.sum("x").alias("x")).toArrow()
+    names = sorted(pc.unique(got["lang"]).to_pylist())
     prototypes = np.zeros((len(names), dimensions))
-    for i in range(len(names)):
-        order = np.argsort(grams[which == i])
-        prototypes[i] = vectors.bundle(grams[which == i][order], n[which == i][order])
+    prototypes[pc.index_in(got["lang"], pa.array(names, pa.string())).to_numpy().astype(np.int64), got["place"].to_numpy()] = got["x"].to_numpy()
     return names, (prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
 def predictor(names: list[str], prototypes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]:
-    """A task's function from batches to (chunk, languages, scores).
+    """A task's function from batches to (chunk, languages, scores, letters).
 
     The language is the one whose prototype has the largest cosine with the document's
     bundle; the score is that cosine, 0 at least. A text that is null or has no letter is
@@ -114,11 +135,13 @@ def predictor(names: list[str], prototypes: np.ndarray) -> Callable[[Iterator[pa
     """
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        vectors = NgramVectors(prototypes.shape[1] if len(names) else 1)
+        vectors = ngram_vectors(prototypes.shape[1])
         for chunk in text_chunks(batches):
-            langs, scores = [], []
+            langs, scores, letters = [], [], []
             for text in chunk.column("text").to_pylist():
                 grams, counts = vectors.counts(text or "")
+                # A trigram ends at each letter, and one more after each word.
+                letters.append(int(counts[grams % LETTERS != 0].sum()) if len(grams) else 0)
                 if not len(grams) or not names:
                     langs.append(NO_LANGUAGE)
                     scores.append(0.0)
@@ -128,7 +151,7 @@ def predictor(names: list[str], prototypes: np.ndarray) -> Callable[[Iterator[pa
                 best = int(np.argmax(cosines))
                 langs.append(names[best])
                 scores.append(float(np.clip(cosines[best], 0, 1)))
-            yield chunk, langs, scores
+            yield chunk, langs, scores, letters
 
     return predict
 
@@ -138,7 +161,7 @@ def predict_languages(docs: DataFrame, names: list[str], prototypes: np.ndarray)
     predict = predictor(names, prototypes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, langs, scores in predict(batches):
+        for chunk, langs, scores, _ in predict(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": chunk.column("doc_id"), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, lang_pred string, score double")
@@ -148,7 +171,8 @@ def language_id(docs: DataFrame, holdout: int = 4, remainder: int = 2) -> DataFr
     """doc_id, held_out, lang_pred, score for every document; learns from the rows that aren't held out.
 
     Only text and lang are learned from. Repeated rows are predicted alike, and a null doc_id
-    counts as 0 when rows are held out.
+    counts as 0 when rows are held out. A text of any length is counted whole; what is held of it
+    are its distinct trigrams. An empty table gives no rows, and one without a lang `und` alone.
     """
     small_batches(docs.sparkSession)
     bucket = id_bucket(holdout)
@@ -156,17 +180,19 @@ def language_id(docs: DataFrame, holdout: int = 4, remainder: int = 2) -> DataFr
     return predict_languages(docs, names, prototypes).select("doc_id", (bucket == remainder).alias("held_out"), "lang_pred", "score")
 
 
-def language_filter(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
-    """The documents in a language: not `und`, and with a cosine of at least `min_score`; all columns stay.
+def language_filter(docs: DataFrame, min_score: float = MIN_SCORE, enough: int = ENOUGH_LETTERS) -> DataFrame:
+    """The documents in a language, with all columns: not `und`, and not `enough` letters with a cosine
+    under `min_score`. Shorter texts, of which a cosine tells little, stay unless they are `und`.
 
-    Decided where each row is, without a join or shuffle.
+    Decided where each row is, without a join or shuffle. Null and repeated doc_ids don't matter; an
+    empty table stays empty. Where no language could be learned, no row is in one.
     """
     small_batches(docs.sparkSession)
     names, prototypes = learn_languages(docs.filter(id_bucket(4) != 2))
     predict = predictor(names, prototypes)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, langs, scores in predict(batches):
-            yield chunk.filter(pa.array([x != NO_LANGUAGE and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+        for chunk, langs, scores, letters in predict(batches):
+            yield chunk.filter(pa.array([x != NO_LANGUAGE and (s >= min_score or n < enough) for x, s, n in zip(langs, scores, letters, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
