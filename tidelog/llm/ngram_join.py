@@ -96,9 +96,8 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return n + (-n * SIMILARITY // 100) + 1
 
 
-def prefixes(keyed: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(token, key, n): the first shingles of each document, rare ones first. Of equal sets in a chunk the least key goes."""
-    shared = keyed.sparkSession.sparkContext.broadcast(sketch)
+def prefixes(keyed: DataFrame, sketch: object) -> DataFrame:
+    """(key, n, tokens): the first shingles of each document, rare ones first. Of equal sets in a chunk the least key goes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
@@ -110,13 +109,15 @@ def prefixes(keyed: DataFrame, sketch: np.ndarray) -> DataFrame:
             again[order[1:]] = (n[order[1:]] == n[order[:-1]]) & (d1[order[1:]] == d1[order[:-1]]) & (d2[order[1:]] == d2[order[:-1]])
             use = ~again[rows]
             rows, found = rows[use], found[use]
-            order = np.lexsort((found, shared.value[counter_of(found)], rows))
+            order = np.lexsort((found, sketch.value[counter_of(found)], rows))
             rows, found = rows[order], found[order]
             size = np.where(again, 0, n)
             first = np.arange(len(rows)) - starts_of(size)[rows] < prefix_size(n)[rows]
-            yield pa.RecordBatch.from_pydict({"token": found[first].view(np.int64), "key": keys[rows[first]], "n": n[rows[first]]})
+            some = np.flatnonzero(size)
+            offsets = starts_of(np.bincount(rows[first], minlength=len(n))[some])
+            yield pa.RecordBatch.from_pydict({"key": keys[some], "n": n[some], "tokens": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found[first].view(np.int64)))})
 
-    return keyed.select("key", "text").mapInArrow(emit, "token long, key long, n long")
+    return keyed.select("key", "text").mapInArrow(emit, "key long, n long, tokens array<long>")
 
 
 def least_overlap(n: np.ndarray, m: int) -> np.ndarray:
@@ -124,15 +125,15 @@ def least_overlap(n: np.ndarray, m: int) -> np.ndarray:
 
 
 class Trie:
-    """Sets in one order of their shingles; a path that sets share is stored, and matched, once.
+    """Sets in one global order of their shingles; a path that sets share is stored, and matched, once.
 
-    The order is by falling frequency in this trie, so that like sets stay together long.
+    The order is by falling document frequency, told by the sketch, so that like sets stay together long.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.universe, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        rank = np.empty(len(count), np.int64)
-        rank[np.lexsort((np.arange(len(count)), -count))] = np.arange(len(count))
+    def __init__(self, sets: list[np.ndarray], sketch: np.ndarray):
+        self.universe, place = np.unique(np.concatenate(sets), return_inverse=True)
+        rank = np.empty(len(self.universe), np.int64)
+        rank[np.lexsort((self.universe, -sketch[counter_of(self.universe)].astype(np.int64)))] = np.arange(len(self.universe))
         self.rank = rank
         bounds = starts_of(np.array([len(x) for x in sets]))
         self.sets = sorted(((np.sort(rank[place[bounds[i] : bounds[i + 1]]]), i) for i in range(len(sets))), key=lambda x: x[0].astype(">u4").tobytes())
@@ -179,7 +180,7 @@ class Trie:
             stack += [(child, live, both) for child in children]
 
 
-def spanning_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+def spanning_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], sketch: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect whatever similar pairs of `left` with `right` (or within `left`, if none) connect."""
     other = right or left
     parent: dict[int, int] = {}
@@ -190,7 +191,7 @@ def spanning_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np
         return x
 
     links = []
-    trie = Trie([x for _, x in other])
+    trie = Trie([x for _, x in other], sketch)
     step = max(1, CELLS // len(trie.universe))
     for at in range(0, len(left), step):
         some = left[at : at + step]
@@ -209,48 +210,21 @@ def same_token_pairs(rows: DataFrame) -> DataFrame:
     return one.join(two, "token").filter(f"a < b and 100 * least(na, nb) >= {SIMILARITY} * greatest(na, nb)").select("a", "b", "na", "nb")
 
 
-def class_links(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (a, b) that connect similar sets, from their shared prefix tokens `rows` (token, key, n).
+def met_links(sets: DataFrame, meetings: DataFrame, sketch: object) -> DataFrame:
+    """Links (a, b) that connect the similar sets of the blocks x and y of each meeting; of y, with `hubs`, only those.
 
-    Of a token that few sets share, pairs are listed, and kept where the number of tokens that
-    they share in all allows the similarity. Sets of a token that many share aren't paired.
-    Each set that is left belongs to a block, of about TRIE_SETS sets that have their most
-    shared token in common; two blocks meet once, in tries, if a kept pair or a crowded token
-    lies across them. A meeting returns no more links than connect its sets.
+    `sets` has (key, block, hub, hashes). A meeting returns no more links than connect its sets.
     """
-    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = stored(rows.join(rows.groupBy("token").agg(F.count("*").alias("f")), "token"), "counted")
-    # A set's first tokens hold all the tokens it shares with another but those past the end of one of the two.
-    needed = f"ceil({SIMILARITY} * (na + nb) / {100 + SIMILARITY}) - greatest(ceil({SIMILARITY} * na / 100), ceil({SIMILARITY} * nb / 100)) + 1"
-    pairs = stored(same_token_pairs(counted.filter(F.col("f") <= CROWD)).groupBy("a", "b", "na", "nb").count().filter(F.expr(f"count >= {needed}")).select("a", "b"), "pairs")
-    crowded = counted.filter(F.col("f") > CROWD)
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(crowded.select("key")).distinct()
-    anchors = counted.groupBy("key").agg(F.max(F.struct("f", "token")).alias("most"))
-    part = F.pmod(F.xxhash64("key"), F.ceil(F.col("most.f") / TRIE_SETS))
-    members = stored(keys.join(anchors, "key").select("key", F.xxhash64("most.token", part).alias("block")), "members")
-    a, b = members.select(F.col("key").alias("a"), F.col("block").alias("x")), members.select(F.col("key").alias("b"), F.col("block").alias("y"))
-    by_pair = pairs.join(a, "a").join(b, "b").select("x", "y")
-    touched = crowded.join(members, "key").select("token", "block").distinct()
-    by_token = touched.withColumnRenamed("block", "x").join(touched.withColumnRenamed("block", "y"), "token").filter("x <= y").select("x", "y")
-    meetings = stored(by_pair.union(by_token).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "meetings")
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches):
-            which, found = shingle_sets(chunk)
-            bounds = starts_of(np.bincount(which, minlength=chunk.num_rows))
-            yield pa.RecordBatch.from_pydict({"key": chunk.column("key"), "block": chunk.column("block"), "hashes": pa.array([found[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
-
-    # Members grow with the corpus: never broadcast.
-    sets = stored(keyed.select("key", "text").join(members.hint("merge"), "key").mapInArrow(hashes, "key long, block long, hashes binary"), "members")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = meetings.join(sets.withColumnRenamed("block", "x"), "x").select("x", "y", F.lit(0).alias("side"), "key", "hashes")
-    right = meetings.filter("x <> y").join(sets.withColumnRenamed("block", "y"), "y").select("x", "y", F.lit(1).alias("side"), "key", "hashes")
+    right = meetings.filter("hubs or x <> y").join(sets.withColumnRenamed("block", "y"), "y").filter("hub or not hubs").select("x", "y", F.lit(1).alias("side"), "key", "hashes")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sides = None, ([], [])
 
         def flush() -> Iterator[pa.RecordBatch]:
             if sides[0] and (sides[1] or at[0] == at[1]):
-                found = spanning_links(*sides)
+                found = spanning_links(*sides, sketch.value)
                 yield pa.RecordBatch.from_pydict({"a": pa.array([i for i, _ in found], pa.int64()), "b": pa.array([j for _, j in found], pa.int64())})
             sides[0].clear()
             sides[1].clear()
@@ -263,7 +237,55 @@ def class_links(keyed: DataFrame, rows: DataFrame) -> DataFrame:
                 sides[side].append((key, np.frombuffer(held, np.uint64)))
         yield from flush()
 
-    return left.union(right).repartition(parts, "x", "y").sortWithinPartitions("x", "y", "side").mapInArrow(meet, "a long, b long")
+    return stored(left.union(right).repartition(parts, "x", "y").sortWithinPartitions("x", "y", "side").mapInArrow(meet, "a long, b long").filter("a <> b"), "links")
+
+
+def class_links(keyed: DataFrame, rows: DataFrame, sketch: object) -> DataFrame:
+    """Links (a, b) that connect similar sets, from their shared prefix tokens `rows` (token, key, n).
+
+    Of a token that few sets share, pairs are listed, and kept where the number of tokens that
+    they share in all allows the similarity. Sets of a token that many share aren't paired.
+    Each set that is left belongs to a block, of about TRIE_SETS sets that have their most shared
+    token in common. First the blocks of a crowded token meet that token's hub, its least set,
+    which links a family of copies in about as many meetings as it has blocks. Then sets are put
+    into blocks anew, those of a large component by themselves, and blocks that a kept pair or a
+    crowded token lies across meet, once, in tries, unless both are of one component already.
+    """
+    counted = stored(rows.join(rows.groupBy("token").agg(F.count("*").alias("f"), F.min("key").alias("hub")), "token"), "counted")
+    # A set's first tokens hold all the tokens it shares with another but those past the end of one of the two.
+    needed = f"ceil({SIMILARITY} * (na + nb) / {100 + SIMILARITY}) - greatest(ceil({SIMILARITY} * na / 100), ceil({SIMILARITY} * nb / 100)) + 1"
+    pairs = stored(same_token_pairs(counted.filter(F.col("f") <= CROWD)).groupBy("a", "b", "na", "nb").count().filter(F.expr(f"count >= {needed}")).select("a", "b"), "pairs")
+    crowded = counted.filter(F.col("f") > CROWD)
+    hubs = crowded.select(F.col("hub").alias("key")).distinct()
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(crowded.select("key")).distinct()
+    anchors = counted.groupBy("key").agg(F.max(F.struct("f", "token")).alias("most"))
+    part = F.pmod(F.xxhash64("key"), F.ceil(F.col("most.f") / TRIE_SETS))
+    placed = keys.join(anchors, "key").join(hubs.withColumn("hub", F.lit(True)), "key", "left")
+    members = stored(placed.select("key", "most", part.alias("part"), F.xxhash64("most.token", part).alias("block"), F.coalesce("hub", F.lit(False)).alias("hub")), "members")
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches):
+            which, found = shingle_sets(chunk)
+            bounds = starts_of(np.bincount(which, minlength=chunk.num_rows))
+            yield pa.RecordBatch.from_pydict({"key": chunk.column("key"), "hashes": pa.array([found[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
+
+    # Members grow with the corpus: never broadcast.
+    sets = stored(keyed.select("key", "text").join(members.select("key").hint("merge"), "key").mapInArrow(hashes, "key long, hashes binary"), "hashes")
+    of_hub = members.filter("hub").select(F.col("key").alias("hub"), F.col("block").alias("y"))
+    first = crowded.select("key", "hub").filter("key <> hub").join(members.select("key", F.col("block").alias("x")), "key").join(of_hub, "hub").select("x", "y").distinct()
+    near = met_links(sets.join(members.select("key", "block", "hub"), "key"), first.withColumn("hubs", F.lit(True)), sketch)
+    known = components(near)
+    large = known.groupBy("component").count().filter(F.col("count") > CROWD)
+    grouped = known.join(large, "component").select("key", "component", F.pmod(F.xxhash64("key"), F.ceil(F.col("count") / TRIE_SETS)).alias("slot"))
+    block = F.when(F.col("component").isNotNull(), F.xxhash64("component", "slot", F.lit(1))).otherwise(F.col("block"))
+    anew = stored(members.join(grouped, "key", "left").select("key", block.alias("block"), "component"), "blocks")
+    a, b = anew.select(F.col("key").alias("a"), F.col("block").alias("x"), F.col("component").alias("cx")), anew.select(F.col("key").alias("b"), F.col("block").alias("y"), F.col("component").alias("cy"))
+    apart = ~F.coalesce(F.col("cx") == F.col("cy"), F.lit(False))
+    by_pair = pairs.join(a, "a").join(b, "b").filter(apart).select("x", "y")
+    touched = crowded.join(anew, "key").select("token", F.col("block").alias("x"), F.col("component").alias("cx")).distinct()
+    by_token = touched.join(touched.withColumnsRenamed({"x": "y", "cx": "cy"}), "token").filter("x <= y").filter(apart).select("x", "y")
+    meetings = stored(by_pair.union(by_token).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().withColumn("hubs", F.lit(False)), "meetings")
+    return near.union(met_links(sets.join(anew.select("key", "block", F.lit(False).alias("hub")), "key"), meetings, sketch))
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -276,8 +298,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     prefixes in an order of rising document frequency, told by a sketch of fixed size;
     candidate pairs are verified with whole sets, in tries.
 
-    Null texts are empty. Null and repeated doc_ids are documents of their own; component_id
-    is null where the first reachable document has no id. An empty table gives no rows.
+    Null texts are empty, and a long text is a chunk of its own. Null and repeated doc_ids are
+    documents of their own; component_id is null where the first reachable document has no id.
+    An empty table gives no rows.
     """
     placed, sets = placed_sets(with_unique_ids(docs))
     firsts = sets.select(F.col("key").alias("component"), F.col("doc_id").alias("component_id"))
@@ -289,10 +312,13 @@ def placed_sets(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     described = describe_sets(keyed)
     sets = described.filter("slice is null").select("key", "doc_id", "n", "d1", "d2")
     classes = stored(sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("key").alias("class")), "classes")
+    sketch = keyed.sparkSession.sparkContext.broadcast(frequency_sketch(described))
+    # One row a document decides which sets stand for others, before their tokens meet.
+    first = prefixes(keyed, sketch).join(classes.select(F.col("class").alias("key")), "key", "left_semi")
     token = Window.partitionBy("token").orderBy("key")
-    shared = prefixes(keyed, frequency_sketch(described)).withColumns({"before": F.lag("key").over(token), "after": F.lead("key").over(token)}).filter("before is not null or after is not null")
-    rows = stored(shared.select("token", "key", "n").join(classes.select(F.col("class").alias("key")), "key", "left_semi"), "shared")
-    labels = components(stored(class_links(keyed, rows), "similar")).withColumnRenamed("key", "class")
+    shared = first.select("key", "n", F.explode("tokens").alias("token")).withColumns({"before": F.lag("key").over(token), "after": F.lead("key").over(token)})
+    rows = stored(shared.filter("before is not null or after is not null").select("token", "key", "n"), "shared")
+    labels = components(class_links(keyed, rows, sketch)).withColumnRenamed("key", "class")
     placed = sets.join(classes, ["n", "d1", "d2"], "left").join(labels, "class", "left").select("key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class", "key").alias("component"))
     return placed, sets
 
@@ -303,7 +329,7 @@ def ngram_filter(docs: DataFrame) -> DataFrame:
     Rows with null and repeated doc_ids are documents of their own, told apart by their keys.
     """
     rows = with_row_keys(docs)
-    keyed = id_text(rows.withColumn("doc_id", F.col("_row"))).withColumn("key", F.col("doc_id"))
+    keyed = id_text(rows.withColumn("doc_id", F.col("_tidelog_row"))).withColumn("key", F.col("doc_id"))
     placed, _ = placed_sets(keyed)
-    first = stored(placed.filter("key = component").select(F.col("key").alias("_row")), "firsts")
-    return rows.join(first, "_row", "left_semi").select(docs.columns)
+    first = stored(placed.filter("key = component").select(F.col("key").alias("_tidelog_row")), "firsts")
+    return rows.join(first, "_tidelog_row", "left_semi").select(docs.columns)
