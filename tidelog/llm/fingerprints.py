@@ -17,6 +17,8 @@ from .common import mix, split_words, starts_of, text_chunks, with_unique_ids, w
 SAMPLES = 64
 #: Ranges of doc_id per shuffle partition; a few spread evenly over the tasks.
 RANGES = 4
+#: Distinct words whose draws are held at a time, in a chunk or of one text.
+TERMS = 1 << 18
 #: Text bytes fingerprinted at a time.
 BYTES = 4 << 20
 
@@ -27,11 +29,11 @@ def uniforms(hashes: np.ndarray, samples: int, stream: int) -> np.ndarray:
     return ((mix(hashes[:, None] ^ salt) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
 
 
-def term_draws(hashes: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per term and sample: r ~ Gamma(2, 1), ln c with c ~ Gamma(2, 1), beta ~ U(0, 1)."""
+def term_draws(hashes: np.ndarray, samples: int) -> tuple[np.ndarray, ...]:
+    """Per term and sample: r ~ Gamma(2, 1) and 1 / r, ln c with c ~ Gamma(2, 1), beta ~ U(0, 1)."""
     r = -np.log(uniforms(hashes, samples, 1) * uniforms(hashes, samples, 2))
     log_c = np.log(-np.log(uniforms(hashes, samples, 3) * uniforms(hashes, samples, 4)))
-    return r, log_c, uniforms(hashes, samples, 5)
+    return r, 1 / r, log_c, uniforms(hashes, samples, 5)
 
 
 def signatures(texts: list[str], samples: int = SAMPLES) -> np.ndarray:
@@ -44,20 +46,23 @@ def signatures(texts: list[str], samples: int = SAMPLES) -> np.ndarray:
     """
     codes, words, per = split_words(pa.array(texts, pa.large_string()))
     hashes = word_hashes(words)
-    r, log_c, beta = term_draws(hashes, samples)
-    inverse = 1 / r
+    shared = term_draws(hashes, samples) if len(hashes) <= TERMS else None
     bounds = starts_of(per)
     out = np.zeros((len(texts), samples), np.uint16)
     every = np.arange(samples)
     for i in range(len(texts)):
-        terms, counts = np.unique(codes[bounds[i] : bounds[i + 1]], return_counts=True)
-        if not len(terms):
-            continue
-        level = np.floor(np.log(counts.astype(np.float32))[:, None] * inverse[terms] + beta[terms])
-        rate = log_c[terms] - r[terms] * (level - beta[terms] + 1)
-        least = rate.argmin(axis=0)
-        chosen = mix(hashes[terms[least]] ^ mix(level[least, every].astype(np.int64).view(np.uint64)))
-        out[i] = (chosen >> np.uint64(48)).astype(np.uint16)
+        all_terms, all_counts = np.unique(codes[bounds[i] : bounds[i + 1]], return_counts=True)
+        best = np.full(samples, np.inf, np.float32)
+        for at in range(0, len(all_terms), TERMS):
+            terms, counts = all_terms[at : at + TERMS], all_counts[at : at + TERMS]
+            r, inverse, log_c, beta = (x[terms] for x in shared) if shared is not None else term_draws(hashes[terms], samples)
+            level = np.floor(np.log(counts.astype(np.float32))[:, None] * inverse + beta)
+            rate = log_c - r * (level - beta + 1)
+            least = rate.argmin(axis=0)
+            better = rate[least, every] < best
+            chosen = mix(hashes[terms[least]] ^ mix(level[least, every].astype(np.int64).view(np.uint64)))
+            out[i, better] = (chosen[better] >> np.uint64(48)).astype(np.uint16)
+            best[better] = rate[least, every][better]
     return out
 
 
@@ -83,7 +88,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     A fingerprint is the hexadecimal text of 16 bits per sample, and is the empty string for
     a text without words. Null texts are empty; null and repeated doc_ids are documents of
     their own, ordered by text; a single document is its own next one; an empty table
-    gives no rows.
+    gives no rows. Of a long text the draws of TERMS words are held at a time.
     """
     spark = docs.sparkSession
     keyed = with_unique_ids(docs)
