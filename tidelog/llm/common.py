@@ -20,8 +20,8 @@ from ..session import discard, scratch, stored  # noqa: F401
 
 #: Text bytes that a task turns into arrays at a time.
 CHUNK_BYTES = 4 << 20
-#: Documents that Spark hands to a Python worker at a time.
-BATCH_DOCS = 1000
+#: Rows, and bytes, that Spark hands to a Python worker at a time.
+BATCH_ROWS, BATCH_BYTES = 50_000, 4 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,9 +31,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Documents are long rows: fewer of them make an Arrow batch than Spark's default."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_DOCS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCS))
+    """Documents are long rows and numbers short ones: what bounds an Arrow batch is its bytes."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key) != str(most):
+            spark.conf.set(key, str(most))
 
 
 def id_text(docs: DataFrame) -> DataFrame:
@@ -72,12 +74,12 @@ def ids_are_keys(docs: DataFrame) -> bool:
 
 
 def with_row_keys(docs: DataFrame) -> DataFrame:
-    """`docs` with all columns and `_row`, a key as that of with_unique_ids, for stages that give back whole rows."""
+    """`docs` with all columns and `_tidelog_row`, a key as that of with_unique_ids, for stages that give back whole rows."""
     small_batches(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
     if ids_are_keys(docs.select(doc_id.alias("doc_id"))):
-        return docs.withColumn("_row", doc_id)
-    ordered = docs.orderBy(doc_id.asc_nulls_first(), F.coalesce("text", F.lit(""))).withColumn("_row", F.monotonically_increasing_id())
+        return docs.withColumn("_tidelog_row", doc_id)
+    ordered = docs.orderBy(doc_id.asc_nulls_first(), F.coalesce("text", F.lit(""))).withColumn("_tidelog_row", F.monotonically_increasing_id())
     return stored(ordered, "rows")
 
 
@@ -110,10 +112,31 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, per
 
 
+#: Bytes up to which words are hashed all together, eight bytes of each at a time.
+SHORT_WORD = 64
+
+
 def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of distinct words."""
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w, seed) for w in words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
+    """64-bit hashes of distinct words. Words of one length up to eight bytes never share one."""
+    words = words.cast(pa.large_binary())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    padded = np.zeros(offsets[-1] - offsets[0] + 8, np.uint8)
+    if len(padded) > 8:
+        padded[:-8] = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    blocks = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    at, size = offsets[:-1] - offsets[0], np.diff(offsets)
+    h = mix(size.astype(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    some, done = np.flatnonzero((size > 0) & (size <= SHORT_WORD)), 0
+    while len(some):
+        left = size[some] - done
+        x = blocks[at[some] + done]
+        part = left < 8
+        x[part] &= (np.uint64(1) << (8 * left[part]).astype(np.uint64)) - np.uint64(1)
+        h[some] = mix(h[some] ^ x)
+        some, done = some[left > 8], done + 8
+    for i in np.flatnonzero(size > SHORT_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(padded[at[i] : at[i] + size[i]], seed)
+    return h
 
 
 def starts_of(per: np.ndarray) -> np.ndarray:
@@ -160,7 +183,7 @@ PACKET = 2048
 
 
 def packets(bucket: np.ndarray, columns: dict[str, np.ndarray], kind: int = 0) -> pa.RecordBatch:
-    """Rows (bucket, kind, a binary for each column of numbers): the entries of each bucket, in order,
+    """Rows (bucket, kind, a binary for each column of numbers or of rows of numbers): the entries of each bucket, in order,
     in packets of a bounded size. They cross a shuffle at a few bytes an entry and without a row for each."""
     if (bucket[1:] < bucket[:-1]).any():
         order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket, kind="stable")
@@ -170,7 +193,11 @@ def packets(bucket: np.ndarray, columns: dict[str, np.ndarray], kind: int = 0) -
     cuts = -(-sizes // PACKET)
     begin = np.repeat(begin, cuts) + (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * PACKET
     ends = np.append(begin, len(bucket)).astype(np.int64)
-    binary = lambda x: pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+
+    def binary(x: np.ndarray) -> pa.Array:
+        x = np.ascontiguousarray(x)
+        return pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends * x.strides[0]), pa.py_buffer(x)]).cast(pa.binary())
+
     return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[begin].astype(np.int32)), "kind": pa.array(np.full(len(begin), kind, np.int32)), **{n: binary(x) for n, x in columns.items()}})
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucket_of, buckets_for, discard, id_bucket, packets, split_words, stored, text_chunks, unpacked, with_unique_ids, word_hashes
+from .common import bucket_of, buckets_for, discard, id_bucket, mix, packets, split_words, stored, text_chunks, unpacked, with_unique_ids, word_hashes
 
 #: Words of the longest context (the tree's memory), and the least count of a sequence that is stored.
 DEPTH, MIN_COUNT = 3, 2
@@ -23,12 +23,12 @@ SPOT = 2.0**-22
 #: Hash that stands for the end of a text.
 END = 0
 #: Entries that a task gathers before it folds equal ones, or sends them on.
-FOLD = 2_000_000
+FOLD = 1_500_000
 #: Bits of a filter, and the slices in which tasks send it.
 BITS, SLICES = 1 << 28, 64
 
-#: Packets of the scoring join: values of words and of sequences, lookups of words and of sequences, and documents.
-WORD_VALUE, VALUE, WORD_LOOKUP, LOOKUP, DOCUMENT = range(5)
+#: Packets of the scoring join: values of words and of sequences, lookups of words and of sequences, documents, and parts of their sums.
+WORD_VALUE, VALUE, WORD_LOOKUP, LOOKUP, DOCUMENT, PART = range(6)
 PACKETS = "bucket int, kind int, keys binary, numbers binary"
 
 
@@ -262,7 +262,7 @@ def learn_values(docs: DataFrame, words: DataFrame) -> DataFrame:
     return out if values else spark.createDataFrame([], "h long, n long, gain float")
 
 
-SCORES = "key long, doc_id long, n_tokens long, n_known long, base double, gain double"
+SCORES = "doc_id long, n_tokens long, n_known long, base double, gain double"
 
 
 def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFrame:
@@ -332,22 +332,18 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
                 gain += np.bincount(of[may[hit]], gain_of[at[hit]], n)
                 may = may[~hit]
                 waiting[LOOKUP if depth else WORD_LOOKUP].append((keys[may], place + of[may]))
-            yield pa.RecordBatch.from_pydict({
-                "bucket": pa.array((np.arange(n) * buckets // n).astype(np.int32)), "kind": pa.array(np.full(n, DOCUMENT, np.int32)), "keys": pa.array([x.tobytes() for x in np.stack([key, per, n_known], axis=1)], pa.binary()),
-                "numbers": pa.array([x.tobytes() for x in np.stack([base, gain], axis=1)], pa.binary()), "doc_id": chunk.column("doc_id"),
-            })
+            ids_of = chunk.column("doc_id")
+            row = (per, n_known, base.view(np.int64), gain.view(np.int64), ids_of.fill_null(0).to_numpy(), ids_of.is_valid().cast(pa.int64()).to_numpy())
+            yield packets((np.arange(n) * buckets // n).astype(np.int32), {"keys": key, "numbers": np.stack(row, axis=1)}, DOCUMENT)
             if sum(len(k) for parts in waiting.values() for k, _ in parts) > FOLD:
-                yield from map(with_no_id, send())
-        yield from map(with_no_id, send())
-
-    def with_no_id(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.append_column("doc_id", pa.nulls(batch.num_rows, pa.int64()))
+                yield from send()
+        yield from send()
 
     def pack(kind: int) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys = batch.column(0).to_numpy()
-                yield with_no_id(packets(bucket_of(keys, buckets), {"keys": keys, "numbers": batch.column(1).to_numpy()}, kind))
+                yield packets(bucket_of(keys, buckets), {"keys": keys, "numbers": batch.column(1).to_numpy()}, kind)
 
         return run
 
@@ -371,19 +367,33 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
                     base[hit], n_known[hit] = base_of[at[hit]], 1
                 parts.append((of, n_known, base, gain))
             of, n_known, base, gain = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if len(of):
-                key, base, _ = summed(of, base)
-                none = pa.nulls(len(key), pa.int64())
-                yield pa.RecordBatch.from_pydict({"key": key, "doc_id": none, "n_tokens": none, "n_known": summed(of, n_known)[1], "base": base, "gain": summed(of, gain)[1]})
-            part = rows.filter(pa.array(kind == DOCUMENT))
-            if part.num_rows:
-                key, per, n_known = unpacked(part.column("keys"), np.int64).reshape(-1, 3).T
-                base, gain = unpacked(part.column("numbers"), np.float64).reshape(-1, 2).T
-                yield pa.RecordBatch.from_pydict({"key": np.ascontiguousarray(key), "doc_id": part.column("doc_id"), "n_tokens": np.ascontiguousarray(per), "n_known": np.ascontiguousarray(n_known), "base": np.ascontiguousarray(base), "gain": np.ascontiguousarray(gain)})
-
-    schema = f"{PACKETS}, doc_id long"
-    asked = keyed.mapInArrow(lookups, schema).union(words.select("h", "logp").mapInArrow(pack(WORD_VALUE), schema)).union(values.select("h", "gain").mapInArrow(pack(VALUE), schema))
-    sums = dealt(asked).mapInArrow(meet, SCORES).groupBy("key").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "gain")))
+            key, base, _ = summed(of, base)
+            row = (summed(of, n_known)[1], base.view(np.int64), summed(of, gain)[1].view(np.int64))
+            yield packets(of_document(key), {"keys": key, "numbers": np.stack(row, axis=1)}, PART)
+            key, numbers = of_kind(DOCUMENT, t=np.int64)
+            yield packets(of_document(key), {"keys": key, "numbers": numbers.reshape(-1, 6)}, DOCUMENT)
+
+    def of_document(key: np.ndarray) -> np.ndarray:
+        return bucket_of(mix(key.view(np.uint64)), buckets)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in of_buckets(batches):
+            kind = rows.column("kind").to_numpy()
+            parts = []
+            for k, width in ((DOCUMENT, 6), (PART, 3)):
+                part = rows.filter(pa.array(kind == k))
+                parts.append((unpacked(part.column("keys"), np.int64), unpacked(part.column("numbers"), np.int64).reshape(-1, width)))
+            (docs, whole), (keys, more) = parts
+            at = np.argsort(docs)
+            docs, whole = docs[at], whole[at]
+            place = np.searchsorted(docs, keys)
+            add = lambda first, column: first + np.bincount(place, np.ascontiguousarray(more[:, column]).view(np.float64), len(docs))  # noqa: B023, E731
+            real = lambda column: np.ascontiguousarray(whole[:, column]).view(np.float64)  # noqa: B023, E731
+            n_known = whole[:, 1] + np.bincount(place, more[:, 0], len(docs)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(whole[:, 4], pa.int64(), mask=whole[:, 5] == 0), "n_tokens": pa.array(whole[:, 0]), "n_known": n_known, "base": add(real(2), 1), "gain": add(real(3), 2)})
+
+    asked = keyed.mapInArrow(lookups, PACKETS).union(words.select("h", "logp").mapInArrow(pack(WORD_VALUE), PACKETS)).union(values.select("h", "gain").mapInArrow(pack(VALUE), PACKETS))
+    sums = dealt(dealt(asked).mapInArrow(meet, PACKETS)).mapInArrow(add_up, SCORES)
     return sums.select("doc_id", (id_bucket(holdout) == remainder).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"))
 
 
