@@ -142,7 +142,7 @@ class PieceCodec:
         of = np.searchsorted(units, begin)  # a text's first unit
         offsets = starts_of(self.lengths[place])[of]
         ids = ragged_take(self.ids, starts_of(self.lengths)[:-1], self.lengths, place)
-        return ids, offsets, np.bincount(np.repeat(np.arange(len(texts)), np.diff(of)), self.scores[place], len(texts))
+        return ids, offsets, np.bincount(np.repeat(np.arange(len(texts)), np.diff(of)), self.scores[place], len(texts)).astype(np.float64)
 
     def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all texts in a row, each with its space in front, and the offsets at which each begins."""
