@@ -58,11 +58,6 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", 1, 5, "h", 7) for i, t in rows], SCHEMA).repartition(3)
 
 
-@pytest.fixture
-def small_chunks(monkeypatch):
-    monkeypatch.setattr("tidelog.llm.common.CHUNK_BYTES", 200)
-
-
 def test_exact_dedup_sql(spark):
     assert difference(queries.queries()["op2_exact_dedup"](spark, SF), exact_dedup.ORACLE_SQL, SF) == ""
 
@@ -140,7 +135,7 @@ def test_trie_join_is_exact():
     r = np.random.default_rng(1)
     base = r.choice(2**60, 80, replace=False).astype(np.uint64)
     sets = [np.unique(np.concatenate([r.choice(base, r.integers(60, 80), replace=False), r.integers(0, 2**60, r.integers(0, 6)).astype(np.uint64)])) for _ in range(60)]
-    got = sorted(ngram_join.Trie(sets).similar(sets))
+    got = sorted(ngram_join.Trie(sets, np.ones(ngram_join.COUNTERS, np.int32)).similar(sets))
     want = sorted((i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)))
     assert got == want
 
@@ -256,11 +251,99 @@ def test_piece_codec(spark, docs, rows):
         assert codec.decode(codec.encode(t)[0]) == t
 
 
+def brute_language(rows, learn):
+    """Language and cosine of each text, trigram by trigram; `learn` tells which rows are learned from."""
+    letters = np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (language_id.LETTERS, language_id.DIMENSIONS)).astype(np.float64)
+
+    def symbol(c):
+        low = c.lower()[0]
+        at = language_id.OWN.find(low)
+        return (1 + at if at >= 0 else 1 + len(language_id.OWN) + ord(low) % (language_id.LETTERS - 1 - len(language_id.OWN))) if c.isalpha() else 0
+
+    def bundle(text):
+        s = [0]
+        for c in (text or "") + " ":
+            if (x := symbol(c)) or s[-1]:
+                s.append(x)
+        grams = Counter(zip(s, s[1:], s[2:], strict=False))
+        return sum((np.sqrt(n) * np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for (a, b, c), n in grams.items()), np.zeros(letters.shape[1]))
+
+    protos = defaultdict(lambda: np.zeros(letters.shape[1]))
+    for i, t, lang in rows:
+        if learn(i) and lang and t:
+            protos[lang] += bundle(t)
+    names = sorted(x for x in protos if np.abs(protos[x]).any())
+    unit = {x: protos[x] / np.linalg.norm(protos[x]) for x in names}
+    out = {}
+    for i, t, _ in rows:
+        v = bundle(t)
+        scored = [(float(unit[x] @ v / np.linalg.norm(v)), x) for x in names] if np.abs(v).any() else []
+        best = max(scored, key=lambda x: (x[0], [-ord(c) for c in x[1]])) if scored else (0.0, "und")
+        out[i] = (best[1], max(best[0], 0.0))
+    return out
+
+
 def test_language_id(spark):
-    r = language_id.language_id(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id")
-    assert r.filter("held_out").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.97
+    sf = "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(sf)
+    r = language_id.language_id(docs).join(docs, "doc_id")
+    assert r.filter("held_out").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.98
     odd = spark.createDataFrame([(1, None, "en"), (2, "12 !?", None), (3, "the and of", "en")], "doc_id long, text string, lang string")
     assert {x.doc_id: x.lang_pred for x in language_id.language_id(odd).collect()} == {1: "und", 2: "und", 3: "en"}
+    rows = [(x.doc_id, x.text, x.lang) for x in docs.filter("n_chars < 1500").limit(60).collect()] + [(90_001, "Ñandú été", "es"), (90_002, "слово и дело", None), (90_003, "é", "fr")]
+    want = brute_language(rows, lambda i: zlib.crc32(str(i).encode()) % 4 != 2)
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert {i: x for i, (x, _) in got.items()} == {i: x for i, (x, _) in want.items()}
+    assert {i: s for i, (_, s) in got.items()} == pytest.approx({i: s for i, (_, s) in want.items()}, abs=1e-4)
+
+
+def test_language_filter_tells_junk_from_text(spark):
+    """No document of the table goes; hexadecimal, base64, code and an unknown script go, if long enough to tell."""
+    r = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = ["".join(r.choices("0123456789abcdef", k=900)), "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=900)), "for(int i=0;i<n;i++){x[i]=y[i];}\n" * 30, "привет мир это текст на русском языке " * 9, "12 34 !!", None, ""]
+    short = ["ff", "x[i]"]
+    rows = [(10**6 + k, t, None) for k, t in enumerate([*junk, *short])]
+    kept = {x.doc_id for x in language_id.language_filter(docs.union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).collect()}
+    assert kept == {x.doc_id for x in docs.collect()} | {10**6 + len(junk) + k for k in range(len(short))}
+
+
+def brute_signature(text, samples):
+    """Consistent weighted samples, term by term, as 16-bit hashes."""
+    counts, out = Counter(words(text)), []
+    if not counts:
+        return None
+    terms = list(counts)
+    h = np.array([fingerprints.word_hashes(pa.array([t.decode()]))[0] for t in terms], np.uint64)
+    r, inverse, log_c, beta = fingerprints.term_draws(h, samples)
+    for k in range(samples):
+        best = None
+        for j, t in enumerate(terms):
+            level = np.floor(np.log(np.float32(counts[t])) * inverse[j, k] + beta[j, k])
+            rate = log_c[j, k] - r[j, k] * (level - beta[j, k] + 1)
+            if best is None or rate < best[0]:
+                best = (rate, h[j], level)
+        out.append(int(fingerprints.mix(np.array([best[1]]) ^ fingerprints.mix(np.array([best[2]]).astype(np.int64).view(np.uint64)))[0] >> np.uint64(48)))
+    return out
+
+
+@pytest.mark.parametrize("terms", [fingerprints.TERMS, 7])
+def test_fingerprints_against_every_term(spark, rows, monkeypatch, terms):
+    """The query's columns from plain samples of each text, its edit and the next one; blocks of terms change nothing."""
+    monkeypatch.setattr(fingerprints, "TERMS", terms)
+    some = [(i, t) for i, t in sorted(rows) if len(t or "") < 700]
+    texts = [t or "" for _, t in some]
+    changed = [t[: len(t) - len(t) // 4] + texts[(k + 1) % len(texts)][: len(t) // 4] for k, t in enumerate(texts)]
+    marks, other = ([brute_signature(t, fingerprints.SAMPLES) for t in x] for x in (texts, changed))
+    alike = lambda a, b: float(np.mean(np.array(a) == np.array(b))) if a and b else float(a is b is None)
+    shown = lambda m: "".join(f"{x:04x}" for x in m) if m else ""
+    if terms == 7:
+        got = fingerprints.signatures(texts)
+        assert [shown(x.tolist()) if m else "" for x, m in zip(got, marks, strict=True)] == [shown(m) for m in marks]
+        return
+    want = {i: (shown(m), shown(o), alike(m, o), alike(m, marks[(k + 1) % len(marks)])) for k, ((i, _), m, o) in enumerate(zip(some, marks, other, strict=True))}
+    frame = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: (x.fingerprint, x.edited_fingerprint, x.near_edited, x.near_next) for x in fingerprints.fingerprints(frame).collect()} == want
 
 
 def test_quality(spark):
@@ -276,9 +359,42 @@ ALL = {
 }
 
 
+def by_rank(values):
+    """The op's rows of the odd table below: null and empty text, 'a b' without id, twice with id 7, and 'c'."""
+    return sorted(values, key=repr)
+
+
+ODD = {
+    "op1": (lambda r: (r.doc_id, r.n_tokens), [(None, 1), (None, 3), (7, 3), (7, 3), (7, 2)]),
+    "op2": (lambda r: (r.doc_id, r.keep_id, r.group_size, r.kept), [(None, None, 1, True), (None, 7, 3, False), (7, 7, 3, True), (7, 7, 3, True), (7, 7, 1, True)]),
+    "op3": (lambda r: (r.doc_id, r.n_words, r.n_removed), [(None, 0, 0), (None, 2, 0), (7, 2, 0), (7, 2, 0), (7, 1, 0)]),
+    "op4": (lambda r: (r.doc_id, r.n_chars, 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1), [(None, 0, True), (None, 3, True), (7, 3, True), (7, 3, True), (7, 1, True)]),
+    "op5": (lambda r: (r.doc_id, r.n_shingles, r.component_id), [(None, 0, None), (None, 1, None), (7, 1, None), (7, 1, None), (7, 1, 7)]),
+    "op6": (lambda r: (r.doc_id, r.n_tokens, r.score < 0), [(None, 1, True), (None, 3, True), (7, 3, True), (7, 3, True), (7, 2, True)]),
+    "op7": (lambda r: (r.doc_id, 0 <= r.score <= 1, r.predicted == int(r.score >= 0.3)), [(None, True, True)] * 2 + [(7, True, True)] * 3),
+    "op8": (lambda r: (r.doc_id, r.n_pieces, r.round_trip), [(None, 0, True), (None, 2, True), (7, 2, True), (7, 2, True), (7, 1, True)]),
+    "op9": (lambda r: (r.doc_id, r.start, r.length, r.doc_tokens), [(None, 0, 1, 1), (None, 0, 3, 3), (7, 0, 3, 3), (7, 0, 3, 3), (7, 0, 2, 2)]),
+    "op10": (lambda r: (r.doc_id, r.lang_pred), [(None, "und"), (None, "en"), (7, "en"), (7, "en"), (7, "en")]),
+}
+
+
 @pytest.mark.parametrize("name", ALL)
 def test_empty_null_and_repeated_rows(spark, name):
     empty = spark.createDataFrame([], SCHEMA)
     assert ALL[name](empty).collect() == []
     odd = spark.createDataFrame([(None, None, None, None, None, None, None, None), (None, "a b", "en", "", 1, 1, "", 1), (7, "a b", "en", "", 1, 1, "", 1), (7, "a b", "en", "", 1, 1, "", 1), (7, "c", None, "", 1, 1, "", 1)], SCHEMA)
-    assert len(ALL[name](odd).collect()) == 5
+    take, want = ODD[name]
+    assert by_rank(take(r) for r in ALL[name](odd).collect()) == by_rank(want)
+
+
+@pytest.mark.parametrize("name", ["op1", "op3", "op5", "op6", "op8", "op9", "op10"])
+def test_chunk_borders_change_nothing(spark, name):
+    """About 7 MB of texts, some of over 100,000 characters, as one task's chunks and as many tasks'."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 2500").select("doc_id", "text", "lang")
+    long = docs.filter("doc_id < 60").agg(F.concat_ws("\n", F.sort_array(F.collect_list("text"))).alias("text")).select(F.lit(10**6).alias("doc_id"), "text", F.lit("en").alias("lang"))
+    docs = docs.union(long)
+    rows = lambda d: {(r.doc_id, r.asDict().get("start", 0)): {k: v for k, v in r.asDict().items() if k not in ("sequence_id", "offset")} for r in ALL[name](d).collect()}
+    one, many = rows(docs.coalesce(1)), rows(docs.repartition(11))
+    assert one.keys() == many.keys() and len(one) >= 2501
+    for k, r in one.items():
+        assert {x: pytest.approx(v, rel=1e-6, abs=1e-4) if isinstance(v, float) else v for x, v in r.items()} == many[k]

@@ -49,8 +49,8 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 def exact_dedup_filter(docs: DataFrame) -> DataFrame:
     """One row of each text, with all its columns: of the largest doc_id, and one where rows repeat an id or have none."""
     rows = with_row_keys(docs)
-    keep = exact_dedup(rows.select(F.col("_row").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_row"))
-    return rows.join(keep, "_row", "left_semi").select(docs.columns)
+    keep = exact_dedup(rows.select(F.col("_tidelog_row").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_tidelog_row"))
+    return rows.join(keep, "_tidelog_row", "left_semi").select(docs.columns)
 
 
 ORACLE_SQL = f"""

@@ -399,13 +399,13 @@ def covered(words: list[bytes], marks: list[dict]) -> np.ndarray:
 
 def with_marks(keyed: DataFrame, marks: DataFrame, key: str = "key") -> DataFrame:
     """Documents with the lists of their own marked windows (as many as they have words at most)."""
-    lists = marks.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("start", "n", "words")).alias("_marks"))
+    lists = marks.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("start", "n", "words")).alias("_tidelog_marks"))
     return keyed.join(lists, key, "left")
 
 
 def kept_words(rows: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
     """Words, words removed, and the kept words joined by one space, of each row."""
-    for text, marks in zip(rows.column("text").to_pylist(), rows.column("_marks").to_pylist(), strict=True):
+    for text, marks in zip(rows.column("text").to_pylist(), rows.column("_tidelog_marks").to_pylist(), strict=True):
         words = text.encode().split()
         if marks:
             drop = covered(words, marks)
@@ -453,7 +453,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
             n, gone, sha = zip(*((a, b, hashlib.sha256(c).hexdigest()) for a, b, c in kept_words(chunk)), strict=True)
             yield pa.RecordBatch.from_pydict({"doc_id": chunk.column("doc_id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": list(sha)})
 
-    return with_marks(keyed, marks).select("doc_id", "text", "_marks").mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_marks(keyed, marks).select("doc_id", "text", "_tidelog_marks").mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def substring_filter(docs: DataFrame) -> DataFrame:
@@ -463,7 +463,7 @@ def substring_filter(docs: DataFrame) -> DataFrame:
     """
     schema, names = docs.schema, docs.columns
     rows = with_row_keys(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    marks = repeated_windows(rows.select(F.col("_row").alias("key"), "text"))
+    marks = repeated_windows(rows.select(F.col("_tidelog_row").alias("key"), "text"))
     types: Callable = lambda n, batch: batch.schema.field(n).type
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,4 +477,4 @@ def substring_filter(docs: DataFrame) -> DataFrame:
                 out["n_chars"] = pa.array([len(t) for t in texts], types("n_chars", chunk))
             yield pa.RecordBatch.from_pydict(out).filter(pa.array(stays, pa.bool_()))
 
-    return with_marks(rows, marks, "_row").mapInArrow(apply, schema)
+    return with_marks(rows, marks, "_tidelog_row").mapInArrow(apply, schema)
