@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import parsers, text
 from tidelog.operators import alerts, assemble, query, templates
 from tidelog.operators.detectors import error_rate, mann_whitney
+from tidelog.operators.events import event_view
 from tidelog.sources.lines import read_lines, stream_lines, write_json_lines
 from tidelog.streaming.windows import error_window_stream, hourly_volume_stream
 
@@ -78,14 +79,41 @@ def test_error_surge(spark):
 
 def test_formats_are_told_apart(spark):
     samples = {
-        "json": '{"msg": "x", "level": "warn"}', "logfmt": "ts=2026-01-01T00:00:00Z level=info msg=x", "access": '1.2.3.4 - - [01/Jan/2026:00:00:00 +0000] "GET / HTTP/1.1" 200 5',
-        "syslog5424": "<34>1 2026-01-01T00:00:00Z h app 7 - - hello", "syslog3164": "<34>Jan  2 03:04:05 h su[9]: hello",
+        "json": '{"msg": "x", "level": "warn"}', "logfmt": "ts=2026-01-01T00:00:00Z level=info msg=x", "access_combined": '1.2.3.4 - - [01/Jan/2026:00:00:00 +0000] "GET / HTTP/1.1" 200 5',
+        "syslog": "<34>1 2026-01-01T00:00:00Z h app 7 - - hello",
     }
     for name, line in samples.items():
         assert parsers.detect(lines(spark, line, line), parsers.registry(2026)) == name
-    got = parsers.parse_lines(lines(spark, *samples.values(), "plain"), parsers.registry(2026)).orderBy("seq").collect()
-    assert [r.parser for r in got] == [*samples, None]
+    old = "<34>Jan  2 03:04:05 h su[9]: hello"
+    got = parsers.parse_lines(lines(spark, *samples.values(), old, "plain"), parsers.registry(2026)).orderBy("seq").collect()
+    assert [r.parser for r in got] == [*samples, "syslog", None]
     assert [r.level for r in got] == ["warning", "info", None, "critical", "critical", None]
+    assert all(r.parse_error is None for r in got[:-1]) and "no format resembles" in got[-1].parse_error
+
+
+def test_scores_have_their_tiers(spark):
+    cases = {
+        "json": {'{"a": 1}': 0.6, '{"MSG": 1}': 0.95, '{"a": ]}': 0.15, '{"a": "': 0.05, "[1]": 0.0},
+        "logfmt": {"a=1 b=2": 0.9, "a=1 b": 0.7, "msg=x plain words here": 0.9, 'a="open': 0.0, "words": 0.0, "a='x y' b": 0.7},
+        "access_combined": {'x "GET /" 200 y': 0.2, '"GET" x': 0.0},
+        "syslog": {"<34>1 what": 0.4, "Jan  2 03:04 x": 0.5, "<34>x": 0.0, "Jan  2 03:04:05 h su[9]: m": 0.95},
+    }
+    for name, want in cases.items():
+        parser = [p for p in parsers.registry(2026) if p.name == name]
+        for line, score in want.items():
+            assert parsers.scores(lines(spark, line), parser)[name] == score, (name, line)
+    assert parsers.detect(lines(spark, "plain words"), parsers.registry(2026)) is None
+
+
+def test_a_locked_parser_has_the_last_word(spark):
+    """A broken line of the locked format is not read by another parser; a line of another format is."""
+    rows = lines(spark, '{"a": x=1', "k=v", "<34>1 2026-01-01T00:00:00Z h app 7 - - hello")
+    free = [r.parser for r in parsers.parse_lines(rows, parsers.registry(2026)).orderBy("seq").collect()]
+    got = parsers.parse_lines(rows, parsers.registry(2026), "json").orderBy("seq").collect()
+    assert free == ["logfmt", "logfmt", "syslog"] and [r.parser for r in got] == [None, "logfmt", "syslog"]
+    assert got[0].parse_error.startswith("json: ") and got[0].parse_status == "unparsed" and got[0].message == '{"a": x=1'
+    with pytest.raises(ValueError, match="named groups"):
+        parsers.registry(2026, "no groups")
 
 
 def test_timestamps(spark):
@@ -102,6 +130,24 @@ def test_query_errors():
     assert query.parse_query({"level": " ERROR ", "text": " "}) == query.QuerySpec(level="error")
 
 
+def test_filters_reach_the_scan(spark):
+    e = event_view(spark, "/root/testdata/sf0.001")
+    found = query.execute(e, query.QuerySpec(since=1704412800.0, until=1705622400.0))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
+    counts = query.counters(e.withColumn("level", F.nullif("level", F.lit("info"))), query.QuerySpec(level="error")).first()
+    assert counts.scanned == e.count() and counts.matched == e.filter("level = 'error'").count()
+
+
+def test_long_lines_are_cut_by_bytes(spark, tmp_path):
+    euro = "x" * 32_767 + "€" * 30_000 + "end"
+    (tmp_path / "a.log").write_text(f"short\n{euro}\n")
+    rows = sorted(read_lines(spark, str(tmp_path)).collect(), key=lambda r: r.seq)
+    assert len({r.seq for r in rows}) == len(rows) and rows[0].text == "short"
+    assert "".join(r.text for r in rows[1:]) == euro and all(len(r.text.encode()) <= 32_768 and r.valid_utf8 and r.flags == 1 for r in rows[1:])
+    assert rows[1].text == "x" * 32_767 and len(rows) == 5
+
+
 def test_line_sources_and_sink(spark, tmp_path):
     (tmp_path / "a.log").write_bytes(b"one\r\ntwo\n" + b"x" * 40_000 + b"\n\xff\n")
     (tmp_path / "b.log.gz").write_bytes(gzip.compress(b"zip\n"))

@@ -4,6 +4,7 @@ import http.server
 import io
 import json
 import os
+import random
 import socket
 import sys
 import threading
@@ -82,10 +83,11 @@ def test_saved_state_resumes(spark, tmp_path):
 def test_hooks(spark, tmp_path):
     out = tmp_path / "out"
     cat = hooks.Command([sys.executable, "-c", f"import sys; open({str(out)!r}, 'a').write(sys.stdin.read())"])
-    assert cat.deliver("{}\n").ok and out.read_text() == "{}\n"
-    assert not hooks.Command([sys.executable, "-c", "raise SystemExit(3)"]).deliver("").ok
-    assert hooks.Command([sys.executable, "-c", "import time; time.sleep(9)"], timeout_s=0.2).deliver("").detail == "TimeoutExpired"
-    assert hooks.Command(["/no/such/program"]).deliver("").detail == "FileNotFoundError"
+    assert hooks.attempt(cat, "{}\n") is None and out.read_text() == "{}\n"
+    assert "code 3" in hooks.attempt(hooks.Command([sys.executable, "-c", "raise SystemExit(3)"]), "")
+    assert "still running" in hooks.attempt(hooks.Command([sys.executable, "-c", "import time; time.sleep(9)"], timeout_s=0.2), "")
+    assert hooks.attempt(hooks.Command(["/no/such/program"]), "").startswith("FileNotFoundError")
+    assert hooks.attempt(hooks.dry(hooks.Command(["/no/such/program"])), "") is None
     posted = []
 
     class Answer(http.server.BaseHTTPRequestHandler):
@@ -100,12 +102,11 @@ def test_hooks(spark, tmp_path):
     server = http.server.HTTPServer(("127.0.0.1", 0), Answer)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     address = f"http://127.0.0.1:{server.server_port}"
-    assert hooks.Post(f"{address}/ok").deliver('{"a": 1}').ok and posted == [b'{"a": 1}']
-    assert not hooks.Post(f"{address}/no").deliver("{}").ok
+    assert hooks.attempt(hooks.Post(f"{address}/ok"), '{"a": 1}') is None and posted == [b'{"a": 1}']
+    assert "500" in hooks.attempt(hooks.Post(f"{address}/no"), "{}")
     server.shutdown()
-    failures = []
-    hooks.dispatch([hooks.Command(["/no/such/program"]), cat], failures.append)(spark.createDataFrame([("x\n",)], "payload string"), 0)
-    assert len(failures) == 1 and out.read_text() == "{}\nx\n"
+    got = hooks.deliveries(spark.createDataFrame([("x\n",), ("y\n",)], "payload string"), [hooks.Command(["/no/such/program"]), cat]).collect()
+    assert sorted((r.sent, r.failed) for r in got) == [(0, 2), (2, 0)] and sorted(out.read_text().split()) == ["x", "y", "{}"]
 
 
 def test_stream_delivers_to_hooks(spark, tmp_path):
@@ -131,9 +132,14 @@ def test_tail_follows_growth_and_rotation(tmp_path):
         f.write(b"f\n\xff\n")
     second = reader.latestOffset()
     assert read(first, second) == ["half", "\ufffd"] and read(second, second) == []
+    with path.open("ab") as f:
+        f.write(b"late\nlast")
     os.rename(path, tmp_path / "a.log.1")
     path.write_bytes(b"new\n")
-    assert read(second, reader.latestOffset()) == ["new"]
+    third = reader.latestOffset()
+    assert read(second, third) == ["late", "last", "new"]
+    path.write_bytes(b"n\n")
+    assert read(third, reader.latestOffset()) == ["n"]
 
 
 def test_tail_splits_into_ranges(tmp_path, monkeypatch):
@@ -243,3 +249,66 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["summary", str(log)]) == cli.OK
     assert cli.main(["query", str(log), "--where", "level=error", "--limit", "2"]) == cli.OK
     assert capsys.readouterr().out.count("error\ta.log\thello") == 2
+
+
+def test_live_run_gives_the_alerts_of_a_replay(spark, tmp_path, capsys, monkeypatch):
+    """Two batches of lines: a template that is new in the second raises its alert once, and a hook gets it."""
+    monkeypatch.setattr(cli, "local_session", lambda: spark)
+    logs, got = tmp_path / "logs", tmp_path / "got"
+    logs.mkdir()
+    conf = tmp_path / "c.toml"
+    code = f"import sys; open({str(got)!r}, 'a').write(sys.stdin.read() + chr(10))"
+    conf.write_text(f'warmup_seconds = 60\n[[hooks]]\ntype = "exec"\nargv = [{json.dumps(sys.executable)}, "-c", {json.dumps(code)}]\n')
+    line = lambda second, words: f"ts=2026-01-01T00:{second // 60:02d}:{second % 60:02d}Z level=info msg={json.dumps(words)}\n"
+    (logs / "a.log").write_text("".join(line(s, "steady work goes on") for s in range(0, 300, 2)))
+    args = ["--config", str(conf), "run", f"dir:{logs}", "--state", f"file://{tmp_path}/state", "--once"]
+    assert cli.main(args) == cli.OK and capsys.readouterr().out == ""
+    (logs / "b.log").write_text("".join(line(s, "mayday something burns") for s in range(400, 430, 10)))
+    assert cli.main(args) == cli.OK
+    out = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [p["detector"] for p in out] == ["new_template"] and json.loads(got.read_text())["id"] == out[0]["id"]
+    (logs / "c.log").write_text(line(440, "steady work goes on"))
+    assert cli.main(args) == cli.OK and capsys.readouterr().out == ""
+
+
+def test_saved_volumes_are_baselines(spark, tmp_path):
+    """A replay of the later weeks with what the earlier ones saved scores as a replay of all."""
+    from tidelog.operators import detectors
+
+    hours = [(f"t{k}", h, (20 if (h + k) % 168 else 400) + h % 7) for k in range(2) for h in range(0, 168 * 5)]
+    rows = spark.createDataFrame(hours, "template_text string, bucket long, n int")
+    events = rows.select("template_text", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_i"), F.timestamp_seconds(F.col("bucket") * 3600).alias("ts"))
+    whole = {(r.template_text, r.bucket): (r.expected, r.z) for r in detectors.volume(events).filter(f"bucket >= {168 * 4} and basis = 'week'").collect()}
+    early, late = events.filter(F.col("ts") < F.timestamp_seconds(F.lit(168 * 4 * 3600))), events.filter(F.col("ts") >= F.timestamp_seconds(F.lit(168 * 4 * 3600)))
+    from tidelog.operators import baselines
+
+    state.save(state.trimmed(state.volume_state(baselines.hourly_volume(early))), f"file://{tmp_path}/state")
+    saved = state.load(spark, f"file://{tmp_path}/state").filter("kind = 'volume'").select(F.col("key").alias("template_text"), F.floor(F.col("at") / 3600).alias("bucket"), F.col("value").alias("n"))
+    resumed = {(r.template_text, r.bucket): (r.expected, r.z) for r in detectors.volume(late, history=saved).filter("basis = 'week'").collect()}
+    assert len(whole) == 2 * 168 and resumed == whole
+    alone = detectors.volume(late).filter("basis = 'week'")
+    assert alone.isEmpty()
+
+
+def test_lines_before_an_alert(spark):
+    events = spark.createDataFrame([(k, "ab"[k % 3 == 0], f"line {k}") for k in range(20)], "seq long, template_text string, message string")
+    raised = spark.createDataFrame([(1, 8, "b"), (2, 2, "b"), (3, 0, "a")], "alert_id long, seq long, template_text string")
+    got = {r.alert_id: r.evidence_before for r in alerts.lines_before(raised, events).collect()}
+    assert got == {1: [f"line {k}" for k in (6, 5, 4, 3, 2)], 2: ["line 0"]}
+
+
+def test_positions_and_running_sums(spark):
+    r = random.Random(2)
+    rows = [(k, r.choice("aab"), r.randrange(50)) for k in range(500)]
+    df = spark.createDataFrame(rows, "id long, key string, n long").repartition(5)
+    got = {x.id: x.p for x in ordered.positions(df, ["n", "id"], "p").collect()}
+    order = sorted(rows, key=lambda x: (x[2], x[0]))
+    assert got == {x[0]: k + 1 for k, x in enumerate(order)}
+    within = {x.id: x.p for x in ordered.positions(df, ["n", "id"], "p", by="key").collect()}
+    assert within == {x[0]: k + 1 for key in "ab" for k, x in enumerate(x for x in order if x[1] == key)}
+    sums = {x.id: x.n for x in ordered.running_sums(df.withColumn("m", F.col("n")), ["m", "id"], ["n"]).collect()}
+    total, want = 0, {}
+    for x in order:
+        total += x[2]
+        want[x[0]] = total
+    assert sums == want

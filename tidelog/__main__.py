@@ -1,4 +1,4 @@
-"""Command line: replay, query, summary, generate, config validate, hooks test."""
+"""Command line: run, replay, query, summary, generate, config validate, hooks test."""
 
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from . import config
 from .operators import alerts, query, replay
 from .session import local_session, prepare
-from .sources import corpus, targets
+from .sources import corpus, hooks, targets
+from .streaming import live
 
 #: Exit codes.
 OK, FAILED, USAGE, BAD_CONFIG = 0, 1, 2, 3
@@ -24,10 +25,24 @@ def show(rows: DataFrame) -> None:
         print("\t".join("" if v is None else str(v) for v in row))
 
 
+def report(rows: list) -> None:
+    for r in rows:
+        if r.failed:
+            print(f"tidelog: {r.hook}: {r.failed} of {r.sent + r.failed} alerts didn't arrive ({r.why})", file=sys.stderr)
+
+
+def do_run(args: argparse.Namespace, settings: config.Settings, lines: DataFrame) -> None:
+    """Follow a target and print alerts as they come, until it is stopped; with --once, until what is there is done."""
+    query = live.run(lines, args.state, settings, emit=lambda out: show(out.select("payload")), trigger={"availableNow": True} if args.once else None)
+    query.awaitTermination()
+
+
 def do_replay(args: argparse.Namespace, settings: config.Settings, events: DataFrame) -> None:
     """Each target alone, as JSON lines."""
     out = replay.replay(events, settings)
     show(out.select("explain" if args.explain else "payload"))
+    if settings.hooks:
+        report(hooks.deliveries(out, list(settings.hooks)).collect())
     if args.suggest is not None:
         span = events.agg((F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / 1e6).first()[0]
         show(alerts.suggested_thresholds(out, span or 0.0, args.suggest))
@@ -58,6 +73,11 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("targets", nargs="+")
         p.add_argument("--spool", help="shared folder for standard input")
         p.add_argument("--limit", type=int, default=20)
+    p = sub.add_parser("run")
+    p.add_argument("targets", nargs=1)
+    p.add_argument("--spool", help="shared folder for standard input")
+    p.add_argument("--state", required=True, help="shared folder for lines, alerts and checkpoints")
+    p.add_argument("--once", action="store_true")
     sub.choices["replay"].add_argument("--suggest", type=float, metavar="PER_HOUR")
     sub.choices["replay"].add_argument("--explain", action="store_true")
     sub.choices["query"].add_argument("--where", action="append", default=[], metavar="NAME=VALUE")
@@ -88,8 +108,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "config":
         return OK
     if args.command == "hooks":
-        results = [type(h)(**{**vars(h), "dry_run": True}).deliver('{"schema": "tidelog.alert/1", "detector": "test"}') for h in settings.hooks]
-        return OK if all(r.ok for r in results) else FAILED
+        return FAILED if any(hooks.attempt(hooks.dry(h), '{"schema": "tidelog.alert/1", "detector": "test"}') for h in settings.hooks) else OK
     spark = prepare(local_session())
     try:
         if args.command == "generate":
@@ -98,8 +117,12 @@ def main(argv: list[str] | None = None) -> int:
             corpus.labels(spark, made).write.json(f"{args.folder}/labels")
         else:
             for target in args.targets:
-                lines = targets.read(spark, targets.Target.parse(target), args.spool or tempfile.mkdtemp(prefix="tidelog-stdin-"))
-                ACTIONS[args.command](args, settings, replay.events_of(lines, settings))
+                source = targets.stream if args.command == "run" else targets.read
+                lines = source(spark, targets.Target.parse(target), args.spool or tempfile.mkdtemp(prefix="tidelog-stdin-"))
+                if args.command == "run":
+                    do_run(args, settings, lines)
+                else:
+                    ACTIONS[args.command](args, settings, replay.events_of(lines, settings))
     except (query.QueryError, OSError, ValueError) as e:
         print(f"tidelog: {e}", file=sys.stderr)
         return USAGE if isinstance(e, query.QueryError) else FAILED

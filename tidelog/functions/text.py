@@ -12,8 +12,8 @@ SLOT = "<*>"
 #: Spellings of the seven levels.
 LEVELS = {
     "trace": ["trace"],
-    "debug": ["debug"],
-    "info": ["info", "information", "informational"],
+    "debug": ["debug", "dbg"],
+    "info": ["info", "information"],
     "notice": ["notice"],
     "warning": ["warning", "warn"],
     "error": ["error", "err"],
@@ -57,8 +57,9 @@ def timestamp_of(text: Column) -> Column:
     return F.coalesce(
         F.when(t.rlike(r"^\d{9,12}$"), F.timestamp_seconds(t.try_cast("double"))),
         F.when(t.rlike(r"^\d{13}$"), F.timestamp_millis(t.try_cast("long"))),
-        F.when(t.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d"), F.regexp_replace(t, ",", ".").try_cast("timestamp")),
-        *[F.try_to_timestamp(t, F.lit(p)) for p in ("yyyy/MM/dd HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss Z", "dd/MMM/yyyy:HH:mm:ss")],
+        F.when(t.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d|$)"), F.regexp_replace(t, ",", ".").try_cast("timestamp")),
+        F.when(t.rlike(r"^\d{8}$"), F.try_to_timestamp(t, F.lit("yyyyMMdd"))),
+        *[F.try_to_timestamp(t, F.lit(p)) for p in ("yyyy/MM/dd HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "MM-dd-yyyy HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss Z", "dd/MMM/yyyy:HH:mm:ss")],
     )
 
 
@@ -75,3 +76,15 @@ def groups(text: Column, pattern: str, count: int) -> Column:
     """All groups of an expression that matches the whole text, as an array, from one match."""
     apart = "\u0001\u0002\u0001"
     return F.transform(F.split(F.regexp_replace(text, pattern, apart.join(f"${i}" for i in range(1, count + 1))), apart), lambda x: F.nullif(x, F.lit("")))
+
+
+def unterminated(line: Column) -> Column:
+    """Whether brackets or quotes stay open, folding over the characters with escapes in mind."""
+    state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"))
+
+    def step(s: Column, c: Column) -> Column:
+        quote = (c == '"') & ~s["escaped"]
+        depth = F.when(s["quoted"], s["depth"]).when(c.isin("{", "["), s["depth"] + 1).when(c.isin("}", "]"), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        return F.struct(depth.alias("depth"), F.when(quote, ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"), (s["quoted"] & (c == "\\") & ~s["escaped"]).alias("escaped"))
+
+    return F.aggregate(F.split(line, ""), state, step, lambda s: (s["depth"] > 0) | s["quoted"])

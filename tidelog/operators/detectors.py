@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import robust_z, severity, two_proportion_z
-from .baselines import hourly_volume, prior_statistics
-from .ordered import walk
+from .baselines import hourly_volume, marked_excluded, prior_statistics
+from .ordered import positions, running_sums, walk
 
 
 @dataclass(frozen=True)
@@ -49,36 +49,64 @@ class DetectorConfig:
     gram_share: float = 0.6
 
 
-def volume(events: DataFrame, config: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Hourly counts scored against the same hour of day before: median of the ring, a spread of
-    half of it at least, of its square root, and of 2."""
-    scored = prior_statistics(hourly_volume(events).withColumn("hour", F.col("bucket") % 24), "hour")
-    ordered, n = F.array_sort("history"), F.size("history")
+#: Samples that an hour-of-week slot needs before it is a baseline.
+SLOT_SAMPLES = 3
+
+
+def _volumes(events: DataFrame, history: DataFrame | None, exclusions: DataFrame | None) -> DataFrame:
+    """Hourly volumes with their slots; `old` ones come from an earlier run's state, `excluded` ones are scored but no baseline."""
+    rows = hourly_volume(events).withColumn("old", F.lit(False))
+    if history is not None:
+        rows = rows.unionByName(history.select("template_text", F.col("bucket").cast("long").alias("bucket"), F.col("n").cast("long").alias("n"), F.lit(True).alias("old")))
+        rows = rows.groupBy("template_text", "bucket").agg(F.max_by("n", ~F.col("old")).alias("n"), F.min("old").alias("old"))  # a bucket of both counts as seen now
+    rows = rows.withColumn("excluded", F.lit(False)) if exclusions is None else marked_excluded(rows, exclusions)
+    return rows.withColumns({"hour": F.col("bucket") % 24, "slot": (F.col("bucket") + 72) % 168})
+
+
+def volume(events: DataFrame, config: DetectorConfig = DetectorConfig(), history: DataFrame | None = None, exclusions: DataFrame | None = None) -> DataFrame:
+    """Hourly counts scored against the most seasonal baseline there is: their hour of the week with
+    SLOT_SAMPLES or more, or else the same hour of day before (of this run), whose spread is half of the
+    median at least. Every spread is the square root of the median and 2 at least.
+
+    `history` (template_text, bucket, n) is what an earlier run has kept; `exclusions` (start, end), in
+    hours, keep their hours out of the hour-of-week baselines.
+    """
+    rows = _volumes(events, history, exclusions)
+    by_slot = prior_statistics(rows, ["hour", "slot"], usable=~F.col("excluded"), name="slot_")
+    scored = prior_statistics(by_slot, ["hour"], usable=~F.col("old"), name="day_")
+    ordered, n = F.array_sort("day_history"), F.size("day_history")
     upper = F.get(ordered, F.floor(n / 2).cast("int")).cast("double")
     lower = F.get(ordered, F.floor((n - 1) / 2).cast("int")).cast("double")
-    spread = F.greatest(upper - lower, upper * 0.5, F.sqrt(upper), F.lit(2.0))
-    z = robust_z(F.col("n").cast("double"), upper, spread)
+    weekly = F.col("slot_samples") >= SLOT_SAMPLES
+    expected = F.when(weekly, F.col("slot_median")).otherwise(upper)
+    spread = F.when(weekly, F.greatest("slot_mad", F.col("slot_median") * 0.05)).otherwise(F.greatest(upper - lower, upper * 0.5))
+    z = robust_z(F.col("n").cast("double"), F.col("expected"), F.greatest("spread", F.sqrt("expected"), F.lit(2.0)))
     return (
-        scored.filter(F.col("samples") > 0)
-        .select("template_text", "bucket", "n", upper.alias("expected"), F.round(z, 6).alias("z"))
+        scored.filter(~F.col("old")).withColumns({"expected": expected, "spread": spread}).filter("expected is not null")
+        .select("template_text", "bucket", "n", "expected", F.round(z, 6).alias("z"), F.when(weekly, "week").otherwise("day").alias("basis"))
         .withColumn("severity", F.when(F.col("n") >= config.volume_min, severity(F.col("z"), *config.volume_bands)).otherwise("normal"))
-    )
+    )
 
 
-def volume_global(events: DataFrame, config: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """All events' hourly counts against their own hour of the week before, with three samples or more."""
-    hourly = hourly_volume(events.withColumn("template_text", F.lit("__all__")))
-    scored = prior_statistics(hourly.withColumn("slot", (F.col("bucket") + 72) % 168), "slot")
+def volume_global(events: DataFrame, config: DetectorConfig = DetectorConfig(), history: DataFrame | None = None, exclusions: DataFrame | None = None) -> DataFrame:
+    """All events' hourly counts against their own hour of the week before, with SLOT_SAMPLES samples or more."""
+    rows = _volumes(events.withColumn("template_text", F.lit("__all__")), history if history is None else history.filter("template_text = '__all__'"), exclusions)
+    scored = prior_statistics(rows, ["slot"], usable=~F.col("excluded")).filter(~F.col("old"))
     spread = F.greatest("mad", F.col("median") * 0.05, F.sqrt("median"), F.lit(2.0))
-    z = robust_z(F.col("n").cast("double"), F.col("median"), spread)
-    return scored.filter(F.col("samples") >= 3).select("bucket", "n", "median", "mad", F.round(z, 6).alias("z"), severity(F.round(z, 6), *config.volume_bands).alias("severity"))
+    z = F.round(robust_z(F.col("n").cast("double"), F.col("median"), spread), 6)
+    hot = F.when(F.col("n") >= config.volume_min, severity(z, *config.volume_bands)).otherwise("normal")
+    return scored.filter(F.col("samples") >= SLOT_SAMPLES).select("bucket", "n", "median", "mad", z.alias("z"), hot.alias("severity"))
 
 
 def error_windows(events: DataFrame, window_s: int) -> DataFrame:
-    """(start, total, errors) on an absolute grid, empty windows too."""
+    """(start, total, errors) on an absolute grid, empty windows too, between those that have events."""
     start = F.floor(F.unix_micros("ts") / (1_000_000 * window_s)) * window_s
     found = events.groupBy(start.alias("start")).agg(F.count("*").alias("total"), F.count_if(F.col("level").isin("error", "critical")).alias("errors"))
-    grid = found.agg(F.explode(F.sequence(F.min("start"), F.max("start"), F.lit(window_s).cast("long"))).alias("start"))
+    low, high = found.agg(F.min("start"), F.max("start")).first()
+    if low is None:
+        return found
+    # A range of rows, spread over tasks: one bad time makes it long, but not one row wide.
+    grid = events.sparkSession.range(int(low), int(high) + 1, window_s).withColumnRenamed("id", "start")
     return grid.join(found, "start", "left").select("start", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("errors", F.lit(0)).alias("errors"))
 
 
@@ -108,10 +136,14 @@ def mann_whitney(samples: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, "n1", "n2", F.round(u, 6).alias("u"), F.round(z, 6).alias("z"))
 
 
+def blocks(samples: DataFrame, config: DetectorConfig) -> DataFrame:
+    """`samples` (key, seq, ...) with the number of their block within their key."""
+    return positions(samples, ["seq"], "block", by="key").withColumn("block", F.floor((F.col("block") - 1) / config.shift_block))
+
+
 def numeric_shift(samples: DataFrame, config: DetectorConfig = DetectorConfig()) -> DataFrame:
     """Each full block of a key's values (key, seq, value) against the blocks before it."""
-    place = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("seq")) - 1) / config.shift_block)
-    blocked = samples.withColumn("block", place)
+    blocked = blocks(samples, config)
     full = blocked.groupBy("key", "block").count().filter(F.col("count") == config.shift_block).filter("block > 0").select("key", "block")
     spread = blocked.select("key", "value", F.col("block").alias("_of"), F.explode(F.sequence("block", F.col("block") + config.shift_baseline_blocks)).alias("block"))
     both = spread.join(full, ["key", "block"], "left_semi").withColumn("recent", F.col("_of") == F.col("block"))
@@ -183,8 +215,7 @@ class _Shift:
 def shift_alerts(samples: DataFrame, config: DetectorConfig = DetectorConfig()) -> DataFrame:
     """Alerts from numeric shifts (key, seq, at, value): none within the cooldown of a key's last one, nor in
     the other direction within the rebound span. Only blocks that score high are walked."""
-    place = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("seq")) - 1) / config.shift_block)
-    ends = samples.select("key", "at", place.alias("block"), "seq").groupBy("key", "block").agg(F.max_by("at", "seq").alias("at"))
+    ends = blocks(samples.select("key", "at", "seq"), config).groupBy("key", "block").agg(F.max_by("at", "seq").alias("at"))
     high = numeric_shift(samples, config).filter(F.abs("z") >= config.shift_bands[0]).join(ends, ["key", "block"])
 
     def step(last: _Shift, row) -> list[tuple]:
@@ -203,7 +234,7 @@ def stopped_alerts(events: DataFrame, config: DetectorConfig = DetectorConfig())
 
     None when over `silence_peer_share` of more than `silence_peers` established templates are silent for
     half as long at that check, which is then something of the whole stream; a silence is judged
-    once. Long gaps alone are swept in order, not events.
+    once. Long gaps alone are swept in order, by ranges of time, not events.
     """
     order = Window.partitionBy("template_text").orderBy("seq")
     ends = events.agg(F.min(F.unix_micros("ts") / 1e6).alias("_start"), F.max(F.unix_micros("ts") / 1e6).alias("_end"))
@@ -224,8 +255,7 @@ def stopped_alerts(events: DataFrame, config: DetectorConfig = DetectorConfig())
         .unionByName(half.select(*change(F.col("half"), 1, 0, 1), *none))
         .unionByName(half.select(*change(F.col("until"), 1, 0, -1), *none))
     )
-    so_far = Window.orderBy("t", "o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    peers = sweep.withColumns({"peers": F.sum("peers").over(so_far), "silent": F.sum("silent").over(so_far)}).filter("template_text is not null").select("template_text", "seq", "peers", "silent")
+    peers = running_sums(sweep, ["t", "o"], ["peers", "silent"]).filter("template_text is not null").select("template_text", "seq", "peers", "silent")
     judged = noticed.join(peers, ["template_text", "seq"]).filter(~((F.col("peers") > config.silence_peers) & (F.col("silent") / F.col("peers") > config.silence_peer_share)))
     gap = F.col("check") - F.col("at")
     ratio = F.round(gap / F.col("interval"), 6)

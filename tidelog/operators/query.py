@@ -77,15 +77,16 @@ def predicate(spec: QuerySpec) -> Column:
     out = parts[0]
     for p in parts[1:]:
         out = out & p
-    return F.coalesce(out, F.lit(False))
+    return out
 
 
 def execute(events: DataFrame, spec: QuerySpec) -> DataFrame:
+    """The bare condition: a filter drops rows for which it is null, and the scan can use its parts."""
     return events.filter(predicate(spec))
 
 
 def counters(events: DataFrame, spec: QuerySpec) -> DataFrame:
-    return events.agg(F.count_if(predicate(spec)).alias("matched"), F.count("*").alias("scanned"))
+    return events.agg(F.count_if(F.coalesce(predicate(spec), F.lit(False))).alias("matched"), F.count("*").alias("scanned"))
 
 
 def aggregate(events: DataFrame, by: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -196,14 +197,14 @@ def i_snapshot(e: DataFrame) -> DataFrame:
 @registered("SELECT template_text, round(median(value), 6) AS median, round(mad(value), 6) AS mad FROM e GROUP BY 1")
 def f_median_mad(e: DataFrame) -> DataFrame:
     middle = e.groupBy("template_text").agg(F.median("value").alias("median"))
-    return e.join(F.broadcast(middle), "template_text").groupBy("template_text", "median").agg(F.round(F.median(F.abs(F.col("value") - F.col("median"))), 6).alias("mad")).withColumn("median", F.round("median", 6))
+    return e.join(middle, "template_text").groupBy("template_text", "median").agg(F.round(F.median(F.abs(F.col("value") - F.col("median"))), 6).alias("mad")).withColumn("median", F.round("median", 6))
 
 
 @registered("""SELECT seq, round((value - m) / greatest(1.4826 * abs(d), 1e-9), 6) AS z FROM e JOIN (SELECT source AS s, median(value) AS m, mad(value) AS d FROM e GROUP BY 1) ON s = source""")
 def f_robust_z(e: DataFrame) -> DataFrame:
     middle = e.groupBy("source").agg(F.median("value").alias("m"))
-    spread = e.join(F.broadcast(middle), "source").groupBy("source", "m").agg(F.median(F.abs(F.col("value") - F.col("m"))).alias("d"))
-    return e.join(F.broadcast(spread), "source").select("seq", F.round(stats.robust_z(F.col("value"), F.col("m"), F.col("d")), 6).alias("z"))
+    spread = e.join(middle, "source").groupBy("source", "m").agg(F.median(F.abs(F.col("value") - F.col("m"))).alias("d"))
+    return e.join(spread, "source").select("seq", F.round(stats.robust_z(F.col("value"), F.col("m"), F.col("d")), 6).alias("z"))
 
 
 @registered("""SELECT source, round(CASE WHEN v <= 0 THEN 0 ELSE (k1 / n1 - k2 / n2) / sqrt(v) END, 6) AS z FROM (SELECT *, (k1 + k2) / (n1 + n2) * (1 - (k1 + k2) / (n1 + n2)) * (1 / n1 + 1 / n2) AS v FROM (
@@ -275,18 +276,30 @@ def _bands(z: str, a: float, b: float, c: float) -> str:
     return f"CASE WHEN {z} >= {c} THEN 'critical' WHEN {z} >= {b} THEN 'anomalous' WHEN {z} >= {a} THEN 'elevated' ELSE 'normal' END"
 
 
-@registered(f"""{_VOLUME}, h AS (SELECT *, list_sort(list(n) OVER (PARTITION BY template_text, bucket % 24 ORDER BY bucket ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING)) AS l FROM v),
-  s AS (SELECT template_text, bucket, n, l[len(l) // 2 + 1]::DOUBLE AS expected, l[(len(l) - 1) // 2 + 1]::DOUBLE AS low FROM h WHERE len(l) > 0),
-  z AS (SELECT template_text, bucket, n, expected, round((n - expected) / greatest(1.4826 * greatest(expected - low, expected * 0.5, sqrt(expected), 2.0), 1e-9), 6) AS z FROM s)
-  SELECT *, CASE WHEN n >= 5 THEN {_bands('z', 4, 6, 10)} ELSE 'normal' END AS severity FROM z""")
+_LADDER = """, h AS (SELECT *, list_sort(list(n) OVER (PARTITION BY template_text, bucket % 24 ORDER BY bucket ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING)) AS l,
+    {weeks} OVER (PARTITION BY template_text, (bucket + 72) % 168 ORDER BY bucket ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING) AS w FROM {volumes}),
+  g AS (SELECT *, list_aggregate(w, 'median') AS wm, l[len(l) // 2 + 1]::DOUBLE AS hi, l[(len(l) - 1) // 2 + 1]::DOUBLE AS lo, coalesce(len(w), 0) >= 3 AS weekly FROM h),
+  s AS (SELECT template_text, bucket, n, CASE WHEN weekly THEN wm ELSE hi END AS expected, CASE WHEN weekly THEN greatest(list_aggregate(list_transform(w, lambda x: abs(x - wm)), 'median'), wm * 0.05) ELSE greatest(hi - lo, hi * 0.5) END AS spread, CASE WHEN weekly THEN 'week' ELSE 'day' END AS basis FROM g WHERE weekly OR len(l) > 0),
+  z AS (SELECT template_text, bucket, n, expected, round((n - expected) / greatest(1.4826 * greatest(spread, sqrt(expected), 2.0), 1e-9), 6) AS z, basis FROM s)
+  SELECT *, CASE WHEN n >= 5 THEN {bands} ELSE 'normal' END AS severity FROM z"""
+
+
+@registered(_VOLUME + _LADDER.format(weeks="list(n)", volumes="v", bands=_bands("z", 4, 6, 10)))
 def d_volume_hour_of_day(e: DataFrame) -> DataFrame:
     return detectors.volume(e)
 
 
+@registered(f"{_VOLUME}{_INTERVALS}, y AS (SELECT *, EXISTS (SELECT 1 FROM (SELECT * FROM m ORDER BY \"end\" DESC LIMIT 100) f WHERE bucket >= f.\"start\" AND bucket < f.\"end\") AS gone FROM v)"
+            + _LADDER.format(weeks="list(n) FILTER (WHERE NOT gone)", volumes="y", bands=_bands("z", 4, 6, 10)))
+def d_volume_exclusions(e: DataFrame) -> DataFrame:
+    """Hours of excluded spans are scored but are no part of the hour-of-week baselines."""
+    return detectors.volume(e, exclusions=baselines.merged_intervals(_intervals(e)))
+
+
 @registered(f""", v AS (SELECT us // 3600000000 AS bucket, count(*) AS n FROM e GROUP BY 1),
   h AS (SELECT *, list(n) OVER (PARTITION BY (bucket + 72) % 168 ORDER BY bucket ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING) AS l FROM v),
   s AS (SELECT bucket, n, list_aggregate(l, 'median') AS median, list_aggregate(list_transform(l, lambda x: abs(x - list_aggregate(l, 'median'))), 'median') AS mad FROM h WHERE len(l) >= 3),
-  z AS (SELECT *, round((n - median) / greatest(1.4826 * greatest(mad, median * 0.05, sqrt(median), 2.0), 1e-9), 6) AS z FROM s) SELECT *, {_bands('z', 4, 6, 10)} AS severity FROM z""")
+  z AS (SELECT *, round((n - median) / greatest(1.4826 * greatest(mad, median * 0.05, sqrt(median), 2.0), 1e-9), 6) AS z FROM s) SELECT *, CASE WHEN n >= 5 THEN {_bands('z', 4, 6, 10)} ELSE 'normal' END AS severity FROM z""")
 def d_volume_global(e: DataFrame) -> DataFrame:
     return detectors.volume_global(e)
 
@@ -385,45 +398,98 @@ _STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 def _parsed(e: DataFrame, line: Column, name: str, custom: str | None = None, **columns: Column) -> DataFrame:
     parser = next(p for p in parsers.registry(2024, custom) if p.name == name)
-    rows = _rendered(e, line).filter(parser.test(F.col("text"))).select("seq", parser.parse(F.col("text")).alias("r"))
-    return rows.select("seq", micros(F.col("r.ts")).alias("us"), F.col("r.level").alias("level"), F.col("r.message").alias("message"), *[c.alias(n) for n, c in columns.items()])
+    rows = parsers.parse_lines(_rendered(e, line), [parser]).filter("parser is not null")
+    return rows.select("seq", micros(F.col("ts")).alias("us"), "level", "message", *[c.alias(n) for n, c in columns.items()])
 
 
 @registered("SELECT seq, us, level, message, user_id::VARCHAR AS user, value FROM e")
 def p_json(e: DataFrame) -> DataFrame:
     line = F.to_json(F.struct(F.date_format("ts", _STAMP).alias("timestamp"), F.upper("level").alias("Level"), F.col("message").alias("msg"), F.struct("user_id", "value").alias("req")))
-    return _parsed(e, line, "json", user=F.col("r.fields")["req.user_id"], value=F.col("r.numeric")["req.value"])
+    return _parsed(e, line, "json", user=F.col("fields")["req.user_id"], value=F.col("numeric")["req.value"])
 
 
 @registered("SELECT seq, us, level, message, user_id::VARCHAR AS user, value FROM e")
 def p_logfmt(e: DataFrame) -> DataFrame:
     line = F.concat(F.lit("ts="), F.date_format("ts", _STAMP), F.lit(" level="), F.upper("level"), F.lit(' msg="'), "message", F.lit('" user='), "user_id", F.lit(" value="), "value")
-    return _parsed(e, line, "logfmt", user=F.col("r.fields")["user"], value=F.col("r.numeric")["value"])
+    return _parsed(e, line, "logfmt", user=F.col("fields")["user"], value=F.col("numeric")["value"])
 
 
 @registered("SELECT seq, us // 1000000 * 1000000 AS us, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warning' END AS level, 'GET /' || event_type || ' HTTP/1.1' AS message, '/' || event_type AS path, user_id::DOUBLE AS bytes FROM e")
 def p_access(e: DataFrame) -> DataFrame:
     status = F.when(F.col("event_type") == "error", "503").when(F.col("event_type") == "purchase", "404").otherwise("200")
     line = F.concat(F.lit("10.0.0.1 - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss '+0000'"), F.lit('] "GET /'), "event_type", F.lit(' HTTP/1.1" '), status, F.lit(" "), "user_id", F.lit(' "-" "agent" 0.25'))
-    return _parsed(e, line, "access", path=F.col("r.fields")["path"], bytes=F.col("r.numeric")["bytes"])
+    return _parsed(e, line, "access_combined", path=F.col("fields")["path"], bytes=F.col("numeric")["bytes"])
 
 
 @registered("SELECT seq, us, CASE user_id % 8 WHEN 3 THEN 'error' WHEN 4 THEN 'warning' WHEN 5 THEN 'notice' WHEN 6 THEN 'info' WHEN 7 THEN 'debug' ELSE 'critical' END AS level, message, event_type AS program, user_id::DOUBLE AS pid FROM e")
 def p_syslog5424(e: DataFrame) -> DataFrame:
     line = F.concat(F.lit("<"), F.col("user_id") % 8 + 16, F.lit(">1 "), F.date_format("ts", _STAMP), F.lit(" host "), "event_type", F.lit(" "), "user_id", F.lit(" - - "), "message")
-    return _parsed(e, line, "syslog5424", program=F.col("r.fields")["program"], pid=F.col("r.numeric")["pid"])
+    return _parsed(e, line, "syslog", program=F.col("fields")["program"], pid=F.col("numeric")["pid"])
 
 
 @registered("SELECT seq, us // 1000000 * 1000000 AS us, NULL::VARCHAR AS level, message, event_type AS program, user_id::VARCHAR AS pid FROM e")
 def p_syslog3164(e: DataFrame) -> DataFrame:
     line = F.concat(F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" host "), "event_type", F.lit("["), "user_id", F.lit("]: "), "message")
-    return _parsed(e, line, "syslog3164", program=F.col("r.fields")["program"], pid=F.col("r.fields")["pid"])
+    return _parsed(e, line, "syslog", program=F.col("fields")["program"], pid=F.col("fields")["pid"])
 
 
 @registered("SELECT seq, us, level, message, source AS component FROM e")
 def p_custom(e: DataFrame) -> DataFrame:
     line = F.concat(F.lit("["), F.date_format("ts", _STAMP), F.lit("] "), F.upper("level"), F.lit(" "), "source", F.lit(": "), "message")
-    return _parsed(e, line, "custom", r"\[(?P<ts>[^\]]+)\] (?P<level>[A-Z]+) (?P<component>[\w-]+): (?P<message>.*)", component=F.col("r.fields")["component"])
+    return _parsed(e, line, "custom", r"\[(?P<ts>[^\]]+)\] (?P<level>[A-Z]+) (?P<component>[\w-]+): (?P<message>.*)", component=F.col("fields")["component"])
+
+
+@registered("SELECT seq, us // 1000000 * 1000000 AS us, 'debug' AS level, event_type AS message, value::VARCHAR AS plain, user_id AS n, '{\"a\":[1,\"x\"],\"b\":' || user_id || '}' AS deep, 3 AS fields, 1 AS numbers FROM e")
+def p_json_ranks(e: DataFrame) -> DataFrame:
+    """`time` before `ts`, `event` before `text`, keys without case, numbers apart from their spellings, sorted compact objects, no nulls."""
+    line = F.concat(F.lit('  {"ts":1,"time":'), F.unix_seconds("ts"), F.lit(',"text":"no","Event":"'), "event_type", F.lit('","LVL":"dbg","s":"'), "value", F.lit('","N":'), "user_id", F.lit(',"o":{"d":{"b":'), "user_id", F.lit(',"a":[1,"x"]},"z":null},"y":null}  '))
+    fields = F.col("fields")
+    return _parsed(e, line, "json", plain=fields["s"], n=F.col("numeric")["N"].cast("long"), deep=fields["o.d"], fields=F.size(fields), numbers=F.size("numeric"))
+
+
+@registered("""SELECT seq, us, 'debug' AS level, 'it''s ' || event_type || ' "x"' AS message, 'a' || chr(9) || 'b\\' AS tabbed, NULL::VARCHAR AS bad, value AS n, 3 AS fields FROM e""")
+def p_logfmt_quotes(e: DataFrame) -> DataFrame:
+    """Single quotes, escapes, the first of several messages and the last of other keys, ill-formed values, empty ones."""
+    line = F.concat(F.lit("eventtime="), F.date_format("ts", _STAMP), F.lit(" LVL=DBG msg='it\\'s "), "event_type", F.lit(' \\"x\\"\' text=no a.b="a\\tb\\\\" n=1 n='), "value", F.lit(' empty= ok=1 bad="open'))
+    fields = F.col("fields")
+    return _parsed(e, line, "logfmt", tabbed=fields["a.b"], bad=fields["bad"], n=F.col("numeric")["n"], fields=F.size(fields))
+
+
+@registered("SELECT seq, us // 1000000 * 1000000 - 7200000000 AS us, NULL::VARCHAR AS level, '' AS message, '-' AS method, '-' AS referer, 1 AS numbers, 10 AS fields FROM e")
+def p_access_dashes(e: DataFrame) -> DataFrame:
+    """A request time and size of '-', an empty request, an offset, blanks at the ends."""
+    line = F.concat(F.lit("  10.0.0.1 - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss '+0200'"), F.lit('] "" 200 - "" "agent" -  '))
+    fields = F.col("fields")
+    return _parsed(e, line, "access_combined", method=fields["method"], referer=fields["referer"], numbers=F.size("numeric"), fields=F.size(fields))
+
+
+@registered("""SELECT seq, CASE seq % 3 WHEN 0 THEN us WHEN 1 THEN us // 1000000 * 1000000 END AS us, CASE seq % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'critical' END AS level,
+  CASE seq % 3 WHEN 2 THEN '' ELSE message END AS message, CASE seq % 3 WHEN 1 THEN NULL ELSE user_id::DOUBLE END AS pid FROM e""")
+def p_syslog_variants(e: DataFrame) -> DataFrame:
+    """Another version with structured data, a classic line with a priority, no time, no message and a priority out of range."""
+    line = (
+        F.when(F.col("seq") % 3 == 0, F.concat(F.lit("<11>2 "), F.date_format("ts", _STAMP), F.lit(" host app "), "user_id", F.lit(' ID [x@1 a="b"] '), "message"))
+        .when(F.col("seq") % 3 == 1, F.concat(F.lit("<0>"), F.lower(F.date_format("ts", "MMM d HH:mm:ss")), F.lit(" host app: "), "message"))
+        .otherwise(F.concat(F.lit("<999>1 - host app "), "user_id", F.lit(" - -")))
+    )
+    return _parsed(e, line, "syslog", pid=F.col("numeric")["pid"])
+
+
+@registered("""SELECT CASE seq % 6 WHEN 0 THEN 'json' WHEN 1 THEN 'logfmt' WHEN 2 THEN 'access_combined' WHEN 3 THEN 'syslog' WHEN 4 THEN 'closest access_combined 0.20' ELSE 'none' END AS verdict, count(*) AS n FROM e GROUP BY 1""")
+def p_errors(e: DataFrame) -> DataFrame:
+    """Who complains about broken lines; lines that nobody complains about name the closest format."""
+    part = lambda i: F.col("seq") % 6 == i
+    line = F.when(part(0), F.concat(F.lit('{"msg": "'), "message")).when(part(1), F.concat(F.lit("9bad="), "user_id")).when(part(2), F.concat(F.lit('"GET /'), "user_id", F.lit('" 200')))
+    line = line.when(part(3), "Oct 99 25:00:00 h p[1]: m").when(part(4), "").otherwise(F.col("message"))
+    rows = _rendered(e, line)
+    parsed = parsers.parse_lines(rows.filter("seq % 6 <> 4"), parsers.registry(2024))
+    # Without the parser that would complain, its score alone tells what the line is like.
+    quiet = [dataclasses.replace(p, complaint=lambda *_: F.lit(None).cast("string")) for p in parsers.registry(2024)]
+    parsed = parsed.unionByName(parsers.parse_lines(rows.filter("seq % 6 = 4").withColumn("text", F.lit('"GET /x" 200 .')), quiet))
+    error = F.col("parse_error")
+    verdict = F.when(error.contains("closest"), F.concat_ws(" ", F.lit("closest"), F.regexp_extract(error, r"is (\w+) ", 1), F.regexp_extract(error, r"\((.*)\)", 1)))
+    verdict = verdict.when(error.startswith("no parser"), "none").otherwise(F.regexp_extract(error, r"^(\w+):", 1))
+    return parsed.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
 @registered("SELECT CASE seq % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'logfmt' ELSE 'unparsed' END AS parser, count(*) AS n FROM e GROUP BY 1")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -45,9 +46,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared spark.checkpoint.dir; a temporary one only where none is set."""
+    """A fresh folder below the cluster's shared spark.checkpoint.dir; on one machine, a temporary one where none is set."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base and not re.match(r"local($|\[)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidelog-"))
         base = context.getCheckpointDir()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a line beyond which it is marked, and the flag bits.
@@ -10,19 +10,33 @@ MAX_LINE_BYTES = 32_768
 TRUNCATED, INVALID_UTF8 = 1, 2
 
 
+def pieces(text: Column) -> Column:
+    """A text cut where MAX_LINE_BYTES bytes are full, between characters."""
+    data, size = F.encode(text, "UTF-8"), F.octet_length(text)
+    inside = lambda at: F.hex(F.substring(data, at + 1, F.lit(1))).between("80", "BF")  # noqa: E731  a byte within a character
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, _: Column) -> Column:
+        full = s["at"] + MAX_LINE_BYTES
+        end = F.when(full >= size, size).otherwise(full - F.when(~inside(full), 0).when(~inside(full - 1), 1).when(~inside(full - 2), 2).otherwise(3))
+        piece = F.decode(F.substring(data, s["at"] + 1, end - s["at"]), "UTF-8")
+        return F.struct(end.alias("at"), F.when(s["at"] < size, F.concat(s["out"], F.array(piece))).otherwise(s["out"]).alias("out"))
+
+    rounds = F.ceil(size / (MAX_LINE_BYTES - 3)).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), rounds), state, step, lambda s: s["out"])
+
+
 def framed(text: DataFrame) -> DataFrame:
     """(source, seq, text, valid_utf8, flags): a trailing carriage return goes; long lines are cut into
-    pieces of MAX_LINE_BYTES bytes at most, which are flagged. A stream has no seq (null): rows are
-    numbered within a batch, in foreachBatch."""
-    seq = F.lit(None).cast("long") if text.isStreaming else F.monotonically_increasing_id()
-    clean = text.select(F.col("_metadata.file_name").alias("source"), seq.alias("seq"), F.regexp_replace("value", "\r$", "").alias("text"))
+    pieces of MAX_LINE_BYTES bytes at most, which are flagged and numbered in order. A stream has no
+    seq (null): rows are numbered within a batch, in foreachBatch."""
+    clean = text.select(F.col("_metadata.file_name").alias("source"), F.regexp_replace("value", "\r$", "").alias("text"))
     long = F.octet_length("text") > MAX_LINE_BYTES
-    size = MAX_LINE_BYTES // 4  # characters that fit whatever their bytes
-    starts = F.when(long, F.sequence(F.lit(1), F.char_length("text"), F.lit(size))).otherwise(F.array(F.lit(1)))
-    pieces = clean.withColumns({"_long": long, "_at": F.explode(starts)}).withColumn("text", F.when(F.col("_long"), F.substring("text", F.col("_at"), F.lit(size))).otherwise(F.col("text")))
+    cut = clean.select("source", long.alias("_long"), F.explode(F.when(long, pieces(F.col("text"))).otherwise(F.array("text"))).alias("text"))
     valid = ~F.contains(F.col("text"), F.lit("�"))
     flags = F.when(F.col("_long"), TRUNCATED).otherwise(0) + F.when(valid, 0).otherwise(INVALID_UTF8)
-    return pieces.select("source", "seq", "text", valid.alias("valid_utf8"), flags.alias("flags"))
+    seq = F.lit(None).cast("long") if text.isStreaming else F.monotonically_increasing_id()
+    return cut.withColumn("seq", seq).select("source", "seq", "text", valid.alias("valid_utf8"), flags.alias("flags"))
 
 
 def read_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -15,13 +15,16 @@ RANGE_BYTES = 16 << 20
 
 
 class ByteRange(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    """Lines that begin in a part of a file; of one that was rotated away, with a last line that has no end."""
+
+    def __init__(self, path: str, start: int, end: int, rotated: bool = False):
+        self.path, self.start, self.end, self.rotated = path, start, end, rotated
 
 
 class TailReader(DataSourceStreamReader):
-    """Offsets are (inode, whole bytes). A new inode, or a file that shrank, is read from its start; what was
-    not read of the one before is lost, as is a line without an end."""
+    """Offsets are (inode, whole bytes). A file that shrank is read from its start. With a new inode, what was
+    not read of the one before is read first, its last line too, if it has been renamed within the folder; then the
+    new file from its start."""
 
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -46,8 +49,14 @@ class TailReader(DataSourceStreamReader):
             return self.initialOffset()
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        begin = start["end"] if start["inode"] == end["inode"] and start["end"] <= end["end"] else 0
-        return [ByteRange(self.path, at, min(at + RANGE_BYTES, end["end"])) for at in range(begin, end["end"], RANGE_BYTES)]
+        same = start["inode"] == end["inode"]
+        begin = start["end"] if same and start["end"] <= end["end"] else 0
+        parts = []
+        if not same and start["inode"]:
+            for old in Path(self.path).parent.iterdir():
+                if old.is_file() and (stat := old.stat()).st_ino == start["inode"]:
+                    parts = [ByteRange(str(old), at, min(at + RANGE_BYTES, stat.st_size), True) for at in range(start["end"], stat.st_size, RANGE_BYTES)]
+        return parts + [ByteRange(self.path, at, min(at + RANGE_BYTES, end["end"])) for at in range(begin, end["end"], RANGE_BYTES)]
 
     def read(self, part: ByteRange) -> Iterator[tuple]:
         """Lines that begin in the range, as in any split of a text file."""
@@ -58,9 +67,9 @@ class TailReader(DataSourceStreamReader):
                 at += len(f.readline()) - 1
             while at < part.end:
                 line = f.readline()
-                if not line.endswith(b"\n"):
+                if not line.endswith(b"\n") and not (part.rotated and line):
                     return
-                yield at, line[:-1].removesuffix(b"\r").decode("utf-8", "replace")
+                yield at, line.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
                 at += len(line)
 
 
