@@ -9,7 +9,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import bucket_of, buckets_for, discard, id_bucket, mix, packets, split_words, stored, text_chunks, unpacked, with_unique_ids, word_hashes
 
@@ -217,6 +216,28 @@ def count_sequences(docs: DataFrame, depth: int, shorter: DataFrame | None) -> D
     return found
 
 
+def packed(rows: DataFrame, key: str, *numbers: str, kind: int = 0) -> DataFrame:
+    """`rows` as packets of the buckets of a key, each key with its numbers, as they are if it is one and as 64 bits each if more."""
+    buckets = buckets_for(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, *more = (batch.column(c).to_numpy() for c in (key, *numbers))
+            yield packets(bucket_of(keys, buckets), {"keys": keys, "numbers": more[0] if len(more) == 1 else np.stack([x.view(np.int64) for x in more], axis=1)}, kind)
+
+    return rows.select(key, *numbers).mapInArrow(run, PACKETS)
+
+
+def of_kind(rows: pa.RecordBatch, kind: int, dtype: type = np.int64, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and numbers of the packets of one kind."""
+    part = rows.filter(pc.equal(rows.column("kind"), kind))
+    numbers = unpacked(part.column("numbers"), dtype)
+    return unpacked(part.column("keys"), np.int64), numbers if width == 1 else numbers.reshape(-1, width)
+
+
+TREE = "seq long, n long, logp double, value float, ctx long, total long, rest float"
+
+
 def grow(counted: DataFrame, shorter: DataFrame) -> DataFrame:
     """(seq, n, logp, value, ctx, total, rest) of the sequences of one depth.
 
@@ -228,21 +249,50 @@ def grow(counted: DataFrame, shorter: DataFrame) -> DataFrame:
     context isn't kept. Scores are sums of what contexts add: each token after a kept context gets
     its `rest`, and `value` on top if the sequence is kept. A kept context is named once, by `ctx`.
 
-    Equal contexts meet in a window: as many rows as a context has distinct next words.
+    Sequences meet their suffixes in one shuffle, and their contexts in another, which brings those
+    of one context together: as many as it has distinct next words.
     """
-    suffix = shorter.select(F.col("seq").alias("suf"), F.col("logp").alias("parent"))
-    context = shorter.select(F.col("seq").alias("ctx"), F.col("n").alias("total"))
-    each = Window.partitionBy("ctx")
-    rows = counted.join(suffix, "suf").join(context, "ctx")
-    rows = rows.withColumn("passes", F.col("n") * (F.log(F.col("n") / (F.col("total") + 1)) - F.col("parent") * float(np.log(10))) >= MIN_GAIN)
-    rows = rows.withColumns({"held": F.sum(F.when(F.col("passes"), F.col("n"))).over(each), "types": F.count_if("passes").over(each), "first": F.min(F.when(F.col("passes"), F.col("suf"))).over(each)})
-    rows = rows.withColumn("all", F.col("total") + F.col("types")).withColumn("left", 1 - F.coalesce("held", F.lit(0)) / F.col("all"))
-    rows = rows.withColumns({"rest": F.log10("left"), "own": F.log10(F.when(F.col("passes"), F.col("n") / F.col("all")).otherwise(0.0) + F.col("left") * F.pow(F.lit(10.0), "parent"))})
-    head = F.col("passes") & (F.col("suf") == F.col("first"))
-    return stored(rows.select(
-        F.xxhash64("ctx", "suf").alias("seq"), "n", F.col("own").alias("logp"), F.when(F.col("passes"), F.col("own") - F.col("parent") - F.col("rest")).cast("float").alias("value"),
-        *(F.when(head, c).alias(n) for n, c in (("ctx", F.col("ctx")), ("total", F.col("total")), ("rest", F.col("rest").cast("float")))),
-    ), "tree")
+    buckets = buckets_for(counted.sparkSession)
+
+    def parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in of_buckets(batches):
+            held, logp, _ = summed(*of_kind(rows, 0, np.float64))
+            suf, numbers = of_kind(rows, 1, width=2)
+            if len(suf):
+                at, _ = placed(held.view(np.uint64), suf.view(np.uint64))
+                ctx = np.ascontiguousarray(numbers[:, 0])
+                yield packets(bucket_of(ctx, buckets), {"keys": ctx, "numbers": np.stack([suf, numbers[:, 1], logp[at].view(np.int64)], axis=1)}, 1)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in of_buckets(batches):
+            held, times, _ = summed(*of_kind(rows, 0))
+            ctx, numbers = of_kind(rows, 1, width=3)
+            if not len(ctx):
+                continue
+            suf, n, parent = (np.ascontiguousarray(x) for x in numbers.T)
+            parent = parent.view(np.float64)
+            order = np.lexsort((suf, ctx))
+            ctx, suf, n, parent = ctx[order], suf[order], n[order], parent[order]
+            total = times[placed(held.view(np.uint64), ctx.view(np.uint64))[0]]
+            passes = n * (np.log(n / (total + 1)) - parent * np.log(10)) >= MIN_GAIN
+            first = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
+            size = np.diff(np.append(first, len(ctx)))
+            over = lambda x: np.repeat(np.add.reduceat(x, first), size)  # noqa: B023, E731
+            every = total + over(passes.astype(np.int64))
+            left = 1 - over(np.where(passes, n, 0)) / every
+            rest = np.log10(left)
+            own = np.log10(np.where(passes, n / every, 0.0) + left * 10.0**parent)
+            named = np.flatnonzero(passes)
+            named = named[np.append(True, ctx[named][1:] != ctx[named][:-1])] if len(named) else named
+            other = np.ones(len(ctx), bool)
+            other[named] = False
+            yield pa.RecordBatch.from_pydict({
+                "seq": pair_hash(ctx, suf), "n": n, "logp": own, "value": pa.array((own - parent - rest).astype(np.float32), mask=~passes),
+                "ctx": pa.array(ctx, mask=other), "total": pa.array(total, mask=other), "rest": pa.array(rest.astype(np.float32), mask=other),
+            })
+
+    first = dealt(packed(counted, "suf", "ctx", "n", kind=1).union(packed(shorter, "seq", "logp"))).mapInArrow(parents, PACKETS)
+    return stored(dealt(first.union(packed(shorter, "seq", "n"))).mapInArrow(decide, TREE), "tree")
 
 
 def learn_values(docs: DataFrame, words: DataFrame) -> DataFrame:
@@ -339,25 +389,15 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
                 yield from send()
         yield from send()
 
-    def pack(kind: int) -> object:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys = batch.column(0).to_numpy()
-                yield packets(bucket_of(keys, buckets), {"keys": keys, "numbers": batch.column(1).to_numpy()}, kind)
-
-        return run
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in of_buckets(batches):
-            kind = rows.column("kind").to_numpy()
-            of_kind = lambda k, a="keys", b="numbers", t=np.float64: (unpacked((part := rows.filter(pa.array(kind == k))).column(a), np.int64), unpacked(part.column(b), t))  # noqa: B023, E731
-            held_words, base_of, _ = summed(*of_kind(WORD_VALUE))
-            keys, gains = of_kind(VALUE, t=np.float32)
+            held_words, base_of, _ = summed(*of_kind(rows, WORD_VALUE, np.float64))
+            keys, gains = of_kind(rows, VALUE, np.float32)
             held, gain_of, _ = summed(keys, gains.astype(np.float64))
             held_words, held = held_words.view(np.uint64), held.view(np.uint64)
             parts = []
             for k in (WORD_LOOKUP, LOOKUP):
-                keys, of = of_kind(k, t=np.int64)
+                keys, of = of_kind(rows, k)
                 at, hit = placed(held, keys.view(np.uint64))
                 gain, base = np.zeros(len(keys)), np.full(len(keys), unseen if k == WORD_LOOKUP else 0.0)
                 gain[hit] = gain_of[at[hit]]
@@ -370,20 +410,15 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
             key, base, _ = summed(of, base)
             row = (summed(of, n_known)[1], base.view(np.int64), summed(of, gain)[1].view(np.int64))
             yield packets(of_document(key), {"keys": key, "numbers": np.stack(row, axis=1)}, PART)
-            key, numbers = of_kind(DOCUMENT, t=np.int64)
-            yield packets(of_document(key), {"keys": key, "numbers": numbers.reshape(-1, 6)}, DOCUMENT)
+            key, numbers = of_kind(rows, DOCUMENT, width=6)
+            yield packets(of_document(key), {"keys": key, "numbers": numbers}, DOCUMENT)
 
     def of_document(key: np.ndarray) -> np.ndarray:
         return bucket_of(mix(key.view(np.uint64)), buckets)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in of_buckets(batches):
-            kind = rows.column("kind").to_numpy()
-            parts = []
-            for k, width in ((DOCUMENT, 6), (PART, 3)):
-                part = rows.filter(pa.array(kind == k))
-                parts.append((unpacked(part.column("keys"), np.int64), unpacked(part.column("numbers"), np.int64).reshape(-1, width)))
-            (docs, whole), (keys, more) = parts
+            (docs, whole), (keys, more) = of_kind(rows, DOCUMENT, width=6), of_kind(rows, PART, width=3)
             at = np.argsort(docs)
             docs, whole = docs[at], whole[at]
             place = np.searchsorted(docs, keys)
@@ -392,7 +427,7 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
             n_known = whole[:, 1] + np.bincount(place, more[:, 0], len(docs)).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(whole[:, 4], pa.int64(), mask=whole[:, 5] == 0), "n_tokens": pa.array(whole[:, 0]), "n_known": n_known, "base": add(real(2), 1), "gain": add(real(3), 2)})
 
-    asked = keyed.mapInArrow(lookups, PACKETS).union(words.select("h", "logp").mapInArrow(pack(WORD_VALUE), PACKETS)).union(values.select("h", "gain").mapInArrow(pack(VALUE), PACKETS))
+    asked = keyed.mapInArrow(lookups, PACKETS).union(packed(words, "h", "logp", kind=WORD_VALUE)).union(packed(values, "h", "gain", kind=VALUE))
     sums = dealt(dealt(asked).mapInArrow(meet, PACKETS)).mapInArrow(add_up, SCORES)
     return sums.select("doc_id", (id_bucket(holdout) == remainder).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"))
 
