@@ -333,3 +333,15 @@ def ngram_filter(docs: DataFrame) -> DataFrame:
     placed, _ = placed_sets(keyed)
     first = stored(placed.filter("key = component").select(F.col("key").alias("_tidelog_row")), "firsts")
     return rows.join(first, "_tidelog_row", "left_semi").select(docs.columns)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+g AS (SELECT doc_id, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM g a JOIN g b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * both_have >= 85 * (len(sa.g) + len(sb.g) - both_have)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, min(other) AS component_id FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY ALL
+"""

@@ -8,13 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as ed
+from . import ngram_join as nj
+from . import substring_dedup as sd
 from .common import documents
 from .fingerprints import fingerprints
 from .language_id import language_id
-from .ngram_join import ngram_join
 from .packing import pack
 from .piece_codec import piece_codec
-from .substring_dedup import substring_dedup
 from .quality import quality_scores
 from .suffix_lm import suffix_lm
 from .token_output import token_output
@@ -33,7 +33,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(documents(spark, sf_dir))
+    return sd.substring_dedup(documents(spark, sf_dir))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(documents(spark, sf_dir))
+    return nj.ngram_join(documents(spark, sf_dir))
 
 
 def op6_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": ed.ORACLE_SQL}
+    return {"op2_exact_dedup": ed.ORACLE_SQL, "op3_substring_dedup": sd.ORACLE_SQL, "op5_ngram_join": nj.ORACLE_SQL}
