@@ -152,9 +152,36 @@ def summary(events: DataFrame, top: int = 10) -> DataFrame:
 
 
 def capped(events: DataFrame, text: int = 512, fields: int = 16) -> DataFrame:
-    """Storage caps of the index: text lengths and number of fields."""
-    kept = F.map_from_entries(F.slice(F.array_sort(F.map_entries("fields")), 1, fields))
-    return events.withColumns({"message": F.left("message", F.lit(text)), "raw_line": F.left("raw_line", F.lit(text)), "fields": F.transform_values(kept, lambda _, v: F.left(v, F.lit(text)))})
+    """Storage caps of the index: text lengths, and the first fields of a line in its own order, keys and values cut too."""
+    few = F.transform(F.slice(F.map_entries("fields"), 1, fields), lambda e: F.struct(F.left(e["key"], F.lit(text)), F.left(e["value"], F.lit(text))))
+    return events.withColumns({"message": F.left("message", F.lit(text)), "raw_line": F.left("raw_line", F.lit(text)), "fields": F.map_from_entries(few)})
+
+
+def engine_counters(events: DataFrame, ring: int = 100_000) -> DataFrame:
+    """One row of lifetime counters: lines, parsed and unparsed ones, flagged ones (`flags` as line sources give
+    them; without that column 0), error-level events, and what a ring of so many events has evicted."""
+    flag = lambda bit: F.count_if(F.col("flags").bitwiseAND(bit) > 0) if "flags" in events.columns else F.lit(0).cast("long")
+    lines = F.count("*")
+    return events.agg(
+        lines.alias("lines"), F.count_if(F.col("parse_status") == "ok").alias("parsed_ok"), F.count_if(F.col("parse_status") != "ok").alias("unparsed"), flag(1).alias("truncated"), flag(2).alias("invalid_utf8"),
+        F.count_if(F.col("level").isin("error", "critical")).alias("errors"), F.greatest(lines - ring, F.lit(0)).alias("evicted"),
+    )
+
+
+def report(events: DataFrame, alerts: DataFrame, since: float | None = None, until: float | None = None) -> DataFrame:
+    """One row: lines, unparsed ones and their percentage, error-level events in percent of the parsed ones, distinct
+    templates, and the alerts (at) of [since, until)."""
+    whole = events.agg(
+        F.count("*").alias("lines"), F.count_if(F.col("parse_status") != "ok").alias("unparsed"), F.count_if(F.col("level").isin("error", "critical")).alias("_errors"), F.count_distinct("template_text").alias("templates"),
+    )
+    span = F.lit(True)
+    if since is not None:
+        span = span & (F.col("at") >= since)
+    if until is not None:
+        span = span & (F.col("at") < until)
+    percent = lambda n, of: F.round(n * 100.0 / F.greatest(of, F.lit(1)), 6)
+    both = whole.join(F.broadcast(alerts.filter(span).agg(F.count("*").alias("alerts"))))
+    return both.select("lines", "unparsed", percent(F.col("unparsed"), F.col("lines")).alias("unparsed_percent"), percent(F.col("_errors"), F.col("lines") - F.col("unparsed")).alias("error_percent"), "templates", "alerts")
 
 
 def template_minutes(events: DataFrame, keep: int = 60) -> DataFrame:

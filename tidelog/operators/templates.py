@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import SLOT, masked, params, tokens
+from .ordered import positions
 
 
 def clusters(shapes: DataFrame) -> DataFrame:
@@ -15,26 +16,32 @@ def clusters(shapes: DataFrame) -> DataFrame:
 
     Shapes of one length are independent of all others, so each length is one group, with
     its distinct shapes only. In order of first_seq a shape joins the first cluster in which
-    under half of the tokens differ, and those become slots of the cluster.
+    under half of the tokens differ, and those become slots of the cluster; it is compared with all
+    of them at once.
     """
 
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("first_seq")
-        found: list[tuple[int, list[str]]] = []
-        member = []
-        for seq, shape in zip(rows["first_seq"], rows["masked"], strict=True):
-            shape = list(shape)
-            for k, (_, template) in enumerate(found):
-                differ = [i for i, (a, b) in enumerate(zip(shape, template, strict=True)) if a != b]
-                if 2 * len(differ) < len(shape) or not shape:
-                    for i in differ:
-                        template[i] = SLOT
-                    member.append(k)
-                    break
+        width = len(rows["masked"].iloc[0])
+        ids: dict[str, int] = {SLOT: 0}
+        coded = np.array([[ids.setdefault(t, len(ids)) for t in shape] for shape in rows["masked"]], np.int64).reshape(len(rows), width)
+        found, seqs, member = np.zeros((16, width), np.int64), [], []
+        for seq, shape in zip(rows["first_seq"], coded, strict=True):
+            n = len(seqs)
+            differ = (found[:n] != shape).sum(axis=1)
+            near = np.flatnonzero((2 * differ < width) | (width == 0))
+            k = int(near[0]) if len(near) else n
+            if k == n:
+                if n == len(found):
+                    found = np.concatenate([found, np.zeros_like(found)])
+                found[n] = shape
+                seqs.append(seq)
             else:
-                found.append((seq, shape[:]))
-                member.append(len(found) - 1)
-        return pd.DataFrame({"masked": rows["masked"], "template": [found[k][1] for k in member], "first_seq": [found[k][0] for k in member]})
+                found[k, found[k] != shape] = 0
+            member.append(k)
+        words = list(ids)
+        texts = [[words[i] for i in found[k]] for k in range(len(seqs))]
+        return pd.DataFrame({"masked": rows["masked"], "template": [texts[k] for k in member], "first_seq": [seqs[k] for k in member]})
 
     return shapes.groupBy(F.size("masked")).applyInPandas(assign, "masked array<string>, template array<string>, first_seq long")
 
@@ -47,8 +54,7 @@ def template_events(events: DataFrame) -> DataFrame:
     raw = events.withColumn("_tokens", tokens(F.col("message"))).withColumn("_masked", masked(F.col("_tokens")))
     shapes = raw.groupBy(F.col("_masked").alias("masked")).agg(F.min("seq").alias("first_seq"))
     found = clusters(shapes)
-    # Distinct templates are few beside events; their numbering is a window over them alone.
-    ids = found.select("first_seq").distinct().withColumn("template_id", F.row_number().over(Window.orderBy("first_seq")).cast("long"))
+    ids = positions(found.select("first_seq").distinct(), ["first_seq"], "template_id").withColumn("template_id", F.col("template_id").cast("long"))
     named = found.join(ids, "first_seq").select(F.col("masked").alias("_masked"), "template", "template_id")
     return (
         raw.join(named, "_masked")
@@ -58,8 +64,28 @@ def template_events(events: DataFrame) -> DataFrame:
 
 
 def template_table(events: DataFrame, samples: int = 3) -> DataFrame:
-    """Each template's count, first and last time, and its first few messages."""
-    place = Window.partitionBy("template_id").orderBy("seq")
-    few = events.withColumn("_n", F.row_number().over(place))
-    sample = F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= samples, F.struct("seq", "message")))), lambda x: x["message"])
-    return few.groupBy("template_id", "template_text").agg(F.count("*").alias("count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), sample.alias("sample_values"))
+    """Each template's count, first and last time, and its first few messages.
+
+    Messages are numbered within ranges of (template, seq), so a frequent template is not one task's work.
+    """
+    placed = positions(events.select("template_id", "seq", "message"), ["seq"], "_n", by="template_id").filter(F.col("_n") <= samples)
+    few = placed.groupBy("template_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]).alias("sample_values"))
+    per = events.groupBy("template_id", "template_text").agg(F.count("*").alias("count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    return per.join(few, "template_id")
+
+
+def retained(table: DataFrame, most: int = 5000) -> DataFrame:
+    """The templates that a bounded store holds at the end: those seen last, then the more frequent, then the newer ones."""
+    return table.orderBy(F.desc("last_seen"), F.desc("count"), F.desc("template_id")).limit(most)
+
+
+def rendered(template: Column, params: Column) -> Column:
+    """A template's tokens in a line, its slots as `{value}`, or `{*}` where values run out."""
+    state = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, token: Column) -> Column:
+        slot = token == SLOT
+        shown = F.when(slot, F.concat(F.lit("{"), F.coalesce(F.get(params, s["used"]), F.lit("*")), F.lit("}"))).otherwise(token)
+        return F.struct((s["used"] + slot.cast("int")).alias("used"), F.concat(s["out"], F.array(shown)).alias("out"))
+
+    return F.aggregate(template, state, step, lambda s: F.array_join(s["out"], " "))

@@ -174,6 +174,22 @@ def i_storage_caps(e: DataFrame) -> DataFrame:
     return query.capped(e, text=12).select("seq", "message", F.col("fields")["k"].alias("k"))
 
 
+@registered("SELECT count(*) AS lines, count(*) AS parsed_ok, 0::BIGINT AS unparsed, count(*) FILTER (WHERE seq % 5 IN (1, 3)) AS truncated, count(*) FILTER (WHERE seq % 5 IN (2, 3)) AS invalid_utf8, count(*) FILTER (WHERE level = 'error') AS errors, greatest(count(*) - 100, 0) AS evicted FROM e")
+def i_engine_counters(e: DataFrame) -> DataFrame:
+    return query.engine_counters(e.withColumn("flags", (F.col("seq") % 5).cast("int")), ring=100)
+
+
+@registered("SELECT us // 60000000 AS minute, count(*) AS n FROM e GROUP BY 1 ORDER BY 1 DESC LIMIT 120")
+def i_volume_series(e: DataFrame) -> DataFrame:
+    return query.minute_volume(e, 120)
+
+
+@registered(f"""SELECT count(*) AS lines, 0::BIGINT AS unparsed, 0.0::DOUBLE AS unparsed_percent, round(count(*) FILTER (WHERE level = 'error') * 100.0 / count(*), 6) AS error_percent, count(DISTINCT template_text) AS templates,
+  count(*) FILTER (WHERE value >= 200 AND us >= {int(SINCE)}000000 AND us < {int(UNTIL)}000000) AS alerts FROM e""")
+def q_report(e: DataFrame) -> DataFrame:
+    return query.report(e, e.filter("value >= 200").select((F.unix_micros("ts") / 1e6).alias("at")), SINCE, UNTIL)
+
+
 @registered("SELECT us // 60000000 AS minute, count(*) AS n FROM e GROUP BY 1 ORDER BY 1 DESC LIMIT 180")
 def i_minute_volume(e: DataFrame) -> DataFrame:
     return query.minute_volume(e)
@@ -547,6 +563,18 @@ def t_table(e: DataFrame) -> DataFrame:
     return table.select("template_text", "count", micros(F.col("first_seen")).alias("first_us"), micros(F.col("last_seen")).alias("last_us"), F.array_join("sample_values", "|").alias("samples"))
 
 
+@registered("""SELECT template_text, count(*) AS count FROM (SELECT event_type || ' user ' || user_id AS template_text, us, min(seq) OVER (PARTITION BY event_type, user_id) AS id FROM e) GROUP BY template_text, id ORDER BY max(us) DESC, count DESC, id DESC LIMIT 50""")
+def t_retained(e: DataFrame) -> DataFrame:
+    per = _novel(e).groupBy("template_text").agg(F.max("ts").alias("last_seen"), F.count("*").alias("count"), F.min("seq").alias("template_id"))
+    return templates.retained(per, 50).select("template_text", "count")
+
+
+@registered("SELECT seq, '{' || event_type || '} user {' || user_id || '} value {*}' AS shown FROM e")
+def t_render(e: DataFrame) -> DataFrame:
+    words = F.split(F.lit("<*> user <*> value <*>"), " ")
+    return e.select("seq", templates.rendered(words, F.array("event_type", F.col("user_id").cast("string"))).alias("shown"))
+
+
 # ---- alerts -----------------------------------------------------------------------------
 
 
