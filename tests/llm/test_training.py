@@ -174,6 +174,23 @@ def test_words_encode_as_whole_texts():
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    assert token_output.TextEncoder(queries.WORD_BPE).by_words
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, t = token_output.TextEncoder(path), Tokenizer.from_file(path)
+    ids, at = encoder.encode(pa.array(["two  words", None, "x\n"]))
+    assert not encoder.by_words and [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in ("two  words", "", "x\n")]
+
+
+def test_negative_ids_come_back(spark):
+    rows = [(-7, "a"), (-1, "b c"), (None, "d"), (3, "e")]
+    got = token_output.token_output(spark.createDataFrame(rows, "doc_id long, text string"), queries.WORD_BPE).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in got) == [(False, 0), (True, -7), (True, -1), (True, 3)]
+
+
 def test_first_fit_decreasing():
     sizes = np.random.default_rng(2).integers(1, 100, 300)
     bins, _ = packing.first_fit_decreasing(sizes, 128)

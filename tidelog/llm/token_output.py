@@ -13,12 +13,13 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged_take, scratch, split_words, starts_of, stored, text_chunks, with_unique_ids
+from .common import publish, ragged_take, scratch, split_words, starts_of, store_of, stored, text_chunks, with_unique_ids
 
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
@@ -28,15 +29,19 @@ JOINED = 256
 BYTES = 4 << 20
 #: The id after each document.
 END_ID = 1
+#: What a null doc_id is written as.
+NO_ID = -(2**63)
+#: Texts on which encoding by words must give what encoding whole texts gives.
+PROBES = ("two words", "  lead,  and\ttail \n", "don't 12ab x-y (z) a.b", "É ﬁ é́ İ ß", "日本 語😀 x", "a  b\r\n\x0bc", "")
 
 
 class TextEncoder:
     """Ids of texts by the tokenizers library, which sees each distinct word of a chunk once.
 
-    The tokenizer drops white space and neither its normaliser nor its splitting looks
-    across it, so the ids of a text are those of its words in a row; the tests hold this
-    against whole-text encoding. Words go to the library in strings, set apart by one of its
-    special tokens. Each text is followed by the end id.
+    That holds for a tokenizer that drops white space and whose normaliser and splitting don't
+    look across it: then the ids of a text are those of its words in a row. PROBES tell, and for
+    other tokenizers whole texts are encoded. Words go to the library in strings, set apart by one
+    of its special tokens. Each text is followed by the end id.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -52,6 +57,16 @@ class TextEncoder:
         if suffix:
             self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.clear()
+        self.by_words = True
+        probes = pa.array(PROBES)
+        self.by_words = all(np.array_equal(a, b) for a, b in zip(self.encode(probes), self.encode_whole(probes), strict=True))
+        self.clear()
+
+    def encode_whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """What encode() gives, text by text."""
+        listed = pc.fill_null(texts, "").to_pylist()
+        ids = [np.array([*e.ids, self.end_id], np.uint32) for e in self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), starts_of(np.array([len(x) for x in ids], np.int64))
 
     def clear(self) -> None:
         """Place 0 of the tables is the end of a text."""
@@ -111,6 +126,8 @@ class TextEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets at which each text's ids begin (the total last)."""
+        if not self.by_words:
+            return self.encode_whole(texts)
         if len(self.known) > REMEMBERED:
             self.forget_rare()
         codes, words, per = split_words(texts)
@@ -141,10 +158,6 @@ def ids_crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
 
 
-def store_of(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder)
-
-
 def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Encode all documents in ascending doc_id order into flat files below `folder`.
 
@@ -157,7 +170,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
     Returns the manifest, one row per shard: shard, n_docs, n_tokens, base (ids before the
     shard, a prefix sum over the shards' totals), width. Null texts are empty and give the
     end id alone. Null or repeated doc_ids are ordered by text among themselves, and a null
-    one is written as -1. An empty table gives an empty manifest.
+    one is written as NO_ID. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     ordered = with_unique_ids(docs)
@@ -180,13 +193,13 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
             ids, offsets = encoder.encode(chunk.column("text"))
             out["tokens"].write(ids.astype(f"<u{width}").tobytes())
             out["offsets"].write((offsets[:-1] + n_tokens).astype("<u8").tobytes())
-            out["ids"].write(chunk.column("doc_id").fill_null(-1).to_numpy().astype("<i8").tobytes())
+            out["ids"].write(chunk.column("doc_id").fill_null(NO_ID).to_numpy().astype("<i8").tobytes())
             n_docs, n_tokens = n_docs + chunk.num_rows, n_tokens + len(ids)
         if out:
             out["offsets"].write(np.array([n_tokens], "<u8").tobytes())
             for x in names:
                 out[x].close()
-                fs.move(f"{root}/{attempt}.{x}", f"{root}/{shard}.{x}")
+                publish(fs, f"{root}/{attempt}.{x}", f"{root}/{shard}.{x}")
             yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [n_docs], "n_tokens": [n_tokens], "width": pa.array([width], pa.int32())})
 
     written = stored(ordered.select("doc_id", "text").mapInArrow(write, "shard long, n_docs long, n_tokens long, width int"), "manifest")
@@ -207,29 +220,31 @@ def read_token_shards(manifest: DataFrame, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = store_of(folder)
 
-        def numbers(name: str, kind: str) -> np.ndarray:
+        def numbers(name: str, kind: str, first: int = 0, last: int | None = None) -> np.ndarray:
+            """Numbers first .. last - 1 of a file: mapped where it is local, read as a range elsewhere."""
+            size = np.dtype(kind).itemsize
             if isinstance(fs, pafs.LocalFileSystem):
                 with open(name, "rb") as f:
-                    return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), kind)
+                    return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), kind)[first:last]
             with fs.open_input_file(name) as f:
-                return np.frombuffer(f.read_buffer(), kind)
+                return np.frombuffer(f.read_at(((f.size() // size if last is None else last) - first) * size, first * size), kind)
 
         for batch in batches:
             for r in batch.to_pylist():
-                tokens = numbers(f"{root}/{r['shard']}.tokens", f"<u{r['width']}")
                 offsets = numbers(f"{root}/{r['shard']}.offsets", "<u8").astype(np.int64)
                 ids = numbers(f"{root}/{r['shard']}.ids", "<i8")
-                for at in range(0, len(ids), 10_000):
-                    some = range(at, min(at + 10_000, len(ids)))
+                for at in range(0, len(ids), 1000):
+                    some = offsets[at : at + 1001]
+                    tokens = numbers(f"{root}/{r['shard']}.tokens", f"<u{r['width']}", int(some[0]), int(some[-1]))
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(ids[some.start : some.stop], pa.int64()),
-                        "start": pa.array(r["base"] + offsets[some.start : some.stop], pa.int64()),
-                        "n_tokens": pa.array(np.diff(offsets[some.start : some.stop + 1]), pa.int64()),
-                        "ids_crc32": pa.array([ids_crc32(tokens[offsets[i] : offsets[i + 1]]) for i in some], pa.int64()),
+                        "doc_id": pa.array(ids[at : at + 1000], pa.int64()),
+                        "start": pa.array(r["base"] + some[:-1], pa.int64()),
+                        "n_tokens": pa.array(np.diff(some), pa.int64()),
+                        "ids_crc32": pa.array([ids_crc32(tokens[a:b]) for a, b in zip(some[:-1] - some[0], some[1:] - some[0], strict=True)], pa.int64()),
                     })
 
     spread = manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
-    return spread.select("shard", "base", "width").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long").withColumn("doc_id", F.when(F.col("doc_id") >= 0, F.col("doc_id")))
+    return spread.select("shard", "base", "width").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long").withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def token_output(docs: DataFrame, tokenizer_path: str) -> DataFrame:
