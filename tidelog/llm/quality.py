@@ -196,7 +196,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_training_rows: int =
     Word vectors are learned from all texts, without labels. The network is fitted on at
     most `max_training_rows` labelled rows that aren't held out. Labels without a document,
     or null, are ignored; a document with several labels counts once for each. Repeated
-    rows are scored alike; a null doc_id counts as 0 when rows are held out.
+    rows are scored alike; a null doc_id counts as 0 when rows are held out. A long text counts
+    whole, by its distinct words. An empty table gives no rows; without labels all scores are 0.5.
     """
     features = stored(pooled(docs, learn_word_vectors(docs)), "features")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
