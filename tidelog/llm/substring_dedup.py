@@ -375,7 +375,8 @@ def with_earlier_words(spans: DataFrame, docs: DataFrame) -> DataFrame:
     hits = spans.filter("prev is not null").groupBy("key", "prev", (F.col("prev_start") - F.col("start")).alias("shift")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     hits = stored(hits.mapInArrow(joined, SPANS), "hits")
     asked = hits.select("prev", "prev_start", "n").distinct().groupBy(F.col("prev").alias("key")).agg(F.collect_list(F.struct("prev_start", "n")).alias("asked"))
-    words = stored(docs.select("key", "text").join(asked, "key").mapInArrow(read, "prev long, prev_start int, n int, words string"), "words")
+    # One plan at every size: what is asked for grows with the corpus.
+    words = stored(docs.select("key", "text").join(asked.hint("merge"), "key").mapInArrow(read, "prev long, prev_start int, n int, words string"), "words")
     return spans.filter("prev is null").select("key", "start", "n", F.lit(None).cast("string").alias("words")).union(hits.join(words, ["prev", "prev_start", "n"]).select("key", "start", "n", "words"))
 
 
@@ -400,7 +401,7 @@ def covered(words: list[bytes], marks: list[dict]) -> np.ndarray:
 def with_marks(keyed: DataFrame, marks: DataFrame, key: str = "key") -> DataFrame:
     """Documents with the lists of their own marked windows (as many as they have words at most)."""
     lists = marks.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("start", "n", "words")).alias("_tidelog_marks"))
-    return keyed.join(lists, key, "left")
+    return keyed.join(lists.hint("merge"), key, "left")  # one plan at every size
 
 
 def kept_words(rows: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
