@@ -97,26 +97,6 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartitionById(buckets_for(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "kind")
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(h, n): how often each word, and the end, occurs in `docs`."""
-    buckets = buckets_for(docs.sparkSession)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally(buckets, "h", "n")
-        for chunk in text_chunks(batches):
-            codes, h, _ = hashed_words(chunk)
-            n = np.bincount(codes, minlength=len(h))
-            yield from tally.add(h[n > 0], n[n > 0])
-        yield from tally.rows()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in of_buckets(batches):
-            h, n, _ = summed(unpacked(rows.column("h"), np.int64), unpacked(rows.column("n"), np.int64))
-            yield pa.RecordBatch.from_pydict({"h": h, "n": n})
-
-    return dealt(docs.select("text").mapInArrow(count, "bucket int, kind int, h binary, n binary")).mapInArrow(merge, "h long, n long")
-
-
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Spark's xxhash64(a, b) of longs."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -181,13 +161,48 @@ class KeyFilter:
         return (a & b & 1).astype(bool)
 
 
-def count_sequences(docs: DataFrame, depth: int, shorter: DataFrame | None) -> DataFrame:
+def count_words_and_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h, n) of all words and the end, and (ctx, suf, n) of the pairs that occur MIN_COUNT times or more, from one pass."""
+    buckets = buckets_for(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = Tally(buckets, "ctx", "n"), Tally(buckets, "ctx", "suf", "n")
+        as_words = lambda out: (b.append_column("suf", pa.nulls(b.num_rows, pa.binary())).select(["bucket", "kind", "ctx", "suf", "n"]) for b in out)
+        as_pairs = lambda out: (b.set_column(1, "kind", pa.array(np.ones(b.num_rows, np.int32))) for b in out)
+        for chunk in text_chunks(batches):
+            codes, h, per = hashed_words(chunk)
+            n = np.bincount(codes, minlength=len(h))
+            yield from as_words(words.add(h[n > 0], n[n > 0]))
+            keys, doc = sequence_keys(codes, h, 1), np.repeat(np.arange(len(per)), per)
+            if len(keys) > 1:
+                at = np.flatnonzero(doc[1:] == doc[:-1])
+                yield from as_pairs(pairs.add(keys[1][at], np.ones(len(at), np.int64), keys[0][at], keys[0][at + 1]))
+        yield from as_words(words.rows())
+        yield from as_pairs(pairs.rows())
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in of_buckets(batches):
+            part = rows.filter(pc.equal(rows.column("kind"), 0))
+            h, n, _ = summed(unpacked(part.column("ctx"), np.int64), unpacked(part.column("n"), np.int64))
+            yield pa.RecordBatch.from_pydict({"ctx": h, "suf": pa.nulls(len(h), pa.int64()), "n": n})
+            part = rows.filter(pc.equal(rows.column("kind"), 1))
+            ctx, suf = (unpacked(part.column(c), np.int64) for c in ("ctx", "suf"))
+            _, n, first = summed(pair_hash(ctx, suf), unpacked(part.column("n"), np.int64))
+            first = first[n >= MIN_COUNT]
+            yield pa.RecordBatch.from_pydict({"ctx": ctx[first], "suf": suf[first], "n": n[n >= MIN_COUNT]})
+
+    packed = docs.select("text").mapInArrow(count, "bucket int, kind int, ctx binary, suf binary, n binary")
+    counted = stored(dealt(packed).mapInArrow(merge, "ctx long, suf long, n long"), "counts")
+    return counted.filter("suf is null").select(F.col("ctx").alias("h"), "n"), counted.filter("suf is not null")
+
+
+def count_sequences(docs: DataFrame, depth: int, shorter: DataFrame) -> DataFrame:
     """(ctx, suf, n): all sequences of depth + 1 tokens that occur MIN_COUNT times or more.
 
     `shorter` has those of one token less, in which a sequence's context and suffix must be.
     """
     spark = docs.sparkSession
-    buckets, shared = buckets_for(spark), spark.sparkContext.broadcast(None if shorter is None else KeyFilter(shorter.select("seq")))
+    buckets, shared = buckets_for(spark), spark.sparkContext.broadcast(KeyFilter(shorter.select("seq")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, tally = shared.value, Tally(buckets, "ctx", "suf", "n")
@@ -196,11 +211,8 @@ def count_sequences(docs: DataFrame, depth: int, shorter: DataFrame | None) -> D
             keys, doc = sequence_keys(codes, h, depth), np.repeat(np.arange(len(per)), per)
             if len(keys) <= depth:
                 continue
-            use = doc[depth:] == doc[:-depth]
-            if known is not None:
-                have = known.may_have(keys[depth - 1])
-                use &= have[:-1] & have[1:]
-            at = np.flatnonzero(use)
+            have = known.may_have(keys[depth - 1])
+            at = np.flatnonzero((doc[depth:] == doc[:-depth]) & have[:-1] & have[1:])
             yield from tally.add(keys[depth][at], np.ones(len(at), np.int64), keys[depth - 1][at], keys[depth - 1][at + 1])
         yield from tally.rows()
 
@@ -245,15 +257,16 @@ def grow(counted: DataFrame, shorter: DataFrame) -> DataFrame:
     ), "tree")
 
 
-def learn_values(docs: DataFrame, words: DataFrame) -> DataFrame:
+def learn_values(docs: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
     """(h, n, gain): what sequences, as such and as contexts, add to the scores of tokens they end at;
-    contributions to one h come in several rows. `words` has h, n and logp of all words."""
+    contributions to one h come in several rows. `words` has h, n and logp of all words, `pairs` the counts of depth 1."""
     spark, level, values = docs.sparkSession, words.select(F.col("h").alias("seq"), "n", "logp"), []
     for depth in range(1, DEPTH + 1):
-        counted = count_sequences(docs, depth, None if depth == 1 else level)
+        counted = pairs if depth == 1 else count_sequences(docs, depth, level)
         longer = grow(counted, level)
         values.append(stored(longer.filter("value is not null").select(F.col("seq").alias("h"), "n", F.col("value").alias("gain")).union(longer.filter("ctx is not null").select("ctx", "total", "rest")), "values"))
-        discard(counted, *([level] if depth > 1 else []))
+        if depth > 1:
+            discard(counted, level)
         level = longer
     discard(level)
     out = values[0]
@@ -285,12 +298,12 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
     spark = docs.sparkSession
     keyed = with_unique_ids(docs)
     training = keyed.filter(id_bucket(holdout) != remainder)
-    counts = stored(count_words(training), "words")
+    counts, pairs = count_words_and_pairs(training)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     below = total + 0.5 * (distinct + 1)
     unseen = float(np.log10(0.5 / below))
     words = counts.withColumn("logp", F.log10((F.col("n") + 0.5) / F.lit(below)))
-    values = learn_values(training, words)
+    values = learn_values(training, words, pairs)
     spot = max(1.0, SPOT * total)
     often = words.select("h", "n", F.col("logp").alias("base"), F.lit(0.0).alias("gain")).union(values.select("h", "n", F.lit(0.0), F.col("gain").cast("double"))).filter(F.col("n") >= spot)
     often = stored(often.groupBy("h").agg(F.sum("base").alias("base"), F.sum("gain").alias("gain")), "often").toArrow().sort_by("h")
