@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as ed
+from . import merkle
 from . import ngram_join as nj
+from . import resampling
 from . import substring_dedup as sd
 from .common import documents
 from .fingerprints import fingerprints
@@ -18,6 +20,7 @@ from .piece_codec import piece_codec
 from .quality import quality_scores
 from .suffix_lm import suffix_lm
 from .token_output import token_output
+from .toxicity import toxicity
 
 #: Parameters: the tokenizer files.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -64,9 +67,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(documents(spark, sf_dir))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_resampling(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_exact_dedup, op3_substring_dedup, op4_fingerprints, op5_ngram_join, op6_suffix_lm, op7_quality, op8_piece_codec, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_output, op2_exact_dedup, op3_substring_dedup, op4_fingerprints, op5_ngram_join, op6_suffix_lm, op7_quality, op8_piece_codec, op9_packing, op10_language_id, op11_toxicity, op12_merkle_manifest, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": ed.ORACLE_SQL, "op3_substring_dedup": sd.ORACLE_SQL, "op5_ngram_join": nj.ORACLE_SQL}
+    return {"op2_exact_dedup": ed.ORACLE_SQL, "op3_substring_dedup": sd.ORACLE_SQL, "op5_ngram_join": nj.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL, "op13_importance_resampling": resampling.ORACLE_SQL}
