@@ -20,6 +20,9 @@ from .ngram_join import COUNTERS, SLICES, counter_of, frequency_sketch
 WINDOW, ANCHOR = 20, 6
 #: Windows in one index entry at most, and bytes of a window's own hash: hits are verified.
 ENTRY, HASH_BYTES = 64, 5
+#: Levels from which on an anchor is split, and the bits of a window's own hash by which it is: one line in a third of all documents
+#: is the only anchor of the windows that it fills, and these go to as many places of the index.
+SPLIT_LEVEL, SPLIT_BITS = 3, 10
 #: Runs of one level that are merged into one of the next.
 FAN_IN = 2
 #: Batches in which the query submits its table.
@@ -105,6 +108,8 @@ def entries_of(chunk: pa.RecordBatch, levels: np.ndarray, buckets: int) -> Itera
     # Rare grams first: a line that many documents share is no anchor where another gram is there.
     ordered = levels[counter_of(grams)].astype(np.uint64) << np.uint64(58) | grams >> np.uint64(6)
     anchors, own = sliding_min(ordered, WINDOW - ANCHOR + 1), gram_hashes(h, WINDOW, 1)
+    low = np.uint64((1 << SPLIT_BITS) - 1)
+    anchors = np.where(anchors >> np.uint64(58) >= SPLIT_LEVEL, anchors & ~low | own & low, anchors)
     doc = np.repeat(np.arange(len(per)), per)
     at = np.flatnonzero(doc[: len(own)] == doc[WINDOW - 1 :])
     if not len(at):
@@ -380,27 +385,54 @@ def with_earlier_words(spans: DataFrame, docs: DataFrame) -> DataFrame:
     return spans.filter("prev is null").select("key", "start", "n", F.lit(None).cast("string").alias("words")).union(hits.join(words, ["prev", "prev_start", "n"]).select("key", "start", "n", "words"))
 
 
+def same_words(words: list[bytes], marks: list[dict]) -> Iterator[tuple[int, int, str | None]]:
+    """(start, n, None) of the windows that hold the earlier document's words, and (start, 1, its words) of each that doesn't."""
+    for m in marks:
+        start, n, there = m["start"], m["n"], m["words"].encode()
+        if b" ".join(words[start : start + n + WINDOW - 1]) == there:
+            yield start, n, None
+            continue
+        there = there.split(b" ")
+        for k in range(start, start + n):
+            own = words[k : k + WINDOW]
+            yield k, 1, None if own == there[k - start : k - start + WINDOW] else b" ".join(own).decode()
+
+
+def verified(marks: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(key, start, n) of the windows of `marks` (key, start, n, words) that start earlier, word for word.
+
+    A window whose hash an earlier, different one had first never entered the index. All windows with
+    its words fail here in the same way, so they are compared among themselves, whole: of each
+    word sequence all but the first are repeats. No repeat is lost to a collision.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches):
+            out = [(key, *m) for key, text, of in zip(*(chunk.column(c).to_pylist() for c in ("key", "text", "_tidelog_marks")), strict=True) for m in same_words(text.encode().split(), of)]
+            key, start, n, words = zip(*out, strict=True)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32()), "words": pa.array(words, pa.string())})
+
+    lists = marks.filter("words is not null").groupBy("key").agg(F.collect_list(F.struct("start", "n", "words")).alias("_tidelog_marks"))
+    rows = keyed.select("key", "text").join(lists.hint("merge"), "key")
+    checked = stored(rows.select("key", "text", "_tidelog_marks").mapInArrow(compare, "key long, start int, n int, words string"), "verified")
+    failed, place = checked.filter("words is not null"), F.struct("key", "start")
+    first = failed.groupBy("words").agg(F.min(place).alias("first"))
+    repeats = failed.join(first, "words").filter(place > F.col("first")).select("key", "start", "n")
+    return marks.filter("words is null").select("key", "start", "n").union(checked.filter("words is null").select("key", "start", "n")).union(repeats)
+
+
 def covered(words: list[bytes], marks: list[dict]) -> np.ndarray:
-    """Which of a document's words lie in a window that occurs earlier, word for word."""
+    """Which of a document's words lie in a marked window."""
     step = np.zeros(len(words) + WINDOW + 1, np.int64)
     for m in marks:
-        start, n = m["start"], m["n"]
-        there = None if m["words"] is None else m["words"].encode()
-        if there is None or b" ".join(words[start : start + n + WINDOW - 1]) == there:
-            step[start] += 1
-            step[start + n + WINDOW - 1] -= 1
-        else:
-            there = there.split(b" ")
-            for k in range(n):
-                if words[start + k : start + k + WINDOW] == there[k : k + WINDOW]:
-                    step[start + k] += 1
-                    step[start + k + WINDOW] -= 1
+        step[m["start"]] += 1
+        step[m["start"] + m["n"] + WINDOW - 1] -= 1
     return np.cumsum(step)[: len(words)] > 0
 
 
 def with_marks(keyed: DataFrame, marks: DataFrame, key: str = "key") -> DataFrame:
     """Documents with the lists of their own marked windows (as many as they have words at most)."""
-    lists = marks.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("start", "n", "words")).alias("_tidelog_marks"))
+    lists = marks.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("start", "n")).alias("_tidelog_marks"))
     return keyed.join(lists.hint("merge"), key, "left")  # one plan at every size
 
 
@@ -416,7 +448,7 @@ def kept_words(rows: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
 
 
 def repeated_windows(keyed: DataFrame) -> DataFrame:
-    """(key, start, n, words) of the windows of `keyed` (key, text) that start earlier: the table goes in
+    """(key, start, n) of the windows of `keyed` (key, text) that start earlier: the table goes in
     BATCHES ascending ranges of keys into an index that starts empty."""
     index = WindowIndex(keyed.sparkSession)
     cuts = sorted(set(keyed.approxQuantile("key", [k / BATCHES for k in range(1, BATCHES)], 0.01)))
@@ -426,7 +458,7 @@ def repeated_windows(keyed: DataFrame) -> DataFrame:
         batch = keyed if low is None else keyed.filter(F.col("key") > low)
         found = index.add(batch if high is None else batch.filter(F.col("key") <= high))
         spans = found if spans is None else spans.union(found)
-    return with_earlier_words(spans, keyed)
+    return verified(with_earlier_words(spans, keyed), keyed)
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -440,7 +472,10 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     instead of one for each. Tasks mark repeats within their own chunks first, so that a passage
     which many documents share sends one entry per chunk. The table goes into the index in BATCHES;
     each is merged with the runs of those before. Windows that agree in their anchors (58 bits) and
-    40 bits of their own are compared word by word with the earlier document's text before a word goes.
+    40 bits of their own are compared word by word with the earlier document's text before a word goes,
+    and those that differ among themselves (verified()). An anchor that a common line gives is split by
+    bits of the windows' own hashes; adaptive execution splits documents with very many marks no
+    further, as a document's marks are at most its words.
 
     Null texts have no words. Null and repeated doc_ids are documents of their own, ordered
     by text. Documents under WINDOW words stay whole; a long text is a chunk of its own. An empty
