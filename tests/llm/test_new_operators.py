@@ -13,7 +13,7 @@ import pytest
 from compare import difference
 from pyspark.sql import functions as F
 
-from tidelog.llm import merkle, queries, resampling, toxicity
+from tidelog.llm import merkle, quality, queries, resampling, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, idx long, digest string, place int, bucket int"
@@ -275,3 +275,42 @@ def test_toxicity_of_the_given_labels(spark):
     rank, pos = got["score"].rank(), got["toxic"] == 1
     auc = (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
     assert auc > 0.96 and (got["predicted"] == got["toxic"]).mean() > 0.97 and got[~pos]["predicted"].mean() < 0.01
+
+
+def test_quality_vectors_pooling_and_network_against_brute_force(spark):
+    """Context sums word by word, means and spreads document by document, and the network's score unit by unit."""
+    r = random.Random(9)
+    vocabulary = ["alpha", "Beta,", "42nd", "Été", "x-Ray!", "a1B2c3D4e5F6", "日本", "..."]
+    texts = [" ".join(r.choices(vocabulary, k=k)) for k in (1, 2, 5, 40, 300)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    index, shapes = quality.index_vectors(quality.CORES, 1), quality.index_vectors(quality.SHAPES, 2)
+    bucket = lambda part, w, size: int(quality.mix(quality.word_hashes(pa.array([part(w)])))[0] % np.uint64(size))
+    sums = np.zeros((quality.CORES, quality.DIMENSIONS))
+    for t in texts:
+        cores = [bucket(quality.core_of, w, quality.CORES) for w in (t or "").split()]
+        for i, c in enumerate(cores):
+            for j in range(max(0, i - quality.REACH), min(len(cores), i + quality.REACH + 1)):
+                if i != j:
+                    sums[c] += index[cores[j]]
+    contexts = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    learned = quality.learn_word_vectors(docs)
+    assert np.allclose(learned, contexts, atol=1e-5)
+    got = {x.doc_id: np.array(x.features) for x in quality.pooled(docs, learned).collect()}
+    for k, t in enumerate(texts):
+        w = (t or "").split()
+        want = np.zeros(3 * quality.DIMENSIONS + 1)
+        if w:
+            v = np.array([(index + contexts)[bucket(quality.core_of, x, quality.CORES)] for x in w])
+            s = np.array([shapes[bucket(quality.shape_of, x, quality.SHAPES)] for x in w])
+            want = np.concatenate([v.mean(0), v.std(0), s.mean(0), [math.log1p(len(w))]])
+        assert np.allclose(got[k], want, atol=2e-3)
+    net = quality.fit_network(np.array([got[k % 7] + k for k in range(60)]), np.array([k % 2 for k in range(60)], float), epochs=3)
+    x = got[3]
+    hidden = [math.tanh(sum((x[i] - net.centre[i]) / net.scale[i] * net.w1[i, j] for i in range(len(x))) + net.b1[j]) for j in range(len(net.b1))]
+    logit = (sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2) / net.temperature
+    assert math.isclose(net.scores(x[None])[0], 1 / (1 + math.exp(-logit)), rel_tol=1e-9)
+
+
+def test_shapes_are_whole():
+    """No word's shape is cut."""
+    assert quality.shape_of("aB1" * 9) == "xX9" * 9 and quality.shape_of("Éa-1") != quality.shape_of("Éa-1-") and quality.shape_of("WORLD2000") == "X9"

@@ -46,7 +46,7 @@ def shape_of(word: str) -> str:
             return "Xx"
     s = LETTER_RUNS[2].sub("x", LETTER_RUNS[1].sub("X", LETTER_RUNS[3].sub("9", word)))
     s = re.sub("[^\\W\\d_xX]+", "o", s)
-    return re.sub(r"(.)\1+", r"\1", s)[:8]
+    return re.sub(r"(.)\1+", r"\1", s)
 
 
 def core_of(word: str) -> str:
