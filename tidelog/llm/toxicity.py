@@ -210,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_training_rows:
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     some = marks.filter(usable).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_training_rows)
     joined = id_text(docs).dropna(subset=["doc_id"]).join(some, "doc_id")
-    training = stored(joined.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_training_rows).select("text", "toxic").repartition("text"), "training")
+    training = stored(joined.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_training_rows).repartition("doc_id").select("text", "toxic"), "training")
     counts = {r["toxic"] > 0: r["n"] for r in training.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     keys = telling_features(training, counts.get(True, 0), counts.get(False, 0))
     return fit(training_bags(training, keys), keys)
