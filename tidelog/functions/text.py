@@ -54,15 +54,30 @@ def params(parts: Column, template: Column) -> Column:
 def timestamp_of(text: Column) -> Column:
     """ISO 8601 (comma decimals too), epoch seconds or milliseconds by length, and common log layouts."""
     t = F.trim(text)
-    return F.coalesce(
-        F.when(t.rlike(r"^\d{9,12}$"), F.timestamp_seconds(t.try_cast("double"))),
-        F.when(t.rlike(r"^\d{13}$"), F.timestamp_millis(t.try_cast("long"))),
-        F.when(t.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d|$)"), F.regexp_replace(t, ",", ".").try_cast("timestamp")),
-        F.when(t.rlike(r"^\d{8}$"), F.try_to_timestamp(t, F.lit("yyyyMMdd"))),
-        *[F.try_to_timestamp(t, F.lit(p)) for p in ("yyyy/MM/dd HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "MM-dd-yyyy HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss Z", "dd/MMM/yyyy:HH:mm:ss")],
+    length, mark = F.length(t), lambda at: F.substring(t, at, 1)
+    layout = lambda p: F.try_to_timestamp(t, F.lit(p))
+    return (  # what stands where tells which layout to try
+        F.when(all_digits(t) & (length == 13), F.timestamp_millis(t.try_cast("long")))
+        .when(all_digits(t) & length.between(9, 12), F.timestamp_seconds(t.try_cast("double")))
+        .when(all_digits(t) & (length == 8), layout("yyyyMMdd"))
+        .when(mark(5) == "-", F.when(picture(F.left(t, F.lit(16))).isin("9999-99-99", "9999-99-99a99:99", "9999-99-99 99:99") & mark(11).isin("", "T", " "), F.replace(t, F.lit(","), F.lit(".")).try_cast("timestamp")))
+        .when(mark(5) == "/", layout("yyyy/MM/dd HH:mm:ss"))
+        .when(mark(3) == "-", F.coalesce(layout("dd-MM-yyyy HH:mm:ss"), layout("MM-dd-yyyy HH:mm:ss")))
+        .when(mark(3) == "/", F.coalesce(layout("dd/MMM/yyyy:HH:mm:ss Z"), layout("dd/MMM/yyyy:HH:mm:ss")))
     )
 
 
+def all_digits(text: Column) -> Column:
+    """Whether a text has characters, all of them 0 to 9."""
+    return (text != "") & (F.translate(text, "0123456789", "") == "")
+
+
+def picture(text: Column) -> Column:
+    """A text with 9 for each digit and a for each ASCII letter."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return F.translate(text, "0123456789" + letters + letters.upper(), "9" * 10 + "a" * 52)
+
+
 def iso_millis(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
@@ -72,12 +87,6 @@ def group(text: Column, pattern: str, index: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, index), F.lit(""))
 
 
-def groups(text: Column, pattern: str, count: int) -> Column:
-    """All groups of an expression that matches the whole text, as an array, from one match."""
-    apart = "\u0001\u0002\u0001"
-    return F.transform(F.split(F.regexp_replace(text, pattern, apart.join(f"${i}" for i in range(1, count + 1))), apart), lambda x: F.nullif(x, F.lit("")))
-
-
 def unterminated(line: Column) -> Column:
     """Whether brackets or quotes stay open, folding over the characters with escapes in mind."""
     state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"))
