@@ -23,7 +23,7 @@ LONGEST_SENTENCE = 64
 #: Letters of a word's beginnings that are features beside the whole word.
 STEMS = (3, 4, 5, 6, 7, 8)
 #: Labelled documents that must have a feature, the least chi-square of its presence against the label, and the features kept at most.
-LEAST_DOCUMENTS, LEAST_CHI2, MOST_FEATURES = 4, 12.0, 1 << 14
+LEAST_DOCUMENTS, LEAST_CHI2, MOST_FEATURES = 4, 20.0, 1024
 #: What ends a sentence: a full stop and the like before a blank, an ideographic one, a line break.
 SENTENCE_END = "[.!?…]+[\"'”’»)\\]]*\\s|[。！？]|[\\n\\r\\x0b\\x0c]"
 #: Stands for such an end among the words.
