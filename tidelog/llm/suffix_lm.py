@@ -229,7 +229,7 @@ def count_sequences(docs: DataFrame, depth: int, shorter: DataFrame) -> DataFram
     return found
 
 
-def grow(counted: DataFrame, shorter: DataFrame) -> DataFrame:
+def grow(counted: DataFrame, shorter: DataFrame, last: bool = False) -> DataFrame:
     """(seq, n, logp, value, ctx, total, rest) of the sequences of one depth.
 
     A context that occurs C times is kept for the next words that diverge in it: those whose n
@@ -240,9 +240,10 @@ def grow(counted: DataFrame, shorter: DataFrame) -> DataFrame:
     context isn't kept. Scores are sums of what contexts add: each token after a kept context gets
     its `rest`, and `value` on top if the sequence is kept. A kept context is named once, by `ctx`.
 
-    Equal contexts meet in a window: as many rows as a context has distinct next words.
+    Equal contexts meet in a window: as many rows as a context has distinct next words. Of the `last` depth,
+    whose probabilities nothing asks for, kept sequences alone are stored.
     """
-    suffix = shorter.select(F.col("seq").alias("suf"), F.col("logp").alias("parent"))
+    suffix = shorter.select(F.col("seq").alias("suf"), F.col("logp").alias("parent")).hint("shuffle_hash")  # a partition's distinct keys, unsorted
     context = shorter.select(F.col("seq").alias("ctx"), F.col("n").alias("total"))
     each = Window.partitionBy("ctx")
     rows = counted.join(suffix, "suf").join(context, "ctx")
@@ -251,7 +252,7 @@ def grow(counted: DataFrame, shorter: DataFrame) -> DataFrame:
     rows = rows.withColumn("all", F.col("total") + F.col("types")).withColumn("left", 1 - F.coalesce("held", F.lit(0)) / F.col("all"))
     rows = rows.withColumns({"rest": F.log10("left"), "own": F.log10(F.when(F.col("passes"), F.col("n") / F.col("all")).otherwise(0.0) + F.col("left") * F.pow(F.lit(10.0), "parent"))})
     head = F.col("passes") & (F.col("suf") == F.col("first"))
-    return stored(rows.select(
+    return stored((rows.filter("passes") if last else rows).select(
         F.xxhash64("ctx", "suf").alias("seq"), "n", F.col("own").alias("logp"), F.when(F.col("passes"), F.col("own") - F.col("parent") - F.col("rest")).cast("float").alias("value"),
         *(F.when(head, c).alias(n) for n, c in (("ctx", F.col("ctx")), ("total", F.col("total")), ("rest", F.col("rest").cast("float")))),
     ), "tree")
@@ -263,7 +264,7 @@ def learn_values(docs: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFra
     spark, level, values = docs.sparkSession, words.select(F.col("h").alias("seq"), "n", "logp"), []
     for depth in range(1, DEPTH + 1):
         counted = pairs if depth == 1 else count_sequences(docs, depth, level)
-        longer = grow(counted, level)
+        longer = grow(counted, level, depth == DEPTH)
         values.append(stored(longer.filter("value is not null").select(F.col("seq").alias("h"), "n", F.col("value").alias("gain")).union(longer.filter("ctx is not null").select("ctx", "total", "rest")), "values"))
         if depth > 1:
             discard(counted, level)
