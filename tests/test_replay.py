@@ -173,6 +173,16 @@ def test_sockets_and_standard_input_are_spooled(tmp_path):
         time.sleep(0.05)
     server.stop()
     assert sorted("".join(p.read_text() for p in (tmp_path / "tcp").glob("tcp*.log")).split()) == ["one", "three", "two"]
+    ours, theirs = os.pipe()
+    live = spool.LiveSpool(os.fdopen(ours, "rb"), str(tmp_path / "live"), max_age_s=0.2).start()
+    os.write(theirs, b"first\nhal")
+    ends = time.monotonic() + 10
+    while not list((tmp_path / "live").glob("stdin*.log")) and time.monotonic() < ends:
+        time.sleep(0.05)
+    assert [p.read_text() for p in (tmp_path / "live").glob("stdin*.log")] == ["first\n"] and not live.ended.is_set()  # before the end
+    os.write(theirs, b"f\n")
+    os.close(theirs)
+    assert live.ended.wait(10) and sorted("".join(p.read_text() for p in (tmp_path / "live").glob("stdin*.log")).split()) == ["first", "half"]
     spool.spool_stream(io.BytesIO(b"a\nb"), str(tmp_path / "in"))
     assert [p.read_text() for p in (tmp_path / "in").glob("stdin*.log")] == ["a\nb\n"]
 
@@ -202,13 +212,51 @@ def test_suggested_thresholds(spark):
     assert alerts.suggested_thresholds(spark.range(0), 36_000.0, 1.0).first().scale is None
 
 
-def test_groups_match_one_by_one(spark):
-    line = '1.2.3.4 - bob [01/Jan/2026:00:00:00 +0000] "GET /a HTTP/1.1" 200 -'
-    from tidelog.functions.text import group, groups
-
-    df = spark.createDataFrame([(line,)], "t string")
-    got = df.select(groups(F.col("t"), parsers.ACCESS, 10).alias("all"), F.array(*[group(F.col("t"), parsers.ACCESS, i) for i in range(1, 11)]).alias("each")).first()
-    assert got["all"] == got["each"]
+def test_access_lines_are_cut_into_parts(spark):
+    lines = {
+        '1.2.3.4 - bob [01/Jan/2026:00:00:00 +0000] "GET /a HTTP/1.1" 200 -': ["1.2.3.4", "-", "bob", "01/Jan/2026:00:00:00 +0000", "GET /a HTTP/1.1", "200", "-", None, None, None],
+        '  h i "u" [1/Feb/2026:10:00:01 -0130] "" 503 12 "http://r" "an agent" 0.25 ': ["h", "i", '"u"', "1/Feb/2026:10:00:01 -0130", None, "503", "12", "http://r", "an agent", "0.25"],
+        'h - - [01/Jan/2026:00:00:00 +0000] "GET" 200 5 1.5': ["h", "-", "-", "01/Jan/2026:00:00:00 +0000", "GET", "200", "5", None, None, "1.5"],
+    }
+    broken = ['h - - [01/Jan/2026:00:00:00 +0000] "GET" 20 5', 'h - [01/Jan/2026:00:00:00 +0000] "GET" 200 5', 'h - - [01/Jan/2026 00:00:00 +0000] "GET" 200 5', 'h - - [01/Jan/2026:00:00:00 +0000] "GET" 200 x', 'h - - [01/Jan/2026:00:00:00 +0000] GET 200 5', 'h\t - - [01/Jan/2026:00:00:00 +0000] "GET" 200 5', ""]
+    df = spark.createDataFrame([(x,) for x in [*lines, *broken]], "t string")
+    got = {r.t: r.p for r in df.select("t", parsers.access_parts(F.col("t"))["parts"].alias("p")).collect()}
+    assert got == lines | dict.fromkeys(broken)
+
+
+def test_syslog_lines_are_cut_into_parts(spark):
+    new = {
+        "<34>1 2026-01-01T00:00:00Z host app 7 ID1 - hello  world": ["34", "1", "2026-01-01T00:00:00Z", "host", "app", "7", "ID1", "hello  world"],
+        '<165>2 - h a p m [x@1 a="b"][y c="d]"] msg [z]': ["165", "2", "-", "h", "a", "p", "m", "msg [z]"],
+        "<9>1 - h a p m [sd]": ["9", "1", "-", "h", "a", "p", "m", None], "<9>1 - h a p m -": ["9", "1", "-", "h", "a", "p", "m", None],
+        "<9>1 - h a p m x": None, "<9999>1 - h a p m -": None, "<9>123 - h a p m -": None, "<9>1 - h a p m": None,
+    }
+    old = {
+        "<34>Jan  2 03:04:05 host su[9]: hello": ["34", "Jan", "2", "03:04:05", "host", "su", "9", "hello"], "Oct 11 22:14:15 m prog:x": [None, "Oct", "11", "22:14:15", "m", "prog", None, "x"],
+        "Oct 11 22:14:15 m a b: x": None, "Oct 11 22:14:15 m prog[x]: y": None, "Oct 11 22:14 m prog: y": None, "Oct 111 22:14:15 m prog: y": None, "Oct 11 22:14:15 m prog": None,
+    }
+    for cut, want in ((parsers.rfc5424, new), (parsers.rfc3164, old)):
+        df = spark.createDataFrame([(x,) for x in want], "t string")
+        assert {r.t: r.p for r in df.select("t", cut(F.col("t")).alias("p")).collect()} == want
+
+
+def test_lines_of_stack_traces(spark):
+    more = ["    at com.foo.Bar(B.java:1)", "\tat\tx", '  File "a.py", line 3, in f', "Caused by: x", "  Caused by: y", "  ... 12 more", "... 3 more)", "Traceback (most recent call last):", "ValueError: x", "java.lang.RuntimeException", "a.Error"]
+    other = ["at x", "    at  x", '  File "", line 3', 'File "a.py", line 3', '  File "a.py", line x', "... more", "  ... x more", "... 3 moreover", " Traceback (most recent call last):", "Error: x", "xErrors", "java.lang.RuntimeExceptioné", "9Error", ""]
+    df = spark.createDataFrame([(x,) for x in [*more, *other]], "t string")
+    got = {r.t: r.p for r in df.select("t", assemble.stack_frame(F.col("t")).alias("p")).collect()}
+    assert got == dict.fromkeys(more, True) | dict.fromkeys(other, False)
+    partial = {"  }": True, "}],": True, "\t] }": True, "[": True, '{"a": [1': True, "]x": False, '{"a": 1}': False, "x {": False, "": False}
+    df = spark.createDataFrame([(x,) for x in partial], "t string")
+    assert {r.t: r.p for r in df.select("t", assemble.json_partial(F.col("t")).alias("p")).collect()} == partial
+
+
+def test_no_filter_repeats_the_parse(spark):
+    """A filter on the verdict stays above what the parsers need of a line."""
+    rows = spark.createDataFrame([("s", 1, '{"a": 1}')], "source string, seq long, text string")
+    plan = parsers.parse_lines(rows, parsers.registry(2026)).filter("parser is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_parse_json") <= 2 or plan.count("parse_json") <= 4
+    assert [line for line in plan.splitlines() if "Generate explode" in line]
 
 
 def test_replay_finds_the_labelled_anomalies(spark, tmp_path):
@@ -247,12 +295,13 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["query", str(log), "--where", "level=error", "--by", "level"]) == cli.OK
     assert "error\t6" in capsys.readouterr().out
     assert cli.main(["summary", str(log)]) == cli.OK
+    assert "60\t0\t0.0\t10.0\t1\t0" in capsys.readouterr().out
     assert cli.main(["query", str(log), "--where", "level=error", "--limit", "2"]) == cli.OK
     assert capsys.readouterr().out.count("error\ta.log\thello") == 2
 
 
 def test_live_run_gives_the_alerts_of_a_replay(spark, tmp_path, capsys, monkeypatch):
-    """Two batches of lines: a template that is new in the second raises its alert once, and a hook gets it."""
+    """Three runs on one state: a template that is new in the second raises its alert once its minute is over, and a hook gets it."""
     monkeypatch.setattr(cli, "local_session", lambda: spark)
     logs, got = tmp_path / "logs", tmp_path / "got"
     logs.mkdir()
@@ -264,10 +313,13 @@ def test_live_run_gives_the_alerts_of_a_replay(spark, tmp_path, capsys, monkeypa
     args = ["--config", str(conf), "run", f"dir:{logs}", "--state", f"file://{tmp_path}/state", "--once"]
     assert cli.main(args) == cli.OK and capsys.readouterr().out == ""
     (logs / "b.log").write_text("".join(line(s, "mayday something burns") for s in range(400, 430, 10)))
+    assert cli.main(args) == cli.OK and capsys.readouterr().out == ""
+    (logs / "c.log").write_text(line(500, "steady work goes on"))
     assert cli.main(args) == cli.OK
     out = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert [p["detector"] for p in out] == ["new_template"] and json.loads(got.read_text())["id"] == out[0]["id"]
-    (logs / "c.log").write_text(line(440, "steady work goes on"))
+    assert out[0]["template"] == "mayday something burns" and out[0]["observed"]["value"] == 3.0 and out[0]["examples"][-1] == "mayday something burns"
+    (logs / "d.log").write_text(line(540, "mayday something smokes") + line(700, "steady work goes on"))
     assert cli.main(args) == cli.OK and capsys.readouterr().out == ""
 
 
@@ -290,6 +342,74 @@ def test_saved_volumes_are_baselines(spark, tmp_path):
     assert alone.isEmpty()
 
 
+def test_a_state_table_heals(spark, tmp_path):
+    """Versions are pruned; one that is cut short or unreadable is put aside and the one before it is used."""
+    folder = f"file://{tmp_path}/state"
+    table = state.StateTable(spark, folder, keep=3)
+    assert table.load().isEmpty() and table.versions() == []
+    rows = lambda n: state.numeric_state(spark.createDataFrame([("k", float(i), float(n)) for i in range(n)], "key string, at double, value double"))
+    for n in range(1, 6):
+        assert table.save(rows(n), n) == n
+    assert table.versions() == [3, 4, 5] and sorted(p.name for p in (tmp_path / "state").iterdir() if not p.name.startswith(".")) == sorted(f"{a}{v}{b}" for v in (3, 4, 5) for a, b in (("version-", ""), ("manifest-", ".json")))
+    assert table.load().count() == 5
+    for part in (tmp_path / "state/version-5").glob("part-*"):
+        part.write_bytes(b"no parquet")
+    for part in (tmp_path / "state/version-5").glob(".part-*"):
+        part.unlink()
+    (tmp_path / "state/manifest-4.json").write_text(json.dumps({"rows": 99, "checksum": "0"}))
+    assert table.load().count() == 3 and len(table.set_aside) == 2 and table.versions() == [3]
+    assert {p.name for p in (tmp_path / "state").glob("corrupt-*")} == {"corrupt-5", "corrupt-5.json", "corrupt-4", "corrupt-4.json"}
+    rows(8).write.parquet(f"{folder}/version-2")  # left by a save that failed
+    table.save(rows(7), 6)
+    assert table.load().count() == 7 and table.versions() == [3, 6] and not (tmp_path / "state/version-2").exists()
+
+
+def test_trim_by_bytes_takes_the_oldest_of_every_key(spark):
+    """As a loop does that drops one sample of each key a pass, then error windows, and never exclusions."""
+    r = random.Random(3)
+    rows = [("numeric", f"k{r.randrange(4)}" * r.randrange(1, 3), 0, float(i), float(r.randrange(9)), None) for i in range(80)]
+    rows += [("error", "", 0, float(i), 1.0, 0.0) for i in range(5)] + [("exclusion", "", 0, 1.0, 2.0, None)]
+    df = spark.createDataFrame(rows, state.SCHEMA)
+    size = lambda x: len(x[0]) + len(x[1]) + 28
+    for most in (10**6, 2000, 500, 130, 0):
+        left = sorted(rows, key=lambda x: (x[0], x[1], x[3]))
+        while sum(map(size, left)) > most:
+            turn = [k for k in sorted({x[1] for x in left if x[0] == "numeric"})]
+            before = len(left)
+            for k in turn:
+                if sum(map(size, left)) > most:
+                    left.remove(min((x for x in left if x[:2] == ("numeric", k)), key=lambda x: x[3]))
+            if not turn and (errors := [x for x in left if x[0] == "error"]):
+                left.remove(min(errors, key=lambda x: x[3]))
+            if len(left) == before:
+                break
+        got = sorted((tuple(x) for x in state.within_bytes(df, most).collect()), key=lambda x: (x[0], x[1], x[3]))
+        assert got == left
+
+
+def test_medians_of_hot_groups(spark):
+    import statistics
+
+    r = random.Random(5)
+    rows = [(r.choice("aaaaab"), r.choice([None, 1.0, 2.0, r.random()])) for _ in range(400)] + [("c", 7.0), ("d", None), (None, 3.0), (None, 4.0)]
+    got = {x.g: x.m for x in ordered.medians(spark.createDataFrame(rows, "g string, v double").repartition(6), "g", F.col("v"), "m").collect()}
+    want = {g: statistics.median(v for k, v in rows if k == g and v is not None) for g in ("a", "b", "c", None)}
+    assert got == pytest.approx(want)
+
+
+def test_years_and_far_times(spark):
+    """Classic syslog lines are of the clock's year, and one line of long ago costs one window, not all between."""
+    import datetime
+
+    from tidelog.operators import detectors
+
+    row = spark.createDataFrame([("s", 1, "Jan  2 03:04:05 h su[9]: hello")], "source string, seq long, text string")
+    parsed = parsers.parse_lines(row, parsers.registry(config.Settings().year)).first()
+    assert parsed.ts.year == datetime.datetime.now(datetime.UTC).year
+    events = spark.range(200).select(F.timestamp_seconds(F.when(F.col("id") == 0, 0).otherwise(1_767_225_600 + F.col("id"))).alias("ts"), F.when(F.col("id") % 7 == 0, "error").otherwise("info").alias("level"))
+    assert detectors.error_rate(events).count() >= 2
+
+
 def test_lines_before_an_alert(spark):
     events = spark.createDataFrame([(k, "ab"[k % 3 == 0], f"line {k}") for k in range(20)], "seq long, template_text string, message string")
     raised = spark.createDataFrame([(1, 8, "b"), (2, 2, "b"), (3, 0, "a")], "alert_id long, seq long, template_text string")

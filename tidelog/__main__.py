@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import sys
 import tempfile
 from collections.abc import Callable
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import config
 from .operators import alerts, query, replay
-from .session import local_session, prepare
+from .session import local_session, prepare, stored
 from .sources import corpus, hooks, targets
 from .streaming import live
 
@@ -33,7 +34,8 @@ def report(rows: list) -> None:
 
 def do_run(args: argparse.Namespace, settings: config.Settings, lines: DataFrame) -> None:
     """Follow a target and print alerts as they come, until it is stopped; with --once, until what is there is done."""
-    query = live.run(lines, args.state, settings, emit=lambda out: show(out.select("payload")), trigger={"availableNow": True} if args.once else None)
+    how = {"trigger": {"availableNow": True}, "flush_s": 0.0} if args.once else {}  # what is there ends with whole records
+    query = live.run(lines, args.state, settings, emit=lambda out: show(out.select("payload")), **how)
     query.awaitTermination()
 
 
@@ -60,7 +62,10 @@ def do_query(args: argparse.Namespace, settings: config.Settings, events: DataFr
 
 
 def do_summary(args: argparse.Namespace, settings: config.Settings, events: DataFrame) -> None:
+    """Totals, shares, alerts of the whole, and the most frequent templates."""
+    events = stored(events, "events")
     show(query.totals(events))
+    show(query.report(events, replay.replay(events, dataclasses.replace(settings, hooks=(), baseline_path=""))))
     show(query.summary(events, args.limit))
 
 

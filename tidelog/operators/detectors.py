@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.stats import robust_z, severity, two_proportion_z
-from .baselines import hourly_volume, marked_excluded, prior_statistics
+from ..functions.stats import robust_z, severity, sorted_median, two_proportion_z
+from ..functions.text import bound
+from .baselines import RING, hourly_volume, marked_excluded, prior_statistics
 from .ordered import positions, running_sums, walk
 
 
@@ -98,10 +99,15 @@ def volume_global(events: DataFrame, config: DetectorConfig = DetectorConfig(),
     return scored.filter(F.col("samples") >= SLOT_SAMPLES).select("bucket", "n", "median", "mad", z.alias("z"), hot.alias("severity"))
 
 
+def seen_windows(events: DataFrame, window_s: int) -> DataFrame:
+    """(start, total, errors) of the windows of an absolute grid that have events."""
+    start = F.floor(F.unix_micros("ts") / (1_000_000 * window_s)) * window_s
+    return events.groupBy(start.alias("start")).agg(F.count("*").alias("total"), F.count_if(F.col("level").isin("error", "critical")).alias("errors"))
+
+
 def error_windows(events: DataFrame, window_s: int) -> DataFrame:
     """(start, total, errors) on an absolute grid, empty windows too, between those that have events."""
-    start = F.floor(F.unix_micros("ts") / (1_000_000 * window_s)) * window_s
-    found = events.groupBy(start.alias("start")).agg(F.count("*").alias("total"), F.count_if(F.col("level").isin("error", "critical")).alias("errors"))
+    found = seen_windows(events, window_s)
     low, high = found.agg(F.min("start"), F.max("start")).first()
     if low is None:
         return found
@@ -110,11 +116,21 @@ def error_windows(events: DataFrame, window_s: int) -> DataFrame:
     return grid.join(found, "start", "left").select("start", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("errors", F.lit(0)).alias("errors"))
 
 
-def error_rate(events: DataFrame, config: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Windows whose error share is scored against the windows of the time before. Windows, not events,
-    are ordered as a whole."""
-    before = Window.orderBy("start").rangeBetween(-config.error_baseline_s, -1)
-    base = error_windows(events, config.error_window_s).withColumns({"base_total": F.sum("total").over(before), "base_errors": F.sum("errors").over(before)})
+def with_base(windows: DataFrame, history: DataFrame | None, span_s: int) -> DataFrame:
+    """`windows` (start, total, errors) with base_total and base_errors, of the windows that begin in the `span_s` seconds before. `history` is
+    windows of an earlier run; of one that both have, the larger counts. Windows that have events, not events, are ordered as a whole, so
+    that a single bad time costs one row."""
+    rows = windows.withColumn("_old", F.lit(False))
+    if history is not None:
+        old = history.select(F.col("start").cast("long").alias("start"), F.col("total").cast("long").alias("total"), F.col("errors").cast("long").alias("errors"), F.lit(True).alias("_old"))
+        rows = rows.unionByName(old).groupBy("start").agg(F.max("total").alias("total"), F.max_by("errors", "total").alias("errors"), F.min("_old").alias("_old"))
+    before = Window.orderBy("start").rangeBetween(-span_s, -1)
+    return rows.withColumns({"base_total": F.sum("total").over(before), "base_errors": F.sum("errors").over(before)}).filter("not _old").drop("_old")
+
+
+def error_rate(events: DataFrame, config: DetectorConfig = DetectorConfig(), history: DataFrame | None = None) -> DataFrame:
+    """Windows whose error share is scored against the windows of the time before, of an earlier run's `history` too."""
+    base = with_base(seen_windows(events, config.error_window_s), history, config.error_baseline_s)
     z = two_proportion_z(F.col("errors"), F.col("total"), F.col("base_errors"), F.col("base_total"))
     usable = (F.col("total") >= config.error_min_total) & (F.col("base_total") >= config.error_min_total) & (F.col("base_errors") >= config.error_min_errors)
     return base.filter(usable).select("start", "total", "errors", "base_total", "base_errors", F.round(z, 6).alias("z")).withColumn("severity", severity(F.col("z"), *config.error_bands))
@@ -123,12 +139,14 @@ def error_rate(events: DataFrame, config: DetectorConfig = DetectorConfig()) ->
 def mann_whitney(samples: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n1, n2, u, z) of the samples marked `recent` against the others: average ranks,
     tie-corrected, without continuity correction; z is 0 without variance. Needs both sides."""
-    over, ties = Window.partitionBy(*keys).orderBy("value"), Window.partitionBy(*keys, "value")
-    ranked = samples.withColumn("_rank", F.rank().over(over) + (F.count("*").over(ties) - 1) / 2.0).withColumn("_tie", F.pow(F.count("*").over(ties), F.lit(2)) - 1)
-    g = ranked.groupBy(*keys).agg(
-        F.count_if("recent").alias("n1"), F.count_if(~F.col("recent")).alias("n2"),
-        F.sum(F.when(F.col("recent"), F.col("_rank")).otherwise(0.0)).alias("_ranks"), F.sum("_tie").alias("_ties"),
-    ).filter("n1 > 0 and n2 > 0")
+    # Counts per distinct value cross the shuffle; their running sums are worked out by ranges of (keys, value), whatever a key's share.
+    counted = samples.groupBy(*keys, "value").agg(F.count_if("recent").alias("_c1"), F.count("*").alias("_c")).withColumn("_below", F.col("_c"))
+    summed = running_sums(counted, [*keys, "value"], ["_below"])
+    c1, c = F.col("_c1"), F.col("_c")
+    g = summed.groupBy(*keys).agg(
+        F.sum(c1).alias("n1"), F.sum(c - c1).alias("n2"), F.min(F.col("_below") - c).alias("_first"),
+        F.sum(c1 * (F.col("_below") - (c - 1) / 2.0)).alias("_ranks"), F.sum(F.pow(c, F.lit(3)) - c).alias("_ties"),
+    ).filter("n1 > 0 and n2 > 0").withColumn("_ranks", F.col("_ranks") - F.col("n1") * F.col("_first"))
     n = F.col("n1") + F.col("n2")
     u = F.col("_ranks") - F.col("n1") * (F.col("n1") + 1) / 2.0
     variance = F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.when(n > 1, F.col("_ties") / (n * (n - 1))).otherwise(0.0))
@@ -141,12 +159,27 @@ def blocks(samples: DataFrame, config: DetectorConfig) -> DataFrame:
     return positions(samples, ["seq"], "block", by="key").withColumn("block", F.floor((F.col("block") - 1) / config.shift_block))
 
 
-def numeric_shift(samples: DataFrame, config: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Each full block of a key's values (key, seq, value) against the blocks before it."""
+#: Newest samples of a key that are kept between runs.
+NUMERIC_KEPT = 128
+
+
+def numeric_shift(samples: DataFrame, config: DetectorConfig = DetectorConfig(), saved: DataFrame | None = None) -> DataFrame:
+    """Each full block of a key's values (key, seq, value) against the blocks before it.
+
+    The first block has none in this run; it is scored against the newest of `saved` (key, at, value), an earlier run's
+    samples, as many as the kept ring has beside the block, if they are a block at least.
+    """
     blocked = blocks(samples, config)
-    full = blocked.groupBy("key", "block").count().filter(F.col("count") == config.shift_block).filter("block > 0").select("key", "block")
+    full = blocked.groupBy("key", "block").count().filter(F.col("count") == config.shift_block).select("key", "block")
     spread = blocked.select("key", "value", F.col("block").alias("_of"), F.explode(F.sequence("block", F.col("block") + config.shift_baseline_blocks)).alias("block"))
-    both = spread.join(full, ["key", "block"], "left_semi").withColumn("recent", F.col("_of") == F.col("block"))
+    both = spread.join(full.filter("block > 0"), ["key", "block"], "left_semi").withColumn("recent", F.col("_of") == F.col("block")).drop("_of")
+    if saved is not None:
+        newest = Window.partitionBy("key").orderBy(F.desc("at"), F.desc("value"))  # a ring of a bounded length a key
+        ring = saved.withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") <= NUMERIC_KEPT - config.shift_block)
+        first = full.filter("block = 0").join(ring.groupBy("key").count().filter(F.col("count") >= config.shift_block), "key", "left_semi")
+        old = ring.join(first, "key").select("key", "block", "value", F.lit(False).alias("recent"))
+        own = blocked.join(first, ["key", "block"], "left_semi").select("key", "block", "value", F.lit(True).alias("recent"))
+        both = both.select("key", "block", "value", "recent").unionByName(own).unionByName(old)
     return mann_whitney(both, ["key", "block"]).withColumn("severity", severity(F.abs("z"), *config.shift_bands))
 
 
@@ -189,9 +222,10 @@ def rare_sequences(events: DataFrame, warm_at: float, config: DetectorConfig = D
 # ---- from scores to alerts: partial windows, cooldowns, guards ----------------------------------
 
 
-def error_alerts(events: DataFrame, config: DetectorConfig = DetectorConfig()) -> DataFrame:
+def error_alerts(events: DataFrame, config: DetectorConfig = DetectorConfig(), history: DataFrame | None = None) -> DataFrame:
     """The first moment of each window at which its counts so far give an alert: checked every
-    `error_tick_s` seconds of the window, and at its end. Ticks are counted before they are ordered."""
+    `error_tick_s` seconds of the window, and at its end. Ticks are counted before they are ordered. `history` is an
+    earlier run's windows (start, total, errors)."""
     width, tick = config.error_window_s, config.error_tick_s
     second = F.unix_micros("ts") / 1e6
     start = (F.floor(second / width) * width).alias("start")
@@ -199,8 +233,8 @@ def error_alerts(events: DataFrame, config: DetectorConfig = DetectorConfig()) -
         F.count("*").alias("n"), F.count_if(F.col("level").isin("error", "critical")).alias("k"))
     so_far = Window.partitionBy("start").orderBy("after")
     partial = ticks.withColumns({"total": F.sum("n").over(so_far), "errors": F.sum("k").over(so_far)})
-    before = Window.orderBy("start").rangeBetween(-config.error_baseline_s, -1)
-    base = ticks.groupBy("start").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).select("start", F.sum("n").over(before).alias("base_total"), F.sum("k").over(before).alias("base_errors"))
+    windows = ticks.groupBy("start").agg(F.sum("n").alias("total"), F.sum("k").alias("errors"))
+    base = with_base(windows, history, config.error_baseline_s).select("start", "base_total", "base_errors")
     z = two_proportion_z(F.col("errors"), F.col("total"), F.col("base_errors"), F.col("base_total"))
     usable = (F.col("total") >= config.error_min_total) & (F.col("base_total") >= config.error_min_total) & (F.col("base_errors") >= config.error_min_errors)
     scored = partial.join(base, "start").filter(usable).withColumn("z", F.round(z, 6)).filter(F.col("z") >= config.error_bands[0])
@@ -212,11 +246,11 @@ class _Shift:
     at, up = float("-inf"), None
 
 
-def shift_alerts(samples: DataFrame, config: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Alerts from numeric shifts (key, seq, at, value): none within the cooldown of a key's last one, nor in
+def shift_alerts(samples: DataFrame, config: DetectorConfig = DetectorConfig(), saved: DataFrame | None = None) -> DataFrame:
+    """Alerts from numeric shifts (key, seq, at, value), with an earlier run's `saved` samples: none within the cooldown of a key's last one, nor in
     the other direction within the rebound span. Only blocks that score high are walked."""
     ends = blocks(samples.select("key", "at", "seq"), config).groupBy("key", "block").agg(F.max_by("at", "seq").alias("at"))
-    high = numeric_shift(samples, config).filter(F.abs("z") >= config.shift_bands[0]).join(ends, ["key", "block"])
+    high = numeric_shift(samples, config, saved).filter(F.abs("z") >= config.shift_bands[0]).join(ends, ["key", "block"])
 
     def step(last: _Shift, row) -> list[tuple]:
         since, up = row.at - last.at, row.z > 0
@@ -228,9 +262,39 @@ def shift_alerts(samples: DataFrame, config: DetectorConfig = DetectorConfig())
     return walk(high.select("key", "block", "at", "z", "severity"), "key", ["at", "block"], "key string, block long, at double, z double, severity string, direction string", _Shift, step)
 
 
-def stopped_alerts(events: DataFrame, config: DetectorConfig = DetectorConfig()) -> DataFrame:
+def noticed_by_slot(gaps: DataFrame, events: DataFrame, config: DetectorConfig) -> DataFrame:
+    """`gaps` with `check` and the interval that held there: the first check at which a silence is long enough for the template's rate.
+
+    The rate is the median of its hourly counts at the check's hour of the week, of hours before; without any, at the hour of the
+    week of its last sighting; else its mean rate. It is constant within an hour, so a gap meets the hours that it spans, and of each
+    slot the history of RING counts at most, cut at the moment in a list.
+    """
+    volumes = hourly_volume(events).withColumn("slot", (F.col("bucket") + 72) % 168)
+    past = volumes.groupBy("template_text", "slot").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("past"))
+    hour = lambda c: F.floor(c / 3600)
+    last = gaps.withColumns({"last_hour": hour(F.col("at")), "bucket": F.explode(F.sequence(hour(F.col("at")), hour(F.col("until"))))})
+    at_check, at_last = past.withColumnRenamed("past", "here"), past.withColumnRenamed("past", "there")
+    both = last.withColumns({"slot": (F.col("bucket") + 72) % 168, "last_slot": (F.col("last_hour") + 72) % 168})
+    both = both.join(at_check, ["template_text", "slot"], "left").join(at_last.withColumnRenamed("slot", "last_slot"), ["template_text", "last_slot"], "left")
+
+    def middle(name: str) -> Column:
+        before = F.transform(F.filter(name, lambda v: v["bucket"] < F.col("bucket")), lambda v: v["n"])
+        return bound(before, lambda x: sorted_median(F.when(F.size(x) > RING, F.slice(x, -RING, RING)).otherwise(x)))
+
+    rate = F.coalesce(F.when(middle("here") > 0, middle("here")), F.when(middle("there") > 0, middle("there")))
+    held = F.coalesce(3600.0 / rate, F.col("interval"))
+    grid = lambda x, f: F.col("_start") + f((x - F.col("_start")) / config.silence_check_s) * config.silence_check_s
+    due = F.col("at") + F.col("held") * max(config.silence_factor, config.silence_min_missed)
+    check = F.greatest(F.col("_start") + (F.floor((due - F.col("_start")) / config.silence_check_s) + 1) * config.silence_check_s, grid(F.col("bucket") * 3600.0, F.ceil))
+    found = both.withColumn("held", held).withColumn("check", check).filter((F.col("check") <= F.col("until")) & (F.col("check") < (F.col("bucket") + 1) * 3600.0))
+    first = found.groupBy("template_text", "seq").agg(F.min(F.struct("check", "held")).alias("_f")).select("template_text", "seq", "_f.check", F.col("_f.held").alias("held"))
+    return gaps.join(first, ["template_text", "seq"]).drop("interval").withColumnRenamed("held", "interval")
+
+
+def stopped_alerts(events: DataFrame, config: DetectorConfig = DetectorConfig(), by_slot: bool = False) -> DataFrame:
     """Silences as they are noticed: on a grid of `silence_check_s` from the first event, at the first check at
-    which the gap is long enough for the mean rate so far and enough events were due.
+    which the gap is long enough for the mean rate so far and enough events were due; with `by_slot`, for the rate at that hour
+    of the week (noticed_by_slot).
 
     None when over `silence_peer_share` of more than `silence_peers` established templates are silent for
     half as long at that check, which is then something of the whole stream; a silence is judged
@@ -245,6 +309,9 @@ def stopped_alerts(events: DataFrame, config: DetectorConfig = DetectorConfig())
     due = F.col("at") + F.col("interval") * max(config.silence_factor, config.silence_min_missed)
     check = F.col("_start") + (F.floor((due - F.col("_start")) / config.silence_check_s) + 1) * config.silence_check_s
     noticed = half.withColumn("check", check).filter(F.col("check") <= F.col("until"))
+    if by_slot:  # at any rate that held before: no gap is too short for a busy hour of the week
+        long = gaps.filter(F.col("until") - F.col("at") >= config.silence_check_s)
+        noticed = noticed_by_slot(long, events, config)
     # At a time: what was established and fell silent before it, less what ended before it.
     established = known.filter(F.col("seen") == config.silence_min_count)
     change = lambda t, order, peers, silent: (t.alias("t"), F.lit(order).alias("o"), F.lit(peers).alias("peers"), F.lit(silent).alias("silent"))
@@ -277,9 +344,10 @@ def rare_sequence_alerts(events: DataFrame, warm_at: float, config: DetectorConf
     """Rows of three distinct templates within a source that the warm-up hardly knows, neither whole nor by
     its neighbours, of templates seen often enough by then, while no template makes up most of the
     last `gram_window_s` (in whole tenths of it). `gram_min` of them in that span raise an alert;
-    then the triple rests for the cooldown, and a source raises `gram_hourly` an hour at most.
+    then the triple rests for the cooldown, and all sources together raise `gram_hourly` an hour at most.
 
-    Counts are joined, not broadcast; only rows that qualify are walked, by triple, then by source.
+    Counts are joined, not broadcast; only rows that qualify are walked, by triple. The cap is a greedy walk in the order
+    of time over what the triples raise, one row in each cooldown of a triple.
     """
     order = Window.partitionBy("source").orderBy("seq")
     rows = events.select("source", "seq", (F.unix_micros("ts") / 1e6).alias("at"), F.col("template_text").alias("c"))
@@ -320,4 +388,4 @@ def rare_sequence_alerts(events: DataFrame, warm_at: float, config: DetectorConf
     schema = "source string, seq long, at double, gram string, n long"
     text = F.concat_ws(" > ", "a", "b", "c")
     raised = walk(calm.select("source", "seq", "at", text.alias("gram"), F.to_json(F.array("source", "a", "b", "c")).alias("key")), "key", ["seq"], schema, _Gram, gather)
-    return walk(raised, "source", ["seq"], schema, _Hour, cap)
+    return walk(raised.withColumn("whole", F.lit(0)), "whole", ["at", "source", "seq"], schema, _Hour, cap)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import parsers, stats, text
-from ..operators import alerts, baselines, detectors, query, state, templates
+from ..operators import alerts, baselines, detectors, ordered, query, state, templates
 from ..operators.assemble import assemble, indented
 from ..operators.detectors import DetectorConfig
 from ..operators.events import event_view
@@ -212,14 +212,16 @@ def i_snapshot(e: DataFrame) -> DataFrame:
 
 @registered("SELECT template_text, round(median(value), 6) AS median, round(mad(value), 6) AS mad FROM e GROUP BY 1")
 def f_median_mad(e: DataFrame) -> DataFrame:
-    middle = e.groupBy("template_text").agg(F.median("value").alias("median"))
-    return e.join(middle, "template_text").groupBy("template_text", "median").agg(F.round(F.median(F.abs(F.col("value") - F.col("median"))), 6).alias("mad")).withColumn("median", F.round("median", 6))
+    middle = ordered.medians(e, "template_text", F.col("value"))
+    apart = e.join(middle, "template_text").select("template_text", F.abs(F.col("value") - F.col("median")).alias("apart"))
+    return middle.join(ordered.medians(apart, "template_text", F.col("apart"), "mad"), "template_text").select("template_text", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
 
 
 @registered("""SELECT seq, round((value - m) / greatest(1.4826 * abs(d), 1e-9), 6) AS z FROM e JOIN (SELECT source AS s, median(value) AS m, mad(value) AS d FROM e GROUP BY 1) ON s = source""")
 def f_robust_z(e: DataFrame) -> DataFrame:
-    middle = e.groupBy("source").agg(F.median("value").alias("m"))
-    spread = e.join(middle, "source").groupBy("source", "m").agg(F.median(F.abs(F.col("value") - F.col("m"))).alias("d"))
+    middle = ordered.medians(e, "source", F.col("value"), "m")
+    apart = e.join(middle, "source").select("source", F.abs(F.col("value") - F.col("m")).alias("apart"))
+    spread = middle.join(ordered.medians(apart, "source", F.col("apart"), "d"), "source")
     return e.join(spread, "source").select("seq", F.round(stats.robust_z(F.col("value"), F.col("m"), F.col("d")), 6).alias("z"))
 
 
@@ -342,6 +344,41 @@ def d_numeric_shift(e: DataFrame) -> DataFrame:
     return detectors.numeric_shift(e.select(F.col("event_type").alias("key"), "seq", "value"))
 
 
+@registered(f""", h AS (SELECT (min(us) + max(us)) // 2 AS mid FROM e), o AS (SELECT event_type AS key, value, row_number() OVER (PARTITION BY event_type ORDER BY us DESC, value DESC) AS r FROM e, h WHERE us < mid),
+  b AS (SELECT event_type AS key, value, (row_number() OVER (PARTITION BY event_type ORDER BY seq) - 1) // 30 AS o FROM e, h WHERE us >= mid),
+  f AS (SELECT key, o AS block FROM b GROUP BY 1, 2 HAVING count(*) = 30),
+  s AS (SELECT b.key, block, value, o = block AS recent FROM b JOIN f ON b.key = f.key AND block > 0 AND o BETWEEN block - 3 AND block
+    UNION ALL SELECT key, 0, value, true FROM b WHERE o = 0 AND key IN (SELECT key FROM f WHERE block = 0) AND key IN (SELECT key FROM o GROUP BY 1 HAVING count(*) >= 30)
+    UNION ALL SELECT key, 0, value, false FROM o WHERE r <= 98 AND key IN (SELECT key FROM f WHERE block = 0) AND key IN (SELECT key FROM o GROUP BY 1 HAVING count(*) >= 30)),
+  {_MW.format(keys='key, block')}, z AS (SELECT key, block, n1, n2, round(uu, 6) AS u, round(CASE WHEN v <= 0 THEN 0 ELSE (uu - n1 * n2 / 2.0) / sqrt(v) END, 6) AS z FROM w) SELECT *, {_bands('abs(z)', 3.5, 5, 9)} AS severity FROM z""")
+def d_numeric_shift_resumed(e: DataFrame) -> DataFrame:
+    """The later half of the time, whose first blocks are held against the samples that the earlier half has left in the state."""
+    early, late = _halves(e)
+    rows = lambda part: part.select(F.col("event_type").alias("key"), "seq", (F.unix_micros("ts") / 1e6).alias("at"), "value")
+    kept = state.trimmed(state.numeric_state(rows(early))).select("key", "at", "value")
+    return detectors.numeric_shift(rows(late).select("key", "seq", "value"), saved=kept)
+
+
+def _halves(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    mid = e.agg(F.floor((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2).alias("_mid"))
+    both = e.join(F.broadcast(mid))
+    early = F.unix_micros("ts") < F.col("_mid")
+    return both.filter(early).drop("_mid"), both.filter(~early).drop("_mid")
+
+
+@registered(f""", h AS (SELECT (min(us) + max(us)) // 2 AS mid FROM e), c AS (SELECT us // 21600000000 * 21600 AS start, us >= mid AS late, count(*) AS total, count(*) FILTER (WHERE level = 'error') AS errors FROM e, h GROUP BY ALL),
+  m AS (SELECT start, max(total) AS total, arg_max(errors, total) AS errors, bool_or(late) AS late FROM c GROUP BY 1),
+  b AS (SELECT *, sum(total) OVER p AS base_total, sum(errors) OVER p AS base_errors FROM m WINDOW p AS (ORDER BY start RANGE BETWEEN 108000 PRECEDING AND 1 PRECEDING)),
+  v AS (SELECT *, (errors + base_errors) / (total + base_total)::DOUBLE AS p FROM b WHERE late AND total >= 5 AND base_total >= 5 AND base_errors >= 1),
+  z AS (SELECT start, total, errors, base_total::BIGINT AS base_total, base_errors::BIGINT AS base_errors, round(CASE WHEN p * (1 - p) <= 0 THEN 0 ELSE (errors / total::DOUBLE - base_errors / base_total::DOUBLE) / sqrt(p * (1 - p) * (1.0 / total + 1.0 / base_total)) END, 6) AS z FROM v)
+  SELECT *, {_bands('z', 1, 2, 3)} AS severity FROM z""")
+def d_error_rate_resumed(e: DataFrame) -> DataFrame:
+    """The later half of the time, whose first windows are held against those that the earlier half has left in the state."""
+    early, late = _halves(e)
+    kept = state.trimmed(state.error_state(detectors.seen_windows(early, _SPARSE.error_window_s)))
+    return detectors.error_rate(late, _SPARSE, kept.select(F.col("at").alias("start"), F.col("value").alias("total"), F.col("more").alias("errors")))
+
+
 def _novel(e: DataFrame) -> DataFrame:
     """Templates of their own for users, so that some appear late."""
     return e.withColumn("template_text", F.concat_ws(" ", "event_type", F.lit("user"), "user_id"))
@@ -367,6 +404,16 @@ def d_rare_sequences(e: DataFrame) -> DataFrame:
     return detectors.rare_sequences(e, _WARM, _SPARSE)
 
 
+@registered(f""", t AS (SELECT *, event_type || (user_id % 3) AS tt FROM e),
+  r AS (SELECT source, seq, us / 1e6 AS tm, tt AS c, lag(tt, 2) OVER w AS a, lag(tt) OVER w AS b, lag(us / 1e6, 2) OVER w AS t0, lag(us / 1e6) OVER w AS t1 FROM t WINDOW w AS (PARTITION BY source ORDER BY seq)),
+  k AS (SELECT a, b, c, count(*) AS n FROM r WHERE a IS NOT NULL AND tm <= 1704153600 GROUP BY ALL), l AS (SELECT a, b, c, count(*) AS n, min(seq) AS first_seq FROM r WHERE a IS NOT NULL AND tm > 1704153600 AND tm - t1 <= 604800 AND t1 - t0 <= 604800 AND a <> b AND b <> c AND a <> c GROUP BY ALL)
+  SELECT l.a, l.b, l.c, l.n, first_seq, coalesce(k.n, 0) AS baseline FROM l LEFT JOIN k USING (a, b, c) WHERE coalesce(k.n, 0) <= 2 AND l.n >= 2""")
+def d_rare_sequences_often(e: DataFrame) -> DataFrame:
+    """A short warm-up and many templates: most triples are rare in it and come back."""
+    rare = dataclasses.replace(_SPARSE, gram_gap_s=604_800.0, gram_min=2)
+    return detectors.rare_sequences(e.withColumn("template_text", F.concat("event_type", (F.col("user_id") % 3).cast("string"))), 1704153600.0, rare)
+
+
 @registered(f""", t AS (SELECT us // 21600000000 * 21600 AS start, least(((us % 21600000000) // 3600000000 + 1) * 3600, 21600) AS after, count(*) AS n, count(*) FILTER (WHERE level = 'error') AS k FROM e GROUP BY ALL),
   c AS (SELECT start, after, sum(n) OVER w AS total, sum(k) OVER w AS errors FROM t WINDOW w AS (PARTITION BY start ORDER BY after)),
   b AS (SELECT start, sum(n) OVER p AS bt, sum(k) OVER p AS be FROM (SELECT start, sum(n) AS n, sum(k) AS k FROM t GROUP BY 1) WINDOW p AS (ORDER BY start RANGE BETWEEN 108000 PRECEDING AND 1 PRECEDING)),
@@ -390,6 +437,24 @@ def d_stopped_alerts(e: DataFrame) -> DataFrame:
     return detectors.stopped_alerts(e, _SPARSE)
 
 
+@registered(f""", r AS (SELECT template_text, seq, us / 1e6 AS tm, row_number() OVER w AS seen, min(us / 1e6) OVER (PARTITION BY template_text ORDER BY seq) AS f, lead(us / 1e6) OVER w AS nx FROM t WINDOW w AS (PARTITION BY template_text ORDER BY seq)),
+  x AS (SELECT min(us) / 1e6 AS s, max(us) / 1e6 AS t FROM e),
+  v AS (SELECT template_text, us // 3600000000 AS bucket, count(*) AS n FROM t GROUP BY ALL),
+  g AS (SELECT template_text, seq, seen, tm, (tm - f) / seen AS iv, coalesce(nx, t) AS til, s FROM r, x WHERE seen >= 20 AND tm > f),
+  h AS (SELECT *, tm + iv * 4.0 * 0.5 AS half FROM g WHERE til > tm + iv * 4.0 * 0.5),
+  c AS (SELECT *, unnest(range(floor(tm / 3600)::BIGINT, floor(til / 3600)::BIGINT + 1)) AS hr FROM g WHERE til - tm >= 1800),
+  d AS (SELECT *, (SELECT median(n) FROM v WHERE v.template_text = c.template_text AND (v.bucket - hr) % 168 = 0 AND v.bucket < hr) AS m1,
+    (SELECT median(n) FROM v WHERE v.template_text = c.template_text AND (v.bucket - floor(tm / 3600)::BIGINT) % 168 = 0 AND v.bucket < hr) AS m2 FROM c),
+  i AS (SELECT *, coalesce(3600.0 / coalesce(m1, m2), iv) AS held FROM d),
+  j AS (SELECT *, greatest(s + (floor((tm + held * 4.0 - s) / 1800.0) + 1) * 1800.0, s + ceil((hr * 3600.0 - s) / 1800.0) * 1800.0) AS chk FROM i),
+  n AS (SELECT template_text, seq, any_value(seen) AS seen, any_value(tm) AS tm, min(chk) AS chk, arg_min(held, chk) AS held FROM j WHERE chk <= til AND chk < (hr + 1) * 3600.0 GROUP BY ALL),
+  q AS (SELECT n.*, (SELECT count(*) FROM g WHERE g.seen = 20 AND g.tm < n.chk) AS peers, (SELECT count(*) FROM h WHERE h.half < n.chk AND h.til >= n.chk) AS silent FROM n)
+  SELECT template_text, seq, seen, round(chk, 3) AS "check", round((chk - tm) / held, 6) AS ratio, peers, silent, {_bands('round((chk - tm) / held, 6)', 10, 25, 50)} AS severity FROM q WHERE NOT (peers > 3 AND silent / peers > 0.5)""".replace(", r AS (SELECT template_text", ", t AS (SELECT * REPLACE (event_type AS template_text) FROM e), r AS (SELECT template_text", 1))
+def d_stopped_by_slot(e: DataFrame) -> DataFrame:
+    """Silences held against the median of the hour of the week at the check, else at the last sighting, else the mean rate."""
+    return detectors.stopped_alerts(e.withColumn("template_text", F.col("event_type")), _SPARSE, by_slot=True)
+
+
 @registered()
 def d_shift_alerts(e: DataFrame) -> DataFrame:
     """Cooldown and rebound depend on the alert before; tests hold them against a plain loop."""
@@ -557,6 +622,20 @@ def t_cluster(e: DataFrame) -> DataFrame:
     return found.select("seq", "template_text", "template_id", F.array_join("params", " ").alias("params"))
 
 
+@registered("""SELECT seq, CASE seq % 3 WHEN 0 THEN 'load ' || CASE WHEN seq < other THEN opens ELSE '<*>' END || ' from disk now' WHEN 1 THEN event_type || ' ' || event_type || ' done' ELSE 'user <*> gone' END AS text_then,
+    CASE seq % 3 WHEN 0 THEN 'load ' || opens || ' from disk now' WHEN 1 THEN event_type || ' ' || event_type || ' done' ELSE 'user <*> gone' END AS template_key,
+    CASE seq % 3 WHEN 0 THEN 'load <*> from disk now' WHEN 1 THEN event_type || ' ' || event_type || ' done' ELSE 'user <*> gone' END AS template_text,
+    dense_rank() OVER (ORDER BY first) AS template_id
+  FROM (SELECT *, min(seq) OVER (PARTITION BY CASE seq % 3 WHEN 1 THEN event_type ELSE (seq % 3)::VARCHAR END) AS first,
+      (SELECT arg_min(event_type, seq) FROM e WHERE seq % 3 = 0) AS opens,
+      (SELECT min(seq) FROM e WHERE seq % 3 = 0 AND event_type <> (SELECT arg_min(event_type, seq) FROM e WHERE seq % 3 = 0)) AS other FROM e)""")
+def t_cluster_asof(e: DataFrame) -> DataFrame:
+    """Messages that form seven templates, one of which widens: its text as of each event, at its beginning and in the end."""
+    kind = F.col("event_type")
+    message = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("load "), kind, F.lit(" from disk now"))).when(F.col("seq") % 3 == 1, F.concat(kind, F.lit(" "), kind, F.lit(" done"))).otherwise(F.concat(F.lit("user "), "user_id", F.lit(" gone")))
+    return templates.template_events(e.select("seq", message.alias("message"))).select("seq", "text_then", "template_key", "template_text", "template_id")
+
+
 @registered("SELECT '<*> user <*> value <*>' AS template_text, count(*) AS count, min(us) AS first_us, max(us) AS last_us, (SELECT string_agg(message, '|' ORDER BY seq) FROM (SELECT * FROM e ORDER BY seq LIMIT 3)) AS samples FROM e")
 def t_table(e: DataFrame) -> DataFrame:
     table = templates.template_table(templates.template_events(e.select("seq", "ts", "message")))
@@ -655,6 +734,16 @@ def b_state_trim(e: DataFrame) -> DataFrame:
     return kept.filter("kind = 'volume'").select("key", "slot", "at", "value")
 
 
+@registered(f"""{_VOLUME}, k AS (SELECT template_text AS key, (bucket + 72) % 168 AS slot, bucket * 3600.0::DOUBLE AS "at", n::DOUBLE AS value, row_number() OVER (PARTITION BY template_text, (bucket + 72) % 168 ORDER BY bucket DESC) AS b FROM v),
+  s AS (SELECT key, slot::INT AS slot, "at", value, 6 + octet_length(encode(key)) + 28 AS bytes, row_number() OVER (PARTITION BY key ORDER BY "at") AS pass FROM k WHERE b <= 64),
+  c AS (SELECT *, sum(bytes) OVER (ORDER BY pass, key) - bytes AS before, sum(bytes) OVER () AS whole FROM s)
+  SELECT key, slot, "at", value FROM c WHERE whole - before <= 20000""")
+def b_state_bytes(e: DataFrame) -> DataFrame:
+    """The state under 20,000 bytes: the oldest sample of each key goes, pass by pass."""
+    kept = state.within_bytes(state.trimmed(state.volume_state(baselines.hourly_volume(e))), 20_000)
+    return kept.select("key", "slot", "at", "value")
+
+
 @registered("SELECT seq, lag(seq) OVER (PARTITION BY source ORDER BY seq) AS before FROM e")
 def w_lag(e: DataFrame) -> DataFrame:
     return e.select("seq", F.lag("seq").over(Window.partitionBy("source").orderBy("seq")).alias("before"))

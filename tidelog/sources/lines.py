@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,16 +30,40 @@ def pieces(text: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), rounds), state, step, lambda s: s["out"])
 
 
+#: What a spool adds to the name of a source: the time at which the file begins, in nanoseconds, and a random part.
+SPOOLED = r"-(\d{20})-[0-9a-f]{8}\.log$"
+
+
+def in_file_order(text: DataFrame) -> DataFrame:
+    """(source, seq, value) of a stream of files, each of which a micro-batch reads whole. A line's number is the byte at which its
+    split begins and its place there, which rises along a file; files of a spool are one source, and begin with their time."""
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: dict[tuple, int] = {}
+        for rows in batches:
+            split = rows.groupby(["name", "begin"], sort=False)
+            seen = [at.get(k, 0) for k in zip(rows["name"], rows["begin"], strict=True)]
+            seq = rows["begin"] + split.cumcount() + seen
+            for k, n in split.size().items():
+                at[k] = at.get(k, 0) + n
+            spooled = rows["name"].str.extract(SPOOLED)[0]
+            yield pd.DataFrame({"source": rows["name"].map(lambda n: re.sub(SPOOLED, "", n)), "seq": seq + spooled.fillna("0").astype("int64"), "value": rows["value"]})
+
+    named = text.select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("begin"), "value")
+    return named.mapInPandas(number, "source string, seq long, value string")
+
+
 def framed(text: DataFrame) -> DataFrame:
     """(source, seq, text, valid_utf8, flags): a trailing carriage return goes; long lines are cut into
-    pieces of MAX_LINE_BYTES bytes at most, which are flagged and numbered in order. A stream has no
-    seq (null): rows are numbered within a batch, in foreachBatch."""
-    clean = text.select(F.col("_metadata.file_name").alias("source"), F.regexp_replace("value", "\r$", "").alias("text"))
+    pieces of MAX_LINE_BYTES bytes at most, which are flagged and numbered in order."""
+    rows = in_file_order(text) if text.isStreaming else text.select(F.col("_metadata.file_name").alias("source"), F.lit(None).cast("long").alias("seq"), "value")
+    clean = rows.select("source", "seq", F.regexp_replace("value", "\r$", "").alias("text"))
     long = F.octet_length("text") > MAX_LINE_BYTES
-    cut = clean.select("source", long.alias("_long"), F.explode(F.when(long, pieces(F.col("text"))).otherwise(F.array("text"))).alias("text"))
+    cut = clean.select("source", F.col("seq").alias("_seq"), long.alias("_long"), F.posexplode(F.when(long, pieces(F.col("text"))).otherwise(F.array("text"))).alias("_piece", "text"))
     valid = ~F.contains(F.col("text"), F.lit("�"))
     flags = F.when(F.col("_long"), TRUNCATED).otherwise(0) + F.when(valid, 0).otherwise(INVALID_UTF8)
-    seq = F.lit(None).cast("long") if text.isStreaming else F.monotonically_increasing_id()
+    # A cut line is longer than its pieces are many, so the next line's number is beyond theirs.
+    seq = F.col("_seq") + F.col("_piece") if text.isStreaming else F.monotonically_increasing_id()
     return cut.withColumn("seq", seq).select("source", "seq", "text", valid.alias("valid_utf8"), flags.alias("flags"))
 
 

@@ -52,6 +52,32 @@ def spool_stream(stream: BinaryIO, folder: str, name: str = "stdin") -> None:
     spool.roll()
 
 
+class LiveSpool:
+    """Lines of a stream into a spool as they come, by a thread of its own; a file is there `max_age_s` seconds after its first line at the
+    latest, whether others follow or not."""
+
+    def __init__(self, stream: BinaryIO, folder: str, name: str = "stdin", max_age_s: float = 1.0):
+        self.stream, self.spool, self.ended = stream, Spool(folder, name, max_age_s=max_age_s), threading.Event()
+
+    def start(self) -> LiveSpool:
+        for work in (self._read, self._age):
+            threading.Thread(target=work, daemon=True).start()
+        return self
+
+    def _read(self) -> None:
+        try:
+            for line in iter(self.stream.readline, b""):
+                self.spool.write(line)
+        finally:
+            self.spool.roll()
+            self.ended.set()
+
+    def _age(self) -> None:
+        while not self.ended.wait(self.spool.max_age_s / 4):
+            if self.spool.file is not None and time.monotonic() - self.spool.opened >= self.spool.max_age_s:
+                self.spool.roll()
+
+
 class LineServer(socketserver.ThreadingTCPServer):
     """Many clients' lines into a spool; what a client leaves without a line end is discarded."""
 

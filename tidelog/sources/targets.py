@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from .lines import read_lines, stream_lines
-from .spool import LineServer, spool_stream
+from .spool import LineServer, LiveSpool, spool_stream
 from .tail import stream_tail
 
 
@@ -53,5 +53,5 @@ def stream(spark: SparkSession, target: Target, spool: str) -> DataFrame:
         Path(spool).mkdir(parents=True, exist_ok=True)
         LineServer(host, int(port), spool).start()
     else:
-        spool_stream(sys.stdin.buffer, spool)
+        LiveSpool(sys.stdin.buffer, spool).start()
     return stream_lines(spark, spool, "*.log")
