@@ -206,11 +206,12 @@ def fit(bags: pa.Table, keys: np.ndarray, steps: int = 600, rate: float = 0.05,
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, max_training_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """A model from at most `max_training_rows` labelled documents for which `usable`, a condition on doc_id, holds."""
+    """A model from at most `max_training_rows` labels of documents for which `usable`, a condition on doc_id, holds."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     some = marks.filter(usable).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_training_rows)
-    joined = id_text(docs).dropna(subset=["doc_id"]).join(some, "doc_id")
-    training = stored(joined.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_training_rows).repartition("doc_id").select("text", "toxic"), "training")
+    # Ids are chosen before texts are read; the chosen texts, not all, are dealt out again.
+    joined = id_text(docs).dropna(subset=["doc_id"]).join(F.broadcast(some), "doc_id")  # at most `max_training_rows` ids
+    training = stored(joined.repartition("doc_id").select("text", "toxic"), "training")
     counts = {r["toxic"] > 0: r["n"] for r in training.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     keys = telling_features(training, counts.get(True, 0), counts.get(False, 0))
     return fit(training_bags(training, keys), keys)
