@@ -407,7 +407,7 @@ def verified(marks: DataFrame, keyed: DataFrame) -> DataFrame:
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches, limit=1 << 20):  # as Python strings, with the words of their marks
             out = [(key, *m) for key, text, of in zip(*(chunk.column(c).to_pylist() for c in ("key", "text", "_tidelog_marks")), strict=True) for m in same_words(text.encode().split(), of)]
             key, start, n, words = zip(*out, strict=True)
             yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32()), "words": pa.array(words, pa.string())})

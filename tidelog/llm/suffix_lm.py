@@ -9,7 +9,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import bucket_of, buckets_for, discard, id_bucket, mix, packets, split_words, stored, text_chunks, unpacked, with_unique_ids, word_hashes
 
@@ -152,13 +151,16 @@ class KeyFilter:
 
     @staticmethod
     def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        k, one = keys.view(np.uint64), np.uint64(BITS // SLICES - 1)
-        return (k >> np.uint64(58)).astype(np.int64), (k & one).astype(np.int64), (k >> np.uint64(30) & one).astype(np.int64)
+        """The slice of each key, and its two bits there, which lie in one word of 64 bits."""
+        k = keys.view(np.uint64)
+        word = (k >> np.uint64(42) & np.uint64(BITS // SLICES // 64 - 1)) << np.uint64(6)
+        return (k >> np.uint64(58)).astype(np.int64), (word | k & np.uint64(63)).astype(np.int64), (word | k >> np.uint64(6) & np.uint64(63)).astype(np.int64)
 
     def may_have(self, keys: np.ndarray) -> np.ndarray:
-        which, *places = KeyFilter.places(keys)
-        a, b = (self.bits[which, p >> 3] >> (p & 7).astype(np.uint8) for p in places)
-        return (a & b & 1).astype(bool)
+        """One look into memory for a key: its slice and word are its upper bits."""
+        k, one = keys.view(np.uint64), np.uint64(1)
+        mask = one << (k & np.uint64(63)) | one << (k >> np.uint64(6) & np.uint64(63))
+        return self.bits.view("<u8").ravel()[k >> np.uint64(42)] & mask == mask
 
 
 def count_words_and_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -240,18 +242,19 @@ def grow(counted: DataFrame, shorter: DataFrame, last: bool = False) -> DataFram
     context isn't kept. Scores are sums of what contexts add: each token after a kept context gets
     its `rest`, and `value` on top if the sequence is kept. A kept context is named once, by `ctx`.
 
-    Equal contexts meet in a window: as many rows as a context has distinct next words. Of the `last` depth,
-    whose probabilities nothing asks for, kept sequences alone are stored.
+    Contexts and suffixes are met by hash, a partition's distinct keys at a time, and what a context's words add up to is an
+    aggregate that is joined back; nothing is sorted and no context is one window. Of the `last` depth, whose probabilities
+    nothing asks for, kept sequences alone are stored.
     """
-    suffix = shorter.select(F.col("seq").alias("suf"), F.col("logp").alias("parent")).hint("shuffle_hash")  # a partition's distinct keys, unsorted
-    context = shorter.select(F.col("seq").alias("ctx"), F.col("n").alias("total"))
-    each = Window.partitionBy("ctx")
+    suffix = shorter.select(F.col("seq").alias("suf"), F.col("logp").alias("parent")).hint("shuffle_hash")
+    context = shorter.select(F.col("seq").alias("ctx"), F.col("n").alias("total")).hint("shuffle_hash")
     rows = counted.join(suffix, "suf").join(context, "ctx")
     rows = rows.withColumn("passes", F.col("n") * (F.log(F.col("n") / (F.col("total") + 1)) - F.col("parent") * float(np.log(10))) >= MIN_GAIN)
-    rows = rows.withColumns({"held": F.sum(F.when(F.col("passes"), F.col("n"))).over(each), "types": F.count_if("passes").over(each), "first": F.min(F.when(F.col("passes"), F.col("suf"))).over(each)})
+    sums = rows.filter("passes").groupBy("ctx").agg(F.sum("n").alias("held"), F.count("*").alias("types"), F.min("suf").alias("first"))
+    rows = rows.join(sums.hint("shuffle_hash"), "ctx", "left").withColumn("types", F.coalesce("types", F.lit(0)))
     rows = rows.withColumn("all", F.col("total") + F.col("types")).withColumn("left", 1 - F.coalesce("held", F.lit(0)) / F.col("all"))
     rows = rows.withColumns({"rest": F.log10("left"), "own": F.log10(F.when(F.col("passes"), F.col("n") / F.col("all")).otherwise(0.0) + F.col("left") * F.pow(F.lit(10.0), "parent"))})
-    head = F.col("passes") & (F.col("suf") == F.col("first"))
+    head = F.col("passes") & (F.col("suf") == F.col("first"))  # one row of each kept context
     return stored((rows.filter("passes") if last else rows).select(
         F.xxhash64("ctx", "suf").alias("seq"), "n", F.col("own").alias("logp"), F.when(F.col("passes"), F.col("own") - F.col("parent") - F.col("rest")).cast("float").alias("value"),
         *(F.when(head, c).alias(n) for n, c in (("ctx", F.col("ctx")), ("total", F.col("total")), ("rest", F.col("rest").cast("float")))),
