@@ -1,4 +1,4 @@
-"""Command line: run, replay, query, summary, generate, config validate, hooks test."""
+"""Command line: run, replay, query, summary, generate, memory, config validate, hooks test."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import config
+from . import config, memory
 from .operators import alerts, query, replay
 from .session import local_session, prepare, stored
 from .sources import corpus, hooks, targets
@@ -92,6 +92,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("folder")
     p.add_argument("--lines", type=int, default=100_000)
     p.add_argument("--seed", type=int, default=7)
+    p = sub.add_parser("memory")
+    p.add_argument("logs", help="Spark's event logs of a run")
+    p.add_argument("--ceiling-mb", type=int, default=600)
     sub.add_parser("config").add_argument("action", choices=["validate"])
     sub.add_parser("hooks").add_argument("action", choices=["test"])
     return top
@@ -116,7 +119,12 @@ def main(argv: list[str] | None = None) -> int:
         return FAILED if any(hooks.attempt(hooks.dry(h), '{"schema": "tidelog.alert/1", "detector": "test"}') for h in settings.hooks) else OK
     spark = prepare(local_session())
     try:
-        if args.command == "generate":
+        if args.command == "memory":
+            show(memory.peaks(spark, args.logs).orderBy("executor", "metric"))
+            if not memory.above(spark, args.logs, args.ceiling_mb << 20).isEmpty():
+                print(f"tidelog: more than {args.ceiling_mb} MB of heap", file=sys.stderr)
+                return FAILED
+        elif args.command == "generate":
             made = corpus.Corpus(args.lines, args.seed)
             corpus.generate(spark, made).select("source", F.col("text").alias("value")).write.partitionBy("source").text(f"{args.folder}/lines")
             corpus.labels(spark, made).write.json(f"{args.folder}/labels")

@@ -31,6 +31,7 @@ class DetectorConfig:
     novel_window_s: float = 60.0
     novel_min: int = 2
     novel_many: int = 20
+    novel_grace_s: float = 0.0
     silence_factor: float = 10.0
     silence_min_count: int = 200
     silence_min_missed: float = 50.0
@@ -184,9 +185,12 @@ def numeric_shift(samples: DataFrame, config: DetectorConfig = DetectorConfig(),
 
 
 def new_templates(events: DataFrame, warm_at: float, config: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Templates first seen after the warm-up, with their count in the time after."""
+    """Templates first seen after the warm-up, and its grace, with their count in the time after."""
     epoch = F.unix_micros("ts") / 1e6
-    first = events.groupBy("template_text").agg(F.min(epoch).alias("first_at")).filter(F.col("first_at") > warm_at)
+    settled = F.col("first_at") > warm_at
+    if config.novel_grace_s > 0:  # seen within the grace, a template is known
+        settled = F.col("first_at") > warm_at + config.novel_grace_s
+    first = events.groupBy("template_text").agg(F.min(epoch).alias("first_at")).filter(settled)
     counted = events.withColumn("_at", epoch).join(first, "template_text").filter(F.col("_at") <= F.col("first_at") + config.novel_window_s).groupBy("template_text", "first_at").agg(F.count("*").alias("n"))
     return counted.filter(F.col("n") >= config.novel_min).withColumn("severity", F.when(F.col("n") >= config.novel_many, "anomalous").otherwise("elevated"))
 

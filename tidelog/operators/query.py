@@ -144,6 +144,20 @@ def totals(events: DataFrame) -> DataFrame:
     )
 
 
+#: Levels from the least to the gravest.
+LEVELS = ("trace", "debug", "info", "notice", "warning", "error", "critical")
+
+
+def level_totals(events: DataFrame) -> DataFrame:
+    """(level, n, percent) of every level, those that no event has too, and of events without one, whose level is `-`."""
+    known = F.when(F.col("level").isin(*LEVELS), F.col("level")).otherwise("-").alias("level")
+    counts = events.groupBy(known).agg(F.count("*").alias("n"))
+    every = events.sparkSession.createDataFrame([(x,) for x in (*LEVELS, "-")], "level string")
+    whole = events.agg(F.count("*").alias("whole"))
+    n = F.coalesce("n", F.lit(0))
+    return every.join(counts, "level", "left").join(F.broadcast(whole)).select("level", n.alias("n"), F.round(n * 100.0 / F.greatest("whole", F.lit(1)), 6).alias("percent"))
+
+
 def summary(events: DataFrame, top: int = 10) -> DataFrame:
     """The most frequent templates with their share of all lines."""
     counts = aggregate(events, "template")

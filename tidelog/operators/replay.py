@@ -64,11 +64,12 @@ def detect_all(events: DataFrame, settings: Settings = Settings(), saved: DataFr
     values = timed.select("template_text", "seq", "ts", F.explode("numeric").alias("name", "value"))
     numeric = values.select(F.to_json(F.array("template_text", "name")).alias("key"), "seq", (F.unix_micros("ts") / 1e6).alias("at"), "value")
     shifts = detectors.shift_alerts(numeric, c, samples).withColumn("of", F.from_json("key", "array<string>"))
+    punctual = baselines.on_time(timed)
     hour = {"start": "bucket * 3600", "at": "(bucket + 1) * 3600", "z": "z", "observed": ("concat(n, ' in an hour')", "n"), "threshold": c.volume_bands[0]}
     share = "concat(round(100 * {0} / {1}, 1), ' % errors of ', {1})"
     found = [
-        raised(detectors.volume(timed, c, past, spans).filter(hot), "volume", "template_text", baseline=("concat(expected, if(basis = 'week', ' at this hour of the week', ' at this hour of day'))", "expected"), **hour),
-        raised(detectors.volume_global(timed, c, past, spans).filter(hot), "volume", "'__all__'", baseline=("concat(median, ' at this hour of the week')", "median"), **hour),
+        raised(detectors.volume(punctual, c, past, spans).filter(hot), "volume", "template_text", baseline=("concat(expected, if(basis = 'week', ' at this hour of the week', ' at this hour of day'))", "expected"), **hour),
+        raised(detectors.volume_global(punctual, c, past, spans).filter(hot), "volume", "'__all__'", baseline=("concat(median, ' at this hour of the week')", "median"), **hour),
         raised(detectors.error_alerts(timed, c, windows).filter(hot), "error_rate", "null", "start", "start + after", z="z", baseline=(share.format("base_errors", "base_total"), "base_errors / base_total"), observed=(share.format("errors", "total"), "errors / total"), threshold=c.error_bands[0]),
         raised(shifts, "numeric_shift", "of[0]", "at", "at", z="z", group="concat_ws(':', of)", baseline=("concat('earlier values of ', of[1])", "null"), observed=("concat(of[1], ' shows ', direction)", "null"), threshold=c.shift_bands[0]),
         raised(detectors.new_templates(timed, warm, c), "new_template", "template_text", "first_at", "first_at", unit="times", baseline=("'never seen'", "0"), observed=("concat(n, ' times')", "n"), threshold=c.novel_min),

@@ -53,20 +53,24 @@ def in_file_order(text: DataFrame) -> DataFrame:
     return named.mapInPandas(number, "source string, seq long, value string")
 
 
-def framed(text: DataFrame) -> DataFrame:
-    """(source, seq, text, valid_utf8, flags): a trailing carriage return goes; long lines are cut into
-    pieces of MAX_LINE_BYTES bytes at most, which are flagged and numbered in order."""
-    rows = in_file_order(text) if text.isStreaming else text.select(F.col("_metadata.file_name").alias("source"), F.lit(None).cast("long").alias("seq"), "value")
+def cut_lines(rows: DataFrame) -> DataFrame:
+    """(source, seq, text, valid_utf8, flags) of (source, seq, value): a trailing carriage return goes; long lines are cut into
+    pieces of MAX_LINE_BYTES bytes at most, which are flagged and numbered in order from their line's number on. Numbers must
+    leave room for that, as byte offsets do; with none, rows are numbered as they stand."""
     clean = rows.select("source", "seq", F.regexp_replace("value", "\r$", "").alias("text"))
     long = F.octet_length("text") > MAX_LINE_BYTES
     cut = clean.select("source", F.col("seq").alias("_seq"), long.alias("_long"), F.posexplode(F.when(long, pieces(F.col("text"))).otherwise(F.array("text"))).alias("_piece", "text"))
     valid = ~F.contains(F.col("text"), F.lit("�"))
     flags = F.when(F.col("_long"), TRUNCATED).otherwise(0) + F.when(valid, 0).otherwise(INVALID_UTF8)
-    # A cut line is longer than its pieces are many, so the next line's number is beyond theirs.
-    seq = F.col("_seq") + F.col("_piece") if text.isStreaming else F.monotonically_increasing_id()
+    seq = F.col("_seq") + F.col("_piece") if rows.isStreaming else F.monotonically_increasing_id()
     return cut.withColumn("seq", seq).select("source", "seq", "text", valid.alias("valid_utf8"), flags.alias("flags"))
 
 
+def framed(text: DataFrame) -> DataFrame:
+    """The lines of text files, with their files' names as sources."""
+    return cut_lines(in_file_order(text) if text.isStreaming else text.select(F.col("_metadata.file_name").alias("source"), F.lit(None).cast("long").alias("seq"), "value"))
+
+
 def read_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """All lines of a file or folder; gzip is transparent, file names are sources."""
     return framed(spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).text(path))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from .lines import cut_lines
+
 #: Bytes of one read task.
 RANGE_BYTES = 16 << 20
 
@@ -69,7 +71,8 @@ class TailReader(DataSourceStreamReader):
                 line = f.readline()
                 if not line.endswith(b"\n") and not (part.rotated and line):
                     return
-                yield at, line.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
+                # What was left of a file that was rotated away comes before the new one, whose offsets begin at 0 again.
+                yield at - (1 << 62 if part.rotated else 0), line.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
                 at += len(line)
 
 
@@ -86,7 +89,8 @@ class Tail(DataSource):
 
 
 def stream_tail(spark: SparkSession, path: str) -> DataFrame:
-    """(source, seq, text, valid_utf8) of a file that grows at a shared path; seq is the line's byte offset."""
+    """(source, seq, text, valid_utf8, flags) of a file that grows at a shared path; seq is the line's byte offset. Long lines are cut
+    and flagged as those of other sources."""
     spark.dataSource.register(Tail)
     rows = spark.readStream.format("tail").option("path", path).load()
-    return rows.select(F.lit(Path(path).name).alias("source"), "seq", "text", (~F.contains(F.col("text"), F.lit("�"))).alias("valid_utf8"))
+    return cut_lines(rows.select(F.lit(Path(path).name).alias("source"), "seq", F.col("text").alias("value")))
