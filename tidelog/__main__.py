@@ -130,12 +130,11 @@ def main(argv: list[str] | None = None) -> int:
             corpus.labels(spark, made).write.json(f"{args.folder}/labels")
         else:
             for target in args.targets:
-                source = targets.stream if args.command == "run" else targets.read
-                lines = source(spark, targets.Target.parse(target), args.spool or tempfile.mkdtemp(prefix="tidelog-stdin-"))
+                what, spool = targets.Target.parse(target), args.spool or tempfile.mkdtemp(prefix="tidelog-stdin-")
                 if args.command == "run":
-                    do_run(args, settings, lines)
+                    do_run(args, settings, targets.stream(spark, what, spool, args.once))
                 else:
-                    ACTIONS[args.command](args, settings, replay.events_of(lines, settings))
+                    ACTIONS[args.command](args, settings, replay.events_of(targets.read(spark, what, spool), settings))
     except (query.QueryError, OSError, ValueError) as e:
         print(f"tidelog: {e}", file=sys.stderr)
         return USAGE if isinstance(e, query.QueryError) else FAILED

@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import Settings
 from ..functions import parsers, stats, text
 from ..operators import alerts, baselines, detectors, ordered, query, state, templates
 from ..operators.assemble import assemble, indented
 from ..operators.detectors import DetectorConfig
 from ..operators.events import event_view
+from ..session import scratch
+from ..streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -758,6 +761,26 @@ def b_state_bytes(e: DataFrame) -> DataFrame:
     return kept.select("key", "slot", "at", "value")
 
 
+@registered(f""", t AS (SELECT us, event_type || ' ' || translate(user_id::VARCHAR, '0123456789', 'abcdefghij') AS k FROM e),
+  w AS (SELECT tm FROM (SELECT min(us) AS tm, row_number() OVER (ORDER BY min(us)) AS r FROM t GROUP BY (us // 3600000000 + 72) % 168) WHERE r = 24),
+  f AS (SELECT k, min(us) AS f FROM t GROUP BY 1), x AS (SELECT max(us) // 1000 AS late FROM t),
+  c AS (SELECT k, f, count(*) AS n FROM f JOIN t USING (k) WHERE us <= f + 864000000000 AND f > (SELECT tm FROM w) GROUP BY ALL)
+  SELECT k AS template_key, f AS first_us, least(n, 20) AS n, CASE WHEN n >= 20 THEN 'anomalous' ELSE 'elevated' END AS severity FROM c, x WHERE n >= 2 AND (n >= 20 OR (f + 864000000000 + 999) // 1000 + 1 <= late)""")
+def s_live_new_templates(e: DataFrame) -> DataFrame:
+    """The events as lines through the live engine, as a stream that ends with them: templates that are new after the warm-up, once their span
+    is over or they have come very often."""
+    spark = e.sparkSession
+    folder = scratch(spark, "live")
+    words = F.concat("event_type", F.lit(" "), F.translate(F.col("user_id").cast("string"), "0123456789", "abcdefghij"))
+    line = F.concat(F.lit("ts="), F.date_format("ts", _STAMP), F.lit(" level="), "level", F.lit(' msg="'), words, F.lit('"'))
+    e.select("source", "seq", line.alias("text")).write.parquet(f"{folder}/lines")
+    stream = spark.readStream.schema("source string, seq long, text string").parquet(f"{folder}/lines")
+    settings = Settings(warmup_seconds=1e9, detectors=_SPARSE)  # the warm-up ends with the 24th hour of the week
+    live.run(stream, folder, settings, trigger={"availableNow": True}, flush_s=0.0).awaitTermination()
+    found = spark.read.parquet(f"{folder}/alerts").filter("detector = 'new_template'")
+    return found.select(F.substring_index("group_key", ":", -1).alias("template_key"), F.round(F.col("at") * 1e6).cast("long").alias("first_us"), F.col("observed_value").cast("long").alias("n"), "severity")
+
+
 @registered("SELECT seq, lag(seq) OVER (PARTITION BY source ORDER BY seq) AS before FROM e")
 def w_lag(e: DataFrame) -> DataFrame:
     return e.select("seq", F.lag("seq").over(Window.partitionBy("source").orderBy("seq")).alias("before"))

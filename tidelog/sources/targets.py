@@ -42,8 +42,8 @@ def read(spark: SparkSession, target: Target, spool: str) -> DataFrame:
     return read_lines(spark, target.value, "*.log*") if target.kind == "dir" else read_lines(spark, target.value)
 
 
-def stream(spark: SparkSession, target: Target, spool: str) -> DataFrame:
-    """Lines as they come."""
+def stream(spark: SparkSession, target: Target, spool: str, once: bool = False) -> DataFrame:
+    """Lines as they come; standard input is read to its end first if it is to be followed `once`."""
     if target.kind == "file":
         return stream_tail(spark, target.value)
     if target.kind == "dir":
@@ -52,6 +52,8 @@ def stream(spark: SparkSession, target: Target, spool: str) -> DataFrame:
         host, _, port = target.value.rpartition(":")
         Path(spool).mkdir(parents=True, exist_ok=True)
         LineServer(host, int(port), spool).start()
+    elif once:
+        spool_stream(sys.stdin.buffer, spool)
     else:
         LiveSpool(sys.stdin.buffer, spool).start()
     return stream_lines(spark, spool, "*.log")
