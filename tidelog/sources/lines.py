@@ -49,7 +49,7 @@ def in_file_order(text: DataFrame) -> DataFrame:
             spooled = rows["name"].str.extract(SPOOLED)[0]
             yield pd.DataFrame({"source": rows["name"].map(lambda n: re.sub(SPOOLED, "", n)), "seq": seq + spooled.fillna("0").astype("int64"), "value": rows["value"]})
 
-    named = text.select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("begin"), "value")
+    named = text.select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("begin"), F.make_valid_utf8("value").alias("value"))
     return named.mapInPandas(number, "source string, seq long, value string")
 
 
