@@ -131,6 +131,32 @@ def test_ngram_join(docs, rows, crowd, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs).collect()} == brute_components(rows)
 
 
+def test_ngram_join_meets_in_rounds(docs, rows, monkeypatch):
+    """What crosses a shuffle at a time is bounded by the members' texts, however many blocks a block meets."""
+    tables, stored = [], ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: tables.append(name) or stored(df, name))
+    for name, value in (("ROUND_BYTES", 1), ("CROWD", 1), ("TRIE_SETS", 1), ("FOLD", 500)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs).collect()} == brute_components(rows)
+    assert tables.count("met") > 1
+
+
+def test_sketch_tells_rare_shingles_from_frequent_ones(spark):
+    """1.8 million rare shingles beside one of 30 texts; 2^20 counters can't tell most rare ones from those of two texts."""
+    r = np.random.default_rng(3)
+    texts = [" ".join(["often"] * 4 + [f"{x:x}" for x in r.integers(0, 2**40, 60_000)]) for _ in range(30)]
+    sketch = ngram_join.frequency_sketch(ngram_join.describe_sets(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "key long, doc_id long, text string")))
+    _, found = ngram_join.shingle_sets(pa.RecordBatch.from_pydict({"text": pa.array(texts[:1])}))
+    _, often = ngram_join.shingle_sets(pa.RecordBatch.from_pydict({"text": pa.array(["often often often often"])}))
+    rare = sketch[ngram_join.counter_of(found[~np.isin(found, often)])]
+    assert (rare < sketch[ngram_join.counter_of(often)][0]).all() and (rare == rare.min()).mean() > 0.9
+
+
+@pytest.mark.parametrize("x", [[], [0], [254, 255, 256, 256, 900, 1_000_000]])
+def test_gaps_come_back(x):
+    assert ngram_join.from_gaps(ngram_join.as_gaps(np.array(x, np.int64))).tolist() == x
+
+
 def test_trie_join_is_exact():
     r = np.random.default_rng(1)
     base = r.choice(2**60, 80, replace=False).astype(np.uint64)

@@ -11,15 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import gram_hashes, id_text, mix, split_words, starts_of, stored, text_chunks, with_row_keys, with_unique_ids, word_hashes
+from .common import discard, gram_hashes, id_text, mix, split_words, starts_of, stored, text_chunks, with_row_keys, with_unique_ids, word_hashes
 from .components import components
+from .suffix_lm import KeyFilter
 
 #: Words of a shingle, and the least similarity in hundredths.
 SHINGLE, SIMILARITY = 4, 85
-#: Counters of the frequency sketch, and the slices in which tasks send theirs.
-COUNTERS, SLICES = 1 << 20, 64
+#: Counters of the frequency sketch, the slices in which tasks send theirs, and shingles that a task gathers before it does.
+COUNTERS, SLICES, FOLD = 1 << 25, 64, 1 << 22
 #: Sets of a block; sets beyond which those of a token aren't paired; cells of a membership table.
 TRIE_SETS, CROWD, CELLS = 256, 24, 1 << 25
+#: Bytes of texts that cross a shuffle for meetings at a time, at least.
+ROUND_BYTES = 1 << 30
 
 
 def shingle_sets(chunk: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -54,41 +57,74 @@ def counter_of(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
-SETS = "key long, doc_id long, n long, d1 long, d2 long, slice int, counts binary"
+def as_gaps(x: np.ndarray) -> bytes:
+    """Sorted numbers at about a byte each: the distance from the one before, where 255 stands for that and a further byte."""
+    step = np.diff(x, prepend=0)
+    more = step // 255
+    out = np.full(len(x) + int(more.sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = step % 255
+    return out.tobytes()
+
+
+def from_gaps(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint8)
+    return np.cumsum(gaps, dtype=np.int64)[gaps < 255]
+
+
+SETS = "key long, doc_id long, n long, d1 long, d2 long, slice int, counters binary"
 
 
 def describe_sets(keyed: DataFrame) -> DataFrame:
-    """A row for each document with its set's size and digests, and each task's part of the sketch in slices."""
+    """A row for each document with its set's size and digests, and the counters that its shingles raise, in slices."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        held, size = [], 0
+
+        def raised() -> pa.RecordBatch:
+            x = np.sort(np.concatenate([np.zeros(0, np.uint32), *held])).astype(np.int64)
+            cuts, width = np.searchsorted(x, np.arange(SLICES + 1) * (COUNTERS // SLICES)), COUNTERS // SLICES
+            none = pa.nulls(SLICES, pa.int64())
+            parts = [as_gaps(x[a:b] - i * width) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+            return pa.RecordBatch.from_pydict({"key": none, "doc_id": none, "n": none, "d1": none, "d2": none, "slice": pa.array(range(SLICES), pa.int32()), "counters": pa.array(parts, pa.binary())})
+
         for chunk in text_chunks(batches):
             rows, found = shingle_sets(chunk)
-            counts += np.bincount(counter_of(found), minlength=COUNTERS)
+            held.append(counter_of(found).astype(np.uint32))
+            size += len(found)
             n, d1, d2 = digests(rows, found, chunk.num_rows)
-            yield pa.RecordBatch.from_pydict({"key": chunk.column("key"), "doc_id": chunk.column("doc_id"), "n": n, "d1": d1, "d2": d2, "slice": pa.nulls(len(n), pa.int32()), "counts": pa.nulls(len(n), pa.binary())})
-        none = pa.nulls(SLICES, pa.int64())
-        parts = [x.astype("<u4").tobytes() for x in np.minimum(counts, 2**32 - 1).reshape(SLICES, -1)]
-        yield pa.RecordBatch.from_pydict({"key": none, "doc_id": none, "n": none, "d1": none, "d2": none, "slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array(parts, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"key": chunk.column("key"), "doc_id": chunk.column("doc_id"), "n": n, "d1": d1, "d2": d2, "slice": pa.nulls(len(n), pa.int32()), "counters": pa.nulls(len(n), pa.binary())})
+            if size > FOLD:
+                yield raised()
+                held, size = [], 0
+        if size:
+            yield raised()
 
-    return stored(keyed.select("key", "doc_id", "text").mapInArrow(describe, SETS), "sets")
+    return stored(keyed.select("key", "doc_id", "text").mapInArrow(describe, SETS), "described")
 
 
 def frequency_sketch(described: DataFrame) -> np.ndarray:
-    """How many documents hold a shingle, by counters of its hash: COUNTERS numbers at any size of the corpus."""
+    """How many documents hold a shingle, by counters of its hash: COUNTERS bytes at any size of the corpus.
+
+    A byte is eight times the logarithm to base 2 of its counter and one, so it tells counts apart that differ by a tenth."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "counts": pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())})
-
-    got = described.filter("slice is not null").select("slice", "counts").repartition(8, "slice").mapInArrow(add, "slice int, counts binary").toArrow()
-    sketch = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
-    for part, counts in zip(got["slice"].to_pylist(), got["counts"].to_pylist(), strict=True):
-        sketch[part] = np.frombuffer(counts, "<i8")
-    return np.minimum(sketch.ravel(), 2**31 - 1).astype(np.int32)
+            for part, data in zip(batch.column("slice").to_pylist(), batch.column("counters"), strict=True):
+                if part not in sums:
+                    sums[part] = np.zeros(COUNTERS // SLICES, np.int64)
+                np.add.at(sums[part], from_gaps(data.as_py()), 1)
+        levels = [np.minimum(8 * np.log2(1 + x), 255).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "levels": pa.array(levels, pa.binary())})
+
+    raised = described.filter("slice is not null").select("slice", "counters").repartitionById(SLICES, "slice")
+    summed = stored(raised.mapInArrow(add, "slice int, levels binary"), "sketch")
+    got = summed.toArrow()
+    discard(summed)
+    sketch = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
+    for part, levels in zip(got["slice"].to_pylist(), got["levels"], strict=True):
+        sketch[part] = np.frombuffer(levels.as_buffer(), np.uint8)
+    return sketch.ravel()
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -217,7 +253,9 @@ def class_links(keyed: DataFrame, rows: DataFrame, sketch: object) -> DataFrame:
     they share in all allows the similarity. Sets of a token that many share aren't paired.
     Each set that is left belongs to a block, of about TRIE_SETS sets that have their most
     shared token in common; two blocks meet once, in tries, if a kept pair or a crowded token
-    lies across them. A meeting returns no more links than connect its sets.
+    lies across them. A meeting returns no more links than connect its sets. Meetings are held in
+    rounds, each of which moves about as many bytes of texts as all members have, so that disk
+    doesn't grow with the number of blocks that a block meets.
     """
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = stored(rows.join(rows.groupBy("token").agg(F.count("*").alias("f")), "token"), "counted")
@@ -235,36 +273,62 @@ def class_links(keyed: DataFrame, rows: DataFrame, sketch: object) -> DataFrame:
     by_token = touched.withColumnRenamed("block", "x").join(touched.withColumnRenamed("block", "y"), "token").filter("x <= y").select("x", "y")
     meetings = stored(by_pair.union(by_token).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "meetings")
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches):
-            which, found = shingle_sets(chunk)
-            bounds = starts_of(np.bincount(which, minlength=chunk.num_rows))
-            yield pa.RecordBatch.from_pydict({"key": chunk.column("key"), "block": chunk.column("block"), "hashes": pa.array([found[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
+    texts = texts_of(keyed, members)
+    sizes = texts.groupBy("block").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    guests = meetings.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("block")).groupBy("block").count()
+    held, moved = sizes.join(guests, "block", "left").agg(F.sum("bytes"), F.sum(F.col("bytes") * F.col("count"))).first()
+    rounds = -(-(moved or 0) // max(held or 0, ROUND_BYTES)) or 1
 
-    # Members grow with the corpus: never broadcast.
-    sets = stored(keyed.select("key", "text").join(members.hint("merge"), "key").mapInArrow(hashes, "key long, block long, hashes binary"), "members")
-    left = meetings.join(sets.withColumnRenamed("block", "x"), "x").select("x", "y", F.lit(0).alias("side"), "key", "hashes")
-    right = meetings.filter("x <> y").join(sets.withColumnRenamed("block", "y"), "y").select("x", "y", F.lit(1).alias("side"), "key", "hashes")
+    def sets_of(side: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
+        out, batch = [], pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in side], pa.int64()), "text": pa.array([t for _, t in side], pa.string())})
+        for chunk in text_chunks([batch]):
+            which, found = shingle_sets(chunk)
+            out += zip(chunk.column("key").to_pylist(), np.split(found, np.cumsum(np.bincount(which, minlength=chunk.num_rows))[:-1]), strict=True)
+        return out
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sides = None, ([], [])
 
         def flush() -> Iterator[pa.RecordBatch]:
             if sides[0] and (sides[1] or at[0] == at[1]):
-                found = spanning_links(*sides, sketch.value)
+                found = spanning_links(*map(sets_of, sides), sketch.value)
                 yield pa.RecordBatch.from_pydict({"a": pa.array([i for i, _ in found], pa.int64()), "b": pa.array([j for _, j in found], pa.int64())})
             sides[0].clear()
             sides[1].clear()
 
         for batch in batches:
-            for x, y, side, key, held in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "side", "key", "hashes")), strict=True):
+            for x, y, side, key, text in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "side", "key", "text")), strict=True):
                 if (x, y) != at:
                     yield from flush()
                     at = (x, y)
-                sides[side].append((key, np.frombuffer(held, np.uint64)))
+                sides[side].append((key, text))
         yield from flush()
 
-    return left.union(right).repartition(parts, "x", "y").sortWithinPartitions("x", "y", "side").mapInArrow(meet, "a long, b long")
+    links = None
+    for i in range(rounds):
+        now = meetings.filter(F.pmod(F.xxhash64("x", "y"), F.lit(rounds)) == i)
+        left = now.join(texts.withColumnRenamed("block", "x"), "x").select("x", "y", F.lit(0).alias("side"), "key", "text")
+        right = now.filter("x <> y").join(texts.withColumnRenamed("block", "y"), "y").select("x", "y", F.lit(1).alias("side"), "key", "text")
+        found = stored(left.union(right).repartition(parts, "x", "y").sortWithinPartitions("x", "y", "side").mapInArrow(meet, "a long, b long"), "met")
+        links = links.union(found) if links is not None else found
+    discard(texts)
+    return links
+
+
+def texts_of(keyed: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, block, text) of the members. They grow with the corpus and are never broadcast, but a filter of fixed size
+    keeps most texts of others from the shuffle."""
+    place = F.xxhash64("key")
+    shared = keyed.sparkSession.sparkContext.broadcast(KeyFilter(members.select(place.alias("place"))))
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.may_have(batch.column("place").to_numpy()))).select(["key", "text"])
+
+    some = keyed.select("key", "text", place.alias("place")).mapInArrow(may, "key long, text string")
+    texts = stored(some.join(members.hint("merge"), "key").select("key", "block", "text"), "texts")
+    shared.destroy()  # its copies on the executors' disks go
+    return texts
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -289,9 +353,10 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 def placed_sets(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """key, doc_id, n_shingles and component, its least key, of every document; and the sets."""
     described = describe_sets(keyed)
-    sets = described.filter("slice is null").select("key", "doc_id", "n", "d1", "d2")
-    classes = stored(sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("key").alias("class")), "classes")
     sketch = keyed.sparkSession.sparkContext.broadcast(frequency_sketch(described))
+    sets = stored(described.filter("slice is null").select("key", "doc_id", "n", "d1", "d2"), "sets")
+    discard(described)
+    classes = stored(sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("key").alias("class")), "classes")
     # One row a document decides which sets stand for others, before their tokens meet.
     first = prefixes(keyed, sketch).join(classes.select(F.col("class").alias("key")), "key", "left_semi")
     token = Window.partitionBy("token").orderBy("key")
