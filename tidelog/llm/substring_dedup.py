@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucket_of, buckets_for, gram_hashes, mix, publish, scratch, split_words, starts_of, store_of, stored, text_chunks, with_row_keys, with_unique_ids, word_hashes
-from .ngram_join import COUNTERS, SLICES, counter_of, frequency_sketch
 
 #: Words of a window, and of the grams whose first in order places a window in the index.
 WINDOW, ANCHOR = 20, 6
+#: Counters of the frequency sketch, and the slices in which tasks send theirs.
+COUNTERS, SLICES = 1 << 20, 64
 #: Windows in one index entry at most, and bytes of a window's own hash: hits are verified.
 ENTRY, HASH_BYTES = 64, 5
 #: Levels from which on an anchor is split, and the bits of a window's own hash by which it is: one line in a third of all documents
@@ -45,6 +46,27 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(span[: len(span) - rest], span[rest:]) if rest else span
 
 
+def counter_of(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def frequency_sketch(counted: DataFrame) -> np.ndarray:
+    """The sums of (slice, counts), each task's part of the sketch: COUNTERS numbers at any size of the corpus."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "counts": pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())})
+
+    got = counted.select("slice", "counts").repartition(8, "slice").mapInArrow(add, "slice int, counts binary").toArrow()
+    sketch = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
+    for part, counts in zip(got["slice"].to_pylist(), got["counts"].to_pylist(), strict=True):
+        sketch[part] = np.frombuffer(counts, "<i8")
+    return np.minimum(sketch.ravel(), 2**31 - 1).astype(np.int32)
+
+
 def gram_levels(docs: DataFrame) -> np.ndarray:
     """How much more frequent than most the grams of a counter are, in powers of two, by counters of
     their hash: COUNTERS numbers at any size of the corpus."""
