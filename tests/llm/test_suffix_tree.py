@@ -53,6 +53,19 @@ def test_suffix_tree_has_every_repeated_sequence(spark, monkeypatch, spot):
     assert {x.doc_id: x.score for x in got} == pytest.approx(want)
 
 
+def test_lookups_cross_in_rounds(spark, monkeypatch):
+    """A full filter sends every sequence of every token across; rounds of documents bound what does at a time, and no score changes."""
+    tables, stored = [], suffix_lm.stored
+    monkeypatch.setattr(suffix_lm, "stored", lambda df, name: tables.append(name) or stored(df, name))
+    monkeypatch.setattr(suffix_lm, "ROUND_LOOKUPS", 1)
+    monkeypatch.setattr(suffix_lm.KeyFilter, "wrong", lambda self: 1.0)
+    monkeypatch.setattr(suffix_lm.KeyFilter, "may_have", lambda self, keys: np.ones(len(keys), bool))
+    rows = corpus()
+    got = suffix_lm.suffix_lm(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x.doc_id: x.score for x in got} == pytest.approx(brute_scores(rows, suffix_lm.DEPTH), rel=1e-5)  # values are kept in single precision
+    assert (tables.count("scores"), tables.count("sequences")) == (14, 4)
+
+
 def test_pair_hash(spark):
     rows = [(0, 0), (1, -1), (2**62 + 5, -(2**63))]
     a, b = np.array(rows, np.int64).T

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucket_of, buckets_for, discard, id_bucket, mix, packets, split_words, stored, text_chunks, unpacked, with_unique_ids, word_hashes
+from .common import bucket_of, buckets_for, discard, id_bucket, mix, packets, publish, scratch, split_words, store_of, stored, text_chunks, unpacked, with_unique_ids, word_hashes
 
 #: Words of the longest context (the tree's memory), and the least count of a sequence that is stored.
 DEPTH, MIN_COUNT = 3, 2
@@ -27,6 +29,11 @@ FOLD = 1_500_000
 #: Bits of a filter, and the slices in which tasks send it.
 BITS, SLICES = 1 << 28, 64
 
+#: Lookups for each token of all documents that cross the shuffle in one round, and lookups that do in any case; the share that values meet at least.
+ROUND_SHARE, ROUND_LOOKUPS, MEET_SHARE = 0.3, 1 << 25, 0.2
+#: Share of wrong answers of a filter from which sequences are counted in two halves, one after the other.
+FULL = 0.25
+
 #: Packets of the scoring join: values of words and of sequences, lookups of words and of sequences, documents, and parts of their sums.
 WORD_VALUE, VALUE, WORD_LOOKUP, LOOKUP, DOCUMENT, PART = range(6)
 PACKETS = "bucket int, kind int, keys binary, numbers binary"
@@ -181,6 +188,10 @@ class KeyFilter:
         word = (k >> np.uint64(42) & np.uint64(BITS // SLICES // 64 - 1)) << np.uint64(6)
         return (k >> np.uint64(58)).astype(np.int64), (word | k & np.uint64(63)).astype(np.int64), (word | k >> np.uint64(6) & np.uint64(63)).astype(np.int64)
 
+    def wrong(self) -> float:
+        """The share of other keys that it takes for its own."""
+        return float(np.bitwise_count(self.bits.view("<u8")).sum() / BITS) ** 2
+
     def may_have(self, keys: np.ndarray) -> np.ndarray:
         """One look into memory for a key: its slice and word are its upper bits."""
         words, one, low, out = self.bits.view("<u8").ravel(), np.uint64(1), np.uint64(63), np.empty(len(keys), bool)
@@ -232,9 +243,10 @@ def count_sequences(docs: DataFrame, depth: int, shorter: DataFrame) -> DataFram
     `shorter` has those of one token less, in which a sequence's context and suffix must be.
     """
     spark = docs.sparkSession
-    buckets, shared = buckets_for(spark), spark.sparkContext.broadcast(KeyFilter(shorter.select("seq")))
+    held = KeyFilter(shorter.select("seq"))
+    buckets, shared, halves = buckets_for(spark), spark.sparkContext.broadcast(held), 2 if held.wrong() > FULL else 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch], half: int) -> Iterator[pa.RecordBatch]:
         known, tally = shared.value, Tally(buckets, "ctx", "suf", "n")
         for chunk in text_chunks(batches):
             codes, h, per = hashed_words(chunk)
@@ -243,6 +255,7 @@ def count_sequences(docs: DataFrame, depth: int, shorter: DataFrame) -> DataFram
                 continue
             have = known.may_have(keys[depth - 1])
             at = np.flatnonzero((doc[depth:] == doc[:-depth]) & have[:-1] & have[1:])
+            at = at[keys[depth][at] % halves == half] if halves > 1 else at
             yield from tally.add(keys[depth][at], np.ones(len(at), np.int64), keys[depth - 1][at], keys[depth - 1][at + 1])
         yield from tally.rows()
 
@@ -253,8 +266,11 @@ def count_sequences(docs: DataFrame, depth: int, shorter: DataFrame) -> DataFram
             first = first[n >= MIN_COUNT]
             yield pa.RecordBatch.from_pydict({"ctx": ctx[first], "suf": suf[first], "n": n[n >= MIN_COUNT]})
 
-    counted = docs.select("text").mapInArrow(count, "bucket int, kind int, ctx binary, suf binary, n binary")
-    found = stored(dealt(counted).mapInArrow(merge, "ctx long, suf long, n long"), "sequences")
+    found = None
+    for half in range(halves):
+        counted = docs.select("text").mapInArrow(lambda batches, half=half: count(batches, half), "bucket int, kind int, ctx binary, suf binary, n binary")
+        part = stored(dealt(counted).mapInArrow(merge, "ctx long, suf long, n long"), "sequences")
+        found = found.union(part) if found is not None else part
     shared.destroy()  # its copies on the executors' disks go
     return found
 
@@ -297,7 +313,8 @@ def learn_values(docs: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFra
         longer = grow(counted, level, depth == DEPTH)
         values.append(stored(longer.filter("value is not null").select(F.col("seq").alias("h"), "n", F.col("value").alias("gain")).union(longer.filter("ctx is not null").select("ctx", "total", "rest")), "values"))
         if depth > 1:
-            discard(counted, level)
+            discard(level)
+        discard(counted)
         level = longer
     discard(level)
     out = values[0]
@@ -318,8 +335,8 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
     add to scores stay in tables. The tokens of a document are scored on the spot where values of
     a share of SPOT or more have them, and else meet the tables in a shuffle by sequence, but for
     those that a filter of fixed size knows not to be in them (once that is full, all tokens
-    cross). A task of that shuffle holds the values of one bucket, of which there are as many as
-    shuffle partitions. Each token is scored in its longest kept context of up to DEPTH words.
+    cross, in rounds of documents). A task of that shuffle reads the values of one bucket from its file
+    in the shared folder; there are as many as shuffle partitions. Each token is scored in its longest kept context of up to DEPTH words.
 
     Null texts are empty and consist of their end. Null and repeated doc_ids are documents of
     their own (a null id counts as 0 when rows are held out). A long text is one row of a chunk of
@@ -329,7 +346,8 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
     spark = docs.sparkSession
     keyed = with_unique_ids(docs)
     training = keyed.filter(id_bucket(holdout) != remainder)
-    counts, pairs = count_words_and_pairs(training)
+    counted, pairs = count_words_and_pairs(training)
+    counts = stored(counted, "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     below = total + 0.5 * (distinct + 1)
     unseen = float(np.log10(0.5 / below))
@@ -339,7 +357,12 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
     often = words.select("h", "n", F.col("logp").alias("base"), F.lit(0.0).alias("gain")).union(values.select("h", "n", F.lit(0.0), F.col("gain").cast("double"))).filter(F.col("n") >= spot)
     often = stored(often.groupBy("h").agg(F.sum("base").alias("base"), F.sum("gain").alias("gain")), "often").toArrow().sort_by("h")
     often = [often[c].to_numpy() for c in ("h", "base", "gain")]
-    shared, buckets = spark.sparkContext.broadcast((often, KeyFilter(words.select("h"), values.select("h")))), buckets_for(spark)
+    known, buckets = KeyFilter(words.select("h"), values.select("h")), buckets_for(spark)
+    shared = spark.sparkContext.broadcast((often, known))
+    # Once the filter is full, every token crosses with each of its sequences; in rounds of documents it takes no more disk.
+    tokens = total * holdout / max(holdout - 1, 1)
+    asked = tokens * (DEPTH + 1) * max(MEET_SHARE, known.wrong())
+    rounds = max(1, int(np.ceil(asked / max(ROUND_SHARE * tokens, ROUND_LOOKUPS))))
 
     def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (held, base_of, gain_of), known = shared.value
@@ -391,14 +414,27 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
 
         return run
 
+    folder = scratch(spark, "held")
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in of_buckets(batches):
+            kind, bucket = rows.column("kind").to_numpy(), rows.column("bucket")[0].as_py()
+            for k, name in ((WORD_VALUE, "words"), (VALUE, "values")):
+                part = rows.filter(pa.array(kind == k))
+                numbers = unpacked(part.column("numbers"), np.float64 if k == WORD_VALUE else np.float32).astype(np.float64)
+                write_numbers(f"{folder}/{bucket}.{name}", *summed(unpacked(part.column("keys"), np.int64), numbers)[:2])
+            yield pa.RecordBatch.from_pydict({"bucket": rows.column("bucket")[:1]})
+
+    held_packets = words.select("h", "logp").mapInArrow(pack(WORD_VALUE), PACKETS).union(values.select("h", "gain").mapInArrow(pack(VALUE), PACKETS))
+    full = {r.bucket for r in stored(dealt(held_packets).mapInArrow(hold, "bucket int"), "held").collect()}
+    discard(values, counts)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in of_buckets(batches):
-            kind = rows.column("kind").to_numpy()
+            kind, bucket = rows.column("kind").to_numpy(), rows.column("bucket")[0].as_py()
             of_kind = lambda k, a="keys", b="numbers", t=np.float64: (unpacked((part := rows.filter(pa.array(kind == k))).column(a), np.int64), unpacked(part.column(b), t))  # noqa: B023, E731
-            held_words, base_of, _ = summed(*of_kind(WORD_VALUE))
-            keys, gains = of_kind(VALUE, t=np.float32)
-            held, gain_of, _ = summed(keys, gains.astype(np.float64))
-            held_words, held = held_words.view(np.uint64), held.view(np.uint64)
+            none = np.zeros(0, np.uint64), np.zeros(0)
+            (held_words, base_of), (held, gain_of) = (read_numbers(f"{folder}/{bucket}.{x}") if bucket in full else none for x in ("words", "values"))
             parts = []
             for k in (WORD_LOOKUP, LOOKUP):
                 keys, of = of_kind(k, t=np.int64)
@@ -436,11 +472,36 @@ def suffix_lm(docs: DataFrame, holdout: int = 5, remainder: int = 1) -> DataFram
             n_known = whole[:, 1] + np.bincount(place, more[:, 0], len(docs)).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(whole[:, 4], pa.int64(), mask=whole[:, 5] == 0), "n_tokens": pa.array(whole[:, 0]), "n_known": n_known, "base": add(real(2), 1), "gain": add(real(3), 2)})
 
-    asked = keyed.mapInArrow(lookups, PACKETS).union(words.select("h", "logp").mapInArrow(pack(WORD_VALUE), PACKETS)).union(values.select("h", "gain").mapInArrow(pack(VALUE), PACKETS))
-    sums = dealt(dealt(asked).mapInArrow(meet, PACKETS)).mapInArrow(add_up, SCORES)
+    sums = None
+    for i in range(rounds):
+        some = keyed.filter(F.pmod(F.xxhash64("key"), F.lit(rounds)) == i) if rounds > 1 else keyed
+        got = stored(dealt(dealt(some.mapInArrow(lookups, PACKETS)).mapInArrow(meet, PACKETS)).mapInArrow(add_up, SCORES), "scores")
+        sums = sums.union(got) if sums is not None else got
+    shared.destroy()
+    fs, name = store_of(folder)
+    if full:
+        fs.delete_dir(name)
     return sums.select("doc_id", (id_bucket(holdout) == remainder).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"))
 
 
+def write_numbers(path: str, keys: np.ndarray, numbers: np.ndarray) -> None:
+    """A file of sorted keys, at the bytes of their distances, with a number each; it appears by a rename."""
+    fs, name = store_of(path)
+    fs.create_dir(name.rpartition("/")[0])
+    attempt = f"{name}.{TaskContext.get().taskAttemptId()}"
+    table = pa.table({"key": keys.view(np.int64), "number": numbers})
+    with fs.open_output_stream(attempt) as f:
+        pq.write_table(table, f, use_dictionary=False, compression="zstd", column_encoding={"key": "DELTA_BINARY_PACKED", "number": "BYTE_STREAM_SPLIT"})
+    publish(fs, attempt, name)
+
+
+def read_numbers(path: str) -> tuple[np.ndarray, np.ndarray]:
+    fs, name = store_of(path)
+    with fs.open_input_file(name) as f:
+        table = pq.ParquetFile(f).read(use_threads=False)
+    return table["key"].to_numpy().view(np.uint64), table["number"].to_numpy()
+
+
 def placed(held: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each key stands among the sorted ones, and whether it does."""
     if not len(held):
